@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, token_counts, warc
+from . import bpe, ngram_join, sharding, token_counts, warc
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -28,9 +28,30 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_sampled_splitters, op6_warc, op9_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_sampled_splitters, op6_warc, op7_ngram_join, op9_byte_bpe)}
+
+#: Word shingles as the join reads them, and the smallest id that links reach.
+JACCARD_SQL = r"""
+with recursive w as (
+  select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+') if x <> ''] as ws from documents),
+s as (
+  select doc_id, list_distinct(case when len(ws) >= 5 then [array_to_string(ws[i:i+4], ' ') for i in range(1, len(ws) - 3)]
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w),
+n as (select doc_id, len(sh)::bigint as n from s),
+g as (select doc_id, unnest(sh) as sh from s),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as met from g a join g b on a.sh = b.sh and a.doc_id <> b.doc_id group by all),
+e as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * met >= 75 * (x.n + y.n - met)),
+r as (select a as node, b as reach from e union select r.node, e.b from r join e on e.a = r.reach)
+select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(min(r.reach), n.doc_id)) as component_id
+from n left join r on r.node = n.doc_id group by n.doc_id, n.n"""
+
+ORACLE_SQL: dict[str, str] = {"op7_ngram_join": JACCARD_SQL}
