@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, sharding, token_counts, warc
+from . import bpe, decontaminate, ngram_join, pii, quality, sharding, token_counts, warc
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths by language with its suffix sums: one row per language and length."""
     docs = table(spark, sf_dir, "documents")
@@ -32,11 +36,21 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with the shingles of question and answer that were found."""
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "question_shingles", "question_found", "answer_shingles", "answer_found")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_sampled_splitters, op6_warc, op7_ngram_join, op9_byte_bpe)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op3_token_counts, op4_sampled_splitters, op6_warc, op7_ngram_join, op8_decontaminate, op9_byte_bpe, op10_pii)}
 
 #: Word shingles as the join reads them, and the smallest id that links reach.
 JACCARD_SQL = r"""
@@ -54,4 +68,22 @@ r as (select a as node, b as reach from e union select r.node, e.b from r join e
 select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(min(r.reach), n.doc_id)) as component_id
 from n left join r on r.node = n.doc_id group by n.doc_id, n.n"""
 
-ORACLE_SQL: dict[str, str] = {"op7_ngram_join": JACCARD_SQL}
+#: Distinct shingles of each item's question and answer, and how many of them a document holds. What the search retrieves
+#: is a superset of this, or the two differ.
+OVERLAP_SQL = r"""
+with items as (select item_id, trim(text) as t, regexp_extract(trim(text), '(?s)^(.*[.!?])\s+(.+)$', ['q', 'a']) as qa from benchmark),
+parts as (select item_id, 'q' as part, case when qa.q = '' then t else qa.q end as t from items union all select item_id, 'a', qa.a from items),
+iw as (select item_id, part, regexp_extract_all(lower(t), '[a-z0-9\x{80}-\x{10FFFF}]+') as ws from parts),
+ish as (select item_id, part, greatest(1, least(5, len(ws))) as k,
+    unnest(list_distinct([array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') for i in range(1, len(ws) - least(5, len(ws)) + 2)])) as sh
+  from iw where len(ws) > 0),
+dw as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') as ws from documents),
+dsh as (select doc_id, k, unnest(list_distinct([array_to_string(ws[i:i + k - 1], ' ') for i in range(1, len(ws) - k + 2)])) as sh
+  from dw, (select distinct k from ish)),
+need as (select item_id, count(*) filter (part = 'q') as nq, count(*) filter (part = 'a') as na from ish group by item_id),
+got as (select doc_id, item_id, count(*) filter (part = 'q') as fq, count(*) filter (part = 'a') as fa
+  from ish join dsh using (k, sh) group by doc_id, item_id)
+select doc_id, item_id, nq as question_shingles, fq as question_found, na as answer_shingles, fa as answer_found
+from got join need using (item_id) where 100 * (fq + fa) >= 75 * (nq + na)"""
+
+ORACLE_SQL: dict[str, str] = {"op7_ngram_join": JACCARD_SQL, "op8_decontaminate": OVERLAP_SQL}

@@ -32,8 +32,10 @@ def sha1_base32(data: bytes) -> str:
 
 def fit_dictionary(pages: DataFrame) -> bytes:
     """A Zstandard dictionary from a bounded sample of pages; empty if they are too few."""
-    sample = pages.where("html is not null and html <> ''").orderBy(F.xxhash64("page_id")).limit(DICTIONARY_PAGES)
-    texts = [r[0].encode() for r in sample.select(F.substring("html", 1, DICTIONARY_CHARS)).collect()]
+    full = pages.where("html is not null and html <> '' and page_id is not null")
+    ids = [r[0] for r in full.select("page_id").distinct().orderBy(F.xxhash64("page_id")).limit(DICTIONARY_PAGES).collect()]
+    sample = full.where(F.col("page_id").isin(ids)).select("page_id", F.substring("html", 1, DICTIONARY_CHARS)).orderBy("page_id")
+    texts = [r[1].encode() for r in sample.limit(DICTIONARY_PAGES).collect()]
     try:
         return zstandard.train_dictionary(32 << 10, texts).as_bytes()
     except zstandard.ZstdError:
