@@ -5,20 +5,48 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagelens.llm import bpe, decontaminate, ngram_join, pii, quality
 from pagelens.llm.common import shared_dir, table
 from pagelens.llm.queries import PATTERN, RANKS
-from pagelens.llm import bpe
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality posterior is at least one half."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id; a row without an id stays."""
+    copies = ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti")
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data and the terms that disclose it masked, and their new lengths."""
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document's text, and digests of the ids and of the bytes they decode to."""
+    """Number of tokens of each document, and digests of its ids and of the bytes they decode to."""
     return bpe.round_trip(docs, RANKS, PATTERN)
 
 
-STAGES = [("byte-level BPE", encode)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", drop_benchmark),
+    ("PII", mask_personal_data),
+    ("byte-level BPE", encode),
+]
 
-#: SQL cannot express the tokenizer; tests hold each stage against a brute-force version.
+#: SQL cannot express the classifier and the tokenizer; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ngram_join, pii, quality, sharding, token_counts, warc
+from . import bpe, decontaminate, hnsw, licenses, ngram_join, pii, quality, sharding, token_counts, warc
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -16,6 +16,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths by language with its suffix sums: one row per language and length."""
     docs = table(spark, sf_dir, "documents")
@@ -27,6 +31,12 @@ def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 16)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices in documents with their wording differences as text."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "start", "end", F.array_join("missing", " ").alias("missing"), F.array_join("added", " ").alias("added"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest columns of every record read back from the archives."""
     return warc.through_archives(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
@@ -50,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_token_counts, op4_sampled_splitters, op6_warc, op7_ngram_join, op8_decontaminate, op9_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_hnsw, op3_token_counts, op4_sampled_splitters, op5_licenses, op6_warc, op7_ngram_join, op8_decontaminate, op9_byte_bpe, op10_pii)}
 
 #: Word shingles as the join reads them, and the smallest id that links reach.
 JACCARD_SQL = r"""
@@ -86,4 +96,15 @@ got as (select doc_id, item_id, count(*) filter (part = 'q') as fq, count(*) fil
 select doc_id, item_id, nq as question_shingles, fq as question_found, na as answer_shingles, fa as answer_found
 from got join need using (item_id) where 100 * (fq + fa) >= 75 * (nq + na)"""
 
-ORACLE_SQL: dict[str, str] = {"op7_ngram_join": JACCARD_SQL, "op8_decontaminate": OVERLAP_SQL}
+#: All pairs by cosine in double precision, and the smallest id that links reach.
+COSINE_SQL = """
+with recursive v as (select vec_id, embedding::double[] as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.x, b.x) >= 0.95),
+r as (select a as node, b as reach from e union select r.node, e.b from r join e on e.a = r.reach),
+n as (select a, count(*) as n from e group by a),
+c as (select node, min(reach) as low from r group by node)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(low, vec_id)) as component_id, vec_id <= coalesce(low, vec_id) as kept
+from embeddings left join n on a = vec_id left join c on node = vec_id"""
+
+ORACLE_SQL: dict[str, str] = {"op2_hnsw": COSINE_SQL, "op7_ngram_join": JACCARD_SQL, "op8_decontaminate": OVERLAP_SQL}
