@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of rows of a string column: first row, bytes, offsets of the rows in them. Nulls are empty.
 
     A run holds about ``most`` bytes, or one longer text whole.
