@@ -537,14 +537,25 @@ def run_rules(parsed: DataFrame, only: list[str] | None = None) -> DataFrame:
     return pages
 
 
+def _rows(audited: DataFrame, array: str, place: str) -> DataFrame:
+    """Items of an array with their places. The outer form, since the plain one makes the optimizer ask for non-empty arrays
+    first, which would write every earlier rule into that condition again and again."""
+    return audited.select("page_id", F.posexplode_outer(array).alias(place, "e")).where("e is not null")
+
+
+def counts(audited: DataFrame) -> DataFrame:
+    """``(page_id, rule_id, n)``: what each rule changed on a page."""
+    return _rows(audited, "counts", "seq").select("page_id", "e.*")
+
+
 def audit_report(audited: DataFrame) -> DataFrame:
     """One row per report entry: ``(page_id, seq, rule_id, code, level, kind, count, msg, pack_id)``."""
-    return audited.select("page_id", F.posexplode("report").alias("seq", "e")).select("page_id", "seq", "e.*")
+    return _rows(audited, "report", "seq").select("page_id", "seq", "e.*")
 
 
 def changes(audited: DataFrame) -> DataFrame:
     """One row per proposed change: ``(page_id, stage, node_id, rule_id, code, attr, old, new, pack_id)``."""
-    return audited.select("page_id", F.posexplode("changes").alias("stage", "c")).select("page_id", "stage", "c.*")
+    return _rows(audited, "changes", "stage").select("page_id", "stage", "e.*")
 
 
 def undo_changes(audited: DataFrame) -> DataFrame:
@@ -561,7 +572,7 @@ def undo_changes(audited: DataFrame) -> DataFrame:
 
 def touched_elements(audited: DataFrame) -> DataFrame:
     """``(page_id, node_id, codes, needs_content)`` of the elements that some rule marked."""
-    rows = audited.select("page_id", F.explode("nodes").alias("n")).where(has_attr(F.col("n"), MARK))
+    rows = _rows(audited, "nodes", "seq").withColumnRenamed("e", "n").where(has_attr(F.col("n"), MARK))
     codes = F.array_sort(F.split(attr(F.col("n"), MARK), " "))
     need = has_attr(F.col("n"), "data-needs-alt") | has_attr(F.col("n"), "data-needs-label") | F.exists(codes, lambda c: c.isin("ACC2", "ACC3", "COM3"))
     return rows.select("page_id", F.col("n.id").alias("node_id"), codes.alias("codes"), need.alias("needs_content"))
