@@ -29,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Edges that a task of a round holds, about; a small graph needs no more tasks than its edges fill.
+EDGES_PER_TASK = 50_000
+
+
+def _state(e: DataFrame) -> tuple:
+    """Number of edges and a sum over them that changes when they do."""
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node that has an edge to another.
 
@@ -39,18 +48,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a is not null and b is not null and a <> b")
     e = cut(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    before, now = None, _state(e)
+    while now != before:
+        tasks = -(-now[0] // EDGES_PER_TASK) or 1
+        few = lambda df: df.coalesce(tasks)  # noqa: B023, E731
+        e = few(e)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = few(both.join(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = few(large.where("u <> v").distinct())
+        down = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(down, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = cut(few(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct()))
+        before, now = now, _state(e)
     tops = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(tops)
