@@ -46,6 +46,8 @@ TRIGGER = r"licen[sc]|copyright|permission|redistribut|released under|public dom
 NAMING = re.compile(r"v?\d+(\.\d+)*|mit|bsd|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|isc|cc|by|sa|nc|nd|cc0|commons|attribution\w*|noncommercial|sharealike|noderiv\w*|not|no")
 #: Share of a template's compressed bytes that it must save, templates held against a block, share of words that may differ.
 LEAST_SAVED, TRIED, MOST_DIFFERENT = 0.3, 6, 0.15
+#: Follows a block, since Zstandard looks for no matches in the last bytes of its input.
+PAD = b"\n" * 16
 WORD = re.compile(r"\w+(?:\.\w+)*")
 
 
@@ -64,12 +66,20 @@ class Scanner:
         empty = len(self.alone.compress(b""))
         self.size = {k: len(self.alone.compress(t)) - empty for k, t in folded.items()}
 
-    def rank(self, block: list[str]) -> list[tuple[float, str]]:
-        """Templates by the bytes they save on the block, as a share of their own; best first."""
-        raw = " ".join(block).encode()
-        whole = len(self.alone.compress(raw))
-        saved = [((whole - len(c.compress(raw))), k) for k, c in self.given.items()]
-        return sorted(((s / self.size[k], k) for s, k in saved if s >= LEAST_SAVED * self.size[k]), reverse=True)
+    def rank(self, block: list[str], at: int) -> list[tuple[float, str]]:
+        """Templates by the bytes they save on the block, as a share of their own; best first. Of the block each template
+        gets as many words on either side of the trigger as it has itself, so that other text doesn't drown a short one."""
+        ranked, alone = [], {}
+        for name, given in self.given.items():
+            reach = len(self.words[name]) + 3
+            low, high = max(0, at - reach), at + reach
+            raw = " ".join(block[low:high]).encode() + PAD
+            if (low, high) not in alone:
+                alone[low, high] = len(self.alone.compress(raw))
+            saved = (alone[low, high] - len(given.compress(raw))) / self.size[name]
+            if saved >= LEAST_SAVED:
+                ranked.append((saved, name))
+        return sorted(ranked, reverse=True)
 
     def differences(self, name: str, block: list[str]) -> tuple[int, int, list[str], list[str]] | None:
         """Where the template fits best: first word, end, words missing and words added. A run of words is tried at each
@@ -112,7 +122,7 @@ class Scanner:
             part = words[first : low + self.reach]
             block = [w for w, _, _ in part]
             fits = []
-            for saved, name in self.rank(block)[:TRIED]:
+            for saved, name in self.rank(block, low - first)[:TRIED]:
                 d = self.differences(name, block)
                 if d is None or not d[0] <= low - first < d[1]:
                     continue

@@ -14,7 +14,7 @@ SAMPLE_KEYS = 8192
 #: Ranges that a shard's bytes are dealt over.
 RANGES_PER_SHARD = 32
 #: Equal texts stay together up to this share of a shard's bytes.
-WHOLE_SHARE = 0.01
+WHOLE_SHARE = 0.02
 
 
 def _draw(rows: DataFrame, total: int, keys: int) -> list[tuple[int, int]]:
