@@ -46,6 +46,8 @@ TRIGGER = r"licen[sc]|copyright|permission|redistribut|released under|public dom
 NAMING = re.compile(r"v?\d+(\.\d+)*|mit|bsd|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|isc|cc|by|sa|nc|nd|cc0|commons|attribution\w*|noncommercial|sharealike|noderiv\w*|not|no")
 #: Share of a template's compressed bytes that it must save, templates held against a block, share of words that may differ.
 LEAST_SAVED, TRIED, MOST_DIFFERENT = 0.3, 6, 0.15
+#: The level at which short matches are found wherever they lie.
+LEVEL = 19
 #: Follows a block, since Zstandard looks for no matches in the last bytes of its input.
 PAD = b"\n" * 16
 WORD = re.compile(r"\w+(?:\.\w+)*")
@@ -60,9 +62,9 @@ class Scanner:
         self.words = {k: [w for w, _, _ in words_of(t)] for k, t in templates.items()}
         self.reach = max(map(len, self.words.values())) + 20
         self.trigger = re.compile(TRIGGER, re.I)
-        self.alone = zstandard.ZstdCompressor(level=9)
+        self.alone = zstandard.ZstdCompressor(level=LEVEL)
         folded = {k: " ".join(w).encode() for k, w in self.words.items()}
-        self.given = {k: zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in folded.items()}
+        self.given = {k: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(PAD * 4 + t + PAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in folded.items()}
         empty = len(self.alone.compress(b""))
         self.size = {k: len(self.alone.compress(t)) - empty for k, t in folded.items()}
 
