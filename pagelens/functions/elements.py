@@ -89,16 +89,16 @@ def selector(text: str, nodes: str | Column = "nodes") -> Test:
 
     def one(chain: str) -> Test:
         steps = re.findall(r">|(?:\[[^\]]*\]|:not\([^)]*\)|[^\s>\[])+", chain.strip())
+        last, rest = simple(steps[-1] if steps else ""), steps[:-1]
+        parent = bool(rest) and rest[-1] == ">"
+        above = one(" ".join(rest[:-1] if parent else rest)) if rest else None
 
         def test(x: Column) -> Column:
-            out, rest = simple(steps[-1])(x), steps[:-1]
-            if rest and rest[-1] == ">":
-                above = one(" ".join(rest[:-1]))
-                return out & F.exists(nodes, lambda y: (y["id"] == x["parent"]) & above(y))
-            if rest:
-                above = one(" ".join(rest))
-                return out & F.exists(nodes, lambda y: (y["id"] < x["id"]) & (y["end"] >= x["id"]) & above(y))
-            return out
+            if above is None:
+                return last(x)
+            if parent:
+                return last(x) & F.exists(nodes, lambda y: (y["id"] == x["parent"]) & above(y))
+            return last(x) & F.exists(nodes, lambda y: (y["id"] < x["id"]) & (y["end"] >= x["id"]) & above(y))
 
         return test
 
