@@ -111,7 +111,7 @@ _SQL = {
     "library_names": "select dl_url, arg_min(dl_name, (created_at, assessment_id)) as dl_name from fetched group by dl_url",
     "library_options": "select distinct on (dl_url) dl_url, dl_name from (select * from assessment order by created_at desc, id limit 500) order by dl_url, created_at desc, id",
     "weakest_situations": f"select * from ({_BY_SITUATION.format('')}) order by avg_score, code, level limit 8",
-    "export_compliance": f"select code, level, printf('%.3f', coalesce(avg_score, 0)) as avg_score, n from ({_BY_CODE})",
+    "export_compliance": f"select code, level, printf('%.3f', round(coalesce(avg_score, 0), 3)) as avg_score, n from ({_BY_CODE})",
     "violations_per_situation": f"with x as (select 1), {_VIOLATIONS} select page_id, situation, msg, count::bigint as count, kind from vio",
     "good_techniques_per_situation": f"with x as (select 1), {_TOKENS}, {_GOODS} select page_id, situation, msg, count::bigint as count from goo",
     "scorecard": f"with x as (select 1), {_CARD} select page_id, code, level, violations, good, case when good + violations > 0 then greatest(1, least(7, floor(1 + 6 * good / (good + violations) + 0.5)))::double end as auto_score, violations_note, good_note from card",
