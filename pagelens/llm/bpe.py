@@ -13,8 +13,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose ids a worker keeps; others are encoded again in each batch.
-KEPT_PIECES = 700_000
+from .words import tidy
+
+#: Pieces whose ids a task keeps; others are encoded again in each run of texts.
+KEPT_PIECES = 400_000
 #: Characters of text worked on at a time, so that lists of pieces stay small; a longer text is taken in parts.
 RUN_CHARS = 2_000_000
 
@@ -132,6 +134,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer_for(ranks_path, pattern)
+        t.known = {}
         for b in batches:
             for rows in _row_runs(b):
                 texts = [x or "" for x in rows.column(1).to_pylist()]
@@ -141,8 +144,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                     spans = [[{"start": a, "end": z} for a, z in t.offsets(s, x)] for s, x in zip(texts, ids)]
                     cols.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "ids", "offsets"][: len(cols)])
+        t.known = {}
 
-    return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -157,7 +161,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             text = pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), text], names=[id_col, "decoded", "text"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, decoded binary, text string")
+    return df.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, decoded binary, text string")
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,6 +173,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer_for(ranks_path, pattern)
+        t.known = {}
         for b in batches:
             for rows in _row_runs(b):
                 n, of_ids, of_bytes = [], [], []
@@ -178,8 +183,9 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
                     of_ids.append(hashlib.sha256(raw).hexdigest())
                     of_bytes.append(hashlib.sha256(t.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        t.known = {}
 
-    return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _row_runs(batch: pa.RecordBatch, most: int = 1000) -> Iterator[pa.RecordBatch]:

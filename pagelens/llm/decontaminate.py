@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import NOT_WORD, shingle_numbers, text_slices, word_numbers
+from .words import NOT_WORD, shingle_numbers, text_slices, tidy, word_numbers
 
 K1, B = 1.2, 0.75
 #: Half a passage; passages begin every so many words and overlap by half.
@@ -231,7 +231,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], threshold: float, share
                     cols = [b.column(0).take(pa.array(c[0])), ids.take(pa.array(c[1])), pa.array(c[2], pa.float64()), *(pa.array(x, pa.int64()) for x in c[3:])]
                     yield pa.RecordBatch.from_arrays(cols, names=[id_col, item_col, "score", "question_shingles", "question_found", "answer_shingles", "answer_found"])
 
-    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .words import BLANK, text_slices
+from .words import text_slices, tidy
 
 # Classes of bytes that features are shares of.
 _CLASSES = {
@@ -59,7 +59,7 @@ def document_bins(docs: DataFrame, id_col: str, text_col: str, host: Column, pat
                 yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array(list(bins.astype(np.int8)), pa.list_(pa.int8()))], names=["id", "host", "path", "bins"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, host string, path string, bins array<tinyint>")
+    return docs.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.col(text_col).alias("t")).mapInArrow(tidy(run), f"id {kind}, host string, path string, bins array<tinyint>")
 
 
 def fit_evidence(bins: DataFrame, labels: DataFrame) -> tuple[list[list[float]], float]:

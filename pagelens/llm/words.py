@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,22 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving freed memory back to the system when a task ends; a worker process serves many tasks in turn and
+    would hold the most that any of them took."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -39,23 +56,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = 1 << 20, rows: int = 500) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of rows of a string column: first row, bytes, offsets of the rows in them. Nulls are empty.
 
     A run holds about ``most`` bytes, or one longer text whole.
     """
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-    column = column.fill_null("").cast(pa.large_string())
-    if not len(column):
-        return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
+    for base in range(0, len(column), rows):  # copies are made of few rows at a time
+        part = column.slice(base, rows).fill_null("").cast(pa.large_string())
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(part):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            yield base + at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            at = to
 
 
 def word_numbers(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
