@@ -39,7 +39,23 @@ TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "proprietary": "All rights reserved. No part of this publication may be reproduced without prior written permission.",
+    "proprietary-notice": "All rights reserved.",
 }
+# Names that stand behind "Licensed under" and "Released under" in short notices.
+SHORT = {
+    "Apache-2.0": "the Apache License, Version 2.0",
+    "BSD": "the BSD License",
+    "CC-BY-4.0": "CC BY 4.0",
+    "CC-BY-NC-4.0": "CC BY-NC 4.0",
+    "CC-BY-SA-4.0": "CC BY-SA 4.0",
+    "CC0-1.0": "CC0 1.0",
+    "GPL-2.0": "the GNU General Public License, version 2",
+    "GPL-3.0": "the GNU General Public License, version 3",
+    "ISC": "the ISC License",
+    "MIT": "the MIT License",
+    "MPL-2.0": "the Mozilla Public License, Version 2.0",
+}
+TEMPLATES |= {f"{k}-{verb.lower()}": t for k, v in SHORT.items() for verb in ("Licensed", "Released") if (t := f"{verb} under {v}.") not in TEMPLATES.values()}
 #: Words that candidate blocks are found by.
 TRIGGER = r"licen[sc]|copyright|permission|redistribut|released under|public domain|free software|all rights reserved"
 #: Words that name a license: a difference in one of them is another license.

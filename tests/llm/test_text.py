@@ -153,3 +153,22 @@ def test_corpus_notices(spark, data):
     lines = {licenses.TEMPLATES[k]: k for k in ("MIT-notice", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0")}
     want = Counter((r.doc_id, k) for r in docs.collect() for line, k in lines.items() for _ in range(r.text.count(line)))
     assert Counter((r.doc_id, r.license) for r in licenses.scan(docs).collect()) == want
+
+
+def test_short_notices(spark):
+    """Each template stands for itself, alone and with other text around it; short forms that it lacked too."""
+    lines = {k: t for k, t in licenses.TEMPLATES.items() if len(t.split()) < 13}
+    texts = ["All rights reserved.", "Licensed under the MIT License.", "Released under the Apache License, Version 2.0.", *lines.values()]
+    want = ["proprietary-notice", "MIT-licensed", "Apache-2.0-released", *lines]
+    around = "Some words of prose that go before it, as they do in most documents.\n{}\nAnd then the text goes on with other words about birds and rivers."
+    rows = [(i, x) for i, t in enumerate(texts) for x in (t, around.format(t))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.license) for r in got.collect()) == Counter({(i, k): 2 for i, k in enumerate(want)})
+
+
+def test_corpus_notices_of_all_five_lines(spark, data):
+    """Every planted line is found, the reserved rights too, and nothing else."""
+    docs = spark.read.parquet(f"{data}/sf0.01/documents.parquet")
+    lines = {licenses.TEMPLATES[k]: k for k in ("MIT-notice", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0")} | {"All rights reserved.": "proprietary-notice"}
+    want = Counter((r.doc_id, k) for r in docs.collect() for line, k in lines.items() for _ in range(r.text.count(line)))
+    assert Counter((r.doc_id, r.license) for r in licenses.scan(docs).collect()) == want
