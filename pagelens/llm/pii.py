@@ -1,8 +1,9 @@
 """Personal data in texts, and terms that give it away, by DataFrame functions alone.
 
-Base spans are found by patterns. Beyond them, the corpus says how strongly a term reveals an entity: a term near one
-entity in several different surroundings, that occurs in hardly any document without it, discloses the entity although
-the entity itself is masked. Such terms, where they stand near the entity, become spans of the kind ``term``.
+Base spans are found by patterns. Beyond them, the corpus says how strongly a term reveals an entity: a term that the
+documents with an entity use, in several different surroundings, and hardly any document without it, discloses the entity
+although the entity itself is masked. Each use of such a term in a document with the entity becomes a span of the kind
+``term``, wherever it stands.
 """
 
 from __future__ import annotations
@@ -16,15 +17,13 @@ from .common import cut
 KINDS = ("email", "ip", "card", "phone")
 # Stands for a mark that joins two characters of a match, and what stands for that character itself.
 _JOINED, _OTHER = "", ""
-#: Characters before and after an entity in which terms count as near it.
-NEAR = 120
-#: Different surroundings of an entity that must hold a term.
-LEAST_SURROUNDINGS = 2
-#: Share of the documents with a term that must have it near the entity.
+#: Share of the documents with a term that must have the entity.
 LEAST_SHARE = 0.5
 #: Bits by which the term must raise the chance of the entity.
 LEAST_BITS = 4.0
-TERM = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{M}\p{N}]+"
+#: Texts are searched for terms in pieces that end where no term goes on; pieces cover a text without gaps.
+PIECE = r"[\s\S]{1,200}[\p{L}\p{M}\p{N}]*+"
 
 
 def _matches(text: Column, pattern: str, valid) -> Column:
@@ -86,9 +85,14 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind == "email", F.lower(F.translate(value, _JOINED, "."))).otherwise(F.regexp_replace(value, "[^0-9.]", "")))
 
 
+def _words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+
+
 def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, mark, base array<struct<kind, k, s, e, entity>>, near array<struct<entity, from, words>>)`` of every row.
-    ``mark`` tells texts of one id apart; ``near`` holds what stands before and after each entity, with its place."""
+    """``(id, mark, base array<struct<kind, k, s, e, entity>>, rest, hidden array<string>)`` of every row.
+    ``mark`` tells texts apart. Where there are entities, ``rest`` is the text with blanks in their place, and ``hidden``
+    holds the words that stand within entities only; elsewhere both are null."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     got = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("mark")).select("*", *[c.alias(k) for k, c in base_spans(F.col("t")).items()])
 
@@ -98,34 +102,50 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     each = [named(i, k) for i, k in enumerate(KINDS)]
     got = got.select("id", "mark", "t", F.concat(*each).alias("base"))
 
-    near = F.expr(f"""flatten(transform(base, x -> array(
-        named_struct('entity', x.entity, 'from', greatest(x.s - {NEAR}, 0), 'words', substring(t, greatest(x.s - {NEAR}, 0) + 1, least(x.s, {NEAR}))),
-        named_struct('entity', x.entity, 'from', x.e, 'words', substring(t, x.e + 1, {NEAR})))))""")
-    return got.select("id", "mark", "base", near.alias("near"))
+    rest = F.expr("""aggregate(array_sort(transform(base, x -> named_struct('s', x.s, 'e', x.e))), named_struct('at', 0, 'out', ''),
+        (a, x) -> named_struct('at', greatest(a.at, x.e), 'out', concat(a.out, substring(t, a.at + 1, greatest(x.s - a.at, 0)), repeat(' ', greatest(x.e - greatest(x.s, a.at), 0)))),
+        a -> concat(a.out, substring(t, a.at + 1, length(t))))""")
+    got = got.withColumn("rest", F.when(F.size("base") > 0, rest))
+    hidden = F.when(F.size("base") > 0, F.array_except(_words(F.col("t")), _words(F.col("rest"))))
+    return got.select("id", "mark", "base", "rest", hidden.alias("hidden"))
+
+
+def _places(text: Column) -> Column:
+    """Terms of a text with their places, lower-cased."""
+    every = lambda v: F.lit(True)
+    within = lambda p: F.transform(_matches(p["v"], TERM, every), lambda x: F.struct((p["s"] + x["s"]).alias("s"), (p["s"] + x["e"]).alias("e"), F.lower(x["v"]).alias("term")))
+    return F.flatten(F.transform(_matches(text, PIECE, every), within))
 
 
-def _places(words: Column) -> Column:
-    """Terms of a surrounding with their places, lower-cased."""
-    return F.transform(_matches(words, TERM, lambda v: F.lit(True)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["v"]).alias("term")))
+def _texts(base: DataFrame) -> DataFrame:
+    """``(mark, rest, hidden, entities, n)`` of the different texts that hold entities, each in ``n`` rows."""
+    some = base.where(F.size("base") > 0).select("mark", "rest", "hidden", F.array_distinct(F.transform("base", lambda x: x["entity"])).alias("entities"))
+    return some.groupBy("mark").agg(*[F.first(c).alias(c) for c in ("rest", "hidden", "entities")], F.count("*").alias("n"))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, text_col: str = "text") -> DataFrame:
+def disclosing_terms(docs: DataFrame, texts: DataFrame, total: int, text_col: str = "text") -> DataFrame:
     """``(entity, term, share, bits)`` of the terms that give an entity away.
 
-    Over all documents: ``share`` is how many of those with the term have it near the entity; ``bits`` is the pointwise
-    mutual information of the two in documents. A pair needs LEAST_SURROUNDINGS different surroundings, so copies of one
-    text prove nothing.
+    Over all ``total`` documents, whole texts without what is masked: ``share`` is how many of those with the term have
+    the entity; ``bits`` is the pointwise mutual information of the two. The words next to a term are its surroundings;
+    of the documents with the entity a pair needs two different ones, in one text or in several, so that a single use or
+    copies of one text prove nothing. Pairs are made only of what can still pass: a term in at most as many documents as
+    the entity's allow, an entity in few enough for LEAST_BITS.
     """
-    near = base.where(F.size("near") > 0).select("id", "mark", F.explode("near").alias("w")).select("id", "mark", "w.entity", F.xxhash64("w.words").alias("place"), F.explode(F.array_distinct(F.transform(_places(F.col("w.words")), lambda x: x["term"]))).alias("term"))
-    # one row for each surrounding first, so that a hot entity's rows are added up before they meet
-    once = near.groupBy("entity", "term", "place").agg(F.count_distinct("id", "mark").alias("docs"))
-    pairs = once.groupBy("entity", "term").agg(F.count("*").alias("surroundings"), F.sum("docs").alias("together")).where(F.col("surroundings") >= LEAST_SURROUNDINGS)
-    entities = base.select("id", "mark", F.explode(F.array_distinct(F.transform("base", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    pairs = cut(pairs.join(entities, "entity"))
-    total = base.count()
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))
-    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    scored = pairs.join(counts, "term").withColumn("share", F.least(F.col("together") / F.col("with_term"), F.lit(1.0)))
+    entities = texts.select("mark", "n", F.explode("entities").alias("entity"))
+    known = cut(entities.groupBy("entity").agg(F.sum("n").alias("with_entity")).where(F.col("with_entity") * F.lit(2.0**LEAST_BITS) <= F.lit(float(total))))
+    most = (known.agg(F.max("with_entity")).first()[0] or 0) / LEAST_SHARE
+    words = texts.select("mark", "n", _words(F.col("rest")).alias("w"))
+    used = words.select("mark", "n", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.get("w", i - 1), F.get("w", i + 1)).alias("place")))).alias("x"))
+    used = used.groupBy("mark", "n", F.col("x.term").alias("term")).agg(F.min("x.place").alias("low"), F.max("x.place").alias("high"))
+    every = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"), F.lit(1).cast("long").alias("c"))
+    hidden = texts.select(F.explode("hidden").alias("term"), (-F.col("n")).alias("c"))
+    counts = every.unionByName(hidden).groupBy("term").agg(F.sum("c").alias("with_term")).where(F.col("with_term") <= most)
+    again = used.groupBy("term").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("term")
+    rare = used.join(cut(counts.join(again, "term")), "term")
+    pairs = rare.join(entities.select("mark", "entity").join(known, "entity"), "mark").where(F.col("with_term") * F.lit(LEAST_SHARE) <= F.col("with_entity"))
+    pairs = pairs.groupBy("entity", "term").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("together"), F.first("with_term").alias("with_term"), F.first("with_entity").alias("with_entity"))
+    scored = pairs.where("low <> high").withColumn("share", F.col("together") / F.col("with_term"))
     bits = F.log2(F.col("share") * F.lit(float(max(total, 1))) / F.col("with_entity"))
     return scored.withColumn("bits", bits).where((F.col("share") >= LEAST_SHARE) & (F.col("bits") >= LEAST_BITS)).select("entity", "term", "share", "bits")
 
@@ -133,14 +153,12 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, text_col: str = "text") -
 def _with_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, mark, base, terms array<struct<s, e>>)`` of every row."""
     base = cut(find_base(docs, id_col, text_col))
-    given = disclosing_terms(docs, base, text_col)
-    near = base.where(F.size("near") > 0).select("id", "mark", F.explode("near").alias("w")).select("id", "mark", "w.entity", "w.from", F.explode(_places(F.col("w.words"))).alias("x"))
-    hits = near.select("id", "mark", "entity", F.col("x.term").alias("term"), (F.col("from") + F.col("x.s")).alias("s"), (F.col("from") + F.col("x.e")).alias("e")).join(given.select("entity", "term"), ["entity", "term"])
-    terms = hits.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
-    both = base.alias("b").join(terms.alias("t"), F.col("b.id").eqNullSafe(F.col("t.id")) & (F.col("b.mark") == F.col("t.mark")), "left")
-    # a term inside a base span, or cut by the end of its surrounding, adds nothing of its own
-    free = F.filter(F.coalesce("terms", F.array().cast("array<struct<s:int,e:int>>")), lambda x: ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    return both.select("b.id", "b.mark", "base", free.alias("terms"))
+    texts = cut(_texts(base))
+    given = disclosing_terms(docs, texts, base.count(), text_col)
+    said = texts.select("mark", F.explode("entities").alias("entity")).join(given.select("entity", "term"), "entity").groupBy("mark").agg(F.collect_set("term").alias("said"))
+    hits = F.transform(F.filter(_places(F.col("rest")), lambda x: F.array_contains("said", x["term"])), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    terms = texts.join(said, "mark").select("mark", hits.alias("terms"))
+    return base.join(terms, "mark", "left").select("id", "mark", "base", F.coalesce("terms", F.array().cast("array<struct<s:int,e:int>>")).alias("terms"))
 
 
 def _listed(spans: Column, kind) -> Column:

@@ -68,6 +68,21 @@ def test_disclosing_term(spark):
     assert clean[100] == "ask [TERM] [TERM] [EMAIL] today" and clean[5] == rows[5][1] and clean[200] == "copy with Quokka at [EMAIL]"
 
 
+def test_terms_of_whole_texts(spark):
+    """Terms far from the entity, short ones and such with digits, and those of an entity that occurs once."""
+    far = "plain words stand here and more of them " * 20
+    rows = [(i, f"plain number {i} words stand here and more of them") for i in range(60)]
+    rows += [(100, f"Ask Zog B52 now, {far} me@x.org {far} then Zog left"), (101, f"me@x.org {far} so the B52 of Zog flew"), (102, "plain Zog")]
+    rows += [(200, f"Yonder Quokka sat. {far} you@y.org {far} See that quokka run."), (201, "Once Wombat one@z.org"), (202, "Once Wombat one@z.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[100] == f"Ask [TERM] [TERM] now, {far} [EMAIL] {far} then [TERM] left" and clean[101] == f"[EMAIL] {far} so the [TERM] of [TERM] flew"
+    assert clean[200] == f"Yonder [TERM] sat. {far} [EMAIL] {far} See that [TERM] run." and clean[201] == "Once Wombat [EMAIL]" and clean[102] == "plain Zog"
+    for r in pii.find(docs).collect():
+        marks = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term")]
+        assert {dict(rows)[r.doc_id][s:e].lower() for s, e in marks} == {100: {"zog", "b52"}, 101: {"zog", "b52"}, 200: {"quokka"}}.get(r.doc_id, set())
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(empty).count() == 0 and pii.sanitise(empty).count() == 0
