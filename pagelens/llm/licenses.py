@@ -3,7 +3,7 @@
 A candidate block is the text around a word that notices use. It is compressed alone and with each template as raw
 Zstandard dictionary; the bytes that the template saves, as a share of what the template itself compresses to, rank the
 templates. The best are then held against the block word by word, and the one with the fewest differences is reported
-with its exact wording differences, if they are few and none of them touches the words that name the license.
+with its exact wording differences, if they are few and none of them is where the template names the license or version.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ SHORT = {
 TEMPLATES |= {f"{k}-{verb.lower()}": t for k, v in SHORT.items() for verb in ("Licensed", "Released") if (t := f"{verb} under {v}.") not in TEMPLATES.values()}
 #: Words that candidate blocks are found by.
 TRIGGER = r"licen[sc]|copyright|permission|redistribut|released under|public domain|free software|all rights reserved"
-#: Words that name a license: a difference in one of them is another license.
+#: Words that name a license: where a template names one, a difference in them is another license.
 NAMING = re.compile(r"v?\d+(\.\d+)*|mit|bsd|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|isc|cc|by|sa|nc|nd|cc0|commons|attribution\w*|noncommercial|sharealike|noderiv\w*|not|no")
 #: Share of a template's compressed bytes that it must save, templates held against a block, share of words that may differ.
 LEAST_SAVED, TRIED, MOST_DIFFERENT = 0.3, 6, 0.15
@@ -67,15 +67,39 @@ LEVEL = 19
 #: Follows a block, since Zstandard looks for no matches in the last bytes of its input.
 PAD = b"\n" * 16
 WORD = re.compile(r"\w+(?:\.\w+)*")
+#: Words of NAMING that name a license only next to others; in prose they are common.
+COMMON = {"by", "sa", "nc", "nd", "not", "no"}
 
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), *m.span()) for m in WORD.finditer(text)]
 
 
+def naming_places(words: list[str]) -> set[int]:
+    """Places of the words by which a template names its license and version."""
+    at = {i for i, w in enumerate(words) if NAMING.fullmatch(w) and w not in COMMON}
+    for i, w in enumerate(words):
+        if w in COMMON - {"not", "no"} and i - 1 in at and words[i - 1] in COMMON | {"cc"}:
+            at.add(i)
+    return at
+
+
+def renames(want: list[str], named: set[int], got: list[str], match: list) -> bool:
+    """Whether words between the matches change the license or version: a naming word is lacking, or one is put before
+    another or, unless it is a number, behind it."""
+    for m, n in zip(match, match[1:]):
+        if any(i in named for i in range(m.a + m.size, n.a)):
+            return True
+        put = [w for w in got[m.b + m.size : n.b] if NAMING.fullmatch(w)]
+        if put and n.a in named or m.a + m.size - 1 in named and any(not w[-1].isdigit() for w in put):
+            return True
+    return any(i in named for i in (*range(match[0].a), *range(match[-1].a + match[-1].size, len(want))))
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.words = {k: [w for w, _, _ in words_of(t)] for k, t in templates.items()}
+        self.named = {k: naming_places(w) for k, w in self.words.items()}
         self.reach = max(map(len, self.words.values())) + 20
         self.trigger = re.compile(TRIGGER, re.I)
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
@@ -99,8 +123,9 @@ class Scanner:
                 ranked.append((saved, name))
         return sorted(ranked, reverse=True)
 
-    def differences(self, name: str, block: list[str]) -> tuple[int, int, list[str], list[str]] | None:
-        """Where the template fits best: first word, end, words missing and words added. A run of words is tried at each
+    def differences(self, name: str, block: list[str]) -> tuple[int, int, list[str], list[str], bool] | None:
+        """Where the template fits best: first word, end, words missing and words added, and
+        whether they name another license. A run of words is tried at each
         place that any word of the template's rarest lies."""
         want = self.words[name]
         places: dict[int, int] = {}
@@ -120,7 +145,7 @@ class Scanner:
             used = {low + j for m in match for j in range(m.b, m.b + m.size)}
             missing, added = [w for i, w in enumerate(want) if i not in held], [block[j] for j in range(a, z) if j not in used]
             if best is None or len(missing) + len(added) < len(best[2]) + len(best[3]):
-                best = (a, z, missing, added)
+                best = (a, z, missing, added, renames(want, self.named[name], block[low:high], match))
         return best
 
     def scan(self, text: str) -> list[tuple]:
@@ -145,10 +170,10 @@ class Scanner:
                 if d is None or not d[0] <= low - first < d[1]:
                     continue
                 wrong = len(d[2]) + len(d[3])
-                if wrong <= MOST_DIFFERENT * len(self.words[name]) and not any(NAMING.fullmatch(w) for w in d[2] + d[3]):
+                if wrong <= MOST_DIFFERENT * len(self.words[name]) and not d[4]:
                     fits.append((wrong - len(self.words[name]), name, saved, d))
             if fits:
-                _, name, saved, (a, z, missing, added) = min(fits)
+                _, name, saved, (a, z, missing, added, _) = min(fits)
                 end = part[z - 1][2]
                 found.append((name, part[a][1], end, saved, missing, added))
                 after = end

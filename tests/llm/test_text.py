@@ -172,3 +172,13 @@ def test_corpus_notices_of_all_five_lines(spark, data):
     lines = {licenses.TEMPLATES[k]: k for k in ("MIT-notice", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0")} | {"All rights reserved.": "proprietary-notice"}
     want = Counter((r.doc_id, k) for r in docs.collect() for line, k in lines.items() for _ in range(r.text.count(line)))
     assert Counter((r.doc_id, r.license) for r in licenses.scan(docs).collect()) == want
+
+
+def test_numbers_and_common_words_in_notices(spark):
+    """Numbers of clauses, lines and pages are differences of wording; other names and versions are other licenses."""
+    t = licenses.TEMPLATES
+    bsd = t["BSD-3-Clause"].replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in").replace("Neither", "3. Neither")
+    texts = [bsd, t["MIT"].replace("subject to", "17 subject to"), t["Apache-2.0-header"].replace("required by", "required"), t["GPL-3.0-header"].replace("GNU General", "GNU Lesser General"), t["GPL-3.0-header"].replace("version 3", "version 2")]
+    texts += ["Licensed under CC BY-ND 4.0.", "Licensed under CC BY 3.0.", t["CC-BY-4.0-work"].replace("Attribution", "Attribution-NoDerivatives")]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.missing, r.added) for r in got) == [(0, "BSD-3-Clause", [], ["1", "2", "3"]), (1, "MIT", [], ["17"]), (2, "Apache-2.0-header", ["by"], [])]
