@@ -2,7 +2,7 @@
 
 A candidate block is the text around a word that notices use. It is compressed alone and with each template as raw
 Zstandard dictionary; the bytes that the template saves, as a share of what the template itself compresses to, rank the
-templates. The best are then held against the block word by word, and the one with the fewest differences is reported
+templates. All that save enough are then held against the block word by word, and the one with the fewest differences is reported
 with its exact wording differences, if they are few and none of them is where the template names the license or version.
 """
 
@@ -60,8 +60,8 @@ TEMPLATES |= {f"{k}-{verb.lower()}": t for k, v in SHORT.items() for verb in ("L
 TRIGGER = r"licen[sc]|copyright|permission|redistribut|released under|public domain|free software|all rights reserved"
 #: Words that name a license: where a template names one, a difference in them is another license.
 NAMING = re.compile(r"v?\d+(\.\d+)*|mit|bsd|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|isc|cc|by|sa|nc|nd|cc0|commons|attribution\w*|noncommercial|sharealike|noderiv\w*|not|no")
-#: Share of a template's compressed bytes that it must save, templates held against a block, share of words that may differ.
-LEAST_SAVED, TRIED, MOST_DIFFERENT = 0.3, 6, 0.15
+#: Share of a template's compressed bytes that it must save, share of words that may differ.
+LEAST_SAVED, MOST_DIFFERENT = 0.3, 0.15
 #: The level at which short matches are found wherever they lie.
 LEVEL = 19
 #: Follows a block, since Zstandard looks for no matches in the last bytes of its input.
@@ -126,15 +126,20 @@ class Scanner:
     def differences(self, name: str, block: list[str]) -> tuple[int, int, list[str], list[str], bool] | None:
         """Where the template fits best: first word, end, words missing and words added, and
         whether they name another license. A run of words is tried at each
-        place that any word of the template's rarest lies."""
+        place whose votes
+        can still mean few enough differences: so many words at most don't vote, and part the others' votes into one run more."""
         want = self.words[name]
         places: dict[int, int] = {}
         at = {w: i for i, w in reversed(list(enumerate(want)))}
         for j, w in enumerate(block):
             if w in at:
                 places[j - at[w]] = places.get(j - at[w], 0) + 1
+        most = int(MOST_DIFFERENT * len(want))
+        least = -(-(len(at) - most) // (most + 1))
         best = None
-        for start, _ in sorted(places.items(), key=lambda x: (-x[1], x[0]))[:3]:
+        for start, votes in sorted(places.items(), key=lambda x: (-x[1], x[0])):
+            if votes < least:
+                break
             slack = 2 + len(want) // 10
             low, high = max(0, start - slack), min(len(block), start + len(want) + slack)
             match = [m for m in difflib.SequenceMatcher(None, want, block[low:high], False).get_matching_blocks() if m.size]
@@ -165,7 +170,7 @@ class Scanner:
             part = words[first : low + self.reach]
             block = [w for w, _, _ in part]
             fits = []
-            for saved, name in self.rank(block, low - first)[:TRIED]:
+            for saved, name in self.rank(block, low - first):
                 d = self.differences(name, block)
                 if d is None or not d[0] <= low - first < d[1]:
                     continue

@@ -182,3 +182,12 @@ def test_numbers_and_common_words_in_notices(spark):
     texts += ["Licensed under CC BY-ND 4.0.", "Licensed under CC BY 3.0.", t["CC-BY-4.0-work"].replace("Attribution", "Attribution-NoDerivatives")]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.license, r.missing, r.added) for r in got) == [(0, "BSD-3-Clause", [], ["1", "2", "3"]), (1, "MIT", [], ["17"]), (2, "Apache-2.0-header", ["by"], [])]
+
+
+def test_many_like_places(spark):
+    """A notice behind several that start as it does is found at its own place."""
+    half = "permission of sun and sea"
+    text = f"{half} here we go " * 5 + f"{half} {half}"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = licenses.scan(df, templates={"twice": f"{half} {half}"}).collect()
+    assert [(r.start, r.end, r.missing, r.added) for r in got] == [(text.index(f"{half} {half}"), len(text), [], [])]
