@@ -1,4 +1,4 @@
-"""What the training-data operators share: the shared folder, checkpoints and connected components."""
+"""What the training-data operators share: the shared folder, checkpoints, joins with hot keys and connected components."""
 
 from __future__ import annotations
 
@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session whose executors live in
+    the driver's own machine gets a new local folder; on a cluster that is an error, as executors wouldn't see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = got.get() if got.isDefined() else tempfile.mkdtemp(prefix="spark-")
+        if got.isDefined():
+            folder = got.get()
+        elif spark.sparkContext.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="spark-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -29,6 +35,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys with more rows than this, or than one ten-thousandth of all rows, are hot: at most so many can be.
+HOT_ROWS, HOT_KEYS = 2000, 10_000
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str | list[str], many: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row a key and in ``many`` how many of the ``total`` rows have it.
+
+    Facts of hot keys are broadcast, so their rows stay where they are. There are HOT_KEYS of them at most, whatever the
+    data: each has over ``total / HOT_KEYS`` of the rows. The rest is shuffled, where no key has more rows than that.
+    ``how`` is inner or left; ``many`` stays in the result.
+    """
+    bound = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = facts.where(F.col(many) > bound)
+    if total <= bound or hot.isEmpty():
+        return rows.join(facts, key, how)
+    cool = rows.join(F.broadcast(hot.drop(*(set(facts.columns) - set([key] if isinstance(key, str) else key)))), key, "left_anti").join(facts.where(F.col(many) <= bound), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(cool)
+
+
 #: Edges that a task of a round holds, about; a small graph needs no more tasks than its edges fill.
 EDGES_PER_TASK = 50_000
 
@@ -38,13 +63,13 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node that has an edge to another.
+def stars(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node that has an edge, save the roots.
 
     ``root`` is the smallest node id that links reach. Large-star and small-star rounds alternate
     (Kiveris et al., 2014) until the edges stop changing; each round is written to the shared folder. Loops,
-    repeated edges and nulls have no effect. A hub is never one task's rows: the minimum of its neighbours is a
-    partially aggregated sum, and the join that spreads it can be split.
+    repeated edges and nulls have no effect. A hub is never one task's rows: the minimum of its neighbours is partially
+    aggregated, and joined by :func:`with_facts`.
     """
     e = edges.where("a is not null and b is not null and a <> b")
     e = cut(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -52,14 +77,20 @@ def components(edges: DataFrame) -> DataFrame:
     while now != before:
         tasks = -(-now[0] // EDGES_PER_TASK) or 1
         few = lambda df: df.coalesce(tasks)  # noqa: B023, E731
+        keep = cut if 2 * now[0] > HOT_ROWS else lambda df: df  # fewer edges have no hub to look for
         e = few(e)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = few(both.join(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = few(large.where("u <> v").distinct())
-        down = few(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = few(large.join(down, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = keep(few(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))))
+        large = few(with_facts(both, least, "u", "n", 2 * now[0])).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = keep(few(large.where("u <> v").distinct()))
+        down = keep(few(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))))
+        small = few(with_facts(large, down, "u", "n", now[0])).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = cut(few(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct()))
         before, now = now, _state(e)
-    tops = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(tops)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """:func:`stars` with a row for each root too."""
+    e = stars(edges)
+    return e.unionByName(e.select(F.col("root").alias("node"), "root").distinct())

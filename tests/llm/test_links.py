@@ -75,6 +75,34 @@ def test_join_is_brute_force(spark, monkeypatch, trie_sets):
     assert len(got) == len(size) and [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_rows_of_one_id_are_sets_of_their_own(spark):
+    """A repeated row counts no n-gram twice, and two texts of an id aren't pooled into one set."""
+    word = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    a, b = f"{word('s', 49)} {word('a', 55)}", f"{word('s', 49)} {word('b', 55)}"
+    c, d = word("c", 104), word("d", 104)
+    half = f"{word('c', 54)} {word('d', 54)}"
+    rows = [(1, a), (1, a), (2, b), (2, b), (11, c), (11, d), (12, half), (13, c), (14, d + " x"), (20, a + " y"), (20, word("z", 30)), (21, word("z", 30) + " u")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    size, top = brute_join(rows)
+    assert got == {i: (size[i], top[i]) for i in top}
+    assert got[2][1] == 2 and got[12][1] == 12 and got[14][1] == 11 and got[21][1] == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_join_of_repeated_ids(spark, monkeypatch, seed):
+    """Random texts, copies and near copies dealt over few ids, in small tries and parts."""
+    monkeypatch.setattr(ngram_join, "TRIE_SETS", 12)
+    monkeypatch.setattr(ngram_join, "ASKING_SETS", 10)
+    rng = random.Random(seed)
+    texts = [t for _ in range(8) for t in copies(rng, 12, 60, 7)] + [" ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(30)]
+    shared = " ".join(f"s{i}" for i in range(50))
+    texts += [f"{shared} " + " ".join(f"q{i}z{j}" for j in range(rng.randrange(1, 20))) for i in range(40)]
+    rows = [(rng.randrange(150), rng.choice(texts)) for _ in range(260)] + [(rng.randrange(150), t) for t in texts[:60]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    size, top = brute_join(rows)
+    assert got == {i: (size[i], top[i]) for i in top}
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
