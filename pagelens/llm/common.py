@@ -43,14 +43,15 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str | list[str], many: st
     """``rows`` joined with ``facts``, which has one row a key and in ``many`` how many of the ``total`` rows have it.
 
     Facts of hot keys are broadcast, so their rows stay where they are. There are HOT_KEYS of them at most, whatever the
-    data: each has over ``total / HOT_KEYS`` of the rows. The rest is shuffled, where no key has more rows than that.
-    ``how`` is inner or left; ``many`` stays in the result.
+    data: each has over ``total / HOT_KEYS`` of the rows. The rest is shuffled and merged, where no key has more rows than that;
+    Spark's own choice, a broadcast of up to 10 MB for each of many joins, fills a small driver. ``how`` is inner or left;
+    ``many`` stays in the result.
     """
     bound = max(HOT_ROWS, -(-total // HOT_KEYS))
     hot = facts.where(F.col(many) > bound)
     if total <= bound or hot.isEmpty():
-        return rows.join(facts, key, how)
-    cool = rows.join(F.broadcast(hot.drop(*(set(facts.columns) - set([key] if isinstance(key, str) else key)))), key, "left_anti").join(facts.where(F.col(many) <= bound), key, how)
+        return rows.join(facts.hint("merge"), key, how)
+    cool = rows.join(F.broadcast(hot.drop(*(set(facts.columns) - set([key] if isinstance(key, str) else key)))), key, "left_anti").join(facts.where(F.col(many) <= bound).hint("merge"), key, how)
     return rows.join(F.broadcast(hot), key).unionByName(cool)
 
 
