@@ -1,9 +1,11 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
-Each shard of the vectors gets a graph of its own; every vector asks every shard. A search keeps a beam of the nearest
-vectors met so far. Sampled queries are compared with a full scan of the shard, and the beam is widened until they lose
-almost nothing; a query whose beam is full of linked vectors is widened by itself, and past the widest beam the shard is
-scanned for it, so that a large group of copies is found whole. Cosines are taken again in double precision, and components follow from the links.
+Vectors of one length make up shards; each shard gets a graph of its own, and every vector asks every shard of its length. A
+search keeps a beam of the nearest vectors met so far. Every task audits its searches: for sampled vectors of the shard a
+probe is made whose cosine to the vector is just the threshold, the hardest link there is, and must find it; and sampled
+queries must find what a full scan of the shard finds, themselves left out. The beam is widened until both lose almost
+nothing; past the widest beam the shard is scanned. A query whose beam is full of linked vectors is widened by itself, so
+that a large group of copies is found whole. Cosines are taken again in double precision, and components follow from the links.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import cut, stars, with_facts
 
 #: Links of a vector on the lowest level, twice as many as on the others, and the beam while building.
 LINKS, BUILD_BEAM = 12, 48
 #: Beams of the searches, in turn, and what audited queries must find at least.
 BEAMS, RECALL = (24, 48, 96, 192), 0.995
-#: Queries of a task that are compared with a full scan.
-AUDITED = 64
-#: Vectors of a shard at most, and shards at least.
-SHARD_VECTORS, SHARDS = 200_000, 6
+#: Queries of a task that are compared with a full scan, and probes of it.
+AUDITED, PROBES = 64, 400
+#: Vectors of a shard at most, and shards of the vectors of one length, unless these are few.
+SHARD_VECTORS, SHARDS, FEW_VECTORS = 200_000, 6, 500
+#: Bytes of the queries of a task, and of the cosines of a scan at once.
+PART_BYTES, SCAN_BYTES = 128 << 20, 64 << 20
 
 
 class Graph:
@@ -159,49 +163,83 @@ class Graph:
 
     def dump(self) -> bytes:
         f = io.BytesIO()
-        np.savez(f, v=self.v, level=self.level, top=self.top, entry=self.entry, **{f"out{k}": x for k, x in enumerate(self.out)})
+        np.savez(f, level=self.level, top=self.top, entry=self.entry, **{f"out{k}": x for k, x in enumerate(self.out)})
         return f.getvalue()
 
     @classmethod
-    def load(cls, raw: bytes) -> Graph:
+    def load(cls, raw: bytes, vectors: np.ndarray) -> Graph:
+        """The graph that :meth:`dump` wrote, over the same vectors."""
         z, g = np.load(io.BytesIO(raw)), cls.__new__(cls)
-        g.v, g.level, g.top, g.entry = z["v"], z["level"], int(z["top"]), int(z["entry"])
+        g.v, g.level, g.top, g.entry = vectors.astype(np.float32), z["level"], int(z["top"]), int(z["entry"])
         g.out = [z[f"out{k}"] for k in range(sum(x.startswith("out") for x in z.files))]
         return g
 
 
 def unit(vectors: list) -> np.ndarray:
+    """Vectors of length one; scaled by their largest component first, so that no square over- or underflows."""
     v = np.array(vectors, np.float64)
+    v = v / np.abs(v).max(1, keepdims=True)
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def linked(graph: Graph, held: np.ndarray, q: np.ndarray, least: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, held) with cosine >= least, taken in double precision. ``held`` are the shard's unit vectors."""
-    audit = np.random.Generator(np.random.PCG64(seed)).permutation(len(q))[:AUDITED]
+def _probes(held: np.ndarray, least: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sampled vectors, and for each a vector whose cosine to it is just over ``least``."""
+    at = rng.permutation(len(held))[:PROBES]
+    if held.shape[1] < 2:
+        return at, held[at]
+    side = rng.normal(size=(len(at), held.shape[1]))
+    side -= (side * held[at]).sum(1, keepdims=True) * held[at]
+    c = min(1.0, least + 1e-4)
+    return at, unit(c * held[at] + np.sqrt(1 - c * c) * unit(side))
+
+
+def linked(graph: Graph, held: np.ndarray, q: np.ndarray, least: float, own: np.ndarray | None = None, seed: int = 11) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Pairs (query, held) with cosine >= least, taken in double precision, and the audit. ``held`` are the shard's unit
+    vectors; ``own`` says which of them each query is itself, -1 for none: that pair is left out.
+
+    The audit is that of the last beam that was asked: ``beam`` (0 where the shard was scanned for all), ``probes`` and
+    ``probes_found``, ``links`` that the sampled queries have and ``links_found``.
+    """
+    rng = np.random.Generator(np.random.PCG64(seed))
+    own = np.full(len(q), -1) if own is None else own
     slack = 1e-5  # the graph's cosines are in single precision
+    at, probe = _probes(held, least, rng)
+    audit = rng.permutation(len(q))[:AUDITED]
     true = q[audit] @ held.T >= least
+    true[own[audit] >= 0, own[audit][own[audit] >= 0]] = False
+    told = {"beam": 0, "probes": len(at), "probes_found": len(at), "links": int(true.sum()), "links_found": int(true.sum())}
     todo, rows, cols = np.arange(len(q)), [], []
+    passed = False
     for beam in BEAMS:
         if beam >= len(held):
             break
+        if not passed:
+            # a probe counts as found too where its beam is full of linked vectors: such a query is widened
+            ids, sim = graph.search(probe, beam)
+            hit = (ids == at[:, None]).any(1) | ((sim >= least - slack) & (ids >= 0)).all(1)
+            ids, sim = graph.search(q[audit], beam)
+            near = (sim >= least - slack) & (ids >= 0)
+            whole = near.all(1)
+            found = np.zeros_like(true)
+            r, c = np.nonzero(near)
+            found[r, ids[r, c]] = True
+            lost = (true & ~found & ~whole[:, None]).sum()
+            if hit.sum() < RECALL * len(hit) or lost > (1 - RECALL) * true.sum():
+                continue  # the audit fails: ask with a wider beam
+            passed = True
+            told |= {"beam": beam, "probes_found": int(hit.sum()), "links_found": int(true.sum() - lost)}
         ids, sim = graph.search(q[todo], beam)
         near = (sim >= least - slack) & (ids >= 0)
         full = near.all(1)
-        hit = np.isin(todo, audit)
-        wanted = dict(zip(audit.tolist(), true))
-        open_ = hit & ~full
-        want = sum(int(wanted[t].sum()) for t in todo[open_])
-        got = sum(int(wanted[t][i[n]].sum()) for t, i, n in zip(todo[open_], ids[open_], near[open_]))
-        if want and got < RECALL * want:
-            continue  # the audit fails: ask again with a wider beam
         r, c = np.nonzero(near & ~full[:, None])
         rows.append(todo[r])
         cols.append(ids[r, c])
         todo = todo[full]
         if not len(todo):
             break
-    for a in range(0, len(todo), 256):
-        r, c = np.nonzero(q[todo[a : a + 256]] @ held.T >= least - slack)
+    step = max(1, SCAN_BYTES // 8 // max(1, len(held)))
+    for a in range(0, len(todo), step):
+        r, c = np.nonzero(q[todo[a : a + step]] @ held.T >= least - slack)
         rows.append(todo[a + r])
         cols.append(c)
     rows, cols = np.concatenate([*rows, np.zeros(0, int)]).astype(int), np.concatenate([*cols, np.zeros(0, int)]).astype(int)
@@ -209,51 +247,50 @@ def linked(graph: Graph, held: np.ndarray, q: np.ndarray, least: float, seed: in
     for a in range(0, len(rows), 1 << 16):
         part = slice(a, a + (1 << 16))
         sure[part] = np.einsum("rd,rd->r", q[rows[part]], held[cols[part]]) >= least
-    return rows[sure], cols[sure]
+    sure &= own[rows] != cols
+    return rows[sure], cols[sure], told
 
 
-def near_duplicates(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shards: int | None = None) -> DataFrame:
-    """Vectors linked by cosine of at least ``least``.
+AUDIT = "beam int, probes long, probes_found long, links long, links_found long"
 
-    Returns ``(vec_id, n_links, component_id, kept)``, one row per id: other vectors linked directly, the smallest id that
-    links reach (itself included), and whether that is the vector itself. Vectors that are null, empty, zero, of another
-    length than most, or hold null or non-finite components are linked with nothing. Rows of one id count once, by
-    the first of its vectors; a row with a null id keeps null as component and counts for no one. An empty table gives
-    no rows; other columns are left out. Equal vectors are one in the graphs, with their number.
-    """
+
+def _search(df: DataFrame, least: float, id_col: str, vector_col: str, shards: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows, one vector a row id, different vectors with their number, and what the tasks found: links of a vector
+    ``(a, a, n)``, edges ``(a, b, 0)`` that join what a task linked, and a row of its audit without ``a``."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     named = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
     fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
+    # rows that have equal vectors come together by what they hold, so a very common vector is one group with a partial count
     named = cut(named.withColumn("fine", fine).withColumn("h", F.xxhash64("v")))
-    dims = named.where("fine").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    good = named.where(F.col("fine") & (F.size("v") == (dims.d if dims else 0)))
-    classes = cut(good.groupBy("h", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    count = classes.count()
-    shards = shards or max(SHARDS, -(-count // SHARD_VECTORS))
-    put = classes.select("rep", "copies", "v", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(shards)).cast("int").alias("part"))
+    classes = cut(named.where("fine").groupBy("h", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("d", F.size("v")))
+    # vectors of one length have shards and query parts of their own, as many as their number asks for
+    most = F.col("m") / F.lit(float(SHARD_VECTORS))
+    own_shards = F.lit(shards) if shards else F.when(F.col("m") <= FEW_VECTORS, 1).otherwise(F.greatest(F.lit(SHARDS), F.ceil(most).cast("int")))
+    sizes = classes.groupBy("d").agg(F.count("*").alias("m")).withColumn("shards", own_shards).withColumn("parts", F.ceil(F.col("m") * F.col("d") * 8 / F.lit(float(PART_BYTES))).cast("int"))
+    sized = with_facts(classes, cut(sizes), "d", "m", classes.count())
+    put = cut(sized.select("rep", "copies", "v", "d", "shards", "parts", F.pmod(F.xxhash64("rep", F.lit(1)), "shards").cast("int").alias("shard"), F.pmod(F.xxhash64("rep", F.lit(2)), "parts").cast("int").alias("part")))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         held = unit(pdf["v"].tolist())
-        return pd.DataFrame({"shard": [key[0]], "graph": [Graph(held).dump()], "held": [held.tobytes()], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "many": [pdf["copies"].to_numpy(np.int64).tobytes()]})
+        return pd.DataFrame({"d": [key[0]], "shard": [key[1]], "parts": [int(pdf["parts"].iloc[0])], "graph": [Graph(held).dump()], "held": [held.tobytes()], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "many": [pdf["copies"].to_numpy(np.int64).tobytes()]})
 
-    graphs = cut(put.groupBy("shard").applyInPandas(build, "shard int, graph binary, held binary, reps binary, many binary"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asked = put.select("rep", "v", "part").withColumn("shard", every)
-    shown = graphs.withColumn("part", every)
+    graphs = cut(put.groupBy("d", "shard").applyInPandas(build, "d int, shard int, parts int, graph binary, held binary, reps binary, many binary"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asked = put.select("rep", "v", "d", "part", upto("shards").alias("shard"))
+    shown = graphs.withColumn("part", upto("parts"))
+    names = ["a", "b", "n", "d", "shard", "part", "beam", "probes", "probes_found", "links", "links_found"]
 
     def ask(key: tuple, asking: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
         if not len(asking) or not len(graph):
-            return empty
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
         g = graph.iloc[0]
         reps, many = np.frombuffer(g["reps"], np.int64), np.frombuffer(g["many"], np.int64)
         held = np.frombuffer(g["held"]).reshape(len(reps), -1)
-        own = asking["rep"].to_numpy(np.int64)
-        r, c = linked(Graph.load(g["graph"]), held, unit(asking["v"].tolist()), least)
-        other = own[r] != reps[c]
-        r, c = r[other], c[other]
-        n = np.bincount(r, many[c], minlength=len(own)).astype(np.int64)
+        rep = asking["rep"].to_numpy(np.int64)
+        place = np.minimum(np.searchsorted(reps, rep), len(reps) - 1)
+        r, c, told = linked(Graph.load(g["graph"], held), held, unit(asking["v"].tolist()), least, np.where(reps[place] == rep, place, -1))
+        n = np.bincount(r, many[c], minlength=len(rep)).astype(np.int64)
         # one edge of each that joins two groups is enough for the components
         up: dict[int, int] = {}
 
@@ -264,21 +301,44 @@ def near_duplicates(df: DataFrame, least: float = 0.95, id_col: str = "vec_id",
             return x
 
         edges = []
-        for x, y in zip(own[r].tolist(), reps[c].tolist()):
+        for x, y in zip(rep[r].tolist(), reps[c].tolist()):
             if (i := find(x)) != (j := find(y)):
                 up[i] = j
                 edges.append((x, y))
         some = n > 0
         a, b = np.array(edges, np.int64).reshape(-1, 2).T
-        return pd.DataFrame({"a": np.concatenate([own[some], a]), "b": np.concatenate([own[some], b]), "n": np.concatenate([n[some], np.zeros(len(a), np.int64)])})
-
-    found = cut(asked.groupBy("shard", "part").cogroup(shown.groupBy("shard", "part")).applyInPandas(ask, "a long, b long, n long"))
-    tops = components(found.where("a <> b").select("a", "b"))
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    told = classes.join(links, "rep", "left").join(tops, F.col("rep") == F.col("node"), "left")
-    told = told.select("h", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    of = good.select("vec_id", "h", "v").join(told, ["h", "v"]).select("vec_id", "n_links", "component_id")
-    out = named.select("vec_id").join(of, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        whole = lambda d: pd.DataFrame({k: pd.array(v, "Int64") for k, v in d.items()})
+        found = whole({"a": np.concatenate([rep[some], a]), "b": np.concatenate([rep[some], b]), "n": np.concatenate([n[some], np.zeros(len(a), np.int64)])})
+        audit = whole({k: [v] for k, v in (dict(zip(("d", "shard", "part"), map(int, key))) | told).items()})
+        return pd.concat([audit.reindex(columns=names), found.reindex(columns=names)]).astype("Int64")
+
+    found = cut(asked.groupBy("d", "shard", "part").cogroup(shown.groupBy("d", "shard", "part")).applyInPandas(ask, f"a long, b long, n long, d int, shard int, part int, {AUDIT}"))
+    return rows, named, classes, found
+
+
+def recall_audit(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shards: int | None = None) -> DataFrame:
+    """What the searches of :func:`near_duplicates` missed: one row per length, shard and part of the queries, with the beam
+    that passed (0: the shard was scanned), the probes and links audited, and how many of them it found."""
+    return _search(df, least, id_col, vector_col, shards)[3].where("a is null").drop("a", "b", "n")
+
+
+def near_duplicates(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", shards: int | None = None) -> DataFrame:
+    """Vectors linked by cosine of at least ``least``; a tie at ``least`` links.
+
+    Returns ``(vec_id, n_links, component_id, kept)``, one row per id: other vectors linked directly, the smallest id that
+    links reach (itself included), and whether that is the vector itself. Vectors that are null, empty, zero, or hold null
+    or non-finite components are linked with nothing; those of different lengths have no cosine. Rows of one id count once, by
+    the first of its vectors; a row with a null id keeps null as component and counts for no one. An empty table gives
+    no rows; other columns are left out. Equal vectors are one in the graphs, with their number.
+    """
+    rows, named, classes, found = _search(df, least, id_col, vector_col, shards)
+    tops = stars(found.where("a <> b").select("a", "b"))
+    links = found.where("a is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    told = classes.join(links.hint("merge"), "rep", "left").join(tops.hint("merge"), F.col("rep") == F.col("node"), "left")
+    told = cut(told.select("h", "v", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
+    of = with_facts(named.where("fine").select("vec_id", "h", "v"), told, ["h", "v"], "copies", named.count()).select("vec_id", "n_links", "component_id")
+    out = of.unionByName(named.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    out = out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     out = out.unionByName(rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -20,6 +20,19 @@ def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op2 over ``embeddings`` with copies that are scaled, mixed with the next vector, or cut to half their
+    length, so that there are links to find."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    made = lambda add, every, v: e.where(F.col("vec_id") % every == 0).select((F.col("vec_id") + add).alias("vec_id"), v.alias("embedding"))
+    scaled = made(10_000_000, 4, F.transform("embedding", lambda x: x * 3))
+    half = F.slice("embedding", 1, 32)
+    cut, again = made(30_000_000, 10, half), made(40_000_000, 10, F.transform(half, lambda x: x / 2))
+    following = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    mixed = e.join(following, "vec_id").where("vec_id % 3 = 0").select((F.col("vec_id") + 20_000_000).alias("vec_id"), F.zip_with("embedding", "other", lambda x, y: x + y * 0.25).alias("embedding"))
+    return hnsw.near_duplicates(e.unionByName(scaled).unionByName(cut).unionByName(again).unionByName(mixed)).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths by language with its suffix sums: one row per language and length."""
     docs = table(spark, sf_dir, "documents")
@@ -60,7 +73,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_hnsw, op3_token_counts, op4_sampled_splitters, op5_licenses, op6_warc, op7_ngram_join, op8_decontaminate, op9_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_hnsw, op3_token_counts, op4_sampled_splitters, op5_licenses, op6_warc, op7_ngram_join, op8_decontaminate, op9_byte_bpe, op10_pii, vector_copies)}
 
 #: Word shingles as the join reads them, and the smallest id that links reach.
 JACCARD_SQL = r"""
@@ -98,13 +111,18 @@ from got join need using (item_id) where 100 * (fq + fa) >= 75 * (nq + na)"""
 
 #: All pairs by cosine in double precision, and the smallest id that links reach.
 COSINE_SQL = """
-with recursive v as (select vec_id, embedding::double[] as x from embeddings
-  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
-e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.x, b.x) >= 0.95),
+with recursive given as ({given}),
+v as (select vec_id, x from given
+  where x is not null and len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(x, lambda c: c <> 0)) > 0),
+e as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and case when len(a.x) = len(b.x) then list_cosine_similarity(a.x, b.x) >= 0.95 else false end),
 r as (select a as node, b as reach from e union select r.node, e.b from r join e on e.a = r.reach),
 n as (select a, count(*) as n from e group by a),
 c as (select node, min(reach) as low from r group by node)
 select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(low, vec_id)) as component_id, vec_id <= coalesce(low, vec_id) as kept
-from embeddings left join n on a = vec_id left join c on node = vec_id"""
+from given left join n on a = vec_id left join c on node = vec_id"""
+GIVEN_SQL = "select vec_id, embedding::double[] as x from embeddings"
+COPIES_SQL = f"""with e as ({GIVEN_SQL}) select * from e union all select vec_id + 10000000, list_transform(x, lambda c: c * 3) from e where vec_id % 4 = 0
+  union all select vec_id + 30000000, x[1:32] from e where vec_id % 10 = 0 union all select vec_id + 40000000, list_transform(x[1:32], lambda c: c / 2) from e where vec_id % 10 = 0
+  union all select a.vec_id + 20000000, list_transform(list_zip(a.x, b.x), lambda z: z[1] + z[2] * 0.25) from e a join e b on b.vec_id = a.vec_id + 1 where a.vec_id % 3 = 0"""
 
-ORACLE_SQL: dict[str, str] = {"op2_hnsw": COSINE_SQL, "op7_ngram_join": JACCARD_SQL, "op8_decontaminate": OVERLAP_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_hnsw": COSINE_SQL.format(given=GIVEN_SQL), "vector_copies": COSINE_SQL.format(given=COPIES_SQL), "op7_ngram_join": JACCARD_SQL, "op8_decontaminate": OVERLAP_SQL}

@@ -134,10 +134,40 @@ def test_graph_recall():
     rng = np.random.default_rng(5)
     held = hnsw.unit(rng.normal(size=(3000, 64)))
     q = hnsw.unit(held + 0.02 * rng.normal(size=held.shape))
-    graph = hnsw.Graph.load(hnsw.Graph(held).dump())
-    r, c = hnsw.linked(graph, held, q, 0.95)
+    graph = hnsw.Graph.load(hnsw.Graph(held).dump(), held)
+    r, c, told = hnsw.linked(graph, held, q, 0.95)
     found, true = set(zip(r.tolist(), c.tolist())), set(zip(*map(np.ndarray.tolist, np.nonzero(q @ held.T >= 0.95))))
     assert found <= true and len(found) >= 0.99 * len(true)
+    assert told["probes"] == hnsw.PROBES and told["links"] > 0 and told["probes_found"] >= 0.995 * told["probes"]
+
+
+@pytest.mark.parametrize("d", [16, 64, 384])
+def test_links_at_the_threshold(d):
+    """Pairs whose cosine is just over or under the threshold; queries that are vectors of the shard aren't their own links."""
+    rng = np.random.default_rng(d)
+    base = hnsw.unit(rng.normal(size=(1500, d)))
+    at, over = hnsw._probes(base, 0.95, rng)
+    _, under = hnsw._probes(base[at], 0.9497, rng)
+    held = np.vstack([base, over, under])
+    r, c, told = hnsw.linked(hnsw.Graph(held), held, held, 0.95, np.arange(len(held)))
+    true = held @ held.T >= 0.95
+    np.fill_diagonal(true, False)
+    found = np.zeros_like(true)
+    found[r, c] = True
+    assert not (found & ~true).any() and true.sum() >= 2 * hnsw.PROBES
+    assert (found & true).sum() >= 0.995 * true.sum() and told["links_found"] >= 0.995 * told["links"]
+
+
+def test_lengths_and_sizes_of_vectors(spark):
+    """Vectors of rare lengths link among themselves; the largest and smallest doubles do as well."""
+    rows = [(i, np.random.default_rng(i).normal(size=8).tolist()) for i in range(40)]
+    rows += [(100, [1.0, 2.0, 3.0]), (101, [2.0, 4.0, 6.0]), (102, [3.0, -1.0, 0.0]), (110, [5.0]), (111, [0.5]), (112, [-1.0])]
+    rows += [(200, [1e308, 1e308, 0.0, 0.0]), (201, [1e-300, 1e-300, 0.0, 0.0]), (202, [0.0, 0.0, 1e308, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in (100, 101, 102, 110, 111, 112, 200, 201, 202)] == [(1, 100), (1, 100), (0, 102), (1, 110), (1, 110), (0, 112), (1, 200), (1, 200), (0, 202)]
+    assert all(got[i] == (0, i) for i in range(40))
+    audit = hnsw.recall_audit(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.d for r in audit} == {1, 3, 4, 8} and all(r.probes_found >= 0.995 * r.probes for r in audit)
 
 
 def test_decontamination(spark):
