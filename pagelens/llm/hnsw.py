@@ -307,10 +307,10 @@ def _search(df: DataFrame, least: float, id_col: str, vector_col: str, shards: i
                 edges.append((x, y))
         some = n > 0
         a, b = np.array(edges, np.int64).reshape(-1, 2).T
-        whole = lambda d: pd.DataFrame({k: pd.array(v, "Int64") for k, v in d.items()})
-        found = whole({"a": np.concatenate([rep[some], a]), "b": np.concatenate([rep[some], b]), "n": np.concatenate([n[some], np.zeros(len(a), np.int64)])})
-        audit = whole({k: [v] for k, v in (dict(zip(("d", "shard", "part"), map(int, key))) | told).items()})
-        return pd.concat([audit.reindex(columns=names), found.reindex(columns=names)]).astype("Int64")
+        k = int(some.sum()) + len(a)
+        out = {c: [v] + [None] * k for c, v in (dict(zip(("d", "shard", "part"), map(int, key))) | told).items()}
+        out |= {"a": [None, *rep[some], *a], "b": [None, *rep[some], *b], "n": [None, *n[some], *[0] * len(a)]}
+        return pd.DataFrame({c: pd.array(out[c], "Int64") for c in names})
 
     found = cut(asked.groupBy("d", "shard", "part").cogroup(shown.groupBy("d", "shard", "part")).applyInPandas(ask, f"a long, b long, n long, d int, shard int, part int, {AUDIT}"))
     return rows, named, classes, found
