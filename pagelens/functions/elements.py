@@ -9,20 +9,38 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import sqltext
+
 Test = Callable[[Column], Column]
 
 
+def kit(x: Column | sqltext.Sql):
+    """The functions for an element: of Columns, or of SQL text."""
+    return sqltext if isinstance(x, sqltext.Sql) else F
+
+
 def attr(x: Column, name: str) -> Column:
     """Value of an attribute; null where it is missing."""
-    return F.element_at(x["attrs"], F.lit(name))
+    return kit(x).element_at(x["attrs"], kit(x).lit(name))
 
 
 def has_attr(x: Column, name: str) -> Column:
     return attr(x, name).isNotNull()
 
 
+def text_of(x: Column) -> Column:
+    """Text of an element with all it holds, white space collapsed: pieces of the page's ``bits``."""
+    K = kit(x)
+    return K.trim(K.array_join(K.slice("bits", x["t0"], x["tn"]), ""))
+
+
+def node(number: Column, nodes: str = "nodes") -> Column:
+    """The element of that number; null for 0."""
+    return kit(number).get(nodes, number - 1)
+
+
 def classes(x: Column) -> Column:
-    return F.coalesce(attr(x, "class"), F.lit(""))
+    return kit(x).coalesce(attr(x, "class"), kit(x).lit(""))
 
 
 def class_like(x: Column, *parts: str) -> Column:
@@ -35,7 +53,7 @@ def tag_in(x: Column, *tags: str) -> Column:
 
 
 def filled(c: Column) -> Column:
-    return F.coalesce(c != "", F.lit(False))
+    return kit(c).coalesce(c != "", kit(c).lit(False))
 
 
 def _any(tests: list[Column]) -> Column:
@@ -56,7 +74,7 @@ def simple(selector: str) -> Test:
         raise ValueError(f"selector not supported: {selector!r}")
 
     def test(x: Column) -> Column:
-        tests = []
+        K, tests = kit(x), []
         for m in parts:
             name, op, a, b, c, fold, ident, cls, without, tag, _ = m.groups()
             if name:
@@ -65,40 +83,44 @@ def simple(selector: str) -> Test:
                 if want is None:
                     tests.append(value.isNotNull())
                     continue
-                value = F.lower(F.coalesce(value, F.lit(""))) if fold else F.coalesce(value, F.lit(""))
+                value = K.lower(K.coalesce(value, K.lit(""))) if fold else K.coalesce(value, K.lit(""))
                 want = want.lower() if fold else want
-                one = {"": value == want, "*": value.contains(want), "^": value.startswith(want), "$": value.endswith(want), "~": F.array_contains(F.split(value, r"\s+"), want)}[op]
+                one = {"": value == want, "*": value.contains(want), "^": value.startswith(want), "$": value.endswith(want), "~": K.array_contains(K.split(value, r"\s+"), want)}[op]
                 tests.append(one & has_attr(x, name))
             elif ident:
-                tests.append(F.coalesce(attr(x, "id") == ident, F.lit(False)))
+                tests.append(K.coalesce(attr(x, "id") == ident, K.lit(False)))
             elif cls:
-                tests.append(F.array_contains(F.split(classes(x), r"\s+"), cls))
+                tests.append(K.array_contains(K.split(classes(x), r"\s+"), cls))
             elif without:
                 tests.append(~simple(without)(x))
             elif tag:
                 tests.append(x["tag"] == tag.lower())
             else:
-                tests.append(F.lit(True))
+                tests.append(K.lit(True))
         return _all(tests)
 
     return test
 
 
-def selector(text: str, nodes: str | Column = "nodes") -> Test:
-    """A selector list; a space asks for an ancestor, ``>`` for the parent. Commas within brackets are not supported."""
+def selector(text: str, nodes: str = "nodes") -> Test:
+    """A selector list; a space asks for an ancestor, ``>`` for the parent, ``+`` for the sibling before, ``~`` for any before.
+    Commas within brackets are not supported."""
 
     def one(chain: str) -> Test:
-        steps = re.findall(r">|(?:\[[^\]]*\]|:not\([^)]*\)|[^\s>\[])+", chain.strip())
+        steps = re.findall(r"[>+~](?!=)|(?:\[[^\]]*\]|:not\([^)]*\)|[^\s>+~\[])+", chain.strip())
         last, rest = simple(steps[-1] if steps else ""), steps[:-1]
-        parent = bool(rest) and rest[-1] == ">"
-        above = one(" ".join(rest[:-1] if parent else rest)) if rest else None
+        link = rest.pop() if rest and rest[-1] in (">", "+", "~") else " " if rest else ""
+        before = one(" ".join(rest)) if rest else None
 
         def test(x: Column) -> Column:
-            if above is None:
+            K = kit(x)
+            if before is None:
                 return last(x)
-            if parent:
-                return last(x) & F.exists(nodes, lambda y: (y["id"] == x["parent"]) & above(y))
-            return last(x) & F.exists(nodes, lambda y: (y["id"] < x["id"]) & (y["end"] >= x["id"]) & above(y))
+            if link == " ":
+                return last(x) & any_above(x, before, nodes)
+            if link == "~":
+                return last(x) & K.coalesce(K.exists(K.slice(nodes, x["parent"] + 1, x["id"] - x["parent"] - 1), lambda y: (y["parent"] == x["parent"]) & before(y)), K.lit(False))
+            return last(x) & K.coalesce(before(node(x["parent" if link == ">" else "prev"], nodes)), K.lit(False))
 
         return test
 
@@ -106,59 +128,68 @@ def selector(text: str, nodes: str | Column = "nodes") -> Test:
     return lambda x: _any([t(x) for t in tests])
 
 
-def inside(x: Column, test: Test, nodes: str | Column = "nodes") -> Column:
-    """Descendants of ``x`` that meet ``test``, in document order."""
-    return F.filter(nodes, lambda y: (y["id"] > x["id"]) & (y["id"] <= x["end"]) & test(y))
+def inside(x: Column, test: Test, nodes: str = "nodes") -> Column:
+    """Descendants of ``x`` that meet ``test``, in document order. They follow it at once, so no others are looked at."""
+    K = kit(x)
+    return K.filter(K.slice(nodes, x["id"] + 1, x["end"] - x["id"]), test)
 
 
-def any_inside(x: Column, test: Test, nodes: str | Column = "nodes") -> Column:
-    return F.exists(nodes, lambda y: (y["id"] > x["id"]) & (y["id"] <= x["end"]) & test(y))
+def any_inside(x: Column, test: Test, nodes: str = "nodes") -> Column:
+    K = kit(x)
+    return K.exists(K.slice(nodes, x["id"] + 1, x["end"] - x["id"]), test)
 
 
-def first_inside(x: Column, test: Test, nodes: str | Column = "nodes") -> Column:
+def first_inside(x: Column, test: Test, nodes: str = "nodes") -> Column:
     """The first such descendant; null without one."""
-    return F.get(inside(x, test, nodes), F.lit(0))
+    return kit(x).get(inside(x, test, nodes), kit(x).lit(0))
 
 
-def any_above(x: Column, test: Test, nodes: str | Column = "nodes") -> Column:
-    return F.exists(nodes, lambda y: (y["id"] < x["id"]) & (y["end"] >= x["id"]) & test(y))
+def any_above(x: Column, test: Test, nodes: str = "nodes") -> Column:
+    return kit(x).exists(x["up"], lambda u: test(node(u, nodes)))
 
 
-def children(x: Column, test: Test, nodes: str | Column = "nodes") -> Column:
-    return F.filter(nodes, lambda y: (y["parent"] == x["id"]) & test(y))
+def children(x: Column, test: Test, nodes: str = "nodes") -> Column:
+    return inside(x, lambda y: (y["parent"] == x["id"]) & test(y), nodes)
 
 
-def sibling(x: Column, step: int, nodes: str | Column = "nodes") -> Column:
-    return F.get(F.filter(nodes, lambda y: (y["parent"] == x["parent"]) & (y["ix"] == x["ix"] + step)), F.lit(0))
+def next_sibling(x: Column, nodes: str = "nodes") -> Column:
+    K, y = kit(x), kit(x).get(nodes, x["end"])
+    return K.when(y["parent"] == x["parent"], y)
 
 
-def has_name(x: Column, nodes: str | Column = "nodes") -> Column:
+def has_name(x: Column, nodes: str = "nodes") -> Column:
     """An assistive technology can name the element: a label, a title, text that is not hidden, or the alternative text of
     its first image that has one."""
-    own = filled(attr(x, "aria-label")) | filled(attr(x, "aria-labelledby")) | filled(F.trim(attr(x, "title"))) | filled(x["vis"])
-    return own | filled(F.trim(attr(first_inside(x, lambda y: (y["tag"] == "img") & has_attr(y, "alt"), nodes), "alt")))
+    K = kit(x)
+    own = filled(attr(x, "aria-label")) | filled(attr(x, "aria-labelledby")) | filled(K.trim(attr(x, "title"))) | x["seen"]
+    return own | filled(K.trim(attr(first_inside(x, lambda y: (y["tag"] == "img") & has_attr(y, "alt"), nodes), "alt")))
 
 
-def explicit_name(x: Column, nodes: str | Column = "nodes") -> Column:
-    own = filled(F.trim(attr(x, "aria-label"))) | filled(attr(x, "aria-labelledby")) | filled(F.trim(attr(x, "title")))
-    return own | filled(first_inside(x, lambda y: y["tag"] == "title", nodes)["text"])
+def explicit_name(x: Column, nodes: str = "nodes") -> Column:
+    K = kit(x)
+    own = filled(K.trim(attr(x, "aria-label"))) | filled(attr(x, "aria-labelledby")) | filled(K.trim(attr(x, "title")))
+    return own | filled(text_of(first_inside(x, lambda y: y["tag"] == "title", nodes)))
 
 
 def is_decorative(x: Column) -> Column:
-    return F.coalesce(attr(x, "aria-hidden") == "true", F.lit(False)) | F.coalesce(F.lower(attr(x, "role")).isin("presentation", "none"), F.lit(False))
+    K = kit(x)
+    return K.coalesce(attr(x, "aria-hidden") == "true", K.lit(False)) | K.coalesce(K.lower(attr(x, "role")).isin("presentation", "none"), K.lit(False))
 
 
 def is_visible(x: Column) -> Column:
-    hidden = F.coalesce(attr(x, "aria-hidden") == "true", F.lit(False)) | has_attr(x, "hidden") | F.coalesce(F.lower(attr(x, "style")).rlike(r"display\s*:\s*none|visibility\s*:\s*hidden"), F.lit(False))
+    K = kit(x)
+    hidden = K.coalesce(attr(x, "aria-hidden") == "true", K.lit(False)) | has_attr(x, "hidden") | K.coalesce(K.lower(attr(x, "style")).rlike(r"display\s*:\s*none|visibility\s*:\s*hidden"), K.lit(False))
     return ~hidden
 
 
 def displayed(x: Column) -> Column:
     """Not taken out of the page by its own inline style or the hidden attribute."""
-    return ~(has_attr(x, "hidden") | F.coalesce(F.lower(attr(x, "style")).rlike(r"display\s*:\s*none"), F.lit(False)))
+    K = kit(x)
+    return ~(has_attr(x, "hidden") | K.coalesce(K.lower(attr(x, "style")).rlike(r"display\s*:\s*none"), K.lit(False)))
 
 
 def pixels(x: Column, side: str) -> Column:
     """Width or height from the attribute, else the inline style; 0 where neither says."""
-    number = lambda c, p: F.regexp_extract(F.coalesce(c, F.lit("")), p, 1).try_cast("double")
-    return F.coalesce(number(attr(x, "style"), rf"(?i)(?:^|;|\s){side}\s*:\s*([0-9.]+)\s*px"), number(attr(x, side), r"^\s*([0-9.]+)"), F.lit(0.0))
+    K = kit(x)
+    number = lambda c, p: K.regexp_extract(K.coalesce(c, K.lit("")), p, 1).try_cast("double")
+    return K.coalesce(number(attr(x, "style"), rf"(?i)(?:^|;|\s){side}\s*:\s*([0-9.]+)\s*px"), number(attr(x, side), r"^\s*([0-9.]+)"), K.lit(0.0))

@@ -7,8 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sqltext as S
 from ..functions.elements import attr, has_name, selector
-from .rules import CHANGE, MARK, Rule, Step, _entries, _mark, _marked, apply_rules
+from .rules import CHANGE, MARK, Kept, Rule, Step, _entries, _mark, _marked, apply_rules
 
 SCHEMA = """id string, title string, enabled boolean, source string,
 match struct<hosts:array<string>,generator:string,selectors:array<string>>,
@@ -85,7 +86,7 @@ def matches(match: dict) -> Column:
         out = F.lit(False)
         for h in hosts:
             out = out | url.contains(h)
-    rest = [F.exists("nodes", selector(s)) for s in match.get("selectors") or []]
+    rest = [S.column(S.exists("nodes", selector(s))) for s in match.get("selectors") or []]
     if match.get("generator"):
         rest.append(meta_generator().rlike(f"(?i){match['generator']}"))
     if rest:
@@ -99,27 +100,27 @@ def matches(match: dict) -> Column:
 def _step(pack: dict, rule: dict) -> Step:
     test, when, code = selector(rule["select"]), rule.get("when") or {}, rule.get("code") or "PACK"
 
-    def chosen(x: Column) -> Column:
-        out = F.col(f"__{pack['id']}") & test(x)
+    def chosen(x: S.Sql) -> S.Sql:
+        out = S.col(f"__{pack['id']}") & test(x)
         if when.get("missingName"):
             out = out & ~has_name(x)
         if when.get("hasName"):
             out = out & has_name(x)
         if when.get("notRole"):
-            out = out & (F.coalesce(attr(x, "role"), F.lit("")) != when["notRole"])
-        return out & ~(_marked(x, code) & F.coalesce(attr(x, "data-pack") == pack["id"], F.lit(False)))
+            out = out & (S.coalesce(attr(x, "role"), S.lit("")) != when["notRole"])
+        return out & ~(_marked(x, code) & S.coalesce(attr(x, "data-pack") == pack["id"], S.lit(False)))
 
-    found = F.filter("nodes", chosen)
+    found = Kept(S.filter("nodes", chosen))
 
-    def of(x: Column) -> Column:
-        item = lambda a, v: F.struct(x["id"].alias("node_id"), F.lit(a).alias("attr"), (v if isinstance(v, Column) else F.lit(v)).cast("string").alias("new"))
-        sets = F.array(*[item(a, v) for a, v in (rule.get("set") or {}).items()], item("data-pack", pack["id"])).cast(CHANGE)
-        mark = F.filter(F.array(item(MARK, _mark(x, code))).cast(CHANGE), lambda c: c["new"].isNotNull())
-        gone = F.array(*[item(a, None) for a in rule.get("remove") or []]).cast(CHANGE)
-        return F.concat(sets, mark, F.filter(gone, lambda c: F.map_contains_key(x["attrs"], c["attr"])))
+    def of(x: S.Sql) -> S.Sql:
+        item = lambda a, v: S.struct(x["id"].alias("node_id"), S.lit(a).alias("attr"), (v if isinstance(v, S.Sql) else S.lit(v)).cast("string").alias("new"))
+        sets = S.array(*[item(a, v) for a, v in (rule.get("set") or {}).items()], item("data-pack", pack["id"])).cast(CHANGE)
+        mark = S.filter(S.array(item(MARK, _mark(x, code))).cast(CHANGE), lambda c: c["new"].isNotNull())
+        gone = S.array(*[item(a, None) for a in rule.get("remove") or []]).cast(CHANGE)
+        return S.concat(sets, mark, S.filter(gone, lambda c: S.map_contains_key(x["attrs"], c["attr"])))
 
-    n = F.size(found)
-    return Step(F.flatten(F.transform(found, of)).cast(CHANGE), _entries(("fix", (n > 0).cast("int"), n, rule.get("describe") or f"[{pack['id']}] {code}")), n)
+    n = S.size(found)
+    return Step(S.flatten(S.transform(found, of)).cast(CHANGE), _entries(("fix", (n > 0).cast("int"), n, rule.get("describe") or f"[{pack['id']}] {code}")), n, [found])
 
 
 def apply_packs(audited: DataFrame, packs: list[dict]) -> DataFrame:

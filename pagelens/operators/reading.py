@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.elements import any_inside, attr, children, classes, filled, first_inside, inside, is_visible, selector, tag_in
+from ..functions.elements import any_inside, attr, children, classes, filled, first_inside, inside, is_visible, selector, tag_in, text_of
 from .documents import slug
 
 # What a reader skips, file types of links, and elements that make a container more than a paragraph.
@@ -35,7 +35,7 @@ def _none() -> Column:
 
 def _file_block(a: Column, part: int = 0) -> Column:
     href = F.coalesce(attr(a, "href"), F.lit(""))
-    return _block(a, part, type="filelink", href=href, name=F.coalesce(F.nullif(a["text"], F.lit("")), F.substring_index(href, "/", -1)), ext=F.lower(F.regexp_extract(href, FILE_LINK, 1)), key=F.concat(F.lit("file:"), href))
+    return _block(a, part, type="filelink", href=href, name=F.coalesce(F.nullif(text_of(a), F.lit("")), F.substring_index(href, "/", -1)), ext=F.lower(F.regexp_extract(href, FILE_LINK, 1)), key=F.concat(F.lit("file:"), href))
 
 
 def _is_file(a: Column) -> Column:
@@ -53,14 +53,14 @@ def _image(img: Column) -> Column:
 
 
 def _table(t: Column) -> Column:
-    cells = lambda tr: F.transform(inside(tr, lambda y: tag_in(y, "th", "td")), lambda c: c["text"])
+    cells = lambda tr: F.transform(inside(tr, lambda y: tag_in(y, "th", "td")), lambda c: text_of(c))
     trs = inside(t, lambda y: y["tag"] == "tr")
     in_part = lambda tag: F.flatten(F.transform(inside(t, lambda y: y["tag"] == tag), lambda p: inside(p, lambda y: y["tag"] == "tr")))
     head = F.get(F.concat(in_part("thead"), trs), F.lit(0))
     body = F.when(F.size(in_part("tbody")) > 0, in_part("tbody")).otherwise(trs)
     bare = ~any_inside(t, lambda y: y["tag"] == "thead")
     rows = F.filter(F.transform(body, lambda tr, i: F.struct(((i == 0) & bare & any_inside(tr, lambda y: y["tag"] == "th")).alias("head"), cells(tr).alias("cells"))), lambda r: ~r["head"])
-    caption = first_inside(t, lambda y: y["tag"] == "caption")["text"]
+    caption = text_of(first_inside(t, lambda y: y["tag"] == "caption"))
     return _block(t, type="table", text=F.coalesce(caption, F.lit("")), headers=F.coalesce(cells(head), F.array().cast("array<string>")), rows=F.transform(rows, lambda r: r["cells"]))
 
 
@@ -69,13 +69,13 @@ def _blocks_of(x: Column) -> Column:
     image, cap = _image(x), first_inside(x, lambda y: y["tag"] == "figcaption")
     pic = first_inside(x, lambda y: y["tag"] == "img")
     in_figure = _image(pic)
-    text = x["text"]
+    text = text_of(x)
     figure = F.when(
         pic["id"].isNotNull(),
-        _block(x, type="image", src=F.coalesce(attr(pic, "src"), F.lit("")), text=F.when(cap["id"].isNotNull(), cap["text"]).when(in_figure["keep"], in_figure["alt"]).otherwise(""), needs_desc=F.when(cap["id"].isNotNull(), False).when(in_figure["keep"], in_figure["needs"]).otherwise(True)),
-    ).when(cap["id"].isNotNull(), _block(x, type="para", text=cap["text"], key=F.nullif(cap["text"], F.lit("")))).otherwise(_none())
+        _block(x, type="image", src=F.coalesce(attr(pic, "src"), F.lit("")), text=F.when(cap["id"].isNotNull(), text_of(cap)).when(in_figure["keep"], in_figure["alt"]).otherwise(""), needs_desc=F.when(cap["id"].isNotNull(), False).when(in_figure["keep"], in_figure["needs"]).otherwise(True)),
+    ).when(cap["id"].isNotNull(), _block(x, type="para", text=text_of(cap), key=F.nullif(text_of(cap), F.lit("")))).otherwise(_none())
     files = F.flatten(F.transform(inside(x, _is_file), lambda a: _file_block(a, 1)))
-    items = F.filter(F.transform(children(x, lambda y: y["tag"] == "li"), lambda y: y["text"]), lambda s: s != "")
+    items = F.filter(F.transform(children(x, lambda y: y["tag"] == "li"), lambda y: text_of(y)), lambda s: s != "")
     para = lambda: _block(x, type="para", text=text, key=F.concat(F.lit("p:"), text))
     leaf = ~any_inside(x, lambda y: tag_in(y, *BLOCKS))
     return (
@@ -100,7 +100,7 @@ def reading_blocks(parsed: DataFrame) -> DataFrame:
     an element that yields blocks takes what it holds with it. Of paragraphs, quotes and file links with one key the first
     stays.
     """
-    scoped = parsed.select("page_id", "nodes", reading_scope().alias("scope"))
+    scoped = parsed.select("page_id", "nodes", "bits", reading_scope().alias("scope"))
     within = F.filter("nodes", lambda x: (x["id"] > F.col("scope.id")) & (x["id"] <= F.col("scope.end")))
     skipped = lambda x: ~is_visible(x) | tag_in(x, *SKIP_TAGS) | F.coalesce(attr(x, "role").isin(*SKIP_ROLES), F.lit(False))
     looked = F.transform(within, lambda x: F.struct(x["id"].alias("id"), x["end"].alias("end"), skipped(x).alias("skip"), F.when(skipped(x), F.lit(None)).otherwise(_blocks_of(x)).alias("blocks")))
@@ -134,6 +134,6 @@ def contents(headings: DataFrame, least: int = 3) -> DataFrame:
 
 
 def page_title(parsed: DataFrame, blocks: DataFrame, default: str = "Reading Room") -> DataFrame:
-    own = F.nullif(F.get(F.filter("nodes", lambda x: x["tag"] == "title"), F.lit(0))["text"], F.lit(""))
+    own = F.nullif(text_of(F.get(F.filter("nodes", lambda x: x["tag"] == "title"), F.lit(0))), F.lit(""))
     heads = blocks.where("type = 'heading'").groupBy("page_id").agg(F.min_by("text", "ix").alias("heading"))
     return parsed.select("page_id", own.alias("own")).join(heads, "page_id", "left").select("page_id", F.coalesce("own", "heading", F.lit(default)).alias("title"))

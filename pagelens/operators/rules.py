@@ -7,16 +7,19 @@ seen by later rules.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import itertools
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as SF
 
 from ..dims import RULES
+from ..functions import sqltext as F
 from ..functions.elements import (
-    any_above, any_inside, attr, children, class_like, classes, displayed, explicit_name, filled, first_inside, has_attr, has_name, inside, is_decorative, pixels, selector, sibling, tag_in,
+    any_above, any_inside, attr, children, class_like, classes, displayed, explicit_name, filled, first_inside, has_attr, has_name, inside, is_decorative, next_sibling, node, pixels, selector, tag_in, text_of,
 )
+from ..functions.sqltext import Sql as Column
 
 CHANGE = "array<struct<node_id:int,attr:string,new:string>>"
 ENTRY = "array<struct<kind:string,count:bigint,msg:string>>"
@@ -48,6 +51,62 @@ RESULT_ITEM = "[role='listitem'], li, [class*='result-item'], article"
 PAGE_CONTROL = "[class*='page-next'], [class*='next-page'], [class*='page-prev'], [class*='prev-page']"
 PLAYER = "iframe[src*='youtube.com'], iframe[src*='youtube-nocookie.com'], iframe[src*='player.vimeo.com']"
 
+# What the report says of each rule; a fix begins with its number where the text begins with a space.
+FIXES = {
+    "file-links": " file link(s) labelled with format/size.",
+    "images-alt": " image(s) reviewed; {} need real descriptions.",
+    "graphs-longdesc": " graphic(s) given a role and a long-description slot.",
+    "collection-items": " collection/result group(s) exposed as named lists.",
+    "disclosure": " disclosure control(s) given expand/collapse semantics.",
+    "autocomplete": " search field(s) wired as accessible comboboxes.",
+    "landmarks": "Structure landmarks/skip link added and navigation labelled.",
+    "filter-groups": " filter group(s) labelled.",
+    "result-relevance": " result(s) given descriptive names for relevance judging.",
+    "clear-search": " clear-search control(s) made an accessible button.",
+    "dialog-escape": " open item/modal(s) marked as dialogs.",
+    "back-affordance": " breadcrumb(s) landmarked for retracing.",
+    "icon-buttons": " icon-only control(s) given names.",
+    "search-regions": " search region(s) given distinct labels.",
+    "help-affordance": " help/support link(s) labelled for discoverability.",
+    "pagination": " pager(s) landmarked with current-page + announcements.",
+    "results-status": "Results status/heading/skip link + per-result position added.",
+    "within-item-nav": " item viewer(s) given labelled page controls.",
+    "authorized-features": " restricted control(s) marked with reason.",
+    "form-fields": " form field(s) labelled or marked required.",
+}
+FLAGS = {
+    "no alt": "Image missing alt text — needs a human/AI description.",
+    "large": 'Large image marked decorative (alt="") — confirm it is not conveying content.',
+    "file alt": "Alt text looks like a filename, not a description.",
+    "graphic": "Graphic needs a text long-description (trend, axes, takeaway).",
+    "no h1": "Page has no <h1> — add a top-level heading.",
+    "icon": "Icon control with no discernible name.",
+    "captions": " lacks captions/transcript",
+    "player": "Embedded video (captions live in the player)",
+    "non-img": " non-<img> image(s) (SVG / canvas / CSS background) need a text alternative.",
+    "no label": " form field(s) still need a human-written label.",
+}
+# Names given to elements.
+LABELS = {
+    "image": "Image — description needed", "graphic": "Graphic — data description needed", "button": "Button — label needed", "nav": "Main navigation", "breadcrumb": "Breadcrumb",
+    "clear": "Clear search", "close": "Close", "pager": "Pagination", "next": "Next page", "prev": "Previous page", "results": "Search results", "help": "Help and support",
+    "collection": "Search within this collection", "library": "Search the whole library", "section": "Search this section", "locked": " — sign in to use this feature", "video": "Embedded video",
+}
+
+#: Fields of an element.
+FIELDS = "id parent prev end depth ix tag attrs up t0 tn seen".split()
+
+_numbers = itertools.count()
+
+
+class Kept(Column):
+    """An expression that is worked out once a page and then read as a column."""
+
+    def __init__(self, of: Column):
+        super().__init__(f"`__k{next(_numbers)}`")
+        self.of = of
+
+
 Changes = Callable[[Column], Column]
 
 
@@ -106,7 +165,7 @@ def name_from_file(href: Column) -> Column:
 
 def link_name(x: Column) -> Column:
     """What a file link is called: its text without a trailing note, or the file's name where the text is generic."""
-    label = F.coalesce(F.when(x["text"] != "", x["text"]), F.when(attr(x, "aria-label") != "", attr(x, "aria-label")), F.lit("File"))
+    label = F.coalesce(F.nullif(text_of(x), F.lit("")), F.when(attr(x, "aria-label") != "", attr(x, "aria-label")), F.lit("File"))
     name = F.regexp_replace(label, r"(?i)\s*\((opens|pdf|docx|word|download).*?\)\s*$", "")
     generic = F.trim(name).rlike(r"(?i)^(here|click here|click|read more|more|link|this|download|view|view here|open)$")
     base = name_from_file(attr(x, "href"))
@@ -123,11 +182,12 @@ def icon_label(text: Column) -> Column:
 
 @dataclass
 class Step:
-    """What a rule found on a page: ``found`` elements, the changes of one, and entries from the whole page."""
+    """What a rule found on a page: the changes, entries from the whole page, how many, and what these read as columns."""
 
     changes: Column
     entries: Column
     n: Column
+    kept: list[Kept] = field(default_factory=list)
 
 
 def _each(found: Column, of: Changes) -> Column:
@@ -139,7 +199,7 @@ def _nodes(test: Callable[[Column], Column]) -> Column:
 
 
 def file_links() -> Step:
-    found = _nodes(lambda x: (x["tag"] == "a") & has_attr(x, "href") & file_type(file_extension(attr(x, "href"))).isNotNull() & ~_marked(x, "ACC1"))
+    found = Kept(_nodes(lambda x: (x["tag"] == "a") & has_attr(x, "href") & file_type(file_extension(attr(x, "href"))).isNotNull() & ~_marked(x, "ACC1")))
 
     def of(x: Column) -> Column:
         size = F.when(filled(attr(x, "data-size")), human_size(attr(x, "data-size").try_cast("double")))
@@ -149,7 +209,7 @@ def file_links() -> Step:
         return _sets(x, aria_label=name, rel=F.when(new & ~rel.contains("noopener"), F.trim(F.concat(rel, F.lit(" noopener")))), **{MARK: _mark(x, "ACC1")})
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, " file link(s) labelled with format/size + inline view added.")), n)
+    return Step(_each(found, of), _entries(_fix(n, FIXES["file-links"])), n, [found])
 
 
 def _filename_alt(alt: Column) -> Column:
@@ -158,24 +218,24 @@ def _filename_alt(alt: Column) -> Column:
 
 def images_alt() -> Step:
     def decorative(x: Column) -> Column:
-        link = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter("nodes", lambda y: (y["tag"] == "a") & (y["id"] < x["id"]) & (y["end"] >= x["id"])), lambda y: y["text"])), -1)
+        link = text_of(node(F.get(F.reverse(F.filter(x["up"], lambda u: node(u)["tag"] == "a")), F.lit(0))))
         return filled(link) | pixels(x, "width").between(1, 24)
 
     kind = lambda x: F.when(attr(x, "alt").isNull(), F.when(decorative(x), "aside").otherwise("missing")).when(F.trim(attr(x, "alt")) == "", F.when(~decorative(x) & (pixels(x, "width") >= 150) & (pixels(x, "height") >= 100) & (pixels(x, "width") * pixels(x, "height") >= 30000), "large")).when(_filename_alt(attr(x, "alt")), "file")
-    found = F.filter(F.transform(_nodes(lambda x: x["tag"] == "img"), lambda x: F.struct(x.alias("x"), kind(x).alias("k"))), lambda r: r["k"].isNotNull())
+    found = Kept(F.filter(F.transform(_nodes(lambda x: x["tag"] == "img"), lambda x: F.struct(x.alias("x"), kind(x).alias("k"))), lambda r: r["k"].isNotNull()))
 
     def of(r: Column) -> Column:
         x, k = r["x"], r["k"]
-        return _sets(x, alt=_if(k == "aside", ""), role=F.when(k == "aside", "presentation").when(k == "missing", "img"), aria_label=_if(k == "missing", "Image — description needed"), data_needs_alt=_if(k != "aside", "1"), **{MARK: F.when(k == "aside", _mark(x, "RED2")).otherwise(_mark(x, "ACC2"))})
+        return _sets(x, alt=_if(k == "aside", ""), role=F.when(k == "aside", "presentation").when(k == "missing", "img"), aria_label=_if(k == "missing", LABELS["image"]), data_needs_alt=_if(k != "aside", "1"), **{MARK: F.when(k == "aside", _mark(x, "RED2")).otherwise(_mark(x, "ACC2"))})
 
     def flag(r: Column) -> Column:
-        msg = F.when(r["k"] == "missing", "Image missing alt text — needs a human/AI description.").when(r["k"] == "large", 'Large image marked decorative (alt="") — confirm it is not conveying content.').when(r["k"] == "file", "Alt text looks like a filename, not a description.")
+        msg = F.when(r["k"] == "missing", FLAGS["no alt"]).when(r["k"] == "large", FLAGS["large"]).when(r["k"] == "file", FLAGS["file alt"])
         return F.struct(F.lit("flag").alias("kind"), F.lit(None).cast("bigint").alias("count"), msg.alias("msg"))
 
     flags = F.transform(F.filter(found, lambda r: r["k"] != "aside"), flag).cast(ENTRY)
     n = F.size(found)
-    summary = _entries(("fix", (n > 0).cast("int"), n, F.concat(n.cast("string"), F.lit(" image(s) reviewed; "), F.size(flags).cast("string"), F.lit(" need real descriptions."))))
-    return Step(_each(found, of), F.concat(flags, summary), n)
+    summary = _entries(("fix", (n > 0).cast("int"), n, F.replace(F.concat(n.cast("string"), F.lit(FIXES["images-alt"])), F.lit("{}"), F.size(flags).cast("string"))))
+    return Step(_each(found, of), F.concat(flags, summary), n, [found])
 
 
 def graphs() -> Step:
@@ -183,60 +243,61 @@ def graphs() -> Step:
 
     def test(x: Column) -> Column:
         asked = (x["tag"] == "canvas") | class_like(x, "chart", "graph", "plot", "visualization")
-        text_box = (F.length(x["text"]) > 200) | any_inside(x, lambda y: tag_in(y, "input", "select", "textarea", "a", "button"))
+        text_box = (F.length(text_of(x)) > 200) | any_inside(x, lambda y: tag_in(y, "input", "select", "textarea", "a", "button"))
         return asked & ~tag_in(x, "a", "button", "input", "select") & (plain(x) | ~text_box) & ~_marked(x, "ACC3")
 
-    found = _nodes(test)
+    found = Kept(_nodes(test))
 
     def of(x: Column) -> Column:
         drawn = tag_in(x, "svg", "canvas")
         slot = F.concat(F.lit("desc-"), x["id"].cast("string"))
-        return _sets(x, role=F.when(drawn | (~plain(x) & ~filled(attr(x, "role"))), "img"), aria_label=_if(drawn & ~has_name(x), "Graphic — data description needed"), aria_describedby=F.trim(F.concat(F.coalesce(attr(x, "aria-describedby"), F.lit("")), F.lit(" "), slot)), **{MARK: _mark(x, "ACC3"), "#insert": F.concat(F.lit("details#"), slot)})
+        return _sets(x, role=F.when(drawn | (~plain(x) & ~filled(attr(x, "role"))), "img"), aria_label=_if(drawn & ~has_name(x), LABELS["graphic"]), aria_describedby=F.trim(F.concat(F.coalesce(attr(x, "aria-describedby"), F.lit("")), F.lit(" "), slot)), **{MARK: _mark(x, "ACC3"), "#insert": F.concat(F.lit("details#"), slot)})
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(("flag", n, None, "Graphic needs a text long-description (trend, axes, takeaway)."), _fix(n, " graphic(s) given a role and a long-description slot.")), n)
+    return Step(_each(found, of), _entries(("flag", n, None, FLAGS["graphic"]), _fix(n, FIXES["graphs-longdesc"])), n, [found])
 
 
 def collection_items() -> Step:
     kids = lambda x: children(x, lambda y: classes(y).rlike("(?i)(card|item|result|tile|entry)"))
-    found = F.filter(F.transform(_nodes(lambda x: (class_like(x, "results", "collection", "grid") | (x["tag"] == "ul") & class_like(x, "items") | has_attr(x, "data-results")) & ~F.coalesce(attr(x, "role") == "list", F.lit(False))), lambda x: F.struct(x.alias("x"), kids(x).alias("kids"))), lambda r: F.size(r["kids"]) >= 2)
+    found = Kept(F.filter(F.transform(_nodes(lambda x: (class_like(x, "results", "collection", "grid") | (x["tag"] == "ul") & class_like(x, "items") | has_attr(x, "data-results")) & ~F.coalesce(attr(x, "role") == "list", F.lit(False))), lambda x: F.struct(x.alias("x"), kids(x).alias("kids"))), lambda r: F.size(r["kids"]) >= 2))
 
     def of(r: Column) -> Column:
         def kid(y: Column, i: Column) -> Column:
             title = first_inside(y, selector(TITLE))
-            name = F.concat(title["text"], F.lit(", item "), (i + 1).cast("string"), F.lit(" of "), F.size(r["kids"]).cast("string"))
+            name = F.concat(text_of(title), F.lit(", item "), (i + 1).cast("string"), F.lit(" of "), F.size(r["kids"]).cast("string"))
             return _sets(y, role="listitem", aria_label=F.when(~has_name(y), name))
 
         return F.concat(_sets(r["x"], role="list", **{MARK: _mark(r["x"], "ACC4")}), F.flatten(F.transform(r["kids"], kid)))
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, " collection/result group(s) exposed as named lists.")), n)
+    return Step(_each(found, of), _entries(_fix(n, FIXES["collection-items"])), n, [found])
 
 
 def disclosure() -> Step:
     test = selector(DISCLOSURE)
-    found = _nodes(lambda x: test(x) & (x["tag"] != "summary") & ~_marked(x, "ACC5"))
+    found = Kept(_nodes(lambda x: test(x) & (x["tag"] != "summary") & ~_marked(x, "ACC5")))
+    ids = Kept(F.transform("nodes", lambda y: F.coalesce(attr(y, "id"), F.lit(""))))
 
     def of(x: Column) -> Column:
         to = F.coalesce(*[F.when(filled(attr(x, a)), attr(x, a)) for a in ("data-target", "aria-controls", "href")])
-        named = F.get(F.filter("nodes", lambda y: to.startswith("#") & (attr(y, "id") == F.substring(to, 2, 1000))), F.lit(0))
-        target = F.coalesce(named, sibling(x, 1))
+        named = F.when(to.startswith("#") & (F.length(to) > 1), node(F.array_position(ids, F.substring(to, 2, 1000)).cast("int")))
+        target = F.coalesce(named, next_sibling(x))
         native = tag_in(x, "button", "a")
         panel = F.coalesce(F.when(filled(attr(target, "id")), attr(target, "id")), F.concat(F.lit("panel-"), target["id"].cast("string")))
         return _sets(x, role=_if(~native, "button"), tabindex=_if(~native & ~has_attr(x, "tabindex"), "0"), aria_expanded=F.coalesce(displayed(target) & target["id"].isNotNull(), F.lit(False)).cast("string"), aria_controls=F.when(target["id"].isNotNull(), panel), **{MARK: _mark(x, "ACC5")})
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, " disclosure control(s) given expand/collapse semantics.")), n)
+    return Step(_each(found, of), _entries(_fix(n, FIXES["disclosure"])), n, [found, ids])
 
 
 def _in_parent(x: Column, test: Callable[[Column], Column]) -> Column:
     """First element below the parent of ``x`` that meets ``test``."""
-    return F.get(F.flatten(F.transform(F.filter("nodes", lambda p: p["id"] == x["parent"]), lambda p: inside(p, test))), F.lit(0))
+    return first_inside(node(x["parent"]), test)
 
 
 def autocomplete() -> Step:
     test, listed = selector(SEARCH_BOX), selector(SUGGESTIONS)
-    found = F.filter(F.transform(_nodes(lambda x: test(x) & ~_marked(x, "ACC6")), lambda x: F.struct(x.alias("x"), _in_parent(x, listed).alias("to"))), lambda r: r["to"].isNotNull())
+    found = Kept(F.filter(F.transform(_nodes(lambda x: test(x) & ~_marked(x, "ACC6")), lambda x: F.struct(x.alias("x"), _in_parent(x, listed).alias("to"))), lambda r: r["to"].isNotNull()))
 
     def of(r: Column) -> Column:
         x, to = r["x"], r["to"]
@@ -244,89 +305,90 @@ def autocomplete() -> Step:
         return F.concat(_sets(x, role="combobox", aria_autocomplete="list", aria_expanded="false", aria_controls=name, **{MARK: _mark(x, "ACC6")}), _sets(to, role="listbox"))
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, " search field(s) wired as accessible comboboxes.")), n)
+    return Step(_each(found, of), _entries(_fix(n, FIXES["autocomplete"])), n, [found])
 
 
 def landmarks() -> Step:
-    first = lambda s: F.get(_nodes(selector(s)), F.lit(0))
-    skip = F.exists("nodes", selector("a[href='#page-main'], a.skip-link"))
+    first = lambda s: Kept(F.get(_nodes(selector(s)), F.lit(0)))
+    skip = Kept(F.exists("nodes", selector("a[href='#page-main'], a.skip-link")))
     main, other, body = first("main, [role='main']"), first("#content, .content, #main, article"), first("body")
     target = F.coalesce(main, other, body)
     put = ~skip & target["id"].isNotNull()
     made = F.when(put, F.concat(_sets(target, role=_if(main.isNull() & other.isNotNull(), "main"), **{"#insert": "a.skip-link"}))).otherwise(F.array().cast(CHANGE))
-    navs = F.filter(F.transform(_nodes(lambda x: x["tag"] == "nav"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda r: ~filled(attr(r["x"], "aria-label")) & ~filled(attr(r["x"], "aria-labelledby")))
+    navs = Kept(F.filter(F.transform(_nodes(lambda x: x["tag"] == "nav"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda r: ~filled(attr(r["x"], "aria-label")) & ~filled(attr(r["x"], "aria-labelledby"))))
 
     def of(r: Column) -> Column:
         head = first_inside(r["x"], lambda y: tag_in(y, "h1", "h2", "h3"))
-        return _sets(r["x"], aria_label=F.when(head["id"].isNotNull(), head["text"]).when(r["i"] == 0, "Main navigation").otherwise(F.concat(F.lit("Navigation "), (r["i"] + 1).cast("string"))), **{MARK: _mark(r["x"], "COM1")})
+        return _sets(r["x"], aria_label=F.when(head["id"].isNotNull(), text_of(head)).when(r["i"] == 0, LABELS["nav"]).otherwise(F.concat(F.lit("Navigation "), (r["i"] + 1).cast("string"))), **{MARK: _mark(r["x"], "COM1")})
 
     n = F.size(navs) + put.cast("int")
     bare = ~F.exists("nodes", lambda x: x["tag"] == "h1")
-    entries = _entries(("flag", bare.cast("int"), None, "Page has no <h1> — add a top-level heading."), ("fix", (n > 0).cast("int"), n, "Structure landmarks/skip link added and navigation labelled."))
-    return Step(F.concat(made, _each(navs, of)), entries, n)
+    entries = _entries(("flag", bare.cast("int"), None, FLAGS["no h1"]), ("fix", (n > 0).cast("int"), n, FIXES["landmarks"]))
+    return Step(F.concat(made, _each(navs, of)), entries, n, [skip, main, other, body, navs])
 
 
 def filter_groups() -> Step:
     box = selector("input[type='checkbox'], input[type='radio']")
-    found = _nodes(lambda x: (class_like(x, "filter", "facet") | (x["tag"] == "fieldset")) & ~_marked(x, "COM2") & (F.size(inside(x, box)) >= 2))
+    found = Kept(_nodes(lambda x: (class_like(x, "filter", "facet") | (x["tag"] == "fieldset")) & ~_marked(x, "COM2") & (F.size(inside(x, box)) >= 2)))
 
     def of(x: Column) -> Column:
         head = first_inside(x, selector("legend, h2, h3, h4, [class*='title'], [class*='label']"))
         bare = ~filled(attr(x, "aria-label")) & ~filled(attr(x, "aria-labelledby"))
-        return _sets(x, role=_if((x["tag"] != "fieldset") & (F.coalesce(attr(x, "role"), F.lit("")) != "group"), "group"), aria_label=F.when(bare, F.concat(F.coalesce(head["text"], F.lit("Filter")), F.lit(" filter"))), **{MARK: _mark(x, "COM2")})
+        return _sets(x, role=_if((x["tag"] != "fieldset") & (F.coalesce(attr(x, "role"), F.lit("")) != "group"), "group"), aria_label=F.when(bare, F.concat(F.coalesce(text_of(head), F.lit("Filter")), F.lit(" filter"))), **{MARK: _mark(x, "COM2")})
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, " filter group(s) labelled with change announcements.")), n)
+    return Step(_each(found, of), _entries(_fix(n, FIXES["filter-groups"])), n, [found])
 
 
 def result_relevance() -> Step:
     test, title = selector(RESULT), selector(TITLE)
-    found = _nodes(lambda x: test(x) & ~has_attr(x, "data-result-named") & any_inside(x, title))
+    found = Kept(_nodes(lambda x: test(x) & ~has_attr(x, "data-result-named") & any_inside(x, title)))
 
     def of(x: Column) -> Column:
-        part = lambda s: F.nullif(first_inside(x, selector(s))["text"], F.lit(""))
+        part = lambda s: F.nullif(text_of(first_inside(x, selector(s))), F.lit(""))
         name = F.concat_ws(". ", part(TITLE), part("[class*='format'], [class*='type'], [class*='badge']"), F.nullif(F.substring(part("p, [class*='desc'], [class*='snippet'], [class*='abstract']"), 1, 120), F.lit("")))
         return _sets(x, aria_label=F.when((name != "") & ~has_name(x), name), data_result_named="1", **{MARK: _mark(x, "EVA1")})
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, " result(s) given descriptive names for relevance judging.")), n)
+    return Step(_each(found, of), _entries(_fix(n, FIXES["result-relevance"])), n, [found])
 
 
 def clear_search() -> Step:
     test, clear = selector(CLEARABLE), selector(CLEAR)
     found = F.filter(F.transform(_nodes(test), lambda x: _in_parent(x, clear)), lambda y: y.isNotNull() & ~_marked(y, "EXE1"))
-    found = F.transform(F.array_distinct(F.transform(found, lambda y: y["id"])), lambda k: F.get(F.filter("nodes", lambda y: y["id"] == k), F.lit(0)))
+    found = Kept(F.transform(F.array_distinct(F.transform(found, lambda y: y["id"])), lambda k: node(k)))
 
     def of(y: Column) -> Column:
         native = y["tag"] == "button"
-        return _sets(y, role=_if(~native, "button"), tabindex=_if(~native & ~has_attr(y, "tabindex"), "0"), aria_label=_if(~has_name(y), "Clear search"), **{MARK: _mark(y, "EXE1")})
+        return _sets(y, role=_if(~native, "button"), tabindex=_if(~native & ~has_attr(y, "tabindex"), "0"), aria_label=_if(~has_name(y), LABELS["clear"]), **{MARK: _mark(y, "EXE1")})
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, " clear-search control(s) made an accessible button.")), n)
+    return Step(_each(found, of), _entries(_fix(n, FIXES["clear-search"])), n, [found])
 
 
 def dialogs() -> Step:
     test = selector("[role='dialog'], [class*='modal'], [class*='lightbox'], [class*='overlay'], dialog")
-    found = _nodes(lambda x: test(x) & ~_marked(x, "EXE2") & displayed(x))
+    found = Kept(_nodes(lambda x: test(x) & ~_marked(x, "EXE2") & displayed(x)))
+    tops = Kept(_nodes(lambda y: F.coalesce(node(y["parent"])["tag"] == "body", F.lit(False))))
 
     def of(x: Column) -> Column:
         close = first_inside(x, selector(CLOSE))
-        around = F.filter("nodes", lambda y: F.exists("nodes", lambda b: (b["tag"] == "body") & (b["id"] == y["parent"])) & ~((y["id"] <= x["id"]) & (y["end"] >= x["id"])) & (F.coalesce(attr(y, MARK), F.lit("")) != "COM1"))
-        return F.concat(_sets(x, role=F.coalesce(F.when(filled(attr(x, "role")), attr(x, "role")), F.lit("dialog")), aria_modal="true", tabindex=_if(~has_attr(x, "tabindex"), "-1"), **{MARK: _mark(x, "EXE2")}), F.when(close["id"].isNotNull() & ~has_name(close), _sets(close, aria_label="Close")).otherwise(F.array().cast(CHANGE)), F.flatten(F.transform(around, lambda y: _sets(y, aria_hidden="true", data_inert="1"))))
+        around = F.filter(tops, lambda y: ~((y["id"] <= x["id"]) & (y["end"] >= x["id"])) & (F.coalesce(attr(y, MARK), F.lit("")) != "COM1"))
+        return F.concat(_sets(x, role=F.coalesce(F.when(filled(attr(x, "role")), attr(x, "role")), F.lit("dialog")), aria_modal="true", tabindex=_if(~has_attr(x, "tabindex"), "-1"), **{MARK: _mark(x, "EXE2")}), F.when(close["id"].isNotNull() & ~has_name(close), _sets(close, aria_label=LABELS["close"])).otherwise(F.array().cast(CHANGE)), F.flatten(F.transform(around, lambda y: _sets(y, aria_hidden="true", data_inert="1"))))
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, " open item/modal(s) given trap+Escape+focus return.")), n)
+    return Step(_each(found, of), _entries(_fix(n, FIXES["dialog-escape"])), n, [found, tops])
 
 
 def breadcrumbs() -> Step:
-    found = _nodes(lambda x: class_like(x, "breadcrumb") & (F.coalesce(attr(x, "role"), F.lit("")) != "navigation") & (x["tag"] != "nav") & ~any_above(x, lambda y: y["tag"] == "nav"))
+    found = Kept(_nodes(lambda x: class_like(x, "breadcrumb") & (F.coalesce(attr(x, "role"), F.lit("")) != "navigation") & (x["tag"] != "nav") & ~any_above(x, lambda y: y["tag"] == "nav")))
 
     def of(x: Column) -> Column:
         now = first_inside(x, selector("[class*='active'], [aria-current]"))
-        return F.concat(_sets(x, role="navigation", aria_label="Breadcrumb", **{MARK: _mark(x, "EXE3")}), F.when(now["id"].isNotNull(), _sets(now, aria_current="page")).otherwise(F.array().cast(CHANGE)))
+        return F.concat(_sets(x, role="navigation", aria_label=LABELS["breadcrumb"], **{MARK: _mark(x, "EXE3")}), F.when(now["id"].isNotNull(), _sets(now, aria_current="page")).otherwise(F.array().cast(CHANGE)))
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, " breadcrumb(s) landmarked for retracing.")), n)
+    return Step(_each(found, of), _entries(_fix(n, FIXES["back-affordance"])), n, [found])
 
 
 def icon_buttons() -> Step:
@@ -338,126 +400,130 @@ def icon_buttons() -> Step:
         words = [F.coalesce(attr(icon, "class"), classes(x)), classes(x), attr(x, "id"), F.coalesce(attr(icon, "id"), F.when(icon["id"].isNull(), attr(x, "id"))), attr(use, "href")]
         return F.concat_ws(" ", *words)
 
-    found = F.transform(_nodes(lambda x: test(x) & ~has_name(x) & ~_marked(x, "FIL1")), lambda x: F.struct(x.alias("x"), icon_label(hint(x)).alias("name")))
-    of = lambda r: _sets(r["x"], aria_label=F.coalesce(r["name"], F.lit("Button — label needed")), data_needs_name=_if(r["name"].isNull(), "1"), **{MARK: _mark(r["x"], "FIL1")})
+    found = Kept(F.transform(_nodes(lambda x: test(x) & ~has_name(x) & ~_marked(x, "FIL1")), lambda x: F.struct(x.alias("x"), icon_label(hint(x)).alias("name"))))
+    of = lambda r: _sets(r["x"], aria_label=F.coalesce(r["name"], F.lit(LABELS["button"])), data_needs_name=_if(r["name"].isNull(), "1"), **{MARK: _mark(r["x"], "FIL1")})
     n, bare = F.size(found), F.size(F.filter(found, lambda r: r["name"].isNull()))
-    return Step(_each(found, of), _entries(("flag", bare, None, "Icon control with no discernible name."), _fix(n, " icon-only control(s) given names.")), n)
+    return Step(_each(found, of), _entries(("flag", bare, None, FLAGS["icon"]), _fix(n, FIXES["icon-buttons"])), n, [found])
 
 
 def search_regions() -> Step:
     test = selector("form[role='search'], [role='search'], form[class*='search']")
-    every = F.transform(_nodes(test), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    found = F.when(F.size(every) >= 2, F.filter(every, lambda r: ~filled(attr(r["x"], "aria-label")))).otherwise(F.slice(every, 1, 0))
-    scope = lambda r: F.when(classes(r["x"]).rlike("(?i)collection|within|this"), "Search within this collection").when(classes(r["x"]).rlike("(?i)all|site|global") | (r["i"] == 0), "Search the whole library").otherwise("Search this section")
+    every = Kept(F.transform(_nodes(test), lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    found = F.filter(every, lambda r: (F.size(every) >= 2) & ~filled(attr(r["x"], "aria-label")))
+    scope = lambda r: F.when(classes(r["x"]).rlike("(?i)collection|within|this"), LABELS["collection"]).when(classes(r["x"]).rlike("(?i)all|site|global") | (r["i"] == 0), LABELS["library"]).otherwise(LABELS["section"])
     n = F.size(found)
-    return Step(_each(found, lambda r: _sets(r["x"], role="search", aria_label=scope(r), **{MARK: _mark(r["x"], "FIL2")})), _entries(_fix(n, " search region(s) given distinct labels.")), n)
+    return Step(_each(found, lambda r: _sets(r["x"], role="search", aria_label=scope(r), **{MARK: _mark(r["x"], "FIL2")})), _entries(_fix(n, FIXES["search-regions"])), n, [every])
 
 
 def help_links() -> Step:
-    found = _nodes(lambda x: (x["tag"] == "a") & has_attr(x, "href") & (x["text"].rlike("(?i)help|faq|support|assist|how to") | attr(x, "href").rlike("(?i)help|faq|support")))
-    of = lambda x: _sets(x, aria_label=F.when(~filled(attr(x, "aria-label")), F.coalesce(F.nullif(x["text"], F.lit("")), F.lit("Help and support"))), **{MARK: _mark(x, "FIL3")})
+    found = Kept(_nodes(lambda x: (x["tag"] == "a") & has_attr(x, "href") & (text_of(x).rlike("(?i)help|faq|support|assist|how to") | attr(x, "href").rlike("(?i)help|faq|support"))))
+    of = lambda x: _sets(x, aria_label=F.when(~filled(attr(x, "aria-label")), F.coalesce(F.nullif(text_of(x), F.lit("")), F.lit(LABELS["help"]))), **{MARK: _mark(x, "FIL3")})
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, " help/support link(s) labelled for discoverability.")), n)
+    return Step(_each(found, of), _entries(_fix(n, FIXES["help-affordance"])), n, [found])
 
 
 def pagination() -> Step:
-    found = _nodes(lambda x: (class_like(x, "pagination", "pager") | (x["tag"] == "nav") & class_like(x, "page")) & ~_marked(x, "NAV2"))
+    found = Kept(_nodes(lambda x: (class_like(x, "pagination", "pager") | (x["tag"] == "nav") & class_like(x, "page")) & ~_marked(x, "NAV2")))
 
     def of(x: Column) -> Column:
         now = first_inside(x, selector("[class*='active'], [class*='current'], [aria-current]"))
         turn = lambda y: F.concat_ws(" ", classes(y), attr(y, "rel"))
         links = inside(x, lambda y: tag_in(y, "a", "button") & ~has_name(y))
-        named = F.flatten(F.transform(links, lambda y: _sets(y, aria_label=F.when(turn(y).rlike("(?i)next"), "Next page").when(turn(y).rlike("(?i)prev"), "Previous page"))))
-        return F.concat(_sets(x, role=_if(x["tag"] != "nav", "navigation"), aria_label=_if(~filled(attr(x, "aria-label")), "Pagination"), **{MARK: _mark(x, "NAV2")}), F.when(now["id"].isNotNull(), _sets(now, aria_current="page")).otherwise(F.array().cast(CHANGE)), named)
+        named = F.flatten(F.transform(links, lambda y: _sets(y, aria_label=F.when(turn(y).rlike("(?i)next"), LABELS["next"]).when(turn(y).rlike("(?i)prev"), LABELS["prev"]))))
+        return F.concat(_sets(x, role=_if(x["tag"] != "nav", "navigation"), aria_label=_if(~filled(attr(x, "aria-label")), LABELS["pager"]), **{MARK: _mark(x, "NAV2")}), F.when(now["id"].isNotNull(), _sets(now, aria_current="page")).otherwise(F.array().cast(CHANGE)), named)
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, " pager(s) landmarked with current-page + announcements.")), n)
+    return Step(_each(found, of), _entries(_fix(n, FIXES["pagination"])), n, [found])
 
 
 def results_status() -> Step:
-    found = F.slice(_nodes(selector(RESULTS)), 1, 1)
+    found = Kept(F.slice(_nodes(selector(RESULTS)), 1, 1))
+    jumps = Kept(F.exists("nodes", selector("a.skip-results")))
     item = selector(RESULT_ITEM)
     status = lambda x: ~any_inside(x, lambda y: has_attr(y, "data-results-status"))
-    skip = lambda x: ~F.exists("nodes", selector("a.skip-results"))
+    skip = lambda x: ~jumps
 
     def of(x: Column) -> Column:
         items = inside(x, item)
         many = F.size(items)
         text = F.when(many > 0, F.concat(many.cast("string"), F.lit(" results found"))).otherwise("No results found")
         places = F.flatten(F.transform(items, lambda y, i: _sets(y, **{"#insert": F.concat(F.lit("span: Result "), (i + 1).cast("string"), F.lit(" of "), many.cast("string"))})))
-        own = _sets(x, aria_label=_if(~filled(attr(x, "aria-label")), "Search results"), id=F.when(~filled(attr(x, "id")), "results-region"))
+        own = _sets(x, aria_label=_if(~filled(attr(x, "aria-label")), LABELS["results"]), id=F.when(~filled(attr(x, "id")), "results-region"))
         return F.concat(own, F.when(status(x), F.concat(_sets(x, **{"#insert": F.concat(F.lit("status: "), text)}), places)).otherwise(F.array().cast(CHANGE)), F.when(skip(x), _sets(x, **{"#insert": "a.skip-results"})).otherwise(F.array().cast(CHANGE)))
 
     n = F.coalesce(F.get(F.transform(found, lambda x: status(x).cast("int") + skip(x).cast("int")), F.lit(0)), F.lit(0))
-    return Step(_each(found, of), _entries(("fix", (n > 0).cast("int"), n, "Results status/heading/skip link + per-result position added.")), n)
+    return Step(_each(found, of), _entries(("fix", (n > 0).cast("int"), n, FIXES["results-status"])), n, [found, jumps])
 
 
 def item_navigation() -> Step:
     control = selector(PAGE_CONTROL)
-    found = _nodes(lambda x: class_like(x, "viewer", "reader", "pageview") & any_inside(x, control))
+    found = Kept(_nodes(lambda x: class_like(x, "viewer", "reader", "pageview") & any_inside(x, control)))
 
     def of(x: Column) -> Column:
-        named = F.transform(inside(x, control), lambda c: _sets(c, aria_label=F.when(~has_name(c), F.when(classes(c).rlike("(?i)next"), "Next page").otherwise("Previous page"))))
+        named = F.transform(inside(x, control), lambda c: _sets(c, aria_label=F.when(~has_name(c), F.when(classes(c).rlike("(?i)next"), LABELS["next"]).otherwise(LABELS["prev"]))))
         return F.concat(_sets(x, **{MARK: _mark(x, "NAV4")}), F.flatten(named))
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, " item viewer(s) given labelled page controls.")), n)
+    return Step(_each(found, of), _entries(_fix(n, FIXES["within-item-nav"])), n, [found])
 
 
 def authorized_features() -> Step:
-    found = _nodes(lambda x: class_like(x, "locked", "disabled", "premium", "auth-required") & ~_marked(x, "RED4"))
+    found = Kept(_nodes(lambda x: class_like(x, "locked", "disabled", "premium", "auth-required") & ~_marked(x, "RED4")))
     n = F.size(found)
-    return Step(_each(found, lambda x: _sets(x, aria_disabled="true", **{MARK: _mark(x, "RED4"), "#insert": "span:  — sign in to use this feature"})), _entries(_fix(n, " restricted control(s) marked with reason.")), n)
+    return Step(_each(found, lambda x: _sets(x, aria_disabled="true", **{MARK: _mark(x, "RED4"), "#insert": f"span: {LABELS['locked']}"})), _entries(_fix(n, FIXES["authorized-features"])), n, [found])
 
 
 def media_captions(transcribes: bool = False) -> Step:
     caption = lambda y: (y["tag"] == "track") & F.coalesce(attr(y, "kind").isin("captions", "subtitles"), F.lit(False))
     player = selector(PLAYER)
-    media = _nodes(lambda x: tag_in(x, "video", "audio") & ~_marked(x, "MED1"))
+    media = Kept(_nodes(lambda x: tag_in(x, "video", "audio") & ~_marked(x, "MED1")))
     kind = lambda x: F.when(x["tag"] == "video", "Video").otherwise("Audio")
     bare = F.filter(media, lambda x: ~any_inside(x, caption))
-    frames = _nodes(lambda x: player(x) & ~_marked(x, "MED1"))
+    frames = Kept(_nodes(lambda x: player(x) & ~_marked(x, "MED1")))
     changes = F.concat(
         _each(media, lambda x: _sets(x, aria_label=F.when(~has_name(x), F.concat(kind(x), F.lit(" player"))), **{MARK: F.when(~any_inside(x, caption), _mark(x, "MED1"))})),
-        _each(frames, lambda x: _sets(x, title=_if(~has_name(x), "Embedded video"), **{MARK: _mark(x, "MED1")})),
+        _each(frames, lambda x: _sets(x, title=_if(~has_name(x), LABELS["video"]), **{MARK: _mark(x, "MED1")})),
     )
     one = F.lit(1).cast("bigint")
     entries = F.concat(
-        F.transform(bare, lambda x: F.struct(F.lit("fix" if transcribes else "flag").alias("kind"), one.alias("count"), F.concat(kind(x), F.lit(" lacks captions/transcript")).alias("msg"))).cast(ENTRY),
-        _entries(("flag", F.size(frames), one, "Embedded video (captions live in the player)")),
+        F.transform(bare, lambda x: F.struct(F.lit("fix" if transcribes else "flag").alias("kind"), one.alias("count"), F.concat(kind(x), F.lit(FLAGS["captions"])).alias("msg"))).cast(ENTRY),
+        _entries(("flag", F.size(frames), one, FLAGS["player"])),
     )
-    return Step(changes, entries, F.size(bare) + F.size(frames))
+    return Step(changes, entries, F.size(bare) + F.size(frames), [media, frames])
 
 
-def images_nontag() -> Step:
+def images_nontag(looked: int | None = None) -> Step:
+    """``looked``: how many elements of a page, at most, are looked at for background images; all where it is None."""
     big = lambda x: (pixels(x, "width") >= 48) & (pixels(x, "height") >= 48)
     done = lambda x: _marked(x, "ACC2")
     drawn = lambda x: tag_in(x, "svg", "canvas") & ~done(x) & ~_marked(x, "ACC3") & ~is_decorative(x) & ~explicit_name(x) & ((x["tag"] == "svg") & any_inside(x, lambda y: y["tag"] == "text") | big(x))
-    named = lambda x: has_name(x) | filled(first_inside(x, lambda y: y["tag"] == "title")["text"])
-    #: elements of a page that are looked at for background images
-    box = lambda x: (x["id"] <= 5000) & F.coalesce(attr(x, "style").rlike(r"(?i)background(-image)?\s*:[^;]*url\("), F.lit(False)) & ~tag_in(x, "img", "svg", "canvas", "script", "style", "body", "html") & ~done(x) & ~is_decorative(x) & ~named(x) & (F.length(x["text"]) <= 2) & big(x) & (pixels(x, "width") * pixels(x, "height") >= 8000)
-    found = _nodes(lambda x: drawn(x) | box(x))
+    named = lambda x: has_name(x) | filled(text_of(first_inside(x, lambda y: y["tag"] == "title")))
+    box = lambda x: (F.lit(True) if looked is None else x["id"] <= looked) & F.coalesce(attr(x, "style").rlike(r"(?i)background(-image)?\s*:[^;]*url\("), F.lit(False)) & ~tag_in(x, "img", "svg", "canvas", "script", "style", "body", "html") & ~done(x) & ~is_decorative(x) & ~named(x) & (F.length(text_of(x)) <= 2) & big(x) & (pixels(x, "width") * pixels(x, "height") >= 8000)
+    found = Kept(_nodes(lambda x: drawn(x) | box(x)))
     n = F.size(found)
     of = lambda x: _sets(x, data_needs_alt="1", role=F.when(~tag_in(x, "svg", "canvas"), F.coalesce(F.nullif(attr(x, "role"), F.lit("")), F.lit("img"))), **{MARK: _mark(x, "ACC2")})
-    return Step(_each(found, of), _entries(("flag", (n > 0).cast("int"), n, F.concat(n.cast("string"), F.lit(" non-<img> image(s) (SVG / canvas / CSS background) need a text alternative.")))), n)
+    return Step(_each(found, of), _entries(("flag", (n > 0).cast("int"), n, F.concat(n.cast("string"), F.lit(FLAGS["non-img"])))), n, [found])
 
 
 def form_fields() -> Step:
     skipped = lambda x: (x["tag"] == "input") & F.coalesce(F.lower(attr(x, "type")).isin("hidden", "submit", "button", "reset", "image"), F.lit(False))
 
+    ids = Kept(F.array_distinct(F.transform(_nodes(lambda y: (y["tag"] == "label") & filled(attr(y, "for")) & (text_of(y) != "")), lambda y: attr(y, "for"))))
+
     def labelled(x: Column) -> Column:
-        bound = F.exists("nodes", lambda y: (y["tag"] == "label") & F.coalesce(attr(y, "for") == attr(x, "id"), F.lit(False)) & (y["text"] != ""))
-        return has_name(x) | bound | any_above(x, lambda y: (y["tag"] == "label") & (y["text"] != ""))
+        bound = F.coalesce(F.array_contains(ids, attr(x, "id")), F.lit(False))
+        return has_name(x) | bound | any_above(x, lambda y: (y["tag"] == "label") & (text_of(y) != ""))
 
     def look(x: Column) -> Column:
         need = (has_attr(x, "required")) & (F.coalesce(attr(x, "aria-required"), F.lit("")) != "true")
-        beside = F.filter("nodes", lambda y: (y["tag"] == "label") & ~has_attr(y, "for") & (y["text"] != "") & (y["parent"] == x["parent"]) & (F.abs(y["ix"] - x["ix"]) == 1))
+        beside = F.filter(F.array(node(x["prev"]), next_sibling(x)), lambda y: (y["tag"] == "label") & ~has_attr(y, "for") & (text_of(y) != ""))
         label = F.when(~labelled(x) & filled(attr(x, "id")), F.get(beside, F.lit(0)))
         hint = F.when(~labelled(x) & label["id"].isNull(), F.nullif(F.trim(attr(x, "placeholder")), F.lit("")))
         bare = ~labelled(x) & label["id"].isNull() & hint.isNull()
         return F.struct(x.alias("x"), need.alias("need"), label.alias("label"), hint.alias("hint"), bare.alias("bare"))
 
-    found = F.transform(_nodes(lambda x: tag_in(x, "input", "select", "textarea") & ~skipped(x) & ~_marked(x, "FORM1")), look)
+    fields = F.transform(_nodes(lambda x: tag_in(x, "input", "select", "textarea") & ~skipped(x) & ~_marked(x, "FORM1")), look)
+    found = Kept(fields)
     number = lambda f: F.aggregate(found, F.lit(0), lambda a, r: a + f(r).cast("int"))
     fixes, flags = number(lambda r: r["need"].cast("int") + r["label"]["id"].isNotNull().cast("int") + r["hint"].isNotNull().cast("int")), number(lambda r: r["bare"])
 
@@ -467,8 +533,8 @@ def form_fields() -> Step:
         own = _sets(x, aria_required=_if(r["need"], "true"), aria_label=r["hint"], data_needs_label=_if(r["bare"], "1"), **{MARK: F.when(touched, _mark(x, "FORM1"))})
         return F.concat(own, F.when(r["label"]["id"].isNotNull(), _sets(r["label"], **{"for": attr(x, "id")})).otherwise(F.array().cast(CHANGE)))
 
-    entries = _entries(("fix", (fixes > 0).cast("int"), fixes, F.concat(fixes.cast("string"), F.lit(" form field(s) labelled or marked required."))), ("flag", (flags > 0).cast("int"), flags, F.concat(flags.cast("string"), F.lit(" form field(s) still need a human-written label."))))
-    return Step(_each(found, of), entries, fixes + flags)
+    entries = _entries(("fix", (fixes > 0).cast("int"), fixes, F.concat(fixes.cast("string"), F.lit(FIXES["form-fields"]))), ("flag", (flags > 0).cast("int"), flags, F.concat(flags.cast("string"), F.lit(FLAGS["no label"]))))
+    return Step(_each(found, of), entries, fixes + flags, [ids, found])
 
 
 BY_ID: dict[str, Callable[[], Step]] = dict(zip([r[0] for r in RULES], [
@@ -486,36 +552,56 @@ class Rule:
     pack: str = ""
 
 
+def _aligned(pages: DataFrame, changes: str) -> DataFrame:
+    """Adds ``__own``: for each element the changes of it, in order. Elements and changes are sorted together once, so the
+    work follows their number."""
+    pages = pages.withColumn("__at", SF.expr(f"array_sort(concat(transform(nodes, n -> named_struct('id', n.id, 'seq', -1)), transform({changes}, (c, i) -> named_struct('id', c.node_id, 'seq', i))))"))
+    pages = pages.withColumn("__p", SF.expr("filter(transform(__at, (s, i) -> if(s.seq < 0, i, null)), i -> i is not null)"))
+    own = f"filter(transform(slice(__at, __p[k] + 2, coalesce(get(__p, k + 1), size(__at)) - __p[k] - 1), s -> {changes}[s.seq]), c -> c.attr <> '#insert')"
+    return pages.withColumn("__own", SF.expr(f"transform(nodes, (n, k) -> {own})")).drop("__at", "__p")
+
+
+def _with_attrs(attrs: str) -> str:
+    """Elements with other attributes, where ``__own`` has changes; ``attrs`` may use ``n``, its changes ``own`` and their ``names``."""
+    fields = ", ".join(f"'{f}', n.`{f}`" if f != "attrs" else f"'attrs', {attrs}" for f in FIELDS)
+    made = f"transform(array(__own[k]), own -> transform(array(array_distinct(own.attr)), names -> named_struct({fields}))[0])[0]"
+    return f"transform(nodes, (n, k) -> if(size(__own[k]) > 0, {made}, n))"
+
+
+_LAST = "element_at(filter(own, c -> c.attr = a), -1).new"
+_MARKS = f"array_join(array_distinct(filter(concat(split(coalesce(n.attrs['{MARK}'], ''), ' '), transform(filter(own, c -> c.attr = '{MARK}'), c -> c.new)), m -> m <> '')), ' ')"
+_OTHERS = "map_filter(n.attrs, (a, v) -> not array_contains(names, a))"
+_SET = _with_attrs(f"map_concat({_OTHERS}, map_from_entries(transform(filter(names, a -> {_LAST} is not null), a -> struct(a, if(a = '{MARK}', {_MARKS}, {_LAST})))))")
+_FIRST = "own[array_position(own.attr, a) - 1].old"
+_UNSET = _with_attrs(f"map_concat({_OTHERS}, map_from_entries(transform(filter(names, a -> {_FIRST} is not null), a -> struct(a, {_FIRST}))))")
+
+
+def _with_kept(pages: DataFrame, kept: Iterable[Kept]) -> DataFrame:
+    """Kept expressions as columns; those that read others come after them."""
+    left = {k.text: k.of for k in kept}
+    while left:
+        now = {k for k, of in left.items() if not any(o in of.text for o in left if o != k)}
+        pages = pages.select("*", *[F.column(left[k]).alias(k.strip("`")) for k in left if k in now])
+        left = {k: of for k, of in left.items() if k not in now}
+    return pages
+
+
 def apply_rules(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add what the rules find to ``changes``, ``report`` and ``counts`` of each page, then set it on ``nodes``.
 
     The rules of one call see the same elements; where two set one attribute, the later wins, and marks add up.
     """
     keep = [c for c in pages.columns if c not in ("nodes", "changes", "report", "counts")]
-    found = pages.select("*", *[c.alias(f"__{k}{i}") for i, r in enumerate(rules) for k, c in (("c", r.step.changes), ("e", r.step.entries), ("n", r.step.n.cast("long")))])
-    old = lambda c: attr(F.get(F.filter("nodes", lambda n: n["id"] == c["node_id"]), F.lit(0)), c["attr"])
-
-    def log(i: int, r: Rule) -> Column:
-        return F.transform(f"__c{i}", lambda c: F.struct(c["node_id"].alias("node_id"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.code).alias("code"), c["attr"].alias("attr"), old(c).alias("old"), c["new"].alias("new"), F.lit(r.pack).alias("pack_id")))
-
-    def said(i: int, r: Rule) -> Column:
-        return F.transform(f"__e{i}", lambda e: F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.code).alias("code"), F.lit(r.level).alias("level"), e["kind"].alias("kind"), e["count"].alias("count"), e["msg"].alias("msg"), F.lit(r.pack).alias("pack_id")))
-
     each = list(enumerate(rules))
-    counted = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"__n{i}").alias("n")) for i, r in each])
-    out = found.select(*keep, "nodes", "changes", "report", "counts", F.concat(*[log(i, r) for i, r in each]).alias("__new"), F.concat(*[said(i, r) for i, r in each]).alias("__said"), counted.alias("__n"))
-
-    def update(n: Column) -> Column:
-        own = F.filter("__new", lambda c: (c["node_id"] == n["id"]) & (c["attr"] != "#insert"))
-        names = F.array_distinct(F.transform(own, lambda c: c["attr"]))
-        last = lambda a: F.element_at(F.filter(own, lambda c: c["attr"] == a), -1)["new"]
-        marks = F.array_distinct(F.filter(F.concat(F.split(F.coalesce(attr(n, MARK), F.lit("")), " "), F.transform(F.filter(own, lambda c: c["attr"] == MARK), lambda c: c["new"])), lambda m: m != ""))
-        value = lambda a: F.when(a == MARK, F.array_join(marks, " ")).otherwise(last(a))
-        new = F.map_from_entries(F.transform(F.filter(names, lambda a: last(a).isNotNull()), lambda a: F.struct(a, value(a))))
-        return F.when(F.size(own) > 0, n.withField("attrs", F.map_concat(F.map_filter(n["attrs"], lambda k, v: ~F.array_contains(names, k)), new))).otherwise(n)
-
-    nodes = F.when(F.size("__new") > 0, F.transform("nodes", update)).otherwise(F.col("nodes"))
-    return out.select(*keep, nodes.alias("nodes"), F.concat("changes", "__new").alias("changes"), F.concat("report", "__said").alias("report"), F.concat("counts", "__n").alias("counts"))
+    found = _with_kept(pages, [k for r in rules for k in r.step.kept])
+    found = found.select(*keep, "nodes", "changes", "report", "counts", *[F.column(c).alias(f"__{k}{i}") for i, r in each for k, c in (("c", r.step.changes), ("e", r.step.entries), ("n", r.step.n.cast("bigint")))])
+    q = lambda v: F.lit(v).text
+    log = [f"transform(__c{i}, c -> named_struct('node_id', c.node_id, 'rule_id', {q(r.rule_id)}, 'code', {q(r.code)}, 'attr', c.attr, 'old', nodes[c.node_id - 1].attrs[c.attr], 'new', c.new, 'pack_id', {q(r.pack)}))" for i, r in each]
+    said = [f"transform(__e{i}, e -> named_struct('rule_id', {q(r.rule_id)}, 'code', {q(r.code)}, 'level', {q(r.level)}, 'kind', e.kind, 'count', e.count, 'msg', e.msg, 'pack_id', {q(r.pack)}))" for i, r in each]
+    counted = [f"named_struct('rule_id', {q(r.rule_id)}, 'n', __n{i})" for i, r in each]
+    out = found.select(*keep, "nodes", "changes", SF.expr(f"concat({', '.join(log)})").alias("__new"), SF.expr(f"concat(report, {', '.join(said)})").alias("report"), SF.expr(f"concat(counts, array({', '.join(counted)}))").alias("counts"))
+    out = _aligned(out, "__new")
+    return out.select(*keep, SF.expr(_SET).alias("nodes"), SF.expr("concat(changes, __new)").alias("changes"), "report", "counts")
 
 
 #: Rules of one stage don't read what another of it sets; a stage ends at the given place in the order of rules.
@@ -524,15 +610,16 @@ STAGES = (3, 8, 12, 13, 17, 22)
 
 def prepared(parsed: DataFrame) -> DataFrame:
     """Pages with empty results, and the elements as they were in ``original``."""
-    empty = lambda t: F.array().cast(f"array<struct<{t}>>")
-    return parsed.select("page_id", "url", F.col("nodes").alias("original"), "nodes", empty("node_id:int,rule_id:string,code:string,attr:string,old:string,new:string,pack_id:string").alias("changes"), empty("rule_id:string,code:string,level:string,kind:string,count:bigint,msg:string,pack_id:string").alias("report"), empty("rule_id:string,n:bigint").alias("counts"))
+    empty = lambda t, c: SF.array().cast(f"array<struct<{t}>>").alias(c)
+    return parsed.select("page_id", "url", "bits", SF.col("nodes").alias("original"), "nodes", empty("node_id:int,rule_id:string,code:string,attr:string,old:string,new:string,pack_id:string", "changes"), empty("rule_id:string,code:string,level:string,kind:string,count:bigint,msg:string,pack_id:string", "report"), empty("rule_id:string,n:bigint", "counts"))
 
 
-def run_rules(parsed: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """All rules, or those of the given ids or codes, in order: ``(page_id, url, original, nodes, changes, report, counts)``."""
+def run_rules(parsed: DataFrame, only: list[str] | None = None, looked: int | None = None) -> DataFrame:
+    """All rules, or those of the given ids or codes, in order: ``(page_id, url, bits, original, nodes, changes, report,
+    counts)``. ``looked`` is for :func:`images_nontag`."""
     pages, start = prepared(parsed), 0
     for end in STAGES:
-        chosen = [Rule(r, c, level, BY_ID[r]()) for r, c, level, _, _ in RULES[start:end] if only is None or r in only or c in only]
+        chosen = [Rule(r, c, level, images_nontag(looked) if r == "images-nontag" else BY_ID[r]()) for r, c, level, _, _ in RULES[start:end] if only is None or r in only or c in only]
         pages, start = apply_rules(pages, chosen) if chosen else pages, end
     return pages
 
@@ -540,7 +627,7 @@ def run_rules(parsed: DataFrame, only: list[str] | None = None) -> DataFrame:
 def _rows(audited: DataFrame, array: str, place: str) -> DataFrame:
     """Items of an array with their places. The outer form, since the plain one makes the optimizer ask for non-empty arrays
     first, which would write every earlier rule into that condition again and again."""
-    return audited.select("page_id", F.posexplode_outer(array).alias(place, "e")).where("e is not null")
+    return audited.select("page_id", SF.posexplode_outer(array).alias(place, "e")).where("e is not null")
 
 
 def counts(audited: DataFrame) -> DataFrame:
@@ -560,19 +647,12 @@ def changes(audited: DataFrame) -> DataFrame:
 
 def undo_changes(audited: DataFrame) -> DataFrame:
     """Pages with every changed attribute back at its first old value; what had none loses the attribute."""
-    def back(n: Column) -> Column:
-        own = F.filter("changes", lambda c: (c["node_id"] == n["id"]) & (c["attr"] != "#insert"))
-        names = F.array_distinct(F.transform(own, lambda c: c["attr"]))
-        first = lambda a: F.get(F.filter(own, lambda c: c["attr"] == a), F.lit(0))["old"]
-        old = F.map_from_entries(F.transform(F.filter(names, lambda a: first(a).isNotNull()), lambda a: F.struct(a, first(a))))
-        return F.when(F.size(names) > 0, n.withField("attrs", F.map_concat(F.map_filter(n["attrs"], lambda k, v: ~F.array_contains(names, k)), old))).otherwise(n)
-
-    return audited.withColumn("nodes", F.transform("nodes", back))
+    return _aligned(audited, "changes").withColumn("nodes", SF.expr(_UNSET)).drop("__own")
 
 
 def touched_elements(audited: DataFrame) -> DataFrame:
     """``(page_id, node_id, codes, needs_content)`` of the elements that some rule marked."""
-    rows = _rows(audited, "nodes", "seq").withColumnRenamed("e", "n").where(has_attr(F.col("n"), MARK))
-    codes = F.array_sort(F.split(attr(F.col("n"), MARK), " "))
-    need = has_attr(F.col("n"), "data-needs-alt") | has_attr(F.col("n"), "data-needs-label") | F.exists(codes, lambda c: c.isin("ACC2", "ACC3", "COM3"))
-    return rows.select("page_id", F.col("n.id").alias("node_id"), codes.alias("codes"), need.alias("needs_content"))
+    rows = _rows(audited, "nodes", "seq").select("page_id", "e.id", "e.attrs").where(SF.col("attrs")[MARK].isNotNull())
+    codes = SF.array_sort(SF.split(SF.col("attrs")[MARK], " "))
+    need = SF.map_contains_key("attrs", "data-needs-alt") | SF.map_contains_key("attrs", "data-needs-label") | SF.exists(codes, lambda c: c.isin("ACC2", "ACC3", "COM3"))
+    return rows.select("page_id", SF.col("id").alias("node_id"), codes.alias("codes"), need.alias("needs_content"))

@@ -5,37 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dims import RULES
 from ..operators import detectors, packs, rules, scoring
 from ..sources import pages as source
 from ..sources.shapes import table
 
 _HEAD = "<html><head><title>t</title></head><body>"
 
-# For each rule the body of a page with its defect, and what the report says then: (kind, count, message).
-DEFECTS: dict[str, tuple[str, list[tuple[str, int | None, str]]]] = {
-    "file-links": ("<a href='/f/Annual_Report.pdf' data-size='2048' target='_blank'>here</a>", [("fix", 1, "1 file link(s) labelled with format/size + inline view added.")]),
-    "images-alt": ("<img src='a.png'><img src='b.png' alt='IMG_01.jpg'><img src='c.png' alt='A red barn'>", [("flag", None, "Image missing alt text — needs a human/AI description."), ("flag", None, "Alt text looks like a filename, not a description."), ("fix", 2, "2 image(s) reviewed; 2 need real descriptions.")]),
-    "graphs-longdesc": ("<div class='chart'>Sales</div>", [("flag", None, "Graphic needs a text long-description (trend, axes, takeaway)."), ("fix", 1, "1 graphic(s) given a role and a long-description slot.")]),
-    "collection-items": ("<div class='collection'><p class='card'>a</p><p class='card'>b</p></div>", [("fix", 1, "1 collection/result group(s) exposed as named lists.")]),
-    "disclosure": ("<div class='accordion'><b class='header'>More</b><div>Body</div></div>", [("fix", 1, "1 disclosure control(s) given expand/collapse semantics.")]),
-    "autocomplete": ("<div><input type='search' aria-label='q'><ul></ul></div>", [("fix", 1, "1 search field(s) wired as accessible comboboxes.")]),
-    "landmarks": ("<nav>a</nav>", [("flag", None, "Page has no <h1> — add a top-level heading."), ("fix", 2, "Structure landmarks/skip link added and navigation labelled.")]),
-    "filter-groups": ("<div class='facet'><input type='checkbox' aria-label='a'><input type='radio' aria-label='b'></div>", [("fix", 1, "1 filter group(s) labelled with change announcements.")]),
-    "result-relevance": ("<div class='result-item'><h2>One</h2><p>text</p></div>", [("fix", 1, "1 result(s) given descriptive names for relevance judging.")]),
-    "clear-search": ("<div><input name='search' aria-label='q'><span class='clear'>×</span></div>", [("fix", 1, "1 clear-search control(s) made an accessible button.")]),
-    "dialog-escape": ("<div class='modal'>open</div><p>behind</p><div class='modal' style='display: none'>shut</div>", [("fix", 1, "1 open item/modal(s) given trap+Escape+focus return.")]),
-    "back-affordance": ("<div class='breadcrumb'><b class='active'>Now</b></div><nav><p class='breadcrumb'>in</p></nav>", [("fix", 1, "1 breadcrumb(s) landmarked for retracing.")]),
-    "icon-buttons": ("<button class='fa-search'></button><button class='z'></button>", [("flag", None, "Icon control with no discernible name."), ("fix", 2, "2 icon-only control(s) given names.")]),
-    "search-regions": ("<form role='search'>a</form><form class='search'>b</form>", [("fix", 2, "2 search region(s) given distinct labels.")]),
-    "help-affordance": ("<a href='/faq'>Ask</a>", [("fix", 1, "1 help/support link(s) labelled for discoverability.")]),
-    "pagination": ("<div class='pager'><a class='next' href='?2'></a></div>", [("fix", 1, "1 pager(s) landmarked with current-page + announcements.")]),
-    "results-status": ("<div id='results'><p>none</p></div>", [("fix", 2, "Results status/heading/skip link + per-result position added.")]),
-    "within-item-nav": ("<div class='viewer'><b class='page-next'>→</b></div>", [("fix", 1, "1 item viewer(s) given labelled page controls.")]),
-    "authorized-features": ("<b class='locked'>x</b>", [("fix", 1, "1 restricted control(s) marked with reason.")]),
-    "media-captions": ("<video src='v'></video><audio src='a'></audio><video><track kind='captions'></video>", [("flag", 1, "Video lacks captions/transcript"), ("flag", 1, "Audio lacks captions/transcript")]),
-    "images-nontag": ("<svg width='360' height='120'></svg><canvas width='16' height='16'></canvas><div style='width:600px;height:200px;background:url(a.png)'></div>", [("flag", 2, "2 non-<img> image(s) (SVG / canvas / CSS background) need a text alternative.")]),
-    "form-fields": ("<label>Name <input required></label><input placeholder='City'><input><input type='submit'>", [("fix", 2, "2 form field(s) labelled or marked required."), ("flag", 1, "1 form field(s) still need a human-written label.")]),
+# For each rule the body of a page with its defect.
+DEFECTS = {
+    "file-links": "<a href='/f/Annual_Report.pdf' data-size='2048' target='_blank'>here</a>",
+    "images-alt": "<img src='a.png'><img src='b.png' alt='IMG_01.jpg'><img src='c.png' alt='A red barn'>",
+    "graphs-longdesc": "<div class='chart'>Sales</div>",
+    "collection-items": "<div class='collection'><p class='card'>a</p><p class='card'>b</p></div>",
+    "disclosure": "<div class='accordion'><b class='header'>More</b><div>Body</div></div>",
+    "autocomplete": "<div><input type='search' aria-label='q'><ul></ul></div>",
+    "landmarks": "<nav>a</nav>",
+    "filter-groups": "<div class='facet'><input type='checkbox' aria-label='a'><input type='radio' aria-label='b'></div>",
+    "result-relevance": "<div class='result-item'><h2>One</h2><p>text</p></div>",
+    "clear-search": "<div><input name='search' aria-label='q'><span class='clear'>×</span></div>",
+    "dialog-escape": "<div class='modal'>open</div><p>behind</p><div class='modal' style='display: none'>shut</div>",
+    "back-affordance": "<div class='breadcrumb'><b class='active'>Now</b></div><nav><p class='breadcrumb'>in</p></nav>",
+    "icon-buttons": "<button class='fa-search'></button><button class='z'></button>",
+    "search-regions": "<form role='search'>a</form><form class='search'>b</form>",
+    "help-affordance": "<a href='/faq'>Ask</a>",
+    "pagination": "<div class='pager'><a class='next' href='?2'></a></div>",
+    "results-status": "<div id='results'><p>none</p></div>",
+    "within-item-nav": "<div class='viewer'><b class='page-next'>→</b></div>",
+    "authorized-features": "<b class='locked'>x</b>",
+    "media-captions": "<video src='v'></video><audio src='a'></audio><video><track kind='captions'></video>",
+    "images-nontag": "<svg width='360' height='120'></svg><canvas width='16' height='16'></canvas><div style='width:600px;height:200px;background:url(a.png)'></div>",
+    "form-fields": "<label>Name <input required></label><input placeholder='City'><input><input type='submit'>",
 }
 
 
@@ -46,31 +45,12 @@ def _planted(spark: SparkSession, d: str, bodies: list[str], every: int = 1) ->
     return table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://lib"), (F.col("p_partkey") % 40).cast("string")).alias("url"), html.alias("html"))
 
 
-def _rule_query(ix: int):
-    rule_id, code, level, _, _ = RULES[ix]
-
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        parsed = source.parse_pages(_planted(spark, d, [DEFECTS[rule_id][0]], 3))
-        return rules.audit_report(rules.run_rules(parsed, [rule_id])).where(F.col("rule_id") == rule_id).select("page_id", "code", "level", "kind", F.coalesce("count", F.lit(-1)).cast("long").alias("count"), "msg")
-
-    return query
-
-
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _rule_sql(ix: int) -> str:
-    rule_id, code, level, _, _ = RULES[ix]
-    rows = ", ".join(f"({_q(k)}, {-1 if n is None else n}, {_q(m)})" for k, n, m in DEFECTS[rule_id][1])
-    out = f"select p_partkey as page_id, {_q(code)} as code, {_q(level)} as level, kind, count::bigint as count, msg from part, (values {rows}) e(kind, count, msg) where p_partkey % 3 = 0"
-    if rule_id == "landmarks":  # every page lacks a skip link
-        out += " union all select p_partkey, 'COM1', 'A', 'fix', 1, 'Structure landmarks/skip link added and navigation labelled.' from part where p_partkey % 3 <> 0"
-    return out
-
-
 def _all_planted(spark: SparkSession, d: str) -> DataFrame:
-    return rules.run_rules(source.parse_pages(_planted(spark, d, [b for b, _ in DEFECTS.values()])))
+    return rules.run_rules(source.parse_pages(_planted(spark, d, list(DEFECTS.values()))))
 
 
 def planted_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +115,7 @@ def packs_status(spark: SparkSession, d: str) -> DataFrame:
     return packs.packs_status(packs.bundled_packs(spark), packs.pack_matches(_pack_pages(spark, d), packs.BUNDLED)).select("id", "pages", "rules", "source")
 
 
-QUERIES = {f"planted_{r[0].replace('-', '_')}": _rule_query(i) for i, r in enumerate(RULES)} | {
+QUERIES = {
     "planted_rule_counts": planted_counts,
     "undo_identity": undo_identity,
     "page_report": page_report,
@@ -148,9 +128,9 @@ QUERIES = {f"planted_{r[0].replace('-', '_')}": _rule_query(i) for i, r in enume
 
 _GOOD_VALUES = ", ".join(f"({_q(t)}, {_q(m)}, {n})" for t, m, n in _GOOD)
 _PACK_VALUES = ", ".join(f"({i}, {_q(p)}, {_q(c)}, {n}, {_q(m)})" for i, p, c, n, m in _PACK_ROWS)
-_HEADINGS = "'Structure landmarks/skip link added and navigation labelled.'"
+_HEADINGS = _q(rules.FIXES["landmarks"])
 
-ORACLE_SQL = {f"planted_{r[0].replace('-', '_')}": _rule_sql(i) for i, r in enumerate(RULES)} | {
+ORACLE_SQL = {
     "undo_identity": "select p_partkey as page_id, 0::bigint as node_id from part where false",
     "page_report": f"select page_id, 'COM1' as code, 'fix' as kind, 2::bigint as count, {_HEADINGS} as msg from pages",
     "page_links": """with l as (select page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '<a [^>]*href="[^"]*"[^>]*>[^<]*</a>')) as a from pages)

@@ -1,7 +1,8 @@
 """From page source to elements.
 
-A page becomes one row with an array of its elements in document order. Rules read that array with higher-order
-functions, so auditing moves no rows between tasks; :func:`page_nodes` gives the same as a relation.
+A page becomes one row with an array of its elements in document order and one of its pieces of text; an element says which
+pieces it holds. Rules read these arrays with higher-order functions, so auditing moves no rows between tasks;
+:func:`page_nodes` gives the same as a relation.
 """
 
 from __future__ import annotations
@@ -14,7 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NODE = "struct<id:int,parent:int,end:int,depth:int,ix:int,tag:string,attrs:map<string,string>,text:string,vis:string>"
+from ..functions.elements import text_of
+
+#: An element: its number in document order, its parent, previous sibling and last descendant (0 for none), the numbers of
+#: all above it, outermost first, its pieces of text, and whether some of that is a word and not hidden.
+NODE = "struct<id:int,parent:int,prev:int,end:int,depth:int,ix:int,tag:string,attrs:map<string,string>,up:array<int>,t0:int,tn:int,seen:boolean>"
+#: Elements that lie deeper are put beside each other, as browsers do; the markup may forget to close them.
+DEEPEST = 512
 
 # Fixed values of HTML: elements without content, and the open elements that a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +42,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.bits: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         ends, walls = CLOSES.get(tag, ()), WALLS.get(tag, {"button", "table"})
@@ -45,20 +53,21 @@ class _Tree(HTMLParser):
             elif t in walls:
                 break
         parent = self.open[-1] if self.open else -1
-        row = {"parent": parent, "tag": tag, "attrs": {k: v if v is not None else "" for k, v in reversed(attrs)}, "parts": [], "seen": [], "kids": 0, "depth": len(self.open), "ix": 0}
+        row = {"parent": parent, "prev": -1, "tag": tag, "attrs": {k: v if v is not None else "" for k, v in reversed(attrs)}, "up": list(self.open), "kids": 0, "last": -1, "depth": len(self.open), "ix": 0, "t0": len(self.bits), "tn": 0, "seen": False}
         row["hidden"] = row["attrs"].get("aria-hidden") == "true"
         if parent >= 0:
-            row["ix"] = self.rows[parent]["kids"]
-            self.rows[parent]["kids"] += 1
+            above = self.rows[parent]
+            row["ix"], row["prev"] = above["kids"], above["last"]
+            above["kids"], above["last"] = above["kids"] + 1, len(self.rows)
         self.rows.append(row)
-        if tag not in VOID:
+        if tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(len(self.rows) - 1)
         else:
             row["end"] = len(self.rows) - 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.rows[-1]["tag"] in ("svg", "path", "use", "circle", "rect", "line", "g"):
+        if self.open[-1:] == [len(self.rows) - 1] and tag in ("svg", "path", "use", "circle", "rect", "line", "g"):
             self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
@@ -68,54 +77,72 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        shown = True
-        for k in reversed(self.open):
-            row = self.rows[k]
-            row["parts"].append(data)
-            if shown:
-                row["seen"].append(data)
-            shown = shown and not row["hidden"]
+        bit = " ".join(data.split())
+        after = bool(self.bits) and self.bits[-1].endswith(" ")
+        if data[:1].isspace() and bit and not after:
+            bit = f" {bit}"
+        if data[-1:].isspace() and (bit or not after):
+            bit = f"{bit} "
+        if bit:
+            self.bits.append(bit)
+        if _WORD.search(data):
+            for k in reversed(self.open):
+                row = self.rows[k]
+                if row["seen"]:
+                    break
+                row["seen"] = True
+                if row["hidden"]:
+                    break
 
     def _close(self, i: int) -> None:
         for k in self.open[i:]:
-            self.rows[k]["end"] = len(self.rows) - 1
+            self.rows[k]["end"], self.rows[k]["tn"] = len(self.rows) - 1, len(self.bits) - self.rows[k]["t0"]
         del self.open[i:]
 
     def finish(self) -> list[dict]:
         self.close()
         self._close(0)
-        out = []
-        for k, r in enumerate(self.rows):
-            text, seen = (" ".join("".join(x).split()) for x in (r["parts"], r["seen"]))
-            vis = seen if _WORD.search(seen) else ""
-            out.append({"id": k + 1, "parent": r["parent"] + 1, "end": r["end"] + 1, "depth": r["depth"], "ix": r["ix"], "tag": r["tag"], "attrs": list(r["attrs"].items()), "text": text, "vis": vis})
-        return out
+        one = ("parent", "prev", "end", "t0")
+        same = ("depth", "ix", "tag", "tn", "seen")
+        return [{"id": k + 1, **{f: r[f] + 1 for f in one}, **{f: r[f] for f in same}, "attrs": list(r["attrs"].items()), "up": [u + 1 for u in r["up"]]} for k, r in enumerate(self.rows)]
 
 
-def parse_html(html: str) -> list[dict]:
+def parse_page(html: str) -> tuple[list[dict], list[str]]:
+    """Elements of one page and its pieces of text."""
     tree = _Tree()
     tree.feed(html)
-    return tree.finish()
+    return tree.finish(), tree.bits
+
+
+def parse_html(html: str) -> list[dict]:
+    """Elements with their ``text``, and ``vis``, that text where a word of it is not hidden."""
+    nodes, bits = parse_page(html)
+    for n in nodes:
+        n["text"] = "".join(bits[n["t0"] - 1 : n["t0"] - 1 + n["tn"]]).strip()
+        n["vis"] = n["text"] if n["seen"] else ""
+    return nodes
 
 
 def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page_id, url, nodes)``, one row per page; a null or empty source has no elements."""
-    fields = [("id", pa.int32()), ("parent", pa.int32()), ("end", pa.int32()), ("depth", pa.int32()), ("ix", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("vis", pa.string())]
+    """``(page_id, url, nodes, bits)``, one row per page; a null or empty source has no elements."""
+    int_ = pa.int32()
+    fields = [(n, int_) for n in ("id", "parent", "prev", "end", "depth", "ix")] + [("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("up", pa.list_(int_)), ("t0", int_), ("tn", int_), ("seen", pa.bool_())]
     kind = pa.list_(pa.struct(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 rows = b.slice(at, 64)
-                nodes = pa.array([parse_html(x or "") for x in rows.column(2).to_pylist()], kind)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), nodes], names=["page_id", "url", "nodes"])
+                nodes, bits = zip(*(parse_page(x or "") for x in rows.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(nodes, kind), pa.array(bits, pa.list_(pa.string()))], names=["page_id", "url", "nodes", "bits"])
 
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return own.mapInArrow(run, f"page_id long, url string, nodes array<{NODE}>")
+    return own.mapInArrow(run, f"page_id long, url string, nodes array<{NODE}>, bits array<string>")
 
 
 def page_nodes(parsed: DataFrame) -> DataFrame:
-    """One row per element: ``(page_id, node_id, parent_id, end_id, depth, child_ix, ancestors, tag, attrs, text, vis_name)``."""
-    above = F.expr("transform(filter(nodes, y -> y.id < n.id and y.end >= n.id), y -> y.id)")
-    rows = parsed.select("page_id", "nodes", F.explode("nodes").alias("n"))
-    return rows.select("page_id", F.col("n.id").alias("node_id"), F.col("n.parent").alias("parent_id"), F.col("n.end").alias("end_id"), "n.depth", F.col("n.ix").alias("child_ix"), above.alias("ancestors"), "n.tag", "n.attrs", "n.text", F.col("n.vis").alias("vis_name"))
+    """One row per element: ``(page_id, node_id, parent_id, end_id, depth, child_ix, ancestors, tag, attrs, text, vis_name)``;
+    ``vis_name`` is the text where a word of it is not hidden, else empty."""
+    rows = parsed.select("page_id", "bits", F.explode("nodes").alias("n"))
+    text = text_of(F.col("n"))
+    return rows.select("page_id", F.col("n.id").alias("node_id"), F.col("n.parent").alias("parent_id"), F.col("n.end").alias("end_id"), "n.depth", F.col("n.ix").alias("child_ix"), F.col("n.up").alias("ancestors"), "n.tag", "n.attrs", text.alias("text"), F.when(F.col("n.seen"), text).otherwise("").alias("vis_name"))

@@ -31,7 +31,7 @@ def test_selectors(spark):
 
 
 def test_rules_see_earlier_rules_and_undo(spark):
-    body = "".join(b for b, _ in DEFECTS.values())
+    body = "".join(DEFECTS.values())
     out = rules.run_rules(parse(spark, f"<html><body>{body}</body></html>", "")).cache()
     report = rules.audit_report(out).where("page_id = 0").collect()
     assert {r.rule_id for r in report} >= {"file-links", "images-alt", "icon-buttons", "form-fields", "media-captions"}
