@@ -39,15 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HOT_ROWS, HOT_KEYS = 2000, 10_000
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, key: str | list[str], many: str, total: int, how: str = "inner") -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, key: str | list[str], many: str, total: int, how: str = "inner", least: int = HOT_ROWS) -> DataFrame:
     """``rows`` joined with ``facts``, which has one row a key and in ``many`` how many of the ``total`` rows have it.
 
     Facts of hot keys are broadcast, so their rows stay where they are. There are HOT_KEYS of them at most, whatever the
     data: each has over ``total / HOT_KEYS`` of the rows. The rest is shuffled and merged, where no key has more rows than that;
     Spark's own choice, a broadcast of up to 10 MB for each of many joins, fills a small driver. ``how`` is inner or left;
-    ``many`` stays in the result.
+    keys of up to ``least`` rows are never hot; ``many`` stays in the result.
     """
-    bound = max(HOT_ROWS, -(-total // HOT_KEYS))
+    bound = max(least, -(-total // HOT_KEYS))
     hot = facts.where(F.col(many) > bound)
     if total <= bound or hot.isEmpty():
         return rows.join(facts.hint("merge"), key, how)
@@ -57,6 +57,8 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str | list[str], many: st
 
 #: Edges that a task of a round holds, about; a small graph needs no more tasks than its edges fill.
 EDGES_PER_TASK = 50_000
+#: Edges of one node that a task takes whatever the graph's size; nodes with more are hubs.
+HUB_EDGES = 200_000
 
 
 def _state(e: DataFrame) -> tuple:
@@ -78,14 +80,14 @@ def stars(edges: DataFrame) -> DataFrame:
     while now != before:
         tasks = -(-now[0] // EDGES_PER_TASK) or 1
         few = lambda df: df.coalesce(tasks)  # noqa: B023, E731
-        keep = cut if 2 * now[0] > HOT_ROWS else lambda df: df  # fewer edges have no hub to look for
+        keep = cut if 2 * now[0] > HUB_EDGES else lambda df: df  # fewer edges have no hub to look for
         e = few(e)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = keep(few(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))))
-        large = few(with_facts(both, least, "u", "n", 2 * now[0])).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = few(with_facts(both, least, "u", "n", 2 * now[0], least=HUB_EDGES)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = keep(few(large.where("u <> v").distinct()))
         down = keep(few(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))))
-        small = few(with_facts(large, down, "u", "n", now[0])).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = few(with_facts(large, down, "u", "n", now[0], least=HUB_EDGES)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = cut(few(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct()))
         before, now = now, _state(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
