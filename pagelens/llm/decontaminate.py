@@ -1,11 +1,12 @@
 """Benchmark decontamination: BM25 over test items with block-max bounds, then exact overlap of question and answer.
 
-Test items are the indexed side, since they are few; every passage of every training text is a query. An item longer
-than ``SEGMENT_WORDS`` is indexed in parts. A score is divided by what the part would score against itself, so one
-threshold holds for all. Items lie in blocks; for each term and block the index has the highest score the term can give
-there. A passage's sum of these bounds, block by block, says which blocks can reach the threshold; only their postings
-are read, which is WAND's pruning done for all passages of a batch at once. No passage is left out: the bound never
-falls below the score.
+Test items are the indexed side, since they are few; every passage of every training text is a query. Question and answer
+of an item are parts of their own, and one longer than ``SEGMENT_WORDS`` is several; either retrieves the item. A score is
+divided by what the part would score against itself, so one threshold holds for all. Parts lie in blocks; for each term and
+block the index has the highest score the term can give there, and where its postings of that block lie. A passage's sum of
+the terms' highest scores anywhere says whether it can reach the threshold at all; if so, its sums block by block say in
+which blocks, and only the postings of its terms in those are read: WAND's pruning, done for all passages of a batch at
+once. No passage is left out: a bound never falls below the score.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .words import NOT_WORD, shingle_numbers, text_slices, tidy, word_numbers
 K1, B = 1.2, 0.75
 #: Half a passage; passages begin every so many words and overlap by half.
 CELL_WORDS = 32
-#: Words of an indexed part at most.
-SEGMENT_WORDS = 48
+#: Words of an indexed part at most, and words of an answer at least to be one; a shorter one is found with its question.
+SEGMENT_WORDS, ANSWER_WORDS = 48, 5
 #: Share of a part's score against itself that a passage must reach.
 THRESHOLD = 0.5
 #: Items of one index, which is sent to every task; more items are searched in several passes.
@@ -69,13 +70,14 @@ class ItemIndex:
         self.item: list[int] = []
         self.ids = [i for i, _ in items]
         self.needed: list[list[tuple[int, np.ndarray]]] = []
-        for n, (words, (_, text)) in enumerate(zip(numbers_of([t for _, t in items]), items)):
-            self.needed.append([needed(x) for x in numbers_of(list(question_and_answer(text)))])
-            pieces = max(1, -(-len(words) // SEGMENT_WORDS))
-            for x in np.array_split(words, pieces):
-                if len(x):
-                    parts.append(x)
-                    self.item.append(n)
+        for n, (_, text) in enumerate(items):
+            both = numbers_of(list(question_and_answer(text)))
+            self.needed.append([needed(x) for x in both])
+            for words in both[: 2 if len(both[1]) >= ANSWER_WORDS else 1]:
+                for x in np.array_split(words, max(1, -(-len(words) // SEGMENT_WORDS))):
+                    if len(x):
+                        parts.append(x)
+                        self.item.append(n)
         mean = sum(map(len, parts)) / max(1, len(parts))
         held = Counter(t for x in parts for t in set(x.tolist()))
         self.terms = np.array(sorted(held), np.uint64)
@@ -91,16 +93,20 @@ class ItemIndex:
                 postings[place[t]].append((p, score / total))
         self.size = -(-max(1, len(parts)) // BLOCKS)
         self.bounds = np.zeros((len(self.terms) + 1, BLOCKS), np.float32)
-        self.start, self.part, self.score = np.zeros(len(self.terms) + 2, np.int64), [], []
+        # postings of a term by block: those of term t and block b lie from start[t, b] to start[t, b + 1]
+        self.start, self.part, self.score = np.zeros((len(self.terms) + 1, BLOCKS + 1), np.int64), [], []
         for t in range(len(self.terms)):
+            blocks = np.array([p // self.size for p, _ in postings[t]])
+            self.start[t] = len(self.part) + np.searchsorted(blocks, np.arange(BLOCKS + 1))
             for p, score in postings[t]:
                 b = p // self.size
                 self.bounds[t, b] = max(self.bounds[t, b], np.nextafter(np.float32(score), np.float32(2)))
                 self.part.append(p)
                 self.score.append(score)
-            self.start[t + 1] = len(self.part)
-        self.start[-1] = len(self.part)
         self.part, self.score = np.array(self.part, np.int64), np.array(self.score)
+        self.most = self.bounds.max(axis=1)
+        #: postings read so far, and those that the terms of the asked passages have in all
+        self.read = self.held = 0
         self.item = np.array(self.item, np.int64)
         self.table = np.full(1 << 18, len(self.terms), np.int32)
         self.table[(self.terms >> np.uint64(46)).astype(np.int64)] = np.arange(len(self.terms))
@@ -137,13 +143,10 @@ class ItemIndex:
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
         cell, term = key // (none + 1), key % (none + 1)
         edges = np.flatnonzero(np.diff(cell, prepend=-1))
-        sums = np.zeros((base[-1] + 1, BLOCKS), np.float32)
-        step = 100_000
-        for a in range(0, len(edges), step):
-            z = edges[a + step] if a + step < len(edges) else len(term)
-            sums[cell[edges[a : a + step]]] = np.add.reduceat(self.bounds[term[edges[a] : z]], edges[a : a + step] - edges[a], axis=0)
-        open_ = sums[:-1] + sums[1:] >= threshold * (1 - 1e-4)
-        asked = np.flatnonzero(open_.any(axis=1))
+        highest = np.zeros(base[-1] + 1, np.float32)
+        highest[cell[edges]] = np.add.reduceat(self.most[term], edges)
+        least = threshold * (1 - 1e-4)
+        asked = np.flatnonzero(highest[:-1] + highest[1:] >= least)
         out: dict[tuple[int, int], float] = {}
         for at in range(0, len(asked), 2000):
             some = asked[at : at + 2000]
@@ -151,11 +154,18 @@ class ItemIndex:
             each = np.repeat(np.arange(len(some)), high - low)
             own = term[_runs(low, high)]
             each, own = np.divmod(np.unique(each * (none + 1) + own), none + 1)
-            at_posting = _runs(self.start[own], self.start[own + 1])
-            each = np.repeat(each, self.start[own + 1] - self.start[own])
+            first = np.flatnonzero(np.diff(each, prepend=-1))
+            open_ = np.add.reduceat(self.bounds[own], first, axis=0) >= least
+            # each term of a passage with each block that is open for it
+            rank = np.repeat(np.arange(len(first)), np.diff(first, append=len(each)))
+            which, block = np.nonzero(open_[rank])
+            t = own[which]
+            a, z = self.start[t, block], self.start[t, block + 1]
+            at_posting = _runs(a, z)
+            self.read += len(at_posting)
+            self.held += int((self.start[own, -1] - self.start[own, 0]).sum())
             part = self.part[at_posting]
-            live = open_[some[each], part // self.size]  # postings of blocks that can't reach the threshold stay unread
-            score = np.bincount(each[live] * len(self.item) + part[live], self.score[at_posting[live]], minlength=0)
+            score = np.bincount(np.repeat(each[which], z - a) * len(self.item) + part, self.score[at_posting], minlength=0)
             hit = np.flatnonzero(score >= threshold)
             rows = np.searchsorted(base, some[hit // len(self.item)], "right") - 1
             for r, i, s in zip(rows.tolist(), self.item[hit % len(self.item)].tolist(), score[hit].tolist()):
@@ -172,11 +182,12 @@ def _runs(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 def overlaps(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, share: int = 75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Test items that training texts hold: one row per (document row, item).
 
-    Retrieved are the items for which any passage of the text scores at least ``threshold`` of the item's own score;
-    kept are those of which at least ``share`` hundredths of the distinct 5-word shingles of question and answer are in
-    the text. Returns ``(id, item, score, question_shingles, question_found, answer_shingles, answer_found)``; a part of
-    fewer than five words is one shingle of its own length. Null or empty texts and items without words match nothing; null ids are
-    kept as they are; repeated rows each give their rows; no items or no texts give no rows.
+    Retrieved are the items of which a part scores at least ``threshold`` of its own score in a passage of the text; kept are
+    those of which at least ``share`` hundredths of the distinct 5-word shingles of the question are in the text, and of those
+    of the answer. Texts of any length are read whole; a score of just the threshold, or just the share, counts.
+    Returns ``(id, item, score, question_shingles, question_found, answer_shingles, answer_found)``; a part of fewer than five
+    words is one shingle of its own length. Null or empty texts and items without words match nothing; null ids are kept as
+    they are; repeated rows each give their rows; no items or no texts give no rows; other columns are left out.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, score double, question_shingles long, question_found long, answer_shingles long, answer_found long"
@@ -224,7 +235,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], threshold: float, share
                             sets[r, k] = shingles(words[bounds[r] : bounds[r + 1]], k)
                         hits.append(int(np.isin(x, sets[r, k]).sum()))
                     (_, q), (_, a) = index.needed[i]
-                    if len(q) + len(a) and 100 * sum(hits) >= share * (len(q) + len(a)):
+                    if len(q) + len(a) and all(100 * h >= share * len(x) for h, x in zip(hits, (q, a))):
                         rows.append((at + r, i, score, len(q), hits[0], len(a), hits[1]))
                 if rows:
                     c = list(zip(*rows))

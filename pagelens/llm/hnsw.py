@@ -28,8 +28,9 @@ BEAMS, RECALL = (24, 48, 96, 192), 0.995
 AUDITED, PROBES = 64, 400
 #: Vectors of a shard at most, and shards of the vectors of one length, unless these are few.
 SHARD_VECTORS, SHARDS, FEW_VECTORS = 200_000, 6, 500
-#: Bytes of the queries of a task, and of the cosines of a scan at once.
-PART_BYTES, SCAN_BYTES = 128 << 20, 64 << 20
+#: Bytes of the queries of a task, at least and at most; within these, parts that the queries are dealt over. Bytes of the
+#: cosines of a scan at once.
+PART_BYTES, PARTS, SCAN_BYTES = (2 << 20, 128 << 20), 4, 64 << 20
 
 
 class Graph:
@@ -266,8 +267,12 @@ def _search(df: DataFrame, least: float, id_col: str, vector_col: str, shards: i
     # vectors of one length have shards and query parts of their own, as many as their number asks for
     most = F.col("m") / F.lit(float(SHARD_VECTORS))
     own_shards = F.lit(shards) if shards else F.when(F.col("m") <= FEW_VECTORS, 1).otherwise(F.greatest(F.lit(SHARDS), F.ceil(most).cast("int")))
-    sizes = classes.groupBy("d").agg(F.count("*").alias("m")).withColumn("shards", own_shards).withColumn("parts", F.ceil(F.col("m") * F.col("d") * 8 / F.lit(float(PART_BYTES))).cast("int"))
-    sized = with_facts(classes, cut(sizes), "d", "m", classes.count())
+    sizes = classes.groupBy("d").agg(F.count("*").alias("m")).withColumn("shards", own_shards)
+    asked_bytes = F.col("m") * F.col("d") * F.lit(8.0)
+    part_bytes = F.least(F.greatest(asked_bytes / PARTS, F.lit(float(PART_BYTES[0]))), F.lit(float(PART_BYTES[1])))
+    sizes = cut(sizes.withColumn("parts", F.ceil(asked_bytes / part_bytes).cast("int")))
+    count, graph_tasks, ask_tasks = sizes.agg(*[F.coalesce(F.sum(F.expr(c)), F.lit(0)) for c in ("m", "shards", "shards * parts")]).first()
+    sized = with_facts(classes, sizes, "d", "m", count)
     put = cut(sized.select("rep", "copies", "v", "d", "shards", "parts", F.pmod(F.xxhash64("rep", F.lit(1)), "shards").cast("int").alias("shard"), F.pmod(F.xxhash64("rep", F.lit(2)), "parts").cast("int").alias("part")))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -275,7 +280,7 @@ def _search(df: DataFrame, least: float, id_col: str, vector_col: str, shards: i
         held = unit(pdf["v"].tolist())
         return pd.DataFrame({"d": [key[0]], "shard": [key[1]], "parts": [int(pdf["parts"].iloc[0])], "graph": [Graph(held).dump()], "held": [held.tobytes()], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "many": [pdf["copies"].to_numpy(np.int64).tobytes()]})
 
-    graphs = cut(put.groupBy("d", "shard").applyInPandas(build, "d int, shard int, parts int, graph binary, held binary, reps binary, many binary"))
+    graphs = cut(put.repartition(max(1, graph_tasks), "d", "shard").groupBy("d", "shard").applyInPandas(build, "d int, shard int, parts int, graph binary, held binary, reps binary, many binary"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     asked = put.select("rep", "v", "d", "part", upto("shards").alias("shard"))
     shown = graphs.withColumn("part", upto("parts"))
@@ -312,7 +317,8 @@ def _search(df: DataFrame, least: float, id_col: str, vector_col: str, shards: i
         out |= {"a": [None, *rep[some], *a], "b": [None, *rep[some], *b], "n": [None, *n[some], *[0] * len(a)]}
         return pd.DataFrame({c: pd.array(out[c], "Int64") for c in names})
 
-    found = cut(asked.groupBy("d", "shard", "part").cogroup(shown.groupBy("d", "shard", "part")).applyInPandas(ask, f"a long, b long, n long, d int, shard int, part int, {AUDIT}"))
+    keys, tasks = ("d", "shard", "part"), max(1, ask_tasks)
+    found = cut(asked.repartition(tasks, *keys).groupBy(*keys).cogroup(shown.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(ask, f"a long, b long, n long, d int, shard int, part int, {AUDIT}"))
     return rows, named, classes, found
 
 

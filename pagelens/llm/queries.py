@@ -107,7 +107,7 @@ need as (select item_id, count(*) filter (part = 'q') as nq, count(*) filter (pa
 got as (select doc_id, item_id, count(*) filter (part = 'q') as fq, count(*) filter (part = 'a') as fa
   from ish join dsh using (k, sh) group by doc_id, item_id)
 select doc_id, item_id, nq as question_shingles, fq as question_found, na as answer_shingles, fa as answer_found
-from got join need using (item_id) where 100 * (fq + fa) >= 75 * (nq + na)"""
+from got join need using (item_id) where 100 * fq >= 75 * nq and 100 * fa >= 75 * na"""
 
 #: All pairs by cosine in double precision, and the smallest id that links reach.
 COSINE_SQL = """

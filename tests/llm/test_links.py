@@ -187,6 +187,66 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(d.limit(0), b).count() == 0 and decontaminate.overlaps(d, b.limit(0)).count() == 0
 
 
+def brute_overlaps(docs, items, share=75):
+    """Every item against every text: the share of the shingles of question and of answer that the text holds."""
+    import re
+
+    words = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    out = set()
+    for i, t in items:
+        parts = [words(x) for x in decontaminate.question_and_answer(t or "")]
+        for d, text in docs:
+            own, good = words(text), any(parts)
+            for p in filter(None, parts):
+                k = min(5, len(p))
+                want, have = ({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for w in (p, own))
+                good &= 100 * len(want & have) >= share * len(want)
+            if good:
+                out.add((d, i))
+    return out
+
+
+def test_decontamination_is_brute_force(spark):
+    """Whole items, parts of them, edits, question and answer far from each other, either alone, very long texts, and ties."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(900)]
+    some = lambda n: rng.sample(words, n)
+    items = [(i, f"{' '.join(some(rng.randrange(8, 60)))}? {' '.join(some(rng.choice((1, 3, 12, 24))))}.") for i in range(60)] + [(60, f"{' '.join(some(14))}"), (61, f"{' '.join(some(24))}? {' '.join(some(24))}.")]
+    docs, noise = [], lambda n: " ".join(rng.choice(words) for _ in range(n))
+    for n, (i, t) in enumerate(items * 3):
+        q, a = decontaminate.question_and_answer(t)
+        edited = " ".join(w if rng.random() > 0.04 else "zz" for w in t.split())
+        body = [t, edited, f"{q} {noise(120)} {a}", q, a, t[: len(t) * 3 // 4]][rng.randrange(6)]
+        docs.append((n, f"{noise(rng.randrange(80))} {body} {noise(rng.randrange(80))}"))
+    tie = " ".join(some(12))  # eight shingles; six of them are 75 of a hundred
+    items.append((62, tie))
+    docs += [(900, " ".join(tie.split()[:10])), (901, " ".join(tie.split()[:9])), (902, f"{noise(60_000)} {items[61][1]} {noise(60_000)}"), (903, None)]
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_overlaps(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got} == want and (900, 62) in want and (901, 62) not in want and (902, 61) in want
+
+
+def test_blocks_are_skipped():
+    """Fewer postings are read than the asked passages have, and the scores are those of all postings."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(640)]
+    index = decontaminate.ItemIndex(items)
+    text = " ".join(rng.choice(words) for _ in range(4000)) + " " + items[77][1]
+    n = decontaminate.numbers_of([text])[0]
+    got = index.search(n, np.array([0, len(n)]), 0.5)
+    terms, best = index.term_of(n), {}
+    for at in range(0, len(n), decontaminate.CELL_WORDS):
+        score = np.zeros(len(index.item))
+        for t in set(terms[at : at + 2 * decontaminate.CELL_WORDS].tolist()) - {len(index.terms)}:
+            for p in range(index.start[t, 0], index.start[t, -1]):
+                score[index.part[p]] += index.score[p]
+        for p in np.flatnonzero(score >= 0.5):
+            best[0, int(index.item[p])] = max(score[p], best.get((0, int(index.item[p])), 0))
+    assert got.keys() == best.keys() and got and all(abs(got[k] - best[k]) < 1e-9 for k in got)
+    assert 0 < index.read < index.held / 10
+
+
 def test_decontamination_in_passes(spark, monkeypatch, data):
     docs, items = (spark.read.parquet(f"{data}/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(map(tuple, decontaminate.overlaps(docs, items).select("doc_id", "item_id", "question_found").collect()))
