@@ -279,3 +279,53 @@ def test_quality_edges(spark):
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {None, *range(30)}
     assert all(r.kept for r in quality.classify(docs, labels.limit(0)).collect()) and quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_posterior_is_brute_force(spark):
+    """Shares of host and path, each without the row itself, by plain sums."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(("fine", "plain", "good") if i % 3 else ("spam", "win", "cash")) for _ in range(30)), f"h{rng.randrange(12)}/{rng.randrange(3)}", rng.choice(("en", None))) for i in range(400)]
+    rows += [(900, None, "alone", "en"), (901, "word " * 200_000, "h1/0", "en"), (901, "word " * 200_000, "h1/0", "en"), (None, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 400, 2)], "doc_id long, quality int")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.evidence, r.host_share, r.path_share, r.score) for r in quality.classify(docs, labels).collect())
+    known = {i: q for i, q in labels.collect()}
+    odds = np.log(np.mean(list(known.values())) / (1 - np.mean(list(known.values()))))
+    place = sorted((-1 if i is None else i, (s or "").split("/")[0], " ".join(x for x in (s, g) if x is not None)) for i, _, s, g in rows)
+    p = [1 / (1 + np.exp(-(e + odds))) for _, e, *_ in got]
+    by_host, by_path = defaultdict(list), defaultdict(list)
+    for (_, h, q), x in zip(place, p):
+        by_host[h].append(x)
+        by_path[h, q].append(x)
+    mean = np.mean(p)
+
+    def strength(groups):
+        groups = [(len(g), sum(g), m) for g, m in groups if len(g) > 1]
+        w = sum(n for n, _, _ in groups)
+        spread, noise = sum(n * (s / n - m) ** 2 for n, s, m in groups) / w, sum(m * (1 - m) for _, _, m in groups) / w
+        return 1000.0 if spread <= noise else min(1000.0, max(1.0, np.mean([m * (1 - m) for _, _, m in groups]) / (spread - noise) - 1))
+
+    a = strength([(g, mean) for g in by_host.values()])
+    b = strength([(g, (sum(by_host[h]) + a * mean) / (len(by_host[h]) + a)) for (h, _), g in by_path.items()])
+    for (_, e, hs, ps, score), (_, h, q), x in zip(got, place, p):
+        want_host = (sum(by_host[h]) - x + a * mean) / (len(by_host[h]) - 1 + a)
+        want_path = (sum(by_path[h, q]) - x + b * want_host) / (len(by_path[h, q]) - 1 + b)
+        assert abs(hs - want_host) < 1e-9 and abs(ps - want_path) < 1e-9
+        assert abs(score - 1 / (1 + np.exp(-e) * (1 - want_path) / want_path)) < 1e-9
+
+
+def test_evidence_of_words():
+    """Log-likelihood ratios of words are those of plain counts, and weights grow with what evidence tells."""
+    texts, good = [b"a b c", b"a b", b"x y", b"x b", b"x"], np.array([1, 1, 0, 0, 0])
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    row, slot = quality._slots(data, offsets)
+    counts = np.zeros((2, quality.SLOTS))
+    np.add.at(counts, (good[row], slot), 1)
+    known = quality.Evidence(np.ones((2, len(quality.FEATURES), 10)), counts, np.array([3, 2]))
+    s = quality.SMOOTH
+    ratio = lambda n1, n0: np.log((n1 + s * (n1 + n0 + 1) / 7) / (2 + s) / ((n0 + s * (n1 + n0 + 1) / 7) / (3 + s)))
+    assert abs(known.of(data, offsets)[1, 1] - (ratio(2, 0) + ratio(2, 1)) / np.sqrt(2)) < 1e-12
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 2))
+    w = quality._logistic(x, (rng.random(2000) < 1 / (1 + np.exp(-(0.5 + 2 * x[:, 0])))).astype(float))
+    assert abs(w[0] - 0.5) < 0.2 and abs(w[1] - 2) < 0.3 and w[2] < 0.2
