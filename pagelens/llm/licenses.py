@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 # Notices by name.
 TEMPLATES = {
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "BSD-notice": "Released under the BSD License.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
@@ -31,35 +33,52 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-SA-4.0-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "MIT-notice": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "proprietary": "All rights reserved. No part of this publication may be reproduced without prior written permission.",
     "proprietary-notice": "All rights reserved.",
+    "Unlicense-header": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 # Names that stand behind "Licensed under" and "Released under" in short notices.
 SHORT = {
+    "AGPL-3.0": "the GNU Affero General Public License, version 3",
     "Apache-2.0": "the Apache License, Version 2.0",
     "BSD": "the BSD License",
+    "BSD-2-Clause": "the BSD 2-Clause License",
+    "BSD-3-Clause": "the BSD 3-Clause License",
     "CC-BY-4.0": "CC BY 4.0",
     "CC-BY-NC-4.0": "CC BY-NC 4.0",
     "CC-BY-SA-4.0": "CC BY-SA 4.0",
     "CC0-1.0": "CC0 1.0",
+    "EPL-2.0": "the Eclipse Public License, version 2.0",
     "GPL-2.0": "the GNU General Public License, version 2",
     "GPL-3.0": "the GNU General Public License, version 3",
     "ISC": "the ISC License",
+    "LGPL-2.1": "the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "the GNU Lesser General Public License, version 3",
     "MIT": "the MIT License",
     "MPL-2.0": "the Mozilla Public License, Version 2.0",
+    "Unlicense": "the Unlicense",
 }
+# Licenses that tags of source files name.
+TAGGED = (
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense",
+)
 TEMPLATES |= {f"{k}-{verb.lower()}": t for k, v in SHORT.items() for verb in ("Licensed", "Released") if (t := f"{verb} under {v}.") not in TEMPLATES.values()}
+TEMPLATES |= {f"{k}-tag": f"SPDX-License-Identifier: {k}" for k in TAGGED}
 #: Words that candidate blocks are found by.
 TRIGGER = r"licen[sc]|copyright|permission|redistribut|released under|public domain|free software|all rights reserved"
 #: Words that name a license: where a template names one, a difference in them is another license.
-NAMING = re.compile(r"v?\d+(\.\d+)*|mit|bsd|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|isc|cc|by|sa|nc|nd|cc0|commons|attribution\w*|noncommercial|sharealike|noderiv\w*|not|no")
+NAMING = re.compile(r"v?\d+(\.\d+)*|mit|bsd|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|eclipse|epl|unlicense|isc|cc|by|sa|nc|nd|cc0|commons|attribution\w*|noncommercial|sharealike|noderiv\w*|not|no")
 #: Share of a template's compressed bytes that it must save, share of words that may differ.
 LEAST_SAVED, MOST_DIFFERENT = 0.3, 0.15
 #: The level at which short matches are found wherever they lie.
@@ -194,8 +213,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     """Notices in every whole text, one row each: ``(id, license, start, end, saved, missing, added)``.
 
     ``saved`` is the share of the template's compressed bytes that it saves on the block; ``missing`` and ``added`` are the
-    words of the template that the text lacks, and the other way round. Null and empty texts have none; null ids stay;
-    repeated rows each give their rows; an empty table gives no rows; other columns are left out.
+    words of the template that the text lacks, and the other way round. Of templates that fit one place the one with the most
+    words that agree is reported, the first by name of equals. Texts of any length are read whole. Null and empty texts have
+    none; null ids stay; repeated rows each give their rows; an empty table gives no rows; other columns are left out.
     """
     items = tuple((templates or TEMPLATES).items())
     kind = df.schema[id_col].dataType.simpleString()
