@@ -81,5 +81,19 @@ def rules_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "rule_ix int, rule_id string, code string, level string, kind string, criteria string")
 
 
+# Short labels of codes.
+CODE_LABELS = {
+    "ACC1": "file link", "ACC2": "needs alt text", "ACC3": "chart description", "ACC4": "list semantics", "ACC5": "disclosure state", "ACC6": "search combobox", "COM1": "skip link",
+    "COM2": "filter group", "COM3": "needs alt text", "NAV2": "pager landmark", "NAV3": "nav status", "RED1": "live status", "RED2": "decorative image", "RED4": "disabled state",
+    "EXE1": "clear control", "EXE2": "dialog", "EXE3": "breadcrumb", "EVA1": "item context", "FIL1": "icon label", "FIL2": "search region", "INT1": "dialog focus",
+    "MED1": "media captions", "FORM1": "form label",
+}
+
+
+def code_labels(spark: SparkSession) -> DataFrame:
+    """``(code, label)``."""
+    return spark.createDataFrame(list(CODE_LABELS.items()), "code string, label string")
+
+
 def rubric(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RUBRIC, "score int, meaning string")

@@ -99,22 +99,38 @@ def text_to_html(text: Column, lang: str = "en") -> Column:
     return F.concat(F.lit(f'<article lang="{lang}"><h1>Text document</h1>'), F.array_join(each, ""), F.lit("</article>"))
 
 
-def csv_to_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, row, col, value, scope)`` of CSV texts: quotes may hold commas, line ends and doubled quotes; blank rows go. The
-    first row's cells are column headers, the first cell of other rows is a row header.
+def csv_rows(text: Column) -> Column:
+    """Rows of cells of a CSV text: quotes may hold commas, line ends and doubled quotes; blank rows go.
 
     A line ends at a line feed outside quotes: such places have an even number of quotes before them.
     """
-    t = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\r"), F.lit(""))
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit(""))
     # pieces between quotes: every second one is quoted, and only the others are cut
     pieces = F.transform(F.split(t, '"'), lambda p, i: F.when(i % 2 == 0, F.replace(F.replace(p, F.lit(","), F.lit("\x01")), F.lit("\n"), F.lit("\x02"))).otherwise(p))
     # an empty piece between two quoted ones is a doubled quote
     joined = F.array_join(F.transform(pieces, lambda p, i: F.when((i % 2 == 0) & (p == "") & (i > 0) & (i < F.size(pieces) - 1), '"').otherwise(p)), "")
     rows = F.filter(F.split(joined, "\x02"), lambda r: F.length(F.trim(F.replace(r, F.lit("\x01"), F.lit("")))) > 0)
-    cells = docs.select(id_col, F.posexplode(rows).alias("row", "r")).select(id_col, "row", F.posexplode(F.split("r", "\x01")).alias("col", "value"))
+    return F.transform(rows, lambda r: F.split(r, "\x01"))
+
+
+def csv_to_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, row, col, value, scope)`` of CSV texts, see :func:`csv_rows`. The first row's cells are column headers, the first
+    cell of other rows is a row header."""
+    cells = docs.select(id_col, F.posexplode(csv_rows(F.col(text_col))).alias("row", "r")).select(id_col, "row", F.posexplode("r").alias("col", "value"))
     return cells.withColumn("scope", F.when(F.col("row") == 0, "col").when(F.col("col") == 0, "row"))
 
 
+def csv_to_html(text: Column, lang: str = "en") -> Column:
+    """A CSV text as a table with header cells; a note where it has no rows."""
+    cell = lambda tag, c: F.concat(F.lit(f"<{tag}>"), html_escape(c), F.lit(f"</{tag.split()[0]}>"))
+    row = lambda r, make: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, make), ""), F.lit("</tr>"))
+    rows = csv_rows(text)
+    head = row(F.get(rows, F.lit(0)), lambda c: cell('th scope="col"', c))
+    body = F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: row(r, lambda c, i: F.when(i == 0, cell('th scope="row"', c)).otherwise(cell("td", c))))
+    made = F.concat(F.lit(f'<table lang="{lang}"><caption>Imported spreadsheet data</caption><thead>'), head, F.lit("</thead><tbody>"), F.array_join(body, ""), F.lit("</tbody></table>"))
+    return F.when(F.size(rows) > 0, made).otherwise("<p>Empty file.</p>")
+
+
 def vtt_time(seconds: Column) -> Column:
     t = F.greatest(F.coalesce(seconds, F.lit(0.0)), F.lit(0.0))
     part = lambda c: F.floor(c).cast("int")

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.elements import any_inside, attr, filled, has_attr, tag_in, text_of
+
+# What can be asked for, and what happens with requests of each unless it is said otherwise.
+POLICIES = {"ocr": "ask", "describeImage": "ask", "describeGraph": "ask", "reflowPdf": "auto", "transcribe": "ask"}
+
 Provider = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -18,6 +24,48 @@ def content_key(text: Column) -> Column:
     return F.lpad(F.lower(F.hex(h)), 8, "0")
 
 
+@dataclass
+class Registered:
+    """A provider of a capability: its name, what runs it, and whether it can be used now."""
+
+    cap: str
+    name: str
+    run: Provider | None = None
+    available: Callable[[], bool] = lambda: True
+
+
+class Providers:
+    """Providers by capability and what is done with requests of each; the last one registered counts."""
+
+    def __init__(self, **policies: str):
+        self.known: dict[str, Registered] = {}
+        self.policy = POLICIES | policies
+
+    def register(self, provider: Registered) -> Providers:
+        if provider.cap not in POLICIES:
+            raise ValueError(f"unknown capability: {provider.cap}")
+        self.known[provider.cap] = provider
+        return self
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """``(cap, name, available, policy)`` of every capability."""
+        one = lambda c: self.known.get(c)
+        return spark.createDataFrame([(c, one(c) and one(c).name, bool(one(c) and one(c).available()), p) for c, p in self.policy.items()], "cap string, name string, available boolean, policy string")
+
+
+def node_requests(audited: DataFrame) -> DataFrame:
+    """``(page_id, ix, cap, src, label, hash_source)`` for elements anywhere on an audited page: images that the rules marked as
+    in need of words, and video or audio without captions. ``ix`` is the element's number."""
+    x = F.col("n")
+    image = (x["tag"] == "img") & has_attr(x, "data-needs-alt") & filled(attr(x, "src"))
+    caption = lambda y: (y["tag"] == "track") & F.coalesce(attr(y, "kind").isin("captions", "subtitles"), F.lit(False))
+    source = F.coalesce(F.nullif(attr(x, "src"), F.lit("")), attr(F.get(F.filter(F.slice("nodes", x["id"] + 1, x["end"] - x["id"]), lambda y: y["tag"] == "source"), F.lit(0)), "src"), F.lit(""))
+    media = tag_in(x, "video", "audio") & ~any_inside(x, caption)
+    rows = audited.select("page_id", "nodes", "bits", F.explode_outer("nodes").alias("n")).where(image | media)
+    label = F.coalesce(F.nullif(attr(x, "aria-label"), F.lit("")), attr(x, "title"), text_of(x))
+    return rows.select("page_id", F.col("n.id").alias("ix"), F.when(image, "describeImage").otherwise("transcribe").alias("cap"), source.alias("src"), label.alias("label"), source.alias("hash_source"))
+
+
 def requests_of(blocks: DataFrame) -> DataFrame:
     """``(page_id, ix, cap, src, label, hash_source)`` for each image and graphic of a reading model that needs words."""
     cap = F.when(F.col("type") == "graph", "describeGraph").otherwise("describeImage")
@@ -40,9 +88,9 @@ def plan_requests(requests: DataFrame, providers: DataFrame, cache: DataFrame) -
     return rows.withColumn("state", state).withColumn("note", note).withColumn("cached", F.coalesce("cached", F.lit(False))).drop("available", "policy")
 
 
-def run_enrichment(planned: DataFrame, provider: Provider, name: str, concurrency: int = 2) -> DataFrame:
-    """Cache rows ``(key, result, generated, verified, provider, error)``: each queued key once, ``concurrency`` tasks at a
-    time. ``provider`` maps batches of ``(key, cap, src, label)`` to ``(key, result, error)``."""
+def run_enrichment(planned: DataFrame, provider: Provider, name: str, concurrency: int) -> DataFrame:
+    """Cache rows ``(key, result, generated, verified, provider, error)``: each queued key once, in ``concurrency`` tasks: as many as
+    the service takes at a time. ``provider`` maps batches of ``(key, cap, src, label)`` to ``(key, result, error)``."""
     todo = planned.where("state = 'queued'").groupBy("key").agg(F.first("cap").alias("cap"), F.min("src").alias("src"), F.min("label").alias("label"))
     done = todo.repartition(concurrency).mapInPandas(provider, "key string, result string, error string")
     return stamp_provenance(done, name)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext as S
 from ..functions.elements import attr, has_name, selector
-from .rules import CHANGE, MARK, Kept, Rule, Step, _entries, _mark, _marked, apply_rules
+from .rules import CHANGE, MARK, Kept, Rule, Step, _entries, _mark, _marked, apply_rules, run_rules
 
 SCHEMA = """id string, title string, enabled boolean, source string,
 match struct<hosts:array<string>,generator:string,selectors:array<string>>,
@@ -98,6 +98,8 @@ def matches(match: dict) -> Column:
 
 
 def _step(pack: dict, rule: dict) -> Step:
+    """A rule as data sets and removes attributes of what it selects; one with ``fix``, a function of an element as SQL text,
+    sets what that returns."""
     test, when, code = selector(rule["select"]), rule.get("when") or {}, rule.get("code") or "PACK"
 
     def chosen(x: S.Sql) -> S.Sql:
@@ -113,8 +115,9 @@ def _step(pack: dict, rule: dict) -> Step:
     found = Kept(S.filter("nodes", chosen))
 
     def of(x: S.Sql) -> S.Sql:
+        values = rule["fix"](x) if callable(rule.get("fix")) else rule.get("set") or {}
         item = lambda a, v: S.struct(x["id"].alias("node_id"), S.lit(a).alias("attr"), (v if isinstance(v, S.Sql) else S.lit(v)).cast("string").alias("new"))
-        sets = S.array(*[item(a, v) for a, v in (rule.get("set") or {}).items()], item("data-pack", pack["id"])).cast(CHANGE)
+        sets = S.array(*[item(a, v) for a, v in values.items()], item("data-pack", pack["id"])).cast(CHANGE)
         mark = S.filter(S.array(item(MARK, _mark(x, code))).cast(CHANGE), lambda c: c["new"].isNotNull())
         gone = S.array(*[item(a, None) for a in rule.get("remove") or []]).cast(CHANGE)
         return S.concat(sets, mark, S.filter(gone, lambda c: S.map_contains_key(x["attrs"], c["attr"])))
@@ -134,6 +137,26 @@ def apply_packs(audited: DataFrame, packs: list[dict]) -> DataFrame:
     return out.drop(*[f"__{p['id']}" for p in live])
 
 
+def run_audit(parsed: DataFrame, packs: list[dict], only: list[str] | None = None) -> DataFrame:
+    """A whole audit: the general rules, or those of ``only``, then the packs that match the page, into one report."""
+    return apply_packs(run_rules(parsed, only), packs)
+
+
+def register_pack(packs: list[dict], pack: dict) -> list[dict]:
+    """The packs with one more, in place of any of its id."""
+    if not pack.get("id") or not pack.get("rules"):
+        raise ValueError("a pack has an id and rules")
+    return [*unregister_pack(packs, pack["id"]), pack]
+
+
+def unregister_pack(packs: list[dict], pack_id: str) -> list[dict]:
+    return [p for p in packs if p["id"] != pack_id]
+
+
+def enable_pack(packs: list[dict], pack_id: str, on: bool = True) -> list[dict]:
+    return [p | {"enabled": on} if p["id"] == pack_id else p for p in packs]
+
+
 def pack_matches(pages: DataFrame, packs: list[dict]) -> DataFrame:
     """``(page_id, pack_id)`` of the packs that match a page."""
     hit = F.array(*[F.when(matches(p.get("match") or {}), F.lit(p["id"])) for p in packs])

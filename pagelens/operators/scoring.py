@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dims import rules_catalog, situation_tokens, situations
+from ..dims import CODE_LABELS, rubric, rules_catalog, situation_tokens, situations
 
 
 def situation_entries(entries: DataFrame, token: Column) -> DataFrame:
@@ -67,6 +67,18 @@ def scorecard(pages: DataFrame, report: DataFrame, good: DataFrame) -> DataFrame
     ).withColumn("violations_note", _lines("violation_list", True)).withColumn("good_note", _lines("good_list", False))
 
 
+def with_rubric(card: DataFrame) -> DataFrame:
+    """Adds ``meaning``, what the rubric says of each score; null without a score."""
+    return card.join(F.broadcast(rubric(card.sparkSession)), F.col("compliance_score") == F.col("score"), "left").drop("score")
+
+
+def with_label(rows: DataFrame) -> DataFrame:
+    """Adds ``label`` to rows with a ``code``: the short label of its first part that has one, else the code."""
+    known = F.create_map(*[F.lit(x) for kv in CODE_LABELS.items() for x in kv])
+    each = F.filter(F.transform(F.split("code", "/"), lambda c: F.element_at(known, c)), lambda x: x.isNotNull())
+    return rows.withColumn("label", F.coalesce(F.get(each, F.lit(0)), "code"))
+
+
 def auto_summary(card: DataFrame) -> DataFrame:
     """``(page_id, violations, good)``: totals over the situations of a page."""
     return card.groupBy("page_id").agg(F.sum("violations").alias("violations"), F.sum("good").alias("good"))

@@ -20,7 +20,7 @@ def _nested(spark: SparkSession, d: str) -> DataFrame:
     return store.nest_assessments(shapes.assessment(spark, d), shapes.situation_result(spark, d), shapes.evidence(spark, d))
 
 
-def _card(spark: SparkSession, d: str) -> DataFrame:
+def audit_card(spark: SparkSession, d: str) -> DataFrame:
     pages = shapes.table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id")).distinct()
     return scoring.scorecard(pages, shapes.report(spark, d), shapes.good(spark, d))
 
@@ -32,7 +32,7 @@ def nest_assessments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scorecard(spark: SparkSession, d: str) -> DataFrame:
-    return _card(spark, d).select("page_id", "code", "level", "violations", "good", F.col("auto_score").cast("double").alias("auto_score"), "violations_note", "good_note")
+    return audit_card(spark, d).select("page_id", "code", "level", "violations", "good", F.col("auto_score").cast("double").alias("auto_score"), "violations_note", "good_note")
 
 
 def only_flags_by_target(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,7 @@ QUERIES = {
     "violations_per_situation": lambda s, d: scoring.violations_per_situation(shapes.report(s, d)).drop("at"),
     "good_techniques_per_situation": lambda s, d: scoring.good_techniques(shapes.good(s, d)).drop("at"),
     "scorecard": scorecard,
-    "auto_summary": lambda s, d: scoring.auto_summary(_card(s, d)),
+    "auto_summary": lambda s, d: scoring.auto_summary(audit_card(s, d)),
     "report_by_code": lambda s, d: scoring.report_by_code(shapes.report(s, d)),
     "rules_by_target": only_flags_by_target,
 }
@@ -79,7 +79,7 @@ vio as (select page_id, situation, msg, max(case when coalesce(count, 0) = 0 the
   arg_min(kind, (token_ix, seq)) as kind, min((token_ix, seq)) as ord from ent join tok on t = token group by page_id, situation, msg)"""
 _GOODS = """goo as (select page_id, situation, msg, arg_min(count, (token_ix, msg)) as count, min((token_ix, msg)) as ord
   from good join tok using (token) where count > 0 group by page_id, situation, msg)"""
-_CARD = f"""{_VIOLATIONS}, {_GOODS},
+CARD_SQL = f"""{_VIOLATIONS}, {_GOODS},
 v as (select page_id, situation, sum(count) as violations, string_agg('• ' || msg || case when count > 1 then ' (×' || count || ')' else '' end, chr(10) order by ord) as vn from vio group by 1, 2),
 g as (select page_id, situation, sum(count) as good, string_agg('• ' || msg, chr(10) order by ord) as gn from goo group by 1, 2),
 card as (select p.o_orderkey as page_id, s.code, s.level, coalesce(violations, 0)::bigint as violations, coalesce(good, 0)::bigint as good,
@@ -114,8 +114,8 @@ _SQL = {
     "export_compliance": f"select code, level, printf('%.3f', round(coalesce(avg_score, 0), 3)) as avg_score, n from ({_BY_CODE})",
     "violations_per_situation": f"with x as (select 1), {_VIOLATIONS} select page_id, situation, msg, count::bigint as count, kind from vio",
     "good_techniques_per_situation": f"with x as (select 1), {_TOKENS}, {_GOODS} select page_id, situation, msg, count::bigint as count from goo",
-    "scorecard": f"with x as (select 1), {_CARD} select page_id, code, level, violations, good, case when good + violations > 0 then greatest(1, least(7, floor(1 + 6 * good / (good + violations) + 0.5)))::double end as auto_score, violations_note, good_note from card",
-    "auto_summary": f"with x as (select 1), {_CARD} select page_id, sum(violations)::bigint as violations, sum(good)::bigint as good from card group by page_id",
+    "scorecard": f"with x as (select 1), {CARD_SQL} select page_id, code, level, violations, good, case when good + violations > 0 then greatest(1, least(7, floor(1 + 6 * good / (good + violations) + 0.5)))::double end as auto_score, violations_note, good_note from card",
+    "auto_summary": f"with x as (select 1), {CARD_SQL} select page_id, sum(violations)::bigint as violations, sum(good)::bigint as good from card group by page_id",
     "report_by_code": "select page_id, r.code, string_agg(msg, ' ' order by seq, msg) as messages, bool_or(r.kind = 'flag') as needs_content, coalesce(any_value(c.criteria), '') as criteria from report r left join (select code, max(criteria) as criteria from rul group by code) c on c.code = r.code group by page_id, r.code",
     "rules_by_target": "select r.code, u.level, count(*) as n from report r join (select distinct on (code) code, rule_id, level from rul order by code, rule_ix) u on u.code = r.code where (u.rule_id = 'file-links' or u.code in ('ACC4', 'NAV2', 'RED4')) and u.level in ('A', 'AA') group by 1, 2",
 }

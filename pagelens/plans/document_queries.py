@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import catalogue, documents, enrichment, reading
 from ..sources import pages as source
 from ..sources import shapes, wire
-from ..sources.shapes import SHAPES_SQL, table
+from ..sources.shapes import SHAPES_SQL, shared_folder, table
 from ..streaming import audits as stream
 
 
@@ -92,11 +91,10 @@ def stream_compliance(spark: SparkSession, d: str) -> DataFrame:
     """The running aggregate over events as a stream of audits, read back when all of them have come."""
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     rows = events.select(F.col("event_type").alias("code"), (F.col("user_id") % 40).cast("string").alias("level"), F.when(F.col("event_id") % 7 != 0, 1 + F.floor(F.abs("value")) % 7).alias("compliance_score"))
-    name = f"compliance_{uuid.uuid4().hex}"
-    place = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    query = stream.compliance(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{place}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    place = f"{shared_folder(spark)}/compliance-{uuid.uuid4().hex}"
+    put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{place}/now")
+    stream.compliance(rows).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/now")
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:

@@ -102,17 +102,17 @@ _PACK_ROWS = [
 ]
 
 
-def _pack_pages(spark: SparkSession, d: str) -> DataFrame:
-    return rules.prepared(source.parse_pages(_planted(spark, d, _PACK_BODIES)))
+def pack_pages(spark: SparkSession, d: str) -> DataFrame:
+    return source.parse_pages(_planted(spark, d, _PACK_BODIES))
 
 
 def planted_packs(spark: SparkSession, d: str) -> DataFrame:
-    out = rules.audit_report(packs.apply_packs(_pack_pages(spark, d), packs.BUNDLED))
+    out = rules.audit_report(packs.apply_packs(rules.prepared(pack_pages(spark, d)), packs.BUNDLED))
     return out.select("page_id", "pack_id", "code", "count", "msg")
 
 
 def packs_status(spark: SparkSession, d: str) -> DataFrame:
-    return packs.packs_status(packs.bundled_packs(spark), packs.pack_matches(_pack_pages(spark, d), packs.BUNDLED)).select("id", "pages", "rules", "source")
+    return packs.packs_status(packs.bundled_packs(spark), packs.pack_matches(pack_pages(spark, d), packs.BUNDLED)).select("id", "pages", "rules", "source")
 
 
 QUERIES = {
@@ -127,7 +127,7 @@ QUERIES = {
 }
 
 _GOOD_VALUES = ", ".join(f"({_q(t)}, {_q(m)}, {n})" for t, m, n in _GOOD)
-_PACK_VALUES = ", ".join(f"({i}, {_q(p)}, {_q(c)}, {n}, {_q(m)})" for i, p, c, n, m in _PACK_ROWS)
+PACK_VALUES = ", ".join(f"({i}, {_q(p)}, {_q(c)}, {n}, {_q(m)})" for i, p, c, n, m in _PACK_ROWS)
 _HEADINGS = _q(rules.FIXES["landmarks"])
 
 ORACLE_SQL = {
@@ -137,7 +137,7 @@ ORACLE_SQL = {
       select page_id, regexp_extract(a, 'href="([^"]*)"', 1) as href, trim(regexp_extract(a, '>([^<]*)<', 1)) as text from l where regexp_extract(a, 'href="([^"]*)"', 1) <> ''""",
     "good_techniques": f"""select p_partkey as page_id, token, msg, n::bigint as count from part, (values {_GOOD_VALUES}) g(token, msg, n) where p_partkey % 2 = 0
       union all select p_partkey, 'COM1', 'structure present: exactly one h1', 1 from part where p_partkey % 2 = 1""",
-    "planted_packs": f"select p_partkey as page_id, pack_id, code, n::bigint as count, msg from part join (values {_PACK_VALUES}) g(i, pack_id, code, n, msg) on i = p_partkey % 5",
+    "planted_packs": f"select p_partkey as page_id, pack_id, code, n::bigint as count, msg from part join (values {PACK_VALUES}) g(i, pack_id, code, n, msg) on i = p_partkey % 5",
     "packs_status": "select id, coalesce(pages, 0) as pages, rules::bigint as rules, 'bundled' as source from (values ('blacklight', 6, 0), ('dspace', 4, 1), ('iiif', 1, 2), ('islandora', 4, 9), ('omeka', 3, 3)) p(id, rules, i) left join (select p_partkey % 5 as k, count(*) as pages from part group by 1) on k = i",
     "page_scorecard": "select page_id, code, case code when 'COM1' then 2 else 0 end::bigint as violations, case code when 'COM1' then 1 else 0 end::bigint as good, case code when 'COM1' then 3.0 end::double as auto_score from pages, sit",
 }

@@ -45,3 +45,13 @@ def normalize_url(c: Column) -> Column:
     c = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "/+$", "")
     c = F.regexp_replace(c, "^(?i)libsql://", "https://")
     return F.when((c != "") & ~c.rlike("^(?i)https?://"), F.concat(F.lit("https://"), c)).otherwise(c)
+
+
+def host_of(url: Column) -> Column:
+    """Host of a URL in lower case, without user and port; empty without one."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
+def upgrade_https(url: Column) -> Column:
+    """The URL with https in place of http."""
+    return F.regexp_replace(url, "^(?i)http:", "https:")

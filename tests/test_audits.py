@@ -6,7 +6,16 @@ from pagelens.operators import audits, scoring
 from pagelens.sources import audits as store
 from pagelens.sources import wire
 
-ROWS = [("a1", "Heritage", "https://h", "2026-05-01T00:00:00Z", "ACC1", "A", 3), ("a1", "Heritage", "https://h", "2026-05-01T00:00:00Z", "NAV2", "AA", 4), ("a1", "Heritage", "https://h", "2026-05-01T00:00:00Z", "RED4", "AAA", 2), ("a2", "Heritage", "https://h", "2026-06-01T00:00:00Z", "ACC1", "A", 5), ("a2", "Heritage", "https://h", "2026-06-01T00:00:00Z", "NAV2", "AA", 6), ("a2", "Heritage", "https://h", "2026-06-01T00:00:00Z", "RED4", "AAA", 4), ("b1", "Other", "https://o", "2026-05-15T00:00:00Z", "ACC1", "A", 7)]
+# Two audits of one library and one of another; the second holds better scores.
+ROWS = [
+    (audit, name, url, f"{day}T08:30:00Z", code, level, score)
+    for audit, name, url, day, found in [
+        ("m-1", "Map Room", "https://maps.example", "2025-02-03", [("COM1", "A", 2), ("FIL2", "AA", 5), ("NAV4", "AAA", 2)]),
+        ("m-2", "Map Room", "https://maps.example", "2025-09-30", [("COM1", "A", 6), ("FIL2", "AA", 7), ("NAV4", "AAA", 5)]),
+        ("s-1", "Sound Archive", "https://sound.example", "2025-04-12", [("COM1", "A", 1)]),
+    ]
+    for code, level, score in found
+]
 
 
 def situations(spark, more=()):
@@ -14,18 +23,19 @@ def situations(spark, more=()):
 
 
 def test_aggregates(spark):
-    rows = situations(spark, [("b1", "Other", "https://o", "2026-05-15T00:00:00Z", "EXE1", "A", None), ("b1", "Other", "https://o", "2026-05-15T00:00:00Z", None, None, 1)])
-    by = {r.code: (r.avg_score, r.n) for r in audits.compliance_by_situation(rows, "https://h").collect()}
-    assert by == {"ACC1": (4.0, 2), "NAV2": (5.0, 2), "RED4": (3.0, 2)}
-    assert {r.code: (r.avg_score, r.n) for r in audits.compliance_by_situation(rows, "All").collect()}["ACC1"] == (5.0, 3)
-    assert [(r.level, r.avg_score) for r in audits.level_rollup(rows, "https://h").collect()] == [("A", 4.0), ("AA", 5.0), ("AAA", 3.0)]
-    assert [r.avg_score for r in audits.trend_over_time(rows, "https://h").collect()] == [3.0, 5.0]
-    assert {r.code: (r.avg_score, r.n) for r in audits.compliance_by_code_sql(rows).collect()}["EXE1"] == (None, 1)
-    assert audits.compliance_by_situation(rows, "https://none").columns == ["code", "level", "avg_score", "n"]
-    tiles = {r.level: (r.avg_score, r.n) for r in audits.level_tiles(audits.compliance_by_code_sql(rows.where("level = 'AA'"))).collect()}
-    assert tiles == {"A": (None, 0), "AA": (5.0, 2), "AAA": (None, 0)}
-    assert audits.headline_metrics(rows, "https://h").first() == (2, 2, "2026-06-01")
-    assert {r.dl_url: r.dl_name for r in audits.library_names(rows).collect()} == {"https://h": "Heritage", "https://o": "Other"}
+    maps, sound = "https://maps.example", "https://sound.example"
+    rows = situations(spark, [("s-1", "Sound Archive", sound, "2025-04-12T08:30:00Z", "RED2", "A", None), ("s-1", "Sound Archive", sound, "2025-04-12T08:30:00Z", None, None, 4)])
+    mean = lambda df: {r.code: (r.avg_score, r.n) for r in df.collect()}
+    assert mean(audits.compliance_by_situation(rows, maps)) == {"COM1": (4.0, 2), "FIL2": (6.0, 2), "NAV4": (3.5, 2)}
+    assert mean(audits.compliance_by_situation(rows, "All"))["COM1"] == (3.0, 3)
+    assert [(r.level, r.avg_score) for r in audits.level_rollup(rows, maps).collect()] == [("A", 4.0), ("AA", 6.0), ("AAA", 3.5)]
+    assert [r.avg_score for r in audits.trend_over_time(rows, maps).collect()] == [3.0, 6.0]
+    assert mean(audits.compliance_by_code_sql(rows))["RED2"] == (None, 1)
+    assert audits.compliance_by_situation(rows, "https://none").count() == 0
+    tiles = {r.level: (r.avg_score, r.n) for r in audits.level_tiles(audits.compliance_by_code_sql(rows.where("level = 'AAA'"))).collect()}
+    assert tiles == {"A": (None, 0), "AA": (None, 0), "AAA": (3.5, 2)}
+    assert audits.headline_metrics(rows, maps).first() == (2, 2, "2025-09-30")
+    assert {r.dl_url: r.dl_name for r in audits.library_names(rows).collect()} == {maps: "Map Room", sound: "Sound Archive"}
 
 
 def test_store_round_trip(spark, tmp_path):

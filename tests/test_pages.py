@@ -74,7 +74,7 @@ def test_reading_model(spark):
         for b in batches:
             yield b[["key"]].assign(result=" A barn ", error=None)
 
-    done = enrichment.run_enrichment(planned, provider, "p").cache()
+    done = enrichment.run_enrichment(planned, provider, "p", 2).cache()
     assert [(r.generated, r.verified, r.provider) for r in done.collect()] == [(True, False, "p")]
     filled = enrichment.apply_descriptions(blocks, requests, done)
     assert [(r.text, r.generated) for r in filled.where("type = 'image'").orderBy("ix").collect()] == [("A barn", True), ("Cap", False)]
