@@ -65,6 +65,9 @@ class ByteBpe:
         # from ids back to bytes through the byte table alone
         shown = {i: t for t, i in self.tokenizer.get_vocab().items()}
         self.token_bytes = {i: bytes(self.byte_of[c] for c in t) for i, t in shown.items()}
+        self.token_sizes = np.zeros(max(self.token_bytes) + 1, np.int64)
+        for i, t in self.token_bytes.items():
+            self.token_sizes[i] = len(t)
         self.pieces = regex.compile(white_space(pattern), regex.V1)
         self.known: dict[str, bytes] = {}
 
@@ -104,11 +107,14 @@ class ByteBpe:
     def offsets(self, text: str, ids: np.ndarray) -> list[tuple[int, int]]:
         """For each id the characters of ``text`` that its bytes touch, end exclusive; parts of a split character
         all give that character."""
-        raw = np.frombuffer(text.encode(), np.uint8)
-        number = np.cumsum((raw & 0xC0) != 0x80) - 1
-        ends = np.cumsum([len(self.token_bytes[i]) for i in ids.tolist()], dtype=np.int64)
-        starts = np.concatenate(([0], ends[:-1]))
-        return [(int(number[a]), int(number[b - 1]) + 1) for a, b in zip(starts, ends)]
+        return list(map(tuple, self.offset_array(text.encode(), ids).tolist()))
+
+    def offset_array(self, raw: bytes, ids: np.ndarray) -> np.ndarray:
+        """Starts and ends of :meth:`offsets` as rows of 32-bit integers."""
+        number = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
+        ends = np.cumsum(self.token_sizes[ids], dtype=np.int64)
+        starts = ends - self.token_sizes[ids]
+        return np.column_stack([number[starts], number[ends - 1] + 1]).astype("<i4").reshape(-1, 2)
 
 
 def white_space(pattern: str) -> str:
@@ -164,28 +170,34 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     return df.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, decoded binary, text string")
 
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, keep: bool = False) -> DataFrame:
     """Encode every whole text and decode its ids again, in one pass, keeping digests instead of ids.
 
-    Returns ``(id_col, n_tokens, ids_sha256, decoded_sha256)``; nulls, repeats and empty tables as in :func:`encode`.
+    Returns ``(id_col, n_tokens, ids_sha256, decoded_sha256[, offsets_sha256])``; nulls, repeats and empty tables as in
+    :func:`encode`. ``offsets_sha256`` is the digest of the characters that each id touches, start and end as little-endian
+    32-bit integers. With ``keep`` all columns of ``df`` stay, save such as have one of these names.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["offsets_sha256"] * offsets]
+    own = [c for c in df.columns if c not in names] if keep else [id_col]
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in own] + ["n_tokens long"] + [f"{c} string" for c in names[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer_for(ranks_path, pattern)
         t.known = {}
         for b in batches:
             for rows in _row_runs(b):
-                n, of_ids, of_bytes = [], [], []
-                for raw in t.encode_runs([x or "" for x in rows.column(1).to_pylist()]):
+                texts = [x or "" for x in rows.column(len(own)).to_pylist()]
+                cols: list[list] = [[] for _ in names]
+                for text, raw in zip(texts, t.encode_runs(texts)):
                     ids = np.frombuffer(raw, "<u4")
-                    n.append(len(ids))
-                    of_ids.append(hashlib.sha256(raw).hexdigest())
-                    of_bytes.append(hashlib.sha256(t.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                    back = t.decode(ids)
+                    digests = [raw, back, *[t.offset_array(text.encode(), ids).tobytes()] * offsets]
+                    for c, x in zip(cols, [len(ids), *(hashlib.sha256(x).hexdigest() for x in digests)]):
+                        c.append(x)
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(own)], pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=[*own, *names])
         t.known = {}
 
-    return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(*own, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def _row_runs(batch: pa.RecordBatch, most: int = 1000) -> Iterator[pa.RecordBatch]:

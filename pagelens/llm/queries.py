@@ -66,7 +66,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN, offsets=True)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Stages of the corpus pipeline, each on what the one before kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pagelens.llm import pii
 from tests.llm.test_links import brute_join
@@ -26,5 +28,28 @@ def test_stages(spark, data):
         assert brute(r.text) == "" and r.n_chars == len(r.text)
         assert brute(rows[3][i].text) or r.text == rows[3][i].text or "[TERM]" in r.text
     assert set(rows[5]) == set(rows[4])
-    assert corpus_pipeline.run(spark, d).count() == len(rows[5])
+    # the joined run gives the rows of the stages one after the other, with the cleaned texts
+    ran = {r.doc_id: r for r in corpus_pipeline.run(spark, d).collect()}
+    assert ran == rows[5] and {i: r.text for i, r in ran.items()} == {i: r.text for i, r in rows[4].items()}
     assert pii.KINDS == ("email", "ip", "card", "phone")
+
+
+def test_stages_on_odd_rows(spark, data):
+    """Nulls, empty and very long texts, repeated rows, other columns with clashing names, and no rows at all."""
+    d = f"{data}/sf0.001"
+    clean = "The river runs past the old mill, and the miller counts his sacks before the evening comes. " * 3
+    rows = [(None, None), (None, clean), (1, clean), (1, clean), (2, clean), (3, ""), (4, None), (5, "word " * 100_000), (6, "mail me@x.org or +49 30 1234567")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("lang", "source", "spans", "score", "kept", "component_id", "n_tokens", "block", "p"):
+        docs = docs.withColumn(c, F.lit("x" if c != "p" else None))
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, d), stage(spark, docs.limit(0), d)
+        assert none.count() == 0 and set(docs.columns) <= set(out.columns), name
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        if name == "n-gram Jaccard join":
+            assert sorted(kept, key=str) == sorted([x for x in rows if x != (2, clean)], key=str)
+        elif name == "PII":
+            assert (6, "mail [EMAIL] or [PHONE]") in kept and len(kept) == len(rows)
+        elif name != "quality classifier":
+            assert sorted(kept, key=str) == sorted(rows, key=str), name

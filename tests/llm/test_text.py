@@ -39,6 +39,15 @@ def test_round_trip_is_that_of_the_ranks(spark, plain):
     assert got == sorted(want, key=str)
 
 
+def test_digests_of_offsets_and_kept_columns(spark):
+    df = frame(spark).withColumn("n_tokens", F.lit("x"))
+    got = bpe.round_trip(df, RANKS, P.PATTERN, offsets=True, keep=True)
+    assert got.columns == ["doc_id", "text", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"] and got.count() == len(TEXTS)
+    want = {r.doc_id: [x for o in r.offsets for x in o] for r in bpe.encode(df, RANKS, P.PATTERN, offsets=True).collect()}
+    for r in got.collect():
+        assert r.offsets_sha256 == hashlib.sha256(np.array(want[r.doc_id], "<i4").tobytes()).hexdigest() and r.ids == "x"
+
+
 def test_encode_decode_and_offsets(spark, plain):
     df = frame(spark, TEXTS[:6])
     coded = bpe.encode(df, RANKS, P.PATTERN, offsets=True)
