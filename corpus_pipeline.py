@@ -34,8 +34,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens of each document, and digests of its ids and of the bytes they decode to."""
-    return bpe.round_trip(docs, RANKS, PATTERN)
+    """The documents with their number of tokens and digests of the ids and of the bytes that these decode to."""
+    return bpe.round_trip(docs, RANKS, PATTERN, keep=True)
 
 
 STAGES = [
