@@ -147,25 +147,36 @@ class ItemIndex:
         highest[cell[edges]] = np.add.reduceat(self.most[term], edges)
         least = threshold * (1 - 1e-4)
         asked = np.flatnonzero(highest[:-1] + highest[1:] >= least)
+        # sums block by block, of the cells of these passages alone
+        need = np.zeros(base[-1] + 1, bool)
+        need[asked] = need[asked + 1] = True
+        cell, term = cell[need[cell]], term[need[cell]]
+        edges = np.flatnonzero(np.diff(cell, prepend=-1))
+        sums = np.zeros((base[-1] + 1, BLOCKS), np.float32)
+        for a in range(0, len(edges), 20_000):
+            z = edges[a + 20_000] if a + 20_000 < len(edges) else len(term)
+            sums[cell[edges[a : a + 20_000]]] = np.add.reduceat(self.bounds[term[edges[a] : z]], edges[a : a + 20_000] - edges[a], axis=0)
+        open_ = sums[asked] + sums[asked + 1] >= least
+        some_open = open_.any(axis=1)
+        asked, open_ = asked[some_open], open_[some_open]
         out: dict[tuple[int, int], float] = {}
         for at in range(0, len(asked), 2000):
             some = asked[at : at + 2000]
             low, high = np.searchsorted(cell, [some, some + 2])
             each = np.repeat(np.arange(len(some)), high - low)
-            own = term[_runs(low, high)]
-            each, own = np.divmod(np.unique(each * (none + 1) + own), none + 1)
-            first = np.flatnonzero(np.diff(each, prepend=-1))
-            open_ = np.add.reduceat(self.bounds[own], first, axis=0) >= least
-            # each term of a passage with each block that is open for it
-            rank = np.repeat(np.arange(len(first)), np.diff(first, append=len(each)))
-            which, block = np.nonzero(open_[rank])
-            t = own[which]
+            each, own = np.divmod(np.unique(each * (none + 1) + term[_runs(low, high)]), none + 1)
+            self.held += int((self.start[own, -1] - self.start[own, 0]).sum())
+            # each open block of a passage with each of its terms
+            first = np.searchsorted(each, np.arange(len(some) + 1))
+            which, block = np.nonzero(open_[at : at + 2000])
+            n = np.diff(first)[which]
+            t, block, each = own[_runs(first[which], first[which + 1])], np.repeat(block, n), np.repeat(which, n)
             a, z = self.start[t, block], self.start[t, block + 1]
             at_posting = _runs(a, z)
             self.read += len(at_posting)
-            self.held += int((self.start[own, -1] - self.start[own, 0]).sum())
+            each = np.repeat(each, z - a)
             part = self.part[at_posting]
-            score = np.bincount(np.repeat(each[which], z - a) * len(self.item) + part, self.score[at_posting], minlength=0)
+            score = np.bincount(each * len(self.item) + part, self.score[at_posting], minlength=0)
             hit = np.flatnonzero(score >= threshold)
             rows = np.searchsorted(base, some[hit // len(self.item)], "right") - 1
             for r, i, s in zip(rows.tolist(), self.item[hit % len(self.item)].tolist(), score[hit].tolist()):
@@ -233,7 +244,8 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], threshold: float, share
                         if (r, k) not in sets:
                             sets = {at_k: s for at_k, s in sets.items() if at_k[0] == r}
                             sets[r, k] = shingles(words[bounds[r] : bounds[r + 1]], k)
-                        hits.append(int(np.isin(x, sets[r, k]).sum()))
+                        own = sets[r, k]
+                        hits.append(int((own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x).sum()) if len(own) else 0)
                     (_, q), (_, a) = index.needed[i]
                     if len(q) + len(a) and all(100 * h >= share * len(x) for h, x in zip(hits, (q, a))):
                         rows.append((at + r, i, score, len(q), hits[0], len(a), hits[1]))
