@@ -51,8 +51,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest columns of every record read back from the archives."""
-    return warc.through_archives(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+    """Digest columns of every record read back from the archives; ``problem`` is empty where a record is as it was written."""
+    return warc.through_archives(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.coalesce("problem", F.lit("")).alias("problem"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,4 +125,12 @@ COPIES_SQL = f"""with e as ({GIVEN_SQL}) select * from e union all select vec_id
   union all select vec_id + 30000000, x[1:32] from e where vec_id % 10 = 0 union all select vec_id + 40000000, list_transform(x[1:32], lambda c: c / 2) from e where vec_id % 10 = 0
   union all select a.vec_id + 20000000, list_transform(list_zip(a.x, b.x), lambda z: z[1] + z[2] * 0.25) from e a join e b on b.vec_id = a.vec_id + 1 where a.vec_id % 3 = 0"""
 
-ORACLE_SQL: dict[str, str] = {"op2_hnsw": COSINE_SQL.format(given=GIVEN_SQL), "vector_copies": COSINE_SQL.format(given=COPIES_SQL), "op7_ngram_join": JACCARD_SQL, "op8_decontaminate": OVERLAP_SQL}
+#: Digests in base 32, five hexadecimal digits to four characters; of equal payloads the largest page is the response.
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as t from pages),
+h as (select *, list_transform(range(8), lambda g: ('0x' || sha1(t)[5 * g + 1:5 * g + 5])::int) as fives, max(page_id) over (partition by t) as last from p)
+select page_id, octet_length(encode(t))::bigint as payload_bytes,
+  array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (v >> k) % 32]), '')), '') as payload_digest,
+  case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id < last then last end as refers_to, '' as problem from h"""
+
+ORACLE_SQL: dict[str, str] = {"op2_hnsw": COSINE_SQL.format(given=GIVEN_SQL), "vector_copies": COSINE_SQL.format(given=COPIES_SQL), "op6_warc": WARC_SQL, "op7_ngram_join": JACCARD_SQL, "op8_decontaminate": OVERLAP_SQL}
