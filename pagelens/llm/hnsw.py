@@ -31,6 +31,8 @@ SHARD_VECTORS, SHARDS, FEW_VECTORS = 200_000, 6, 500
 #: Bytes of the queries of a task, at least and at most; within these, parts that the queries are dealt over. Bytes of the
 #: cosines of a scan at once.
 PART_BYTES, PARTS, SCAN_BYTES = (2 << 20, 128 << 20), 4, 64 << 20
+#: Partitions for each graph or part, so that few share one.
+SPREAD = 4
 
 
 class Graph:
@@ -280,7 +282,7 @@ def _search(df: DataFrame, least: float, id_col: str, vector_col: str, shards: i
         held = unit(pdf["v"].tolist())
         return pd.DataFrame({"d": [key[0]], "shard": [key[1]], "parts": [int(pdf["parts"].iloc[0])], "graph": [Graph(held).dump()], "held": [held.tobytes()], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "many": [pdf["copies"].to_numpy(np.int64).tobytes()]})
 
-    graphs = cut(put.repartition(max(1, graph_tasks), "d", "shard").groupBy("d", "shard").applyInPandas(build, "d int, shard int, parts int, graph binary, held binary, reps binary, many binary"))
+    graphs = cut(put.repartition(max(1, SPREAD * graph_tasks), "d", "shard").groupBy("d", "shard").applyInPandas(build, "d int, shard int, parts int, graph binary, held binary, reps binary, many binary"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     asked = put.select("rep", "v", "d", "part", upto("shards").alias("shard"))
     shown = graphs.withColumn("part", upto("parts"))
@@ -317,7 +319,7 @@ def _search(df: DataFrame, least: float, id_col: str, vector_col: str, shards: i
         out |= {"a": [None, *rep[some], *a], "b": [None, *rep[some], *b], "n": [None, *n[some], *[0] * len(a)]}
         return pd.DataFrame({c: pd.array(out[c], "Int64") for c in names})
 
-    keys, tasks = ("d", "shard", "part"), max(1, ask_tasks)
+    keys, tasks = ("d", "shard", "part"), max(1, SPREAD * ask_tasks)
     found = cut(asked.repartition(tasks, *keys).groupBy(*keys).cogroup(shown.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(ask, f"a long, b long, n long, d int, shard int, part int, {AUDIT}"))
     return rows, named, classes, found
 
