@@ -79,7 +79,7 @@ def page_report(spark: SparkSession, d: str) -> DataFrame:
 def page_scorecard(spark: SparkSession, d: str) -> DataFrame:
     """24 scored situations of each given page."""
     audited = rules.run_rules(_given(spark, d))
-    card = detectors.page_scorecard(audited, rules.audit_report(audited))
+    card = detectors.page_scorecard(audited, rules.audit_report(audited), table(spark, d, "pages"))
     return card.select("page_id", "code", "violations", "good", F.col("auto_score").cast("double").alias("auto_score"))
 
 

@@ -42,6 +42,42 @@ def test_rules_see_earlier_rules_and_undo(spark):
     assert any(r.needs_content and "ACC2" in r.codes for r in once)
 
 
+def test_large_page(spark):
+    """A page of some 12,000 elements, all rules: the work follows its size, so this ends in seconds."""
+    body = "".join(b for k, b in DEFECTS.items() if k not in ("dialog-escape", "results-status"))
+    n = len(source.parse_html(f"<body>{body}</body>")) - 1
+    times = 12_000 // n
+    report = rules.audit_report(rules.run_rules(parse(spark, f"<html><body>{body * times}</body></html>"))).collect()
+    found = {(r.rule_id, r.kind): r["count"] for r in report}
+    assert found["file-links", "fix"] == found["help-affordance", "fix"] == found["pagination", "fix"] == times
+    assert found["form-fields", "flag"] >= times and sum(r.rule_id == "graphs-longdesc" and r.kind == "flag" for r in report) >= times
+
+
+def test_text_once_a_page(spark):
+    """Text lies in pieces of the page; elements that nobody closes don't nest without end."""
+    df = parse(spark, "<div>a <b> b</b>c" * 3000)
+    assert df.select(F.size("bits"), F.expr("aggregate(bits, 0, (n, b) -> n + length(b))"), F.expr("array_max(transform(nodes, n -> n.depth))")).first()[1:] == (3000 * 4, source.DEEPEST)
+    rows = source.page_nodes(parse(spark, "<p> One <b>two </b> three<i aria-hidden=true>x</i></p><i aria-hidden=true>y</i>")).orderBy("node_id").collect()
+    assert [(r.text, r.vis_name) for r in rows] == [("One two threex", "One two threex"), ("two", "two"), ("x", "x"), ("y", "y")]
+
+
+def test_siblings_in_selectors(spark):
+    df = parse(spark, "<body><p>1</p><b>2</b><i>3</i><b>4</b><div><b>5</b></div></body>")
+    count = lambda s: df.select(F.size(F.filter("nodes", selector(s)))).first()[0]
+    assert [count(s) for s in ("p + b", "p ~ b", "i + b", "p ~ div > b", "p+b, p~i", "b ~ p")] == [1, 2, 1, 1, 2, 0]
+
+
+def test_packs_as_lists_and_providers(spark):
+    own = [{"id": "a", "rules": [{"code": "A"}]}]
+    more = packs.register_pack(packs.register_pack(own, {"id": "b", "rules": [{"code": "B"}]}), {"id": "a", "rules": [{"code": "C"}]})
+    assert [(p["id"], p["rules"][0]["code"]) for p in more] == [("b", "B"), ("a", "C")] and packs.unregister_pack(more, "b") == more[1:]
+    assert [p.get("enabled", True) for p in packs.enable_pack(more, "a", False)] == [True, False]
+    known = enrichment.Providers(describeGraph="off").register(enrichment.Registered("ocr", "local")).register(enrichment.Registered("transcribe", "remote", available=lambda: False))
+    assert {r.cap: (r.name, r.available, r.policy) for r in known.rows(spark).collect()} == {"ocr": ("local", True, "ask"), "describeImage": (None, False, "ask"), "describeGraph": (None, False, "off"), "reflowPdf": (None, False, "auto"), "transcribe": ("remote", False, "ask")}
+    with pytest.raises(ValueError):
+        known.register(enrichment.Registered("dance", "x"))
+
+
 def test_names(spark):
     out = rules.run_rules(parse(spark, "<a href='/f/Annual_Report_2023.pdf'>here</a><a href='b.docx' data-size='1536' target=_blank>Plan (docx, 1 MB)</a>"), ["file-links"])
     got = [(c.attr, c.new) for c in rules.changes(out).orderBy("stage").collect() if c.attr != rules.MARK]
