@@ -137,6 +137,14 @@ _VTT = "printf('%02d:%02d:%02d.%03d', (floor({0} / 3600))::int, floor(({0} % 360
 _REQ = "req as (select doc_id, ['ocr', 'describeImage', 'describeGraph', 'transcribe'][1 + (doc_id % 4)::int] as cap, text from documents), cached as (select distinct cap, text from req where doc_id % 10 = 0), pl as (select r.doc_id, r.cap, case when c.cap is not null then 'done' when r.cap in ('describeGraph', 'transcribe') then 'skipped' when r.cap = 'describeImage' then 'held' else 'queued' end as state, case when c.cap is not null then '' when r.cap = 'transcribe' then 'no provider configured' when r.cap = 'describeGraph' then 'turned off' when r.cap = 'describeImage' then 'waiting for you to run it' else '' end as note from req r left join cached c on c.cap = r.cap and c.text = r.text)"
 _CAT = "cat as (select p.*, code, level from part p join sit on ix = p_partkey % 20)"
 
+_ENTITIES = "'&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+_BLANKS = r"'[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'"
+_CLEAN = "trim(regexp_replace(" + "replace(" * 6 + "regexp_replace({}, '<[^>]*>', '', 'g'), " + _ENTITIES + f", {_BLANKS.replace('{', '{{').replace('}', '}}')}, ' ', 'g'))"
+#: The given pages hold an article with a heading and paragraphs, some of which nobody closes.
+_ARTICLE = f"""art as (select page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as t from pages),
+head as (select page_id, {_CLEAN.format("regexp_extract(t, '(?s)<h1>(.*?)</h1>', 1)")} as text from art),
+para as (select distinct page_id, {_CLEAN.format("p")} as text from (select page_id, unnest(string_split(t, '<p>')[2:]) as p from art))"""
+
 ORACLE_SQL = {
     "group_text_lines": f"with {_LINES} select doc_id, page::int as page, line::int as line, text, size::double as size from lines",
     "doc_nodes": f"with {_NODES} select doc_id, ix, type, level, text from nodes",
@@ -158,4 +166,7 @@ ORACLE_SQL = {
     "check_catalogue": f"with {SHAPES_SQL}, {_CAT} select problem, code, detail, count(*) as n from (select 'missing token' as problem, code, unnest(string_split(code, '/')) as detail from sit where ix >= 20 union all select 'unknown rule', code, 'no-such-rule' from cat where p_partkey % 40 = 3 union all select 'level', code, 'X ' || level from cat where p_partkey % 50 = 7 union all select 'status', code, 'lost' from cat where p_partkey % 6 = 5) group by all",
     "render_features": f"with {SHAPES_SQL}, {_CAT} select code, 'Feature: ' || p_name || chr(10) || '  As a reader' || chr(10) || '  I want names' || chr(10) || '  So that I can read' || chr(10) || chr(10) || '  Scenario: ' || p_name || chr(10) || '    Given a page' || chr(10) || '    And a reader' || chr(10) || '    When it opens' || chr(10) || '    Then it is named' as feature from cat",
     "stream_compliance": "select event_type as code, (user_id % 40)::varchar as level, avg(s) as avg_score, count(*) as n from (select *, 1 + floor(abs(value))::bigint % 7 as s from events where event_id % 7 <> 0) where s is not null group by 1, 2",
+    "reading_blocks": f"with {_ARTICLE} select page_id, 'heading' as type, 1::bigint as level, text from head where text <> '' union all select page_id, 'para', 0, text from para where text <> ''",
+    "outline": f"""with {_ARTICLE}, s as (select *, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 40) as base from head where text <> '')
+      select page_id, 0::bigint as seq, 1::bigint as level, text, 'rr-' || case when base = '' then 'sec' else base end || '-0' as slug from s""",
 }

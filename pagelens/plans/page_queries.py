@@ -53,12 +53,6 @@ def _all_planted(spark: SparkSession, d: str) -> DataFrame:
     return rules.run_rules(source.parse_pages(_planted(spark, d, list(DEFECTS.values()))))
 
 
-def planted_counts(spark: SparkSession, d: str) -> DataFrame:
-    """All rules over pages of one defect each: how often each rule changed something."""
-    rows = rules.counts(_all_planted(spark, d)).where("n > 0")
-    return rows.groupBy("rule_id").agg(F.count("*").alias("pages"), F.sum("n").alias("n"))
-
-
 def undo_identity(spark: SparkSession, d: str) -> DataFrame:
     """Elements that differ from the original after all changes are taken back: none."""
     back = rules.undo_changes(_all_planted(spark, d))
@@ -116,7 +110,6 @@ def packs_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "planted_rule_counts": planted_counts,
     "undo_identity": undo_identity,
     "page_report": page_report,
     "page_scorecard": page_scorecard,
