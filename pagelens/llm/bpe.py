@@ -179,6 +179,8 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     """
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["offsets_sha256"] * offsets]
     own = [c for c in df.columns if c not in names] if keep else [id_col]
+    sent = own if keep else [*own, F.col(text_col).alias("__text")]
+    at = own.index(text_col) if keep else 1  # the text is sent once
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in own] + ["n_tokens long"] + [f"{c} string" for c in names[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +188,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         t.known = {}
         for b in batches:
             for rows in _row_runs(b):
-                texts = [x or "" for x in rows.column(len(own)).to_pylist()]
+                texts = [x or "" for x in rows.column(at).to_pylist()]
                 cols: list[list] = [[] for _ in names]
                 for text, raw in zip(texts, t.encode_runs(texts)):
                     ids = np.frombuffer(raw, "<u4")
@@ -197,7 +199,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(own)], pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=[*own, *names])
         t.known = {}
 
-    return df.select(*own, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
+    return df.select(*sent).mapInArrow(tidy(run), schema)
 
 
 def _row_runs(batch: pa.RecordBatch, most: int = 1000) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_facts
 
 #: Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -154,11 +154,13 @@ def _with_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, mark, base, terms array<struct<s, e>>)`` of every row."""
     base = cut(find_base(docs, id_col, text_col))
     texts = cut(_texts(base))
-    given = disclosing_terms(docs, texts, base.count(), text_col)
+    total = base.count()
+    given = disclosing_terms(docs, texts, total, text_col)
     said = texts.select("mark", F.explode("entities").alias("entity")).join(given.select("entity", "term"), "entity").groupBy("mark").agg(F.collect_set("term").alias("said"))
     hits = F.transform(F.filter(_places(F.col("rest")), lambda x: F.array_contains("said", x["term"])), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    terms = texts.join(said, "mark").select("mark", hits.alias("terms"))
-    return base.join(terms, "mark", "left").select("id", "mark", "base", F.coalesce("terms", F.array().cast("array<struct<s:int,e:int>>")).alias("terms"))
+    terms = cut(texts.join(said, "mark").select("mark", "n", hits.alias("terms")))
+    # copies of one text may be a large part of all rows
+    return with_facts(base, terms, "mark", "n", total, "left").select("id", "mark", "base", F.coalesce("terms", F.array().cast("array<struct<s:int,e:int>>")).alias("terms"))
 
 
 def _listed(spans: Column, kind) -> Column:
