@@ -33,13 +33,27 @@ def vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(e.unionByName(scaled).unionByName(cut).unionByName(again).unionByName(mixed)).select("vec_id", "n_links", "component_id", "kept")
 
 
-def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histogram of encoded lengths by language with its suffix sums: one row per language and length."""
+def _length_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lengths = token_counts.token_lengths(docs.select(F.col("lang").alias("id"), "text"), RANKS, PATTERN, "id")
     return token_counts.suffix_sums(token_counts.length_histogram(lengths.withColumnRenamed("id", "lang"), by=["lang"]), by=["lang"])
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of encoded lengths by language with its suffix sums: one row per language and length."""
+    return _length_sums(spark, sf_dir)
+
+
+def token_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays and what is cut by language at stated context limits, from the suffix sums of op3."""
+    return token_counts.truncated_totals(_length_sums(spark, sf_dir), [128, 512, 2048, 8192, 32768], by=["lang"])
+
+
+def token_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of encoded lengths by language, from the suffix sums of op3."""
+    return token_counts.quantiles(_length_sums(spark, sf_dir), [0.1, 0.5, 0.9, 0.99, 1.0], by=["lang"])
+
+
 def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 16)
 
@@ -73,7 +87,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_hnsw, op3_token_counts, op4_sampled_splitters, op5_licenses, op6_warc, op7_ngram_join, op8_decontaminate, op9_byte_bpe, op10_pii, vector_copies)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_hnsw, op3_token_counts, op4_sampled_splitters, op5_licenses, op6_warc, op7_ngram_join, op8_decontaminate, op9_byte_bpe, op10_pii, vector_copies, token_limits, token_quantiles)}
 
 #: Word shingles as the join reads them, and the smallest id that links reach.
 JACCARD_SQL = r"""

@@ -20,7 +20,8 @@ def _encoding(ranks_path: str, pattern: str):
 
 
 def token_lengths(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, n_tokens)`` of every whole text; a null text is empty and has 0 tokens; repeated rows each count."""
+    """``(id_col, n_tokens)`` of every whole text, however long; a null text is empty and has 0 tokens; null ids stay; repeated
+    rows each count; an empty table gives no rows; other columns are left out, so their names can't clash."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +37,7 @@ def token_lengths(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
 def length_histogram(lengths: DataFrame, length_col: str = "n_tokens", by: Sequence[str] = ()) -> DataFrame:
     """``(*by, n_tokens, n_docs)``: documents by exact length. Its rows are bounded by the longest text, not by the
-    documents; null lengths are left out."""
+    documents; null lengths are left out, equal ones are one row, and an empty table gives none."""
     return lengths.where(F.col(length_col).isNotNull()).groupBy(*by, F.col(length_col).alias("n_tokens")).agg(F.count("*").alias("n_docs"))
 
 

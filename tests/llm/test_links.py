@@ -33,6 +33,27 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys(spark, how):
+    """Hot keys are joined by a broadcast, others by a merge, and the rows are those of a plain join."""
+    keys = [1] * 50 + [2] * 3 + [3] + [None, None] + list(range(10, 40))
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    facts = spark.createDataFrame([(1, 50, "a"), (2, 3, "b"), (10, 1, "c"), (99, 1, "d")], "k long, n long, what string")
+    got = common.with_facts(rows, facts, "k", "n", len(keys), how, least=3)
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(facts, "k", how).collect()))
+    assert common.with_facts(rows, facts.limit(0), "k", "n", len(keys), how, least=3).count() == (len(keys) if how == "left" else 0)
+
+
+def test_hubs(spark, monkeypatch):
+    """Nodes with very many edges are spread over tasks; components stay the same."""
+    monkeypatch.setattr(common, "HUB_EDGES", 20)
+    rng = random.Random(3)
+    edges = [(0, i) for i in range(1, 300)] + [(500, i) for i in range(501, 700)] + [(rng.randrange(700, 900), rng.randrange(700, 900)) for _ in range(150)] + [(299, 650)]
+    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    real = [(a, b) for a, b in edges if a != b]
+    assert got == roots({x for e in real for x in e}, real)
+
+
 def brute_join(rows):
     sets = {}
     for i, t in rows:
