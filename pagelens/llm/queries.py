@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hnsw, licenses, ngram_join, pii, quality, sharding, token_counts, warc
+from . import bpe, decontaminate, hnsw, lexical, licenses, manifest, ngram_join, packing, pii, quality, sharding, token_counts, warc
 from .common import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_hnsw, op3_token_counts, op4_sampled_splitters, op5_licenses, op6_warc, op7_ngram_join, op8_decontaminate, op9_byte_bpe, op10_pii, vector_copies, token_limits, token_quantiles)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document; texts of a third of the ids are tampered with before they are verified."""
+    docs = table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    own, changed = manifest.leaf(*map(F.col, LEAF_COLUMNS)), manifest.leaf(*map(F.col, LEAF_COLUMNS[:-1]), tampered)
+    proved = manifest.prove(docs.select("doc_id", "lang", own.alias("leaf"), changed.alias("changed")))
+    return manifest.verify(proved, "changed").select("doc_id", "leaf", "subroot", "root", manifest.siblings(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_hnsw, op3_token_counts, op4_sampled_splitters, op5_licenses, op6_warc, op7_ngram_join, op8_decontaminate, op9_byte_bpe, op10_pii, op11_packing, op12_manifest, op13_lexical_search, vector_copies, token_limits, token_quantiles)}
 
 #: Word shingles as the join reads them, and the smallest id that links reach.
 JACCARD_SQL = r"""
@@ -147,4 +169,52 @@ select page_id, octet_length(encode(t))::bigint as payload_bytes,
   array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (v >> k) % 32]), '')), '') as payload_digest,
   case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id < last then last end as refers_to, '' as problem from h"""
 
-ORACLE_SQL: dict[str, str] = {"op2_hnsw": COSINE_SQL.format(given=GIVEN_SQL), "vector_copies": COSINE_SQL.format(given=COPIES_SQL), "op6_warc": WARC_SQL, "op7_ngram_join": JACCARD_SQL, "op8_decontaminate": OVERLAP_SQL}
+#: Levels of eight by language, then of the languages' tops; a CRC bit by bit; proofs and folded roots level by level.
+MANIFEST_SQL = r"""
+with recursive f as (select doc_id, lang, source, n_chars, text, coalesce('=' || lang, '') as k from documents),
+fld as (select *, [case when x is null then '-' else octet_length(encode(x)) || ':' || x end for x in [doc_id::varchar, source, lang, n_chars::varchar]] as head from f),
+crc as (select *, list_reduce([4294967295::bigint] || list_transform(range(8 * len(doc_id::varchar)),
+    lambda b: ((ord((doc_id::varchar)[1 + b // 8]) >> (b % 8)) & 1)::bigint), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))) as c from fld),
+chg as (select *, case when xor(c, 4294967295) % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as t2 from crc),
+lf as (select doc_id, k, sha256(array_to_string(head, '') || case when text is null then '-' else octet_length(encode(text)) || ':' || text end) as leaf,
+    sha256(array_to_string(head, '') || case when t2 is null then '-' else octet_length(encode(t2)) || ':' || t2 end) as changed from chg),
+l as (select *, row_number() over (partition by k order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by k) as n from lf),
+tree as (select k, 0 as lvl, i, n, leaf as h from l union all
+  select k, lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from tree where n > 1 group by k, lvl, i // 8, (n + 7) // 8),
+tops as (select k, max(lvl) as high, arg_max(h, lvl) as subroot, row_number() over (order by k) - 1 as place, count(*) over () as n from tree group by k),
+above as (select 0 as lvl, place as i, n, subroot as h from tops union all
+  select lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from above where n > 1 group by lvl, i // 8, (n + 7) // 8),
+root as (select max(lvl) as high, arg_max(h, lvl) as root from above),
+sibs as (
+  select k, lvl, i, coalesce((select string_agg(b.h, '' order by b.i) from tree b where b.k = a.k and b.lvl = a.lvl and b.i // 8 = a.i // 8 and b.i < a.i), '') as lo,
+    coalesce((select string_agg(b.h, '' order by b.i) from tree b where b.k = a.k and b.lvl = a.lvl and b.i // 8 = a.i // 8 and b.i > a.i), '') as hi
+  from tree a where n > 1),
+rsibs as (
+  select lvl, i, coalesce((select string_agg(b.h, '' order by b.i) from above b where b.lvl = a.lvl and b.i // 8 = a.i // 8 and b.i < a.i), '') as lo,
+    coalesce((select string_agg(b.h, '' order by b.i) from above b where b.lvl = a.lvl and b.i // 8 = a.i // 8 and b.i > a.i), '') as hi
+  from above a where n > 1),
+walk as (
+  select l.k, l.i, l.doc_id, l.leaf, 0 as step, l.changed as h, '' as proof, t.high, t.subroot, t.place from l join tops t using (k) union all
+  select w.k, w.i, w.doc_id, w.leaf, w.step + 1, sha256(s.lo || w.h || s.hi), w.proof || s.lo || s.hi, w.high, w.subroot, w.place
+  from walk w join sibs s on s.k = w.k and s.lvl = w.step and s.i = w.i // (8 ** w.step)::bigint where w.step < w.high),
+rise as (
+  select doc_id, leaf, subroot, 0 as step, h, proof, place from walk where step = high union all
+  select r.doc_id, r.leaf, r.subroot, r.step + 1, sha256(s.lo || r.h || s.hi), r.proof || s.lo || s.hi, r.place
+  from rise r join rsibs s on s.lvl = r.step and s.i = r.place // (8 ** r.step)::bigint)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, h as folded_root, h = root as verified from rise, root where step = high"""
+
+#: Scores in 64-bit integers, weights in doubles.
+SEARCH_SQL = r"""
+with low as (select translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t, doc_id, row_number() over () as d from documents),
+w as (select d, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from low),
+tf as (select d, doc_id, term, count(*) as tf from w group by all),
+len as (select d, count(*)::bigint as n from w group by d),
+tot as (select count(*)::bigint as docs, sum(n)::bigint as words from len),
+dfs as (select term, floor(1000 * ln((2.0::double * docs + 2) / (2.0::double * count(*) + 1)))::bigint as weight from tf, tot group by term, docs),
+ask as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+s as (select item_id, d, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words))))::bigint as score
+  from ask join tf using (term) join dfs using (term) join len using (d), tot group by all),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s where score > 0)
+select * from r where rank <= 50"""
+
+ORACLE_SQL: dict[str, str] = {"op2_hnsw": COSINE_SQL.format(given=GIVEN_SQL), "vector_copies": COSINE_SQL.format(given=COPIES_SQL), "op6_warc": WARC_SQL, "op7_ngram_join": JACCARD_SQL, "op8_decontaminate": OVERLAP_SQL, "op12_manifest": MANIFEST_SQL, "op13_lexical_search": SEARCH_SQL}
