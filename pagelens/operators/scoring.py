@@ -93,7 +93,7 @@ def to_assessment(card: DataFrame, meta: DataFrame) -> DataFrame:
     for c in ("dl_name", "dl_url", "assessor", "user_agent", "tool_version", "overall_note"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit("")) if c in out.columns else F.lit(""))
     created = F.col("created_at") if "created_at" in out.columns else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return out.select(F.sha2(F.concat_ws(":", "page_id", "dl_url"), 256).alias("id"), "dl_name", "dl_url", "assessor", created.alias("created_at"), "user_agent", "tool_version", "overall_note", "auto_summary", "situations")
+    return out.select(F.sha2(F.concat_ws(":", "page_id", "dl_url", *["created_at"] * ("created_at" in out.columns)), 256).alias("id"), "dl_name", "dl_url", "assessor", created.alias("created_at"), "user_agent", "tool_version", "overall_note", "auto_summary", "situations")
 
 
 def report_by_code(report: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SUMMARY = "struct<violations:bigint,good:bigint>"
 FINDINGS = "struct<violations:array<struct<msg:string,count:bigint,kind:string>>,goodTechniques:array<struct<msg:string,count:bigint>>>"
@@ -15,12 +18,43 @@ SCHEMAS = {
     "situation_result": f"id string, assessment_id string, code string, level string, title string, compliance_score int, auto_score int, auto_findings {FINDINGS}, violations_note string, good_note string",
     "evidence": "id string, situation_result_id string, kind string, filename string, note string, image_base64 string",
 }
+#: Columns that a store may hold as JSON text.
+STORED_TEXT = {"auto_summary": SUMMARY, "auto_findings": FINDINGS}
 NESTED = f"id string, dl_name string, dl_url string, assessor string, created_at string, user_agent string, tool_version string, overall_note string, auto_summary {SUMMARY}, situations array<{SITUATION}>"
 
 
 def read_audit_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The three tables with their fixed schemas; columns that a file lacks are null."""
-    return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()}
+    """The three tables with their fixed schemas; columns that a file lacks are null. Findings and summaries may be stored as
+    JSON text, see :func:`parse_stored_text`; the table then has what could not be read in a column of its own."""
+    out = {}
+    for name, schema in SCHEMAS.items():
+        stored = spark.read.parquet(f"{folder}/{name}").schema
+        for c in stored.fields:
+            if c.name in STORED_TEXT and c.dataType.simpleString() == "string":
+                schema = schema.replace(f"{c.name} {STORED_TEXT[c.name]}", f"{c.name} string")
+        rows = spark.read.schema(schema).parquet(f"{folder}/{name}")
+        out[name] = parse_stored_text(rows.select(*[f.name for f in T.StructType.fromDDL(schema).fields]))
+    return out
+
+
+def parse_stored_text(rows: DataFrame) -> DataFrame:
+    """Findings and summaries from JSON text of any shape.
+
+    Fields are taken one by one as far as they can be read: a count may be text, an entry may lack fields or have others, and
+    a list may be missing. Text that is no JSON object gives null, and is kept in ``<column>_text``; for text that could
+    be read that column is null.
+    """
+    for name in (c for c in STORED_TEXT if c in rows.columns and rows.schema[c].dataType.simpleString() == "string"):
+        v, raw = F.try_parse_json(name), F.col(name)
+        if name == "auto_summary":
+            read = F.struct(*[F.try_variant_get(v, f"$.{f}", "bigint").alias(f) for f in ("violations", "good")])
+        else:
+            entry = lambda x, fields: F.struct(*[F.try_variant_get(x, f"$.{f}", "bigint" if f == "count" else "string").alias(f) for f in fields])
+            many = lambda f, *fields: F.transform(F.try_variant_get(v, f"$.{f}", "array<variant>"), lambda x: entry(x, fields)).alias(f)  # noqa: B023, E731
+            read = F.struct(many("violations", "msg", "count", "kind"), many("goodTechniques", "msg", "count"))
+        known = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+        rows = rows.withColumn(f"{name}_text", F.when(~known, raw)).withColumn(name, F.when(known, read).cast(STORED_TEXT[name]))
+    return rows
 
 
 def read_nested(spark: SparkSession, path: str) -> DataFrame:
@@ -28,14 +62,19 @@ def read_nested(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NESTED).json(path)
 
 
+def with_id(nested: DataFrame) -> DataFrame:
+    """Audits without an id get one that follows from what they say."""
+    return nested.withColumn("id", F.coalesce("id", F.sha2(F.to_json(F.struct("dl_url", "created_at", "assessor", "situations")), 256)))
+
+
 def flatten_audits(nested: DataFrame) -> dict[str, DataFrame]:
     """Rows of the three tables from nested audits, with defaults filled.
 
     Ids come from what a row says and from its place, so that flattening twice gives the same rows.
     """
-    text = lambda c: F.coalesce(c, F.lit("")).alias(c._jc.toString().rpartition(".")[2])
-    own = nested.withColumn("id", F.coalesce("id", F.sha2(F.to_json(F.struct("dl_url", "created_at", "assessor", "situations")), 256)))
-    heads = own.select("id", *[text(F.col(c)) for c in ("dl_name", "dl_url", "assessor")], F.coalesce("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("created_at"), *[text(F.col(c)) for c in ("user_agent", "tool_version", "overall_note")], "auto_summary")
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    own = with_id(nested)
+    heads = own.select("id", *map(text, ("dl_name", "dl_url", "assessor")), F.coalesce("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("created_at"), *map(text, ("user_agent", "tool_version", "overall_note")), "auto_summary")
     sits = own.select(F.col("id").alias("assessment_id"), F.posexplode("situations").alias("pos", "s")).withColumn("id", F.sha2(F.concat_ws(":", "assessment_id", "pos"), 256))
     rows = sits.select("id", "assessment_id", *[F.coalesce(F.col(f"s.{c}"), F.lit("")).alias(c) for c in ("code", "level", "title")], "s.compliance_score", "s.auto_score", "s.auto_findings", *[F.coalesce(F.col(f"s.{c}"), F.lit("")).alias(c) for c in ("violations_note", "good_note")])
     shots = sits.select(F.col("id").alias("situation_result_id"), F.posexplode("s.evidence").alias("pos", "e"))
@@ -43,11 +82,14 @@ def flatten_audits(nested: DataFrame) -> dict[str, DataFrame]:
     return {"assessment": heads, "situation_result": rows, "evidence": shots}
 
 
-def save_assessments(nested: DataFrame, folder: str) -> None:
-    """Append nested audits to the three tables; headers go last, so a reader that joins on them never sees half an audit."""
-    tables = flatten_audits(nested)
+def save_assessments(nested: DataFrame, folder: str, batch: str | None = None) -> None:
+    """Write nested audits as one batch of the three tables: a folder of each, which is written over when the batch comes again.
+
+    Headers go last, so a reader that joins on them never sees half an audit. Without ``batch`` the audits are one of their own.
+    """
+    tables, batch = flatten_audits(nested), batch or f"save-{uuid.uuid4().hex}"
     for name in ("evidence", "situation_result", "assessment"):
-        tables[name].write.mode("append").parquet(f"{folder}/{name}")
+        tables[name].write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
 
 
 def nest_assessments(assessment: DataFrame, situation: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import rules
 from ..sources import pages as source
-from ..sources.audits import save_assessments
+from ..sources.audits import NESTED, save_assessments, with_id
+
+
+#: A batch with at most so many ids is sent to where the stored headers are; for more, both are dealt by id.
+SENT_IDS = 500_000
+
 
+def ingest(lines: DataFrame, batch: int | str, folder: str) -> None:
+    """Store the audits of one batch, JSON text in ``value``, exactly once.
 
-def once_per_id(audits: DataFrame, within: str = "1 day") -> DataFrame:
-    """Each audit id once, for repeats that come within the watermark."""
-    timed = audits.withColumn("at", F.to_timestamp("created_at"))
-    return timed.withWatermark("at", within).dropDuplicatesWithinWatermark(["id"]).drop("at")
+    An id that another batch has stored is left out, however long ago; of repeats within the batch the one with the earliest
+    ``created_at`` stays, then the smallest text. Times are text and are kept as they are, also such as are no times. Lines
+    that are no JSON object go to ``rejected``. A batch that comes again writes over its own folders, and its own
+    ids don't count as stored, so a replay changes nothing.
+    """
+    spark = lines.sparkSession
+    read = lines.select("value", F.from_json("value", f"{NESTED}, __bad string", {"columnNameOfCorruptRecord": "__bad"}).alias("a"))
+    bad = F.col("a").isNull() | F.col("a.__bad").isNotNull() | ~F.coalesce(F.trim("value").startswith("{"), F.lit(False))
+    read.where(bad).select("value").write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch}")
+    audits = with_id(read.where(~bad).select("value", "a.*").drop("__bad"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.asc_nulls_last("created_at"), "value"))
+    audits = audits.withColumn("__n", first).where("__n = 1").drop("__n", "value")
+    ids = audits.select("id")
+    known = spark.read.parquet(f"{folder}/assessment").where(F.col("batch").cast("string") != str(batch)).select("id")
+    if ids.limit(SENT_IDS + 1).count() <= SENT_IDS:
+        known = known.join(F.broadcast(ids), "id", "left_semi").distinct()
+    save_assessments(audits.join(known, "id", "left_anti"), folder, str(batch))
 
 
-def stream_audit_ingest(audits: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Append nested audits to the three tables as they come, all that are there now."""
-    put: Callable[[DataFrame, int], None] = lambda batch, _: save_assessments(batch, folder)
-    return once_per_id(audits).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_audit_ingest(lines: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Store a stream of audits as JSON text, all that is there now, each batch by :func:`ingest`. One stream writes to a store."""
+    spark = lines.sparkSession
+    save_assessments(spark.createDataFrame([], NESTED), folder, "none")
+    return lines.writeStream.foreachBatch(lambda batch, k: ingest(batch, k, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def compliance(situations: DataFrame) -> DataFrame:

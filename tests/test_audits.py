@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pagelens.operators import audits, scoring
 from pagelens.sources import audits as store
 from pagelens.sources import wire
+from pagelens.streaming import audits as stream
 
 # Two audits of one library and one of another; the second holds better scores.
 ROWS = [
@@ -83,3 +84,62 @@ def test_scorecard(spark):
     nested = scoring.to_assessment(card, meta)
     assert nested.first().auto_summary == (10, 3) and len(nested.first().situations) == 24
     assert store.flatten_audits(nested)["situation_result"].count() == 24
+
+
+def test_ingest_is_exactly_once(spark, tmp_path):
+    """Repeats within a batch, in a later one and long after; times that are none; lines that are no audit; a batch that comes again."""
+    place = f"file://{tmp_path}"
+    audit = lambda i, at="2025-01-01", code="A": f'{{"id": "{i}", "created_at": {at if at == "null" else chr(34) + at + chr(34)}, "situations": [{{"code": "{code}", "evidence": [{{"kind": "good"}}]}}], "new": {{"x": 1}}}}'
+    batches = [
+        [audit("a"), audit("a", "2024-01-01", "first"), audit("b", "never"), '{"id": "cut', "[1]", "", '"text"'],
+        [audit("a", "2030-01-01"), audit("old", "1990-01-01"), audit("c", "null"), '{"dl_url": "no id"}', '{"dl_url": "no id"}'],
+        [audit("old", "1980-01-01"), audit("b"), audit("d")],
+    ]
+
+    def state():
+        got = store.read_audit_tables(spark, f"{place}/store")
+        rows = got["situation_result"].join(got["assessment"].select(F.col("id").alias("assessment_id"), "created_at"), "assessment_id")
+        return sorted((r.assessment_id, r.code, r.created_at) for r in rows.collect() if r.assessment_id != "c"), got["assessment"].count(), got["evidence"].count(), sorted(r.value for r in spark.read.parquet(f"{place}/store/rejected").collect())
+
+    def run():
+        stream.stream_audit_ingest(spark.readStream.text(f"{place}/in"), f"{place}/store", f"{place}/state").awaitTermination()
+
+    for lines in batches:
+        spark.createDataFrame([(x,) for x in lines], "value string").write.mode("append").text(f"{place}/in")
+        run()
+    want = ([("a", "first", "2024-01-01"), ("b", "A", "never"), ("d", "A", "2025-01-01"), ("old", "A", "1990-01-01")], 6, 5, sorted(["", '"text"', "[1]", '{"id": "cut']))
+    assert state() == want
+    # the last batch was stored but not marked as done, so it comes again
+    last = max((int(p.name), p) for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit())[1]
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    assert state() == want
+    run()
+    assert state() == want
+
+
+def test_half_a_batch_is_not_seen(spark, tmp_path):
+    """A writer that dies before the headers leaves rows that no header names; the batch that comes again takes their place."""
+    place = f"file://{tmp_path}/store"
+    store.save_assessments(spark.createDataFrame([], store.NESTED), place, "none")
+    lines = spark.createDataFrame([('{"id": "a", "situations": [{"code": "A"}]}',)], "value string")
+    stream.ingest(lines, 0, place)
+    stream.ingest(spark.createDataFrame([('{"id": "b", "situations": [{"code": "B"}]}',)], "value string"), 1, place)
+    spark.createDataFrame([], store.SCHEMAS["assessment"]).write.mode("overwrite").parquet(f"{place}/assessment/batch=1")
+    tables = lambda: store.read_audit_tables(spark, place)
+    nested = lambda: sorted((r.id, [s.code for s in r.situations]) for r in store.nest_assessments(*(tables()[k] for k in ("assessment", "situation_result", "evidence"))).collect())
+    assert nested() == [("a", ["A"])]
+    stream.ingest(spark.createDataFrame([('{"id": "b", "situations": [{"code": "B"}]}',)], "value string"), 1, place)
+    assert nested() == [("a", ["A"]), ("b", ["B"])]
+
+
+def test_stored_text(spark):
+    texts = ['{"violations": [{"msg": "m", "count": 2, "kind": "fix", "more": {}}], "goodTechniques": [{"msg": "g", "count": "3"}]}', '{"violations": "none"}', '{"violations": [1, {"msg": 5, "count": "x"}]}', '{"viol', "[]", "null", "", None, '{"goodTechniques": null}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, auto_findings string").withColumn("auto_summary", F.lit('{"violations": "4", "good": 1.0, "x": []}'))
+    got = store.parse_stored_text(rows).orderBy("id").collect()
+    plain = lambda x: None if x is None else [tuple(e) for e in x]
+    assert [None if r.auto_findings is None else (plain(r.auto_findings.violations), plain(r.auto_findings.goodTechniques)) for r in got] == [
+        ([("m", 2, "fix")], [("g", 3)]), (None, None), ([(None, None, None), ("5", None, None)], None), None, None, None, None, None, (None, None),
+    ]
+    assert [r.auto_findings_text for r in got] == [None, None, None, '{"viol', "[]", "null", "", None, None] and {tuple(r.auto_summary) for r in got} == {(4, 1)}
