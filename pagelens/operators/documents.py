@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# What counts as white space at the ends of a text.
+_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+_NOT_BLANK = f"[^{_SPACE}]"
+
+
 def collapse_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -25,15 +30,30 @@ def upper_median(c: Column) -> Column:
 def group_text_lines(items: DataFrame, gap: float = 2.0) -> DataFrame:
     """Lines of ``items(doc_id, page, seq, x, y, size, str)``: ``(doc_id, page, line, text, size)``, top first.
 
-    Items whose baselines follow each other within ``gap`` share a line; their text is joined by x without spaces.
+    Items come in order of ``seq``. The first one of a line fixes its baseline, rounded half up; a later one joins a line whose
+    baseline is within ``gap``, and begins one where there is none. Of several such lines it joins the highest, or, where
+    baselines below 0 are among them, the newest of these. Parts of a line are joined by x without spaces. A page is one
+    group: its items are gathered, and only its different baselines are walked.
     """
-    rows = items.where(F.length(F.trim("str")) > 0).withColumn("y", F.round("y"))
-    top = Window.partitionBy("doc_id", "page").orderBy(F.desc("y"), "seq")
-    new = F.when(F.lag("y").over(top) - F.col("y") <= gap, 0).otherwise(1)
-    rows = rows.withColumn("new", new).withColumn("line", F.sum("new").over(top.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = items.where(F.col("str").rlike(_NOT_BLANK)).withColumn("y", F.floor(F.col("y") + 0.5).cast("double"))
+    pages = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "y", "x", "size", "str"))).alias("items"))
+    near = lambda k, y: F.abs(k - y) <= gap
+    # whether a baseline begins a line is settled when it first occurs
+    first = F.aggregate(F.array_distinct(F.transform("items", lambda i: i["y"])), F.array().cast("array<double>"), lambda keys, y: F.when(F.exists(keys, lambda k: near(k, y)), keys).otherwise(F.array_append(keys, y)))
+    since = F.transform("keys", lambda k: F.struct(k.alias("y"), F.array_position(F.transform("items", lambda i: i["y"]), k).alias("nth")))
+    pages = pages.withColumn("keys", first).withColumn("since", since)
+
+    def line_of(y: Column, nth: Column) -> Column:
+        met = F.transform(F.filter("since", lambda k: (k["nth"] <= nth + 1) & near(k["y"], y)), lambda k: k["y"])
+        below = F.filter(met, lambda k: k < 0)
+        return F.when(F.size(below) > 0, F.element_at(below, -1)).otherwise(F.array_max(met))
+
+    placed = F.transform("items", lambda i, nth: F.struct(line_of(i["y"], nth).alias("key"), i["x"].alias("x"), i["seq"].alias("seq"), i["str"].alias("str"), i["size"].alias("size")))
+    order = F.reverse(F.array_sort("keys"))
+    each = pages.select("doc_id", "page", order.alias("order"), F.explode(placed).alias("p")).select("doc_id", "page", F.array_position("order", F.col("p.key")).alias("line"), "p.*")
     parts = F.array_sort(F.collect_list(F.struct("x", "seq", "str")))
     text = collapse_ws(F.array_join(F.transform(parts, lambda p: p["str"]), ""))
-    lines = rows.groupBy("doc_id", "page", "line").agg(text.alias("text"), upper_median(F.col("size")).alias("size"))
+    lines = each.groupBy("doc_id", "page", "line").agg(text.alias("text"), upper_median(F.col("size")).alias("size"))
     return lines.where("text <> ''")
 
 
@@ -99,18 +119,28 @@ def text_to_html(text: Column, lang: str = "en") -> Column:
     return F.concat(F.lit(f'<article lang="{lang}"><h1>Text document</h1>'), F.array_join(each, ""), F.lit("</article>"))
 
 
+#: A run in quotes, in which a doubled quote stands for one, and which may lack its end; a comma; a line feed; other characters.
+_CSV_TOKEN = r'"[^"]*+(?:""[^"]*+)*+"?+|,|\n|[^",\n]++'
+
+
+def _parts(tokens: Column, between: str) -> Column:
+    """Runs of tokens between those that are ``between``; one more than there are of these."""
+    at = F.concat(F.array(F.lit(-1)), F.filter(F.transform(tokens, lambda t, i: F.when(t == between, i)), lambda i: i.isNotNull()))
+    return F.transform(at, lambda a, k: F.slice(tokens, a + 2, F.coalesce(F.get(at, k + 1), F.size(tokens)) - a - 1))
+
+
 def csv_rows(text: Column) -> Column:
-    """Rows of cells of a CSV text: quotes may hold commas, line ends and doubled quotes; blank rows go.
+    """Rows of cells of a CSV text.
 
-    A line ends at a line feed outside quotes: such places have an even number of quotes before them.
+    A quote begins a run of characters that are taken as they are, anywhere in a cell, up to the next quote that isn't doubled,
+    or to the end of the text. Outside of such runs a comma ends a cell, a line feed a row, and carriage returns are
+    dropped. Rows of blank cells go.
     """
-    t = F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit(""))
-    # pieces between quotes: every second one is quoted, and only the others are cut
-    pieces = F.transform(F.split(t, '"'), lambda p, i: F.when(i % 2 == 0, F.replace(F.replace(p, F.lit(","), F.lit("\x01")), F.lit("\n"), F.lit("\x02"))).otherwise(p))
-    # an empty piece between two quoted ones is a doubled quote
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.when((i % 2 == 0) & (p == "") & (i > 0) & (i < F.size(pieces) - 1), '"').otherwise(p)), "")
-    rows = F.filter(F.split(joined, "\x02"), lambda r: F.length(F.trim(F.replace(r, F.lit("\x01"), F.lit("")))) > 0)
-    return F.transform(rows, lambda r: F.split(r, "\x01"))
+    run = lambda t: F.replace(F.regexp_extract(t, r'(?s)^"(.*?)"?\z', 1), F.lit('""'), F.lit('"'))
+    ended = lambda t: F.when(t.startswith('"'), run(t)).otherwise(F.replace(t, F.lit("\r"), F.lit("")))
+    cells = lambda row: F.transform(_parts(row, ","), lambda cell: F.array_join(F.transform(cell, ended), ""))
+    rows = F.transform(_parts(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_CSV_TOKEN), F.lit(0)), "\n"), cells)
+    return F.filter(rows, lambda r: F.exists(r, lambda c: c.rlike(_NOT_BLANK)))
 
 
 def csv_to_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

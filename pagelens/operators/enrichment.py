@@ -18,9 +18,9 @@ Provider = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
 def content_key(text: Column) -> Column:
-    """FNV-1a of a text's characters: 32 bits as eight hexadecimal digits."""
-    codes = F.transform(F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), lambda c: F.ascii(c).cast("bigint"))
-    h = F.aggregate(codes, F.lit(2166136261).cast("bigint"), lambda a, c: (a.bitwiseXOR(c) * 16777619) % 4294967296)
+    """FNV-1a of a text's UTF-16 units, so a character beyond the basic plane counts as two: 32 bits as eight hexadecimal digits."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("...."), F.lit(0))
+    h = F.aggregate(units, F.lit(2166136261).cast("bigint"), lambda a, u: (a.bitwiseXOR(F.conv(u, 16, 10).cast("bigint")) * 16777619) % 4294967296)
     return F.lpad(F.lower(F.hex(h)), 8, "0")
 
 

@@ -141,6 +141,28 @@ def csv_to_html(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", documents.csv_to_html(text).alias("html"))
 
 
+def csv_states(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of texts with quotes within cells, control characters, carriage returns in and out of quotes and an end that is missing."""
+    q, join = F.lit('"'), lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    name, brand, size = F.col("p_name"), F.col("p_brand"), F.col("p_size").cast("string")
+    text = join("a\x01b,", name, q, ",", brand, q, "x\r,", q, q, "\n", " ,\u00a0\n", q, q, q, size, q, q, ",\r\n", q, ",\x02c\n", size, ",", q, "open ", name, "\n")
+    cells = documents.csv_to_cells(table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
+    return cells.select("doc_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
+
+
+def drifting_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of pages on which baselines drift: what joins a line depends on its first item, and on which lines there are by then."""
+    ys = [700, 698.4, 696.6, 698, 695, 694.5, 702, 703, 701, -1, -2.5, 0.5, -4, -3]
+    item = lambda k, y: F.struct(F.lit(k).alias("seq"), F.lit(float(20 - k)).alias("x"), F.lit(float(y)).alias("y"), F.lit(float(10 + k)).alias("size"), F.concat(F.lit(f"{k}."), F.col("p_size").cast("string"), F.lit(" ")).alias("str"))
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % 3).cast("int").alias("page"), F.explode(F.array(*[item(k, y) for k, y in enumerate(ys)])).alias("i")).select("doc_id", "page", "i.*")
+    return documents.group_text_lines(items).select("doc_id", "page", F.col("line").cast("long").alias("line"), "text", "size")
+
+
+def content_key_units(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of texts with characters beyond the basic plane."""
+    return table(spark, d, "customer").select("c_custkey", enrichment.content_key(F.concat(F.lit("\U0001f600é"), "c_name", F.lit("漢\U0001d11e"))).alias("key"))
+
+
 def text_to_html(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat("p_name", F.lit(" <&>\r\n\r\n\n"), "p_brand", F.lit("\n"), "p_type")
     return table(spark, d, "part").select("p_partkey", documents.text_to_html(text).alias("html"))
@@ -150,7 +172,7 @@ def code_labels(spark: SparkSession, d: str) -> DataFrame:
     return scoring.with_label(shapes.report(spark, d)).groupBy("code", "label").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (run_audit, fixes_applied, packs_by_host, page_requests, reading_made, outline_made, page_title, store_round_trip, audits_json, encode_args, scalar_functions, csv_to_html, text_to_html, code_labels)}
+QUERIES = {f.__name__: f for f in (run_audit, fixes_applied, packs_by_host, page_requests, reading_made, outline_made, page_title, store_round_trip, audits_json, encode_args, scalar_functions, csv_to_html, csv_states, drifting_lines, content_key_units, text_to_html, code_labels)}
 
 _LABELS = ", ".join(f"({_q(c)}, {_q(t)})" for c, t in CODE_LABELS.items())
 _SIZE = "case when p_size * 1001 < 1024 then (p_size * 1001) || ' bytes' else printf('%.1f KB', p_size * 1001 / 1024.0) end"
@@ -173,6 +195,11 @@ ORACLE_SQL = {
       replace(p_name, ' ', '_') || '_' || replace(p_brand, '#', '_') as safe, 'rr-' || replace(lower(p_brand), '#', '-') || '-' || p_size as slug from part""",
     "csv_to_html": """select p_partkey, case when p_partkey % 9 = 0 then '<p>Empty file.</p>' else '<table lang="en"><caption>Imported spreadsheet data</caption><thead><tr><th scope="col">name</th><th scope="col">&lt;b&gt;</th></tr></thead><tbody><tr><th scope="row">' || p_name ||
       '</th><td>' || p_brand || ', ' || p_type || '</td></tr><tr><th scope="row">' || p_size || '</th><td></td></tr></tbody></table>' end as html from part""",
+    "csv_states": """select p_partkey as doc_id, r::bigint as row, c::bigint as col, value from (select *, unnest([0, 0, 0, 1, 1, 2, 2]) as r, unnest([0, 1, 2, 0, 1, 0, 1]) as c,
+      unnest(['a' || chr(1) || 'b', p_name || ',' || p_brand || 'x', '', '"' || p_size || '",' || chr(13) || chr(10), chr(2) || 'c', p_size::varchar, 'open ' || p_name || chr(10)]) as value from part)""",
+    "drifting_lines": """select p_partkey as doc_id, (p_partkey % 3)::int as page, line::bigint as line, array_to_string(list_transform(seqs, lambda k: k || '.' || p_size), ' ') as text, (10 + list_sort(seqs)[1 + len(seqs) // 2])::double as size
+      from part, (values (1, [8, 7]), (2, [6, 3, 1, 0]), (3, [5, 4, 2]), (4, [11, 10, 9]), (5, [13, 12])) v(line, seqs)""",
+    "content_key_units": """select c_custkey, printf('%08x', list_reduce([2166136261::bigint, 55357, 56832, 233] || list_transform(string_split(c_name, ''), lambda c: ascii(c)::bigint) || [28450::bigint, 55348, 56606], lambda a, c: (xor(a, c) * 16777619) % 4294967296)) as key from customer""",
     "text_to_html": "select p_partkey, '<article lang=\"en\"><h1>Text document</h1><p>' || p_name || ' &lt;&amp;&gt;</p><p>' || p_brand || '<br>' || p_type || '</p></article>' as html from part",
     "code_labels": f"""with {SHAPES_SQL}, l(token, label) as (values {_LABELS}), c as (select code, count(*) as n from report group by code),
       t as (select code, unnest(string_split(code, '/')) as token, unnest(range(len(string_split(code, '/')))) as i from c), b as (select code, arg_min(label, i) as label from t join l using (token) group by code)

@@ -1,5 +1,8 @@
 """Golden cases of parsing, rules, packs, the reading model and documents."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +136,58 @@ def test_documents(spark):
     assert [(r.value, r.scope) for r in cells] == [("a", "col"), ('b "q", c', "col"), ("x\ny", "row"), ("2", None)]
 
 
+def plain_csv(text):
+    """Rows by the states that a reader of CSV passes through, one character at a time."""
+    rows, row, cell, quoted, i = [], [], "", False, 0
+    while i < len(text):
+        c = text[i]
+        if quoted and text[i : i + 2] == '""':
+            cell, i = cell + '"', i + 1
+        elif c == '"':
+            quoted = not quoted
+        elif quoted or c not in ",\n\r":
+            cell += c
+        elif c == ",":
+            row, cell = [*row, cell], ""
+        elif c == "\n":
+            rows, row, cell = [*rows, [*row, cell]], [], ""
+        i += 1
+    if cell or row:
+        rows.append([*row, cell])
+    return [r for r in rows if any(x.strip("\t\n\x0b\f\r \xa0\u2028\ufeff") for x in r)]
+
+
+def test_csv_states(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice('"",,\n\r ab\x01\x02\x00\xa0\x85é') for _ in range(rng.randrange(14))) for _ in range(3000)]
+    texts += ['"a\n', '"', '""', '"""', 'a,', ",", "\n", '"' + 'x""' * 200_000, '"a",' * 20_000, None]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", documents.csv_rows(F.col("t")).alias("rows")).collect()
+    for r in got:
+        assert r.rows == plain_csv(texts[r.id] or ""), texts[r.id]
+
+
+def test_lines_by_first_item(spark):
+    """Random baselines against a walk over the items; a page of many items on few lines."""
+    rng = random.Random(3)
+    items, want = [], {}
+    for doc in range(60):
+        lines, low = {}, rng.choice([-12, 0, 100])
+        for seq in range(rng.randrange(1, 25)):
+            y = low + rng.randrange(48) / 4
+            items.append((doc, 0, seq, rng.random(), y, 10.0, f"{seq}."))
+            key, known = math.floor(y + 0.5), None
+            for k in sorted((k for k in lines if k >= 0)) + [k for k in lines if k < 0]:
+                known = k if abs(k - key) <= 2 else known
+            lines.setdefault(key if known is None else known, []).append((items[-1][3], f"{seq}."))
+        want[doc] = ["".join(t for _, t in sorted(lines[k])) for k in sorted(lines, reverse=True)]
+    items += [(99, 0, i, float(i), 700.0 - i % 40 * 10, 10.0, "x") for i in range(20_000)]
+    df = spark.createDataFrame(items, "doc_id long, page int, seq int, x double, y double, size double, str string")
+    got = documents.group_text_lines(df).orderBy("doc_id", "line").collect()
+    for doc in want:
+        assert [r.text for r in got if r.doc_id == doc] == want[doc]
+    assert [len(r.text) for r in got if r.doc_id == 99] == [500] * 40
+
+
 def test_streams(spark, tmp_path, data):
     pages = spark.read.parquet(f"{data}/sf0.001/pages.parquet")
     pages.limit(5).write.parquet(f"file://{tmp_path}/in")
