@@ -67,50 +67,82 @@ def _all(tests: list[Column]) -> Column:
 _PART = re.compile(r"\[([\w-]+)(?:([*^~$]?)=(?:'([^']*)'|\"([^\"]*)\"|([\w-]+))\s*(i?))?\]|#([\w-]+)|\.([\w-]+)|:not\(([^)]*)\)|([A-Za-z][\w-]*)|(\*)")
 
 
-def simple(selector: str) -> Test:
-    """A compound selector such as ``a.b[c*='d' i]:not([e])`` as a test of one element."""
+def compound_parts(selector: str) -> list[dict]:
+    """A compound selector such as ``a.b[c*='d' i]:not([e])`` as data: tests ``{no, all}``, of which ``all`` lists parts
+    ``{kind, name, op, value, fold}`` that hold together, or don't if ``no``."""
     parts = list(_PART.finditer(selector))
     if "".join(m[0] for m in parts) != selector.strip() or not parts:
         raise ValueError(f"selector not supported: {selector!r}")
+    out = []
+    for m in parts:
+        name, op, a, b, c, fold, ident, cls, without, tag, _ = m.groups()
+        if without is not None:
+            out.append({"no": True, "all": [p for t in compound_parts(without) if not t["no"] for p in t["all"]]})
+            continue
+        want = a if a is not None else b if b is not None else c
+        one = {"kind": "any", "name": "", "op": "", "value": "", "fold": False}
+        if name:
+            one |= {"kind": "attr", "name": name, "op": "has" if want is None else op or "=", "value": (want.lower() if fold else want) if want is not None else "", "fold": bool(fold)}
+        elif ident or cls:
+            one |= {"kind": "id" if ident else "class", "value": ident or cls}
+        elif tag:
+            one |= {"kind": "tag", "value": tag.lower()}
+        out.append({"no": False, "all": [one]})
+    return out
+
+
+def simple(selector: str) -> Test:
+    """A compound selector as a test of one element."""
+    parsed = compound_parts(selector)
+
+    def one(x: Column, p: dict) -> Column:
+        K = kit(x)
+        if p["kind"] == "any":
+            return K.lit(True)
+        if p["kind"] == "tag":
+            return x["tag"] == p["value"]
+        if p["kind"] == "id":
+            return K.coalesce(attr(x, "id") == p["value"], K.lit(False))
+        if p["kind"] == "class":
+            return K.array_contains(K.split(classes(x), r"\s+"), p["value"])
+        value, want = attr(x, p["name"]), p["value"]
+        if p["op"] == "has":
+            return value.isNotNull()
+        value = K.lower(K.coalesce(value, K.lit(""))) if p["fold"] else K.coalesce(value, K.lit(""))
+        held = {"=": lambda: value == want, "*": lambda: value.contains(want), "^": lambda: value.startswith(want), "$": lambda: value.endswith(want), "~": lambda: K.array_contains(K.split(value, r"\s+"), want)}[p["op"]]()
+        return held & has_attr(x, p["name"])
 
     def test(x: Column) -> Column:
-        K, tests = kit(x), []
-        for m in parts:
-            name, op, a, b, c, fold, ident, cls, without, tag, _ = m.groups()
-            if name:
-                value = attr(x, name)
-                want = a if a is not None else b if b is not None else c
-                if want is None:
-                    tests.append(value.isNotNull())
-                    continue
-                value = K.lower(K.coalesce(value, K.lit(""))) if fold else K.coalesce(value, K.lit(""))
-                want = want.lower() if fold else want
-                one = {"": value == want, "*": value.contains(want), "^": value.startswith(want), "$": value.endswith(want), "~": K.array_contains(K.split(value, r"\s+"), want)}[op]
-                tests.append(one & has_attr(x, name))
-            elif ident:
-                tests.append(K.coalesce(attr(x, "id") == ident, K.lit(False)))
-            elif cls:
-                tests.append(K.array_contains(K.split(classes(x), r"\s+"), cls))
-            elif without:
-                tests.append(~simple(without)(x))
-            elif tag:
-                tests.append(x["tag"] == tag.lower())
-            else:
-                tests.append(K.lit(True))
-        return _all(tests)
+        tests = [(t["no"], _all([one(x, p) for p in t["all"]])) for t in parsed]
+        return _all([~t if no else t for no, t in tests])
 
     return test
 
 
+def chains_of(text: str) -> list[list[tuple[str, str]]]:
+    """The chains of a selector list, from left to right: compound selectors and how each follows on the one before. Commas
+    within brackets are not supported."""
+    out = []
+    for chain in text.split(","):
+        steps, link, made = re.findall(r"[>+~](?!=)|(?:\[[^\]]*\]|:not\([^)]*\)|[^\s>+~\[])+", chain.strip()), "", []
+        for s in steps:
+            if s in (">", "+", "~"):
+                link = s
+            else:
+                made.append((link or (" " if made else ""), s))
+                link = ""
+        if not made or link or made[0][0]:
+            raise ValueError(f"selector not supported: {chain!r}")
+        out.append(made)
+    return out
+
+
 def selector(text: str, nodes: str = "nodes") -> Test:
-    """A selector list; a space asks for an ancestor, ``>`` for the parent, ``+`` for the sibling before, ``~`` for any before.
-    Commas within brackets are not supported."""
+    """A selector list; a space asks for an ancestor, ``>`` for the parent, ``+`` for the sibling before, ``~`` for any before."""
 
-    def one(chain: str) -> Test:
-        steps = re.findall(r"[>+~](?!=)|(?:\[[^\]]*\]|:not\([^)]*\)|[^\s>+~\[])+", chain.strip())
-        last, rest = simple(steps[-1] if steps else ""), steps[:-1]
-        link = rest.pop() if rest and rest[-1] in (">", "+", "~") else " " if rest else ""
-        before = one(" ".join(rest)) if rest else None
+    def one(chain: list[tuple[str, str]]) -> Test:
+        (link, part), rest = chain[-1], chain[:-1]
+        last, before = simple(part), one(rest) if rest else None
 
         def test(x: Column) -> Column:
             K = kit(x)
@@ -124,7 +156,7 @@ def selector(text: str, nodes: str = "nodes") -> Test:
 
         return test
 
-    tests = [one(c) for c in text.split(",")]
+    tests = [one(c) for c in chains_of(text)]
     return lambda x: _any([t(x) for t in tests])
 
 
@@ -162,13 +194,15 @@ def has_name(x: Column, nodes: str = "nodes") -> Column:
     its first image that has one."""
     K = kit(x)
     own = filled(attr(x, "aria-label")) | filled(attr(x, "aria-labelledby")) | filled(K.trim(attr(x, "title"))) | x["seen"]
-    return own | filled(K.trim(attr(first_inside(x, lambda y: (y["tag"] == "img") & has_attr(y, "alt"), nodes), "alt")))
+    # from the first image on; most elements hold none
+    pics = K.filter(K.slice(nodes, x["pic"], x["end"] - x["pic"] + 1), lambda y: (y["tag"] == "img") & has_attr(y, "alt"))
+    return own | K.when(x["pic"] > 0, filled(K.trim(attr(K.get(pics, K.lit(0)), "alt")))).otherwise(False)
 
 
 def explicit_name(x: Column, nodes: str = "nodes") -> Column:
     K = kit(x)
     own = filled(K.trim(attr(x, "aria-label"))) | filled(attr(x, "aria-labelledby")) | filled(K.trim(attr(x, "title")))
-    return own | filled(text_of(first_inside(x, lambda y: y["tag"] == "title", nodes)))
+    return own | filled(text_of(node(x["title"], nodes)))
 
 
 def is_decorative(x: Column) -> Column:

@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Callable, Iterator
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as S
-from ..functions.elements import attr, has_name, selector
-from .rules import CHANGE, MARK, Kept, Rule, Step, _entries, _mark, _marked, apply_rules, run_rules
+from ..functions.elements import attr, chains_of, compound_parts, has_name, selector
+from ..sources.pages import NODE
+from .rules import CHANGE, COUNTED, FIELDS, LOG, MARK, SAID, Kept, Rule, Step, _entries, _mark, _marked, apply_rules, run_rules
 
-SCHEMA = """id string, title string, enabled boolean, source string,
+SCHEMA = """id string, title string, enabled boolean, source string, ord int,
 match struct<hosts:array<string>,generator:string,selectors:array<string>>,
 rules array<struct<code:string,level:string,describe:string,select:string,when:struct<missingName:boolean,hasName:boolean,notRole:string>,set:map<string,string>,remove:array<string>>>"""
+#: Attribute that names the pack that changed an element last.
+PACK_MARK = "data-pack"
+#: Characters of packs that one pass over the pages takes, as a literal of its plan; more packs take more passes.
+PASS_CHARS = 2 << 20
+
+# Packs as the interpreter reads them: chains of steps, each with a link to the step before and tests of an element.
+_PART = "struct<kind:string,name:string,op:string,value:string,fold:boolean>"
+_CHAINS = f"array<array<struct<link:string,tests:array<struct<no:boolean,all:array<{_PART}>>>>>>"
+_PUT = "struct<key:string,value:string>"
+_RULES = f"array<struct<rule_id:string,code:string,level:string,msg:string,pack_id:string,chains:{_CHAINS},missing:boolean,named:boolean,not_role:string,sets:array<{_PUT}>,puts:array<{_PUT}>,gone:array<string>,names:array<string>>>"
+COMPILED = f"array<struct<id:string,hosts:array<string>,generator:string,chains:{_CHAINS},asks:boolean,needs:array<string>,open:boolean,rules:{_RULES}>>"
 
 
 def _rule(code: str, level: str, describe: str, select: str, role: str | None = None, label: str | None = None, missing: bool = False, **more: str) -> dict:
@@ -55,15 +70,23 @@ BUNDLED = [
 ]
 
 
+def as_packs(spark: SparkSession, packs: list[dict]) -> DataFrame:
+    """Packs given as dicts as rows, in their order."""
+    rows = [({"enabled": True, "ord": i} | p,) for i, p in enumerate(packs)]
+    return spark.createDataFrame([(json.dumps(r[0]),) for r in rows], "j string").select(F.from_json("j", SCHEMA).alias("p")).select("p.*")
+
+
 def bundled_packs(spark: SparkSession) -> DataFrame:
-    rows = [{"enabled": True, "source": "bundled"} | p for p in BUNDLED]
-    return spark.createDataFrame([(json.dumps(p),) for p in rows], "j string").select(F.from_json("j", SCHEMA).alias("p")).select("p.*")
+    return as_packs(spark, [{"source": "bundled"} | p for p in BUNDLED])
 
 
 def read_site_packs(spark: SparkSession, path: str) -> DataFrame:
-    """Packs from JSON files, one document each; rows without id or rules are left out, and the last read of an id counts."""
+    """Packs from JSON files, one document each, in order of the files' names; rows without id or rules are left out, and the
+    last read of an id counts. Packs without ``enabled`` are on."""
     rows = spark.read.schema(SCHEMA).option("multiLine", True).json(path).withColumn("at", F.input_file_name())
-    return latest_packs(rows.where("id is not null and rules is not null"), "at").drop("at")
+    rows = latest_packs(rows.where("id is not null and rules is not null"), "at")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at", "id")) - 1
+    return rows.withColumn("ord", F.coalesce("ord", place)).withColumn("enabled", F.coalesce("enabled", F.lit(True))).withColumn("source", F.coalesce("source", F.lit("file"))).drop("at")
 
 
 def latest_packs(packs: DataFrame, order: str) -> DataFrame:
@@ -71,35 +94,151 @@ def latest_packs(packs: DataFrame, order: str) -> DataFrame:
     return packs.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def register_pack(packs: DataFrame, pack: dict) -> DataFrame:
+    """The packs with one more; it takes the place of any of its id, else the last."""
+    if not pack.get("id") or not pack.get("rules"):
+        raise ValueError("a pack has an id and rules")
+    row = as_packs(packs.sparkSession, [pack]).drop("ord")
+    place = packs.agg(F.coalesce(F.max(F.when(F.col("id") == pack["id"], F.col("ord"))), F.max("ord") + 1, F.lit(0)).alias("ord"))
+    return unregister_pack(packs, pack["id"]).unionByName(row.crossJoin(F.broadcast(place)))
+
+
+def unregister_pack(packs: DataFrame, pack_id: str) -> DataFrame:
+    return packs.where(F.col("id") != pack_id)
+
+
+def enable_pack(packs: DataFrame, pack_id: str, on: bool = True) -> DataFrame:
+    return packs.withColumn("enabled", F.when(F.col("id") == pack_id, on).otherwise(F.col("enabled")))
+
+
 def meta_generator(nodes: str = "nodes") -> Column:
     """Content of the first ``meta`` that names the generator; empty without."""
     first = F.get(F.filter(nodes, lambda x: (x["tag"] == "meta") & F.coalesce(F.lower(attr(x, "name")) == "generator", F.lit(False))), F.lit(0))
     return F.coalesce(attr(first, "content"), F.lit(""))
 
 
-def matches(match: dict) -> Column:
-    """Whether a pack is for a page. Hosts must hold; then any of generator and selectors, if either is given."""
-    hosts = match.get("hosts") or []
-    url = F.coalesce(F.col("url"), F.lit(""))
-    out = F.lit(True)
-    if hosts:
-        out = F.lit(False)
-        for h in hosts:
-            out = out | url.contains(h)
-    rest = [S.column(S.exists("nodes", selector(s))) for s in match.get("selectors") or []]
-    if match.get("generator"):
-        rest.append(meta_generator().rlike(f"(?i){match['generator']}"))
-    if rest:
-        some = rest[0]
-        for r in rest[1:]:
-            some = some | r
-        out = out & some
-    return out
+def selector_steps(text: str) -> list[list[dict]]:
+    """A selector list as data: for each of its chains the steps from left to right. Empty if it isn't supported, as such a
+    selector selects nothing."""
+    try:
+        return [[{"link": link, "tests": compound_parts(part)} for link, part in chain] for chain in chains_of(text)]
+    except ValueError:
+        return []
+
+
+def _needs(chains: list[list[dict]]) -> tuple[list[str], bool]:
+    """A tag, class or id that each chain's last element has, as a page's tokens name it; and whether a chain asks for none of these."""
+    sign = {"tag": "", "class": ".", "id": "#"}
+    found = [next((sign[p["kind"]] + p["value"] for t in c[-1]["tests"] if not t["no"] for p in t["all"] if p["kind"] in sign), None) for c in chains]
+    return [f for f in found if f], None in found
+
+
+def compile_pack(pack: dict, known_pattern: Callable[[str], bool], only: list[str] | None = None) -> dict:
+    """A pack as the interpreter reads it. A generator that is no pattern is left out, as if it weren't given."""
+    match, rules = pack.get("match") or {}, []
+    chains = [c for s in match.get("selectors") or [] for c in selector_steps(s)]
+    needs, open_ = _needs(chains)
+    for r in pack["rules"]:
+        code, own = r.get("code") or "PACK", f"{pack['id']}:{r.get('code') or 'rule'}"
+        if only is not None and code not in only and own not in only:
+            continue
+        when, gone = r.get("when") or {}, r.get("remove") or []
+        sets = [{"key": k, "value": v} for k, v in (r.get("set") or {}).items() if k not in (MARK, PACK_MARK)]
+        rules.append({
+            "rule_id": own, "code": code, "level": r.get("level") or "", "msg": r.get("describe") or f"[{pack['id']}] {r.get('code') or 'fix'}", "pack_id": pack["id"],
+            "chains": selector_steps(r.get("select") or ""), "missing": bool(when.get("missingName")), "named": bool(when.get("hasName")), "not_role": when.get("notRole") or None,
+            "sets": sets, "puts": [s for s in sets if s["key"] not in gone], "gone": gone, "names": [*{MARK: 0, PACK_MARK: 0, **{s["key"]: 0 for s in sets}, **dict.fromkeys(gone, 0)}],
+        })
+    generator = match.get("generator") or None
+    generator = generator if generator and known_pattern(f"(?i){generator}") else None
+    return {"id": pack["id"], "hosts": match.get("hosts") or [], "generator": generator, "chains": chains, "asks": bool(generator or match.get("selectors")), "needs": needs, "open": open_, "rules": rules}
+
+
+def _known_pattern(spark: SparkSession) -> Callable[[str], bool]:
+    def known(pattern: str) -> bool:
+        try:
+            return spark._jvm.java.util.regex.Pattern.compile(pattern) is not None
+        except IllegalArgumentException:
+            return False
+
+    return known
+
+
+def _passes(packs: DataFrame, only: list[str] | None) -> Iterator[Column]:
+    """The enabled packs in their order, compiled, as one literal a pass. Packs are configuration: they come to the driver one
+    partition at a time, and a pass takes ``PASS_CHARS`` of them, or one that is longer."""
+    known, held, size = _known_pattern(packs.sparkSession), [], 0
+    literal = lambda: F.from_json(F.lit("[" + ",".join(held) + "]"), COMPILED)
+    for r in packs.where("coalesce(enabled, true)").orderBy("ord", "id").toLocalIterator():
+        text = json.dumps(compile_pack(r.asDict(recursive=True), known, only))
+        if held and size + len(text) > PASS_CHARS:
+            yield literal()
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield literal()
+
+
+# The interpreter: a part of a selector ``p``, and a step after the elements ``kept`` that the steps before it select.
+_VALUE = "if(p.fold, lower(x.attrs[p.name]), x.attrs[p.name])"
+_IS = f"""CASE p.kind WHEN 'tag' THEN x.tag = p.value WHEN 'id' THEN coalesce(x.attrs['id'] = p.value, false) WHEN 'any' THEN true
+ WHEN 'class' THEN array_contains(split(coalesce(x.attrs['class'], ''), '\\\\s+'), p.value)
+ ELSE x.attrs[p.name] IS NOT NULL AND CASE p.op WHEN 'has' THEN true WHEN '=' THEN {_VALUE} = p.value WHEN '*' THEN contains({_VALUE}, p.value) WHEN '^' THEN startswith({_VALUE}, p.value)
+ WHEN '$' THEN endswith({_VALUE}, p.value) ELSE array_contains(split({_VALUE}, '\\\\s+'), p.value) END END"""
+_LINK = """CASE step.link WHEN '' THEN true WHEN ' ' THEN exists(x.up, u -> kept[u - 1]) WHEN '>' THEN coalesce(get(kept, x.parent - 1), false) WHEN '+' THEN coalesce(get(kept, x.prev - 1), false)
+ ELSE exists(slice({n}, x.parent + 1, x.id - x.parent - 1), y -> y.parent = x.parent AND kept[y.id - 1]) END"""
+
+
+def _selected(nodes: str, chains: str) -> str:
+    """SQL: for each chain an array that says of each element whether it is selected. A chain's steps are taken from the left, each
+    keeping the elements that pass its tests and have one that the step before kept above, before or around them."""
+    step = f"transform({nodes}, x -> forall(step.tests, t -> forall(t.all, p -> {_IS}) <> t.no) AND {_LINK.format(n=nodes)})"
+    return f"transform({chains}, chain -> aggregate(chain, cast(NULL AS array<boolean>), (kept, step) -> {step}))"
+
+
+def _with_live(pages: DataFrame, packs: Column) -> DataFrame:
+    """Adds ``__live``: the packs of a literal that are for the page, in order.
+
+    Hosts must hold; then any of generator and selectors, if either is given. A page's tags, classes and ids say at once which
+    packs' selectors can select an element, and only those are tried.
+    """
+    tokens = "array_distinct(flatten(transform(nodes, x -> concat(array(x.tag, '#' || coalesce(x.attrs['id'], '')), transform(split(coalesce(x.attrs['class'], ''), '\\\\s+'), c -> '.' || c)))))"
+    pages = pages.withColumn("__generator", meta_generator()).withColumn("__tokens", F.expr(tokens)).withColumn("__packs", packs)
+    hosts = "(size(p.hosts) = 0 OR exists(p.hosts, h -> contains(coalesce(url, ''), h)))"
+    picked = f"((p.open OR arrays_overlap(p.needs, __tokens)) AND exists({_selected('nodes', 'p.chains')}, kept -> exists(kept, k -> k)))"
+    asked = f"(NOT p.asks OR (p.generator IS NOT NULL AND rlike(__generator, '(?i)' || p.generator)) OR {picked})"
+    return pages.withColumn("__live", F.expr(f"filter(__packs, p -> {hosts} AND {asked})")).drop("__generator", "__tokens", "__packs")
+
+
+def _has_name(nodes: str) -> str:
+    return has_name(S.Sql("x"), S.Sql(nodes)).text
+
+
+def _interpret(pages: DataFrame) -> DataFrame:
+    """Run the rules of ``__live`` one after the other, each on what the one before left."""
+    state = "struct<nodes:array<{n}>,changes:{c},report:{e},counts:{k}>".format(n=NODE, c=LOG, e=SAID, k=COUNTED)
+    marks = f"array_join(array_distinct(filter(concat(split(coalesce(x.attrs['{MARK}'], ''), ' '), array(r.code)), m -> m <> '')), ' ')"
+    new = f"map_concat(map_filter(x.attrs, (a, v) -> NOT array_contains(r.names, a)), map_from_entries(concat(r.puts, array(named_struct('key', '{PACK_MARK}', 'value', r.pack_id), named_struct('key', '{MARK}', 'value', {marks})))))"
+    done = f"(contains(coalesce(x.attrs['{MARK}'], ''), r.code) AND coalesce(x.attrs['{PACK_MARK}'] = r.pack_id, false))"
+    name = f"(NOT (r.missing OR r.named) OR ({_has_name('s.nodes')} = r.named AND NOT (r.missing AND r.named)))"
+    chosen = f"transform(array({_selected('s.nodes', 'r.chains')}), sets -> transform(s.nodes, x -> exists(sets, kept -> kept[x.id - 1]) AND NOT {done} AND (r.not_role IS NULL OR coalesce(x.attrs['role'], '') <> r.not_role) AND {name}))[0]"
+    log = lambda attr, new: f"named_struct('node_id', x.id, 'rule_id', r.rule_id, 'code', r.code, 'attr', {attr}, 'old', x.attrs[{attr}], 'new', {new}, 'pack_id', r.pack_id)"
+    mark = f"if(array_contains(split(coalesce(x.attrs['{MARK}'], ''), ' '), r.code), array(), array({log(repr(MARK), 'r.code')}))"
+    each = f"concat(transform(r.sets, e -> {log('e.key', 'e.value')}), array({log(repr(PACK_MARK), 'r.pack_id')}), {mark}, transform(filter(r.gone, a -> map_contains_key(x.attrs, a)), a -> {log('a', 'cast(NULL AS string)')}))"
+    fields = ", ".join(f"'{f}', x.`{f}`" if f != "attrs" else f"'attrs', {new}" for f in FIELDS)
+    nodes = f"transform(s.nodes, x -> if(sel[x.id - 1], named_struct({fields}), x))"
+    said = "if(n > 0, array(named_struct('rule_id', r.rule_id, 'code', r.code, 'level', r.level, 'kind', 'fix', 'count', cast(n AS bigint), 'msg', r.msg, 'pack_id', r.pack_id)), array())"
+    step = f"""transform(array({chosen}), sel -> transform(array(size(filter(sel, b -> b))), n -> if(n = 0, named_struct('nodes', s.nodes, 'changes', s.changes, 'report', s.report, 'counts', s.counts), named_struct('nodes', {nodes},
+      'changes', concat(s.changes, flatten(transform(filter(s.nodes, x -> sel[x.id - 1]), x -> {each}))), 'report', concat(s.report, {said}), 'counts', concat(s.counts, array(named_struct('rule_id', r.rule_id, 'n', cast(n AS bigint)))))))[0])[0]"""
+    start = "named_struct('nodes', nodes, 'changes', changes, 'report', report, 'counts', counts)"
+    run = f"if(size(__live) = 0, {start}, aggregate(flatten(transform(__live, p -> p.rules)), cast({start} AS {state}), (s, r) -> cast({step} AS {state})))"
+    keep = [c for c in pages.columns if c not in ("nodes", "changes", "report", "counts", "__live")]
+    return pages.select(*keep, F.expr(run).alias("__s")).select(*keep, "__s.*")
 
 
 def _step(pack: dict, rule: dict) -> Step:
-    """A rule as data sets and removes attributes of what it selects; one with ``fix``, a function of an element as SQL text,
-    sets what that returns."""
+    """A rule of a pack as columns; one with ``fix`` sets what that function of an element, as SQL text, returns."""
     test, when, code = selector(rule["select"]), rule.get("when") or {}, rule.get("code") or "PACK"
 
     def chosen(x: S.Sql) -> S.Sql:
@@ -110,57 +249,63 @@ def _step(pack: dict, rule: dict) -> Step:
             out = out & has_name(x)
         if when.get("notRole"):
             out = out & (S.coalesce(attr(x, "role"), S.lit("")) != when["notRole"])
-        return out & ~(_marked(x, code) & S.coalesce(attr(x, "data-pack") == pack["id"], S.lit(False)))
+        return out & ~(_marked(x, code) & S.coalesce(attr(x, PACK_MARK) == pack["id"], S.lit(False)))
 
     found = Kept(S.filter("nodes", chosen))
 
     def of(x: S.Sql) -> S.Sql:
         values = rule["fix"](x) if callable(rule.get("fix")) else rule.get("set") or {}
         item = lambda a, v: S.struct(x["id"].alias("node_id"), S.lit(a).alias("attr"), (v if isinstance(v, S.Sql) else S.lit(v)).cast("string").alias("new"))
-        sets = S.array(*[item(a, v) for a, v in values.items()], item("data-pack", pack["id"])).cast(CHANGE)
+        sets = S.array(*[item(a, v) for a, v in values.items()], item(PACK_MARK, pack["id"])).cast(CHANGE)
         mark = S.filter(S.array(item(MARK, _mark(x, code))).cast(CHANGE), lambda c: c["new"].isNotNull())
         gone = S.array(*[item(a, None) for a in rule.get("remove") or []]).cast(CHANGE)
         return S.concat(sets, mark, S.filter(gone, lambda c: S.map_contains_key(x["attrs"], c["attr"])))
 
     n = S.size(found)
-    return Step(S.flatten(S.transform(found, of)).cast(CHANGE), _entries(("fix", (n > 0).cast("int"), n, rule.get("describe") or f"[{pack['id']}] {code}")), n, [found])
-
-
-def apply_packs(audited: DataFrame, packs: list[dict]) -> DataFrame:
-    """Enabled packs on the pages that they match, each rule after the one before. Rules are few and small, so they become
-    columns; ``packs`` are rows as dicts, see ``BUNDLED``."""
-    live = [p for p in packs if p.get("enabled", True)]
-    out = audited.select("*", *[matches(p.get("match") or {}).alias(f"__{p['id']}") for p in live])
-    for p in live:
-        for r in p["rules"]:
-            out = apply_rules(out, [Rule(f"{p['id']}:{r.get('code') or 'rule'}", r.get("code") or "PACK", r.get("level") or "", _step(p, r), p["id"])])
-    return out.drop(*[f"__{p['id']}" for p in live])
+    return Step(S.flatten(S.transform(found, of)).cast(CHANGE), _entries(("fix", (n > 0).cast("int"), n, rule.get("describe") or f"[{pack['id']}] {rule.get('code') or 'fix'}")), n, [found])
 
 
-def run_audit(parsed: DataFrame, packs: list[dict], only: list[str] | None = None) -> DataFrame:
-    """A whole audit: the general rules, or those of ``only``, then the packs that match the page, into one report."""
-    return apply_packs(run_rules(parsed, only), packs)
+def apply_packs(audited: DataFrame, packs: DataFrame | list[dict], only: list[str] | None = None) -> DataFrame:
+    """Enabled packs on the pages that they match, each rule after the one before; ``only`` names codes or rules.
 
-
-def register_pack(packs: list[dict], pack: dict) -> list[dict]:
-    """The packs with one more, in place of any of its id."""
-    if not pack.get("id") or not pack.get("rules"):
-        raise ValueError("a pack has an id and rules")
-    return [*unregister_pack(packs, pack["id"]), pack]
+    Packs are rows, see ``SCHEMA``. They are read into steps as data, which one interpreter runs over a page's elements, so the
+    plan is the same for any number of packs. Packs given as dicts may have rules with ``fix``, a function of an element as
+    SQL text; such packs become columns, the others rows.
+    """
+    if isinstance(packs, DataFrame):
+        for literal in _passes(packs, only):
+            audited = _interpret(_with_live(audited, literal))
+        return audited
+    live = [p for p in packs if p.get("enabled", True)]
+    for made, run in itertools.groupby(live, lambda p: any(callable(r.get("fix")) for r in p["rules"])):
+        audited = _apply_made(audited, list(run), only) if made else apply_packs(audited, as_packs(audited.sparkSession, list(run)), only)
+    return audited
 
 
-def unregister_pack(packs: list[dict], pack_id: str) -> list[dict]:
-    return [p for p in packs if p["id"] != pack_id]
+def _apply_made(audited: DataFrame, packs: list[dict], only: list[str] | None) -> DataFrame:
+    for p in packs:
+        head = as_packs(audited.sparkSession, [{"id": p["id"], "match": p.get("match"), "rules": []}])
+        out = _with_live(audited, next(_passes(head, None))).withColumn(f"__{p['id']}", F.size("__live") > 0).drop("__live")
+        for r in p["rules"]:
+            code, own = r.get("code") or "PACK", f"{p['id']}:{r.get('code') or 'rule'}"
+            if only is None or code in only or own in only:
+                out = apply_rules(out, [Rule(own, code, r.get("level") or "", _step(p, r), p["id"])])
+        audited = out.drop(f"__{p['id']}")
+    return audited
 
 
-def enable_pack(packs: list[dict], pack_id: str, on: bool = True) -> list[dict]:
-    return [p | {"enabled": on} if p["id"] == pack_id else p for p in packs]
+def run_audit(parsed: DataFrame, packs: DataFrame | list[dict], only: list[str] | None = None) -> DataFrame:
+    """A whole audit: the general rules, then the packs that match the page, into one report; ``only`` names codes or rules of either."""
+    return apply_packs(run_rules(parsed, only), packs, only)
 
 
-def pack_matches(pages: DataFrame, packs: list[dict]) -> DataFrame:
-    """``(page_id, pack_id)`` of the packs that match a page."""
-    hit = F.array(*[F.when(matches(p.get("match") or {}), F.lit(p["id"])) for p in packs])
-    return pages.select("page_id", F.explode_outer(F.filter(hit, lambda x: x.isNotNull())).alias("pack_id")).where("pack_id is not null")
+def pack_matches(pages: DataFrame, packs: DataFrame | list[dict]) -> DataFrame:
+    """``(page_id, pack_id)`` of the enabled packs that match a page."""
+    packs, out = packs if isinstance(packs, DataFrame) else as_packs(pages.sparkSession, packs), None
+    for literal in _passes(packs, None):
+        rows = _with_live(pages.select("page_id", "url", "nodes"), literal).select("page_id", F.explode_outer("__live.id").alias("pack_id")).where("pack_id is not null")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else pages.select("page_id", F.lit("").alias("pack_id")).limit(0)
 
 
 def packs_status(packs: DataFrame, found: DataFrame) -> DataFrame:

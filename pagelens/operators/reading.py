@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.elements import any_inside, attr, children, classes, filled, first_inside, inside, is_visible, selector, tag_in, text_of
+from ..functions.elements import any_inside, attr, children, classes, filled, first_inside, inside, is_visible, node, selector, tag_in, text_of
 from .documents import slug
 
-# What a reader skips, file types of links, and elements that make a container more than a paragraph.
+# What a reader skips, and file types of links.
 SKIP_TAGS = ("script", "style", "noscript", "template", "svg", "nav", "header", "footer", "aside", "form", "button", "iframe")
 SKIP_ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "toolbar")
 FILE_LINK = r"(?i)\.(pdf|docx?|pptx?|xlsx?|csv|txt|rtf|epub)(\?|#|$)"
-BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "ol", "table", "figure", "img", "li", "section", "article", "div")
 
 BLOCK = "struct<node_id:int,part:int,type:string,level:int,text:string,src:string,href:string,name:string,ext:string,ordered:boolean,needs_desc:boolean,items:array<string>,headers:array<string>,rows:array<array<string>>,key:string>"
 
@@ -64,10 +63,25 @@ def _table(t: Column) -> Column:
     return _block(t, type="table", text=F.coalesce(caption, F.lit("")), headers=F.coalesce(cells(head), F.array().cast("array<string>")), rows=F.transform(rows, lambda r: r["cells"]))
 
 
+def _skipped(x: Column) -> Column:
+    return ~is_visible(x) | tag_in(x, *SKIP_TAGS) | F.coalesce(attr(x, "role").isin(*SKIP_ROLES), F.lit(False))
+
+
+def _is_graph(x: Column) -> Column:
+    return classes(x).rlike("(?i)(chart|graph|plot|visuali[sz]ation)") | (x["tag"] == "canvas")
+
+
+def _takes(x: Column) -> Column:
+    """Whether an element takes what it holds with it, being a block or skipped; else it is walked into. Says so by its own
+    fields alone."""
+    block = x["tag"].rlike("^(h[1-6]|p|img|figure|table|ul|ol|blockquote|pre)$") | _is_graph(x) | _is_file(x)
+    return _skipped(x) | block | (~x["blocky"] & (x["chars"] > 1))
+
+
 def _blocks_of(x: Column) -> Column:
-    """Blocks that an element yields; null if it is walked into instead."""
+    """Blocks of an element that takes what it holds; null if it is walked into instead."""
     image, cap = _image(x), first_inside(x, lambda y: y["tag"] == "figcaption")
-    pic = first_inside(x, lambda y: y["tag"] == "img")
+    pic = node(x["pic"])
     in_figure = _image(pic)
     text = text_of(x)
     figure = F.when(
@@ -77,19 +91,18 @@ def _blocks_of(x: Column) -> Column:
     files = F.flatten(F.transform(inside(x, _is_file), lambda a: _file_block(a, 1)))
     items = F.filter(F.transform(children(x, lambda y: y["tag"] == "li"), lambda y: text_of(y)), lambda s: s != "")
     para = lambda: _block(x, type="para", text=text, key=F.concat(F.lit("p:"), text))
-    leaf = ~any_inside(x, lambda y: tag_in(y, *BLOCKS))
     return (
         F.when(x["tag"].rlike("^h[1-6]$"), F.when(text != "", _block(x, type="heading", level=F.substring(x["tag"], 2, 1).cast("int"), text=text)).otherwise(_none()))
         .when(x["tag"] == "img", F.when(image["keep"], _block(x, type="image", src=F.coalesce(attr(x, "src"), F.lit("")), text=image["alt"], needs_desc=image["needs"])).otherwise(_none()))
         .when(x["tag"] == "figure", figure)
-        .when(classes(x).rlike("(?i)(chart|graph|plot|visuali[sz]ation)") | (x["tag"] == "canvas"), _block(x, type="graph", text=F.coalesce(F.nullif(F.substring(text, 1, 80), F.lit("")), F.lit("Data graphic")), needs_desc=F.lit(True)))
+        .when(_is_graph(x), _block(x, type="graph", text=F.coalesce(F.nullif(F.substring(text, 1, 80), F.lit("")), F.lit("Data graphic")), needs_desc=F.lit(True)))
         .when(x["tag"] == "table", _table(x))
         .when(tag_in(x, "ul", "ol"), F.when(F.size(items) > 0, _block(x, type="list", ordered=x["tag"] == "ol", items=items)).otherwise(_none()))
         .when(_is_file(x), _file_block(x))
         .when(x["tag"] == "blockquote", _block(x, type="quote", text=text, key=F.concat(F.lit("q:"), text)))
         .when(x["tag"] == "pre", _block(x, type="code", text=text))
         .when(x["tag"] == "p", F.concat(F.when(text != "", para()).otherwise(_none()), files))
-        .when(leaf & (F.length(text) > 1), F.concat(files, para()))
+        .otherwise(F.concat(files, para()))
     )
 
 
@@ -97,27 +110,26 @@ def reading_blocks(parsed: DataFrame) -> DataFrame:
     """``(page_id, ix, type, level, text, ...)``: blocks of a page in reading order.
 
     The scope's elements are walked in document order; hidden ones and page furniture are left out with all they hold, and
-    an element that yields blocks takes what it holds with it. Of paragraphs, quotes and file links with one key the first
-    stays.
+    an element that yields blocks takes what it holds with it. An element's own fields say whether it takes what it holds, and
+    it is reached unless an element above it does, so only the blocks' own elements are looked into, whose content doesn't overlap.
+    Of paragraphs, quotes and file links with one key the first stays; keys are sorted within their page. ``ix`` rises within a page.
     """
     scoped = parsed.select("page_id", "nodes", "bits", reading_scope().alias("scope"))
-    within = F.filter("nodes", lambda x: (x["id"] > F.col("scope.id")) & (x["id"] <= F.col("scope.end")))
-    skipped = lambda x: ~is_visible(x) | tag_in(x, *SKIP_TAGS) | F.coalesce(attr(x, "role").isin(*SKIP_ROLES), F.lit(False))
-    looked = F.transform(within, lambda x: F.struct(x["id"].alias("id"), x["end"].alias("end"), skipped(x).alias("skip"), F.when(skipped(x), F.lit(None)).otherwise(_blocks_of(x)).alias("blocks")))
-    rows = scoped.select("page_id", looked.alias("looked"))
-    # in document order an element counts if it begins behind the end of the last one that took its content
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{BLOCK}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        covered = x["id"] <= acc["end"]
-        takes = x["skip"] | x["blocks"].isNotNull()
-        return F.when(covered | ~takes, acc).otherwise(F.struct(x["end"].alias("end"), F.concat(acc["out"], F.coalesce(x["blocks"], _none())).alias("out")))
-
-    walked = rows.select("page_id", F.aggregate("looked", start, step, lambda a: a["out"]).alias("blocks"))
-    each = walked.select("page_id", F.posexplode_outer("blocks").alias("ix", "b")).where("b is not null").select("page_id", "ix", "b.*")
-    first = F.row_number().over(Window.partitionBy("page_id", "key").orderBy("ix"))
-    kept = each.where("key is null").unionByName(each.where("key is not null").withColumn("n", first).where("n = 1").drop("n"))
-    return kept.drop("key", "part", "node_id")
+    scoped = scoped.withColumn("takes", F.transform("nodes", lambda x: (x["id"] > F.col("scope.id")) & (x["id"] <= F.col("scope.end")) & _takes(x)))
+    reached = lambda x: F.get("takes", x["id"] - 1) & ~F.exists(x["up"], lambda u: F.get("takes", u - 1)) & ~_skipped(x)
+    rows = scoped.select("page_id", "nodes", "bits", F.filter("nodes", reached).alias("roots"))
+    rows = rows.select("page_id", F.flatten(F.transform("roots", _blocks_of)).alias("blocks"))
+    rows = rows.withColumn("keys", F.array_sort(F.filter(F.transform("blocks", lambda b, i: F.struct(b["key"].alias("key"), i.alias("i"))), lambda k: k["key"].isNotNull())))
+    again = F.filter(F.transform("keys", lambda k, i: F.when(k["key"] == F.get("keys", i - 1)["key"], k["i"])), lambda i: i.isNotNull())
+    each = rows.select("page_id", "blocks", F.array_sort(again).alias("gone")).select("page_id", _without(F.col("blocks"), F.col("gone")).alias("blocks"))
+    return each.select("page_id", F.posexplode_outer("blocks").alias("ix", "b")).where("b is not null").select("page_id", "ix", "b.*").drop("key", "part", "node_id")
+
+
+def _without(items: Column, gone: Column) -> Column:
+    """``items`` without those at the sorted places ``gone``: the runs between them, put together."""
+    ends = F.concat(gone, F.array(F.size(items)))
+    runs = F.transform(ends, lambda e, k: F.slice(items, F.coalesce(F.get(gone, k - 1) + 2, F.lit(1)), e - F.coalesce(F.get(gone, k - 1) + 1, F.lit(0))))
+    return F.flatten(runs)
 
 
 def outline(blocks: DataFrame) -> DataFrame:

@@ -23,6 +23,10 @@ from ..functions.sqltext import Sql as Column
 
 CHANGE = "array<struct<node_id:int,attr:string,new:string>>"
 ENTRY = "array<struct<kind:string,count:bigint,msg:string>>"
+# What is kept of a page: changes, report entries, and how many changes each rule made.
+LOG = "array<struct<node_id:int,rule_id:string,code:string,attr:string,old:string,new:string,pack_id:string>>"
+SAID = "array<struct<rule_id:string,code:string,level:string,kind:string,count:bigint,msg:string,pack_id:string>>"
+COUNTED = "array<struct<rule_id:string,n:bigint>>"
 #: Attribute that lists the codes an element was touched for.
 MARK = "data-audit"
 
@@ -94,7 +98,7 @@ LABELS = {
 }
 
 #: Fields of an element.
-FIELDS = "id parent prev end depth ix tag attrs up t0 tn seen".split()
+FIELDS = "id parent prev end depth ix tag attrs up t0 tn seen chars a label nav title pic ctl blocky".split()
 
 _numbers = itertools.count()
 
@@ -218,8 +222,7 @@ def _filename_alt(alt: Column) -> Column:
 
 def images_alt() -> Step:
     def decorative(x: Column) -> Column:
-        link = text_of(node(F.get(F.reverse(F.filter(x["up"], lambda u: node(u)["tag"] == "a")), F.lit(0))))
-        return filled(link) | pixels(x, "width").between(1, 24)
+        return F.coalesce(node(x["a"])["chars"] > 0, F.lit(False)) | pixels(x, "width").between(1, 24)
 
     kind = lambda x: F.when(attr(x, "alt").isNull(), F.when(decorative(x), "aside").otherwise("missing")).when(F.trim(attr(x, "alt")) == "", F.when(~decorative(x) & (pixels(x, "width") >= 150) & (pixels(x, "height") >= 100) & (pixels(x, "width") * pixels(x, "height") >= 30000), "large")).when(_filename_alt(attr(x, "alt")), "file")
     found = Kept(F.filter(F.transform(_nodes(lambda x: x["tag"] == "img"), lambda x: F.struct(x.alias("x"), kind(x).alias("k"))), lambda r: r["k"].isNotNull()))
@@ -243,7 +246,7 @@ def graphs() -> Step:
 
     def test(x: Column) -> Column:
         asked = (x["tag"] == "canvas") | class_like(x, "chart", "graph", "plot", "visualization")
-        text_box = (F.length(text_of(x)) > 200) | any_inside(x, lambda y: tag_in(y, "input", "select", "textarea", "a", "button"))
+        text_box = (x["chars"] > 200) | (x["ctl"] > 0)
         return asked & ~tag_in(x, "a", "button", "input", "select") & (plain(x) | ~text_box) & ~_marked(x, "ACC3")
 
     found = Kept(_nodes(test))
@@ -373,15 +376,17 @@ def dialogs() -> Step:
 
     def of(x: Column) -> Column:
         close = first_inside(x, selector(CLOSE))
-        around = F.filter(tops, lambda y: ~((y["id"] <= x["id"]) & (y["end"] >= x["id"])) & (F.coalesce(attr(y, MARK), F.lit("")) != "COM1"))
-        return F.concat(_sets(x, role=F.coalesce(F.when(filled(attr(x, "role")), attr(x, "role")), F.lit("dialog")), aria_modal="true", tabindex=_if(~has_attr(x, "tabindex"), "-1"), **{MARK: _mark(x, "EXE2")}), F.when(close["id"].isNotNull() & ~has_name(close), _sets(close, aria_label=LABELS["close"])).otherwise(F.array().cast(CHANGE)), F.flatten(F.transform(around, lambda y: _sets(y, aria_hidden="true", data_inert="1"))))
+        return F.concat(_sets(x, role=F.coalesce(F.when(filled(attr(x, "role")), attr(x, "role")), F.lit("dialog")), aria_modal="true", tabindex=_if(~has_attr(x, "tabindex"), "-1"), **{MARK: _mark(x, "EXE2")}), F.when(close["id"].isNotNull() & ~has_name(close), _sets(close, aria_label=LABELS["close"])).otherwise(F.array().cast(CHANGE)))
 
     n = F.size(found)
-    return Step(_each(found, of), _entries(_fix(n, FIXES["dialog-escape"])), n, [found, tops])
+    # what lies behind a dialog: all at the top of the page but what holds every dialog, which are in document order
+    first, last = F.get(found, F.lit(0)), F.get(found, n - 1)
+    behind = F.filter(tops, lambda y: (n > 0) & ~((y["id"] <= first["id"]) & (y["end"] >= last["id"])) & (F.coalesce(attr(y, MARK), F.lit("")) != "COM1"))
+    return Step(F.concat(_each(found, of), _each(behind, lambda y: _sets(y, aria_hidden="true", data_inert="1"))), _entries(_fix(n, FIXES["dialog-escape"])), n, [found, tops])
 
 
 def breadcrumbs() -> Step:
-    found = Kept(_nodes(lambda x: class_like(x, "breadcrumb") & (F.coalesce(attr(x, "role"), F.lit("")) != "navigation") & (x["tag"] != "nav") & ~any_above(x, lambda y: y["tag"] == "nav")))
+    found = Kept(_nodes(lambda x: class_like(x, "breadcrumb") & (F.coalesce(attr(x, "role"), F.lit("")) != "navigation") & (x["tag"] != "nav") & (x["nav"] == 0)))
 
     def of(x: Column) -> Column:
         now = first_inside(x, selector("[class*='active'], [aria-current]"))
@@ -497,8 +502,8 @@ def images_nontag(looked: int | None = None) -> Step:
     big = lambda x: (pixels(x, "width") >= 48) & (pixels(x, "height") >= 48)
     done = lambda x: _marked(x, "ACC2")
     drawn = lambda x: tag_in(x, "svg", "canvas") & ~done(x) & ~_marked(x, "ACC3") & ~is_decorative(x) & ~explicit_name(x) & ((x["tag"] == "svg") & any_inside(x, lambda y: y["tag"] == "text") | big(x))
-    named = lambda x: has_name(x) | filled(text_of(first_inside(x, lambda y: y["tag"] == "title")))
-    box = lambda x: (F.lit(True) if looked is None else x["id"] <= looked) & F.coalesce(attr(x, "style").rlike(r"(?i)background(-image)?\s*:[^;]*url\("), F.lit(False)) & ~tag_in(x, "img", "svg", "canvas", "script", "style", "body", "html") & ~done(x) & ~is_decorative(x) & ~named(x) & (F.length(text_of(x)) <= 2) & big(x) & (pixels(x, "width") * pixels(x, "height") >= 8000)
+    named = lambda x: has_name(x) | F.coalesce(node(x["title"])["chars"] > 0, F.lit(False))
+    box = lambda x: (F.lit(True) if looked is None else x["id"] <= looked) & F.coalesce(attr(x, "style").rlike(r"(?i)background(-image)?\s*:[^;]*url\("), F.lit(False)) & ~tag_in(x, "img", "svg", "canvas", "script", "style", "body", "html") & ~done(x) & ~is_decorative(x) & ~named(x) & (x["chars"] <= 2) & big(x) & (pixels(x, "width") * pixels(x, "height") >= 8000)
     found = Kept(_nodes(lambda x: drawn(x) | box(x)))
     n = F.size(found)
     of = lambda x: _sets(x, data_needs_alt="1", role=F.when(~tag_in(x, "svg", "canvas"), F.coalesce(F.nullif(attr(x, "role"), F.lit("")), F.lit("img"))), **{MARK: _mark(x, "ACC2")})
@@ -508,15 +513,15 @@ def images_nontag(looked: int | None = None) -> Step:
 def form_fields() -> Step:
     skipped = lambda x: (x["tag"] == "input") & F.coalesce(F.lower(attr(x, "type")).isin("hidden", "submit", "button", "reset", "image"), F.lit(False))
 
-    ids = Kept(F.array_distinct(F.transform(_nodes(lambda y: (y["tag"] == "label") & filled(attr(y, "for")) & (text_of(y) != "")), lambda y: attr(y, "for"))))
+    ids = Kept(F.array_distinct(F.transform(_nodes(lambda y: (y["tag"] == "label") & filled(attr(y, "for")) & (y["chars"] > 0)), lambda y: attr(y, "for"))))
 
     def labelled(x: Column) -> Column:
         bound = F.coalesce(F.array_contains(ids, attr(x, "id")), F.lit(False))
-        return has_name(x) | bound | any_above(x, lambda y: (y["tag"] == "label") & (text_of(y) != ""))
+        return has_name(x) | bound | (x["label"] > 0) & any_above(x, lambda y: (y["tag"] == "label") & (y["chars"] > 0))
 
     def look(x: Column) -> Column:
         need = (has_attr(x, "required")) & (F.coalesce(attr(x, "aria-required"), F.lit("")) != "true")
-        beside = F.filter(F.array(node(x["prev"]), next_sibling(x)), lambda y: (y["tag"] == "label") & ~has_attr(y, "for") & (text_of(y) != ""))
+        beside = F.filter(F.array(node(x["prev"]), next_sibling(x)), lambda y: (y["tag"] == "label") & ~has_attr(y, "for") & (y["chars"] > 0))
         label = F.when(~labelled(x) & filled(attr(x, "id")), F.get(beside, F.lit(0)))
         hint = F.when(~labelled(x) & label["id"].isNull(), F.nullif(F.trim(attr(x, "placeholder")), F.lit("")))
         bare = ~labelled(x) & label["id"].isNull() & hint.isNull()
@@ -610,8 +615,8 @@ STAGES = (3, 8, 12, 13, 17, 22)
 
 def prepared(parsed: DataFrame) -> DataFrame:
     """Pages with empty results, and the elements as they were in ``original``."""
-    empty = lambda t, c: SF.array().cast(f"array<struct<{t}>>").alias(c)
-    return parsed.select("page_id", "url", "bits", SF.col("nodes").alias("original"), "nodes", empty("node_id:int,rule_id:string,code:string,attr:string,old:string,new:string,pack_id:string", "changes"), empty("rule_id:string,code:string,level:string,kind:string,count:bigint,msg:string,pack_id:string", "report"), empty("rule_id:string,n:bigint", "counts"))
+    empty = lambda kind, c: SF.array().cast(kind).alias(c)
+    return parsed.select("page_id", "url", "bits", SF.col("nodes").alias("original"), "nodes", empty(LOG, "changes"), empty(SAID, "report"), empty(COUNTED, "counts"))
 
 
 def run_rules(parsed: DataFrame, only: list[str] | None = None, looked: int | None = None) -> DataFrame:

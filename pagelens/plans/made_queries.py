@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dims import CODE_LABELS
+from ..dims import CODE_LABELS, RULES
 from ..functions import sqltext
 from ..operators import documents, enrichment, packs, reading, rules, scoring
 from ..operators.rules import FIXES, FLAGS
@@ -16,26 +16,58 @@ from ..sources import pages as source
 from ..sources import shapes, wire
 from ..sources.shapes import SHAPES_SQL, shared_folder, table
 from .audit_queries import CARD_SQL, audit_card
-from .page_queries import PACK_VALUES, pack_pages
-from .rule_queries import planted_pages
+from .rule_queries import PLANTED, planted_pages
 
 
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# What the pages of a whole audit hold: rules and how often, then one of five platforms, of which one says so by its generator.
+_OFTEN = {"file-links": "cast(p_partkey % 3 as int)", "images-alt": "cast(p_size % 3 as int)", "form-fields": "cast((p_partkey + p_size) % 3 as int)", "graphs-longdesc": "cast(p_size % 2 as int)"}
+_PLATFORM = """case p_partkey % 5 when 0 then '<div id="facets" class="f' || p_size || '">' || p_name || '</div>' when 1 then '<div id="mirador">m</div><div class="uv"></div>' when 2 then '<ul class="resource-list"><li>' || p_name || '</li></ul>'
+ when 3 then repeat('<nav class="pager">p</nav>', cast(1 + p_size % 2 as int)) else '' end"""
+_WHOLE = " || ".join([f"repeat({PLANTED[r].body}, {n})" for r, n in _OFTEN.items()] + [f"({_PLATFORM})"])
+_NAVS = "if(p_partkey % 5 = 3, 1 + p_size % 2, 0)"
+
+
+def _whole_pages(spark: SparkSession, d: str) -> DataFrame:
+    head = F.expr("'<html><head><title>t</title>' || if(p_partkey % 5 = 3, '<meta name=generator content=\"Drupal ' || p_size || '\">', '') || '</head><body><h1>' || p_name || '</h1>'")
+    html = F.concat(head, F.expr(_WHOLE), F.lit("</body></html>"))
+    return source.parse_pages(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://lib").alias("url"), html.alias("html")))
+
+
 def run_audit(spark: SparkSession, d: str) -> DataFrame:
-    """One rule and the bundled packs over pages of five platforms: one report."""
-    report = rules.audit_report(packs.run_audit(pack_pages(spark, d), packs.BUNDLED, ["landmarks"]))
+    """All rules, then the packs, over pages that hold several defects and a platform: one report."""
+    report = rules.audit_report(packs.run_audit(_whole_pages(spark, d), packs.bundled_packs(spark)))
     return report.select("page_id", "pack_id", "code", "kind", F.coalesce("count", F.lit(-1)).cast("long").alias("count"), "msg")
 
 
 def fixes_applied(spark: SparkSession, d: str) -> DataFrame:
     """What rules and packs changed on each page, in all."""
-    audited = packs.run_audit(pack_pages(spark, d), packs.BUNDLED, ["landmarks"])
+    audited = packs.run_audit(_whole_pages(spark, d), packs.bundled_packs(spark))
     return scoring.fixes_applied(rules.counts(audited)).select("page_id", F.col("fixes_applied").cast("long").alias("fixes_applied"))
 
 
+def many_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Five hundred packs as JSON files, some of them broken, on pages: by host, by generator, by a class of their own, by a rule that
+    sees what an earlier pack set; the changes that they make."""
+    place = f"{shared_folder(spark)}/packs-{uuid.uuid4().hex}"
+    k = F.col("id")
+    kinds = F.get(F.array(*[F.lit(x) for x in (
+        '{"hosts": ["lib#."], "selectors": []}', '{"generator": "maker-# [0-9]+"}', '{"selectors": ["nav .none, ul > li.c#"]}', '{"generator": "bad(#", "selectors": ["p.c#"]}', '{"hosts": ["lib#."], "selectors": ["li.none"]}',
+    )]), (k % 5).cast("int"))
+    text = F.concat(F.lit('{"id": "k#", "ord": #, "match": '), kinds, F.lit(', "rules": [{"code": "X1", "level": "A", "describe": "first", "select": "li.c#, li ~ b", "set": {"role": "k#", "tabindex": #}, "remove": ["title"]},'
+        '{"select": "[role=\'k#\']:not(b)", "when": {"notRole": "none"}, "set": {"lang": "x#"}}, {"code": "X3", "select": "p::before", "set": {"id": "never"}}]}'))
+    rows = spark.range(500).select(F.replace(text, F.lit("#"), k.cast("string")).alias("value"))
+    rows = rows.unionByName(spark.createDataFrame([('{"title": "no id", "rules": []}',), ('{"id": "none"}',), ("{cut",)], "value string"))
+    rows.repartition(503).write.option("maxRecordsPerFile", 1).text(place)
+    html = F.expr("""'<html><head><meta name="generator" content="Maker-' || (p_partkey % 500) || ' 2"></head><body><ul><li class="c' || (p_size * 7 % 500) || '" title="t">a</li><b title="u">' || p_name || '</b></ul><p class="c' || (p_size * 3 % 500) || '">b</p></body></html>'""")
+    pages = source.parse_pages(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr("'https://lib' || (p_partkey % 50) || '.example'").alias("url"), html.alias("html")))
+    out = rules.changes(packs.apply_packs(rules.prepared(pages), packs.read_site_packs(spark, place)))
+    return out.where(F.col("attr").isin("role", "tabindex", "title", "lang", "id")).select("page_id", F.col("node_id").cast("long").alias("node_id"), "pack_id", "attr", F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("-")).alias("new"))
+
+
 _HOSTED = [
     {"id": "one", "match": {"hosts": ["lib1.", "lib2."]}, "rules": [{"code": "X1", "level": "A", "select": "p", "set": {"role": "note"}}]},
     {"id": "two", "match": {"generator": "drupal [0-9]+"}, "rules": [{"code": "X2", "level": "A", "select": "p + b, i ~ u", "describe": "After others", "fix": lambda x: {"title": sqltext.concat(sqltext.lit("n"), x["ix"].cast("string"))}}]},
@@ -172,14 +204,24 @@ def code_labels(spark: SparkSession, d: str) -> DataFrame:
     return scoring.with_label(shapes.report(spark, d)).groupBy("code", "label").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (run_audit, fixes_applied, packs_by_host, page_requests, reading_made, outline_made, page_title, store_round_trip, audits_json, encode_args, scalar_functions, csv_to_html, csv_states, drifting_lines, content_key_units, text_to_html, code_labels)}
+QUERIES = {f.__name__: f for f in (run_audit, fixes_applied, many_packs, packs_by_host, page_requests, reading_made, outline_made, page_title, store_round_trip, audits_json, encode_args, scalar_functions, csv_to_html, csv_states, drifting_lines, content_key_units, text_to_html, code_labels)}
 
+CODES = {r[0]: r[1] for r in RULES}
 _LABELS = ", ".join(f"({_q(c)}, {_q(t)})" for c, t in CODE_LABELS.items())
 _SIZE = "case when p_size * 1001 < 1024 then (p_size * 1001) || ' bytes' else printf('%.1f KB', p_size * 1001 / 1024.0) end"
 ORACLE_SQL = {
-    "run_audit": f"""select p_partkey as page_id, '' as pack_id, 'COM1' as code, kind, n::bigint as count, msg from part, (values ('flag', -1, {_q(FLAGS['no h1'])}), ('fix', 1, {_q(FIXES['landmarks'])})) e(kind, n, msg)
-      union all select p_partkey, pack_id, code, 'fix', n, msg from part join (values {PACK_VALUES}) g(i, pack_id, code, n, msg) on i = p_partkey % 5""",
-    "fixes_applied": f"select p_partkey as page_id, (1 + coalesce(sum(n), 0))::bigint as fixes_applied from part left join (values {PACK_VALUES}) g(i, pack_id, code, n, msg) on i = p_partkey % 5 group by 1",
+    "run_audit": " union all ".join([f"select p_partkey as page_id, '' as pack_id, {_q(CODES[r])} as code, {_q(k)} as kind, ({n})::bigint as count, {m} as msg from (select *, unnest(range({times})) as i from (select *, {often} as n from part))" for r, often in _OFTEN.items() for k, n, m, times in PLANTED[r].report])
+      + f""" union all select p_partkey, '', 'COM1', 'fix', 1 + {_NAVS}, {_q(FIXES['landmarks'])} from part union all select p_partkey, '', 'NAV2', 'fix', {_NAVS}, {_NAVS} || {_q(FIXES['pagination'])} from part where p_partkey % 5 = 3
+      union all select p_partkey, pack_id, code, 'fix', if(i = 3, {_NAVS}, n), msg from part join (values (0, 'blacklight', 'COM2/NAV1', 1, 'Facet panel is a labelled region'), (1, 'iiif', 'USE1', 2, 'Image/manuscript viewer container is a labelled region'),
+        (2, 'omeka', 'ACC4', 1, 'Resource list exposed as a list'), (3, 'islandora', 'NAV2', 1, 'Drupal pager is a labelled nav landmark')) g(i, pack_id, code, n, msg) on i = p_partkey % 5""",
+    "fixes_applied": f"select p_partkey as page_id, ({_OFTEN['file-links']} + 3 * {_OFTEN['images-alt']} + 4 * {_OFTEN['form-fields']} + 2 * {_OFTEN['graphs-longdesc']} + 1 + 2 * {_NAVS} + case p_partkey % 5 when 1 then 2 when 3 then {_NAVS} when 4 then 0 else 1 end)::bigint as fixes_applied from part",
+    "many_packs": """with pk as (select k, p.* from range(500) r(k), (select p_partkey, p_size, p_size * 7 % 500 as li, p_size * 3 % 500 as par from part) p
+        where case k % 5 when 0 then p_partkey % 50 = k when 1 then p_partkey % 500 = k when 2 then li = k when 3 then par = k else false end),
+      b as (select *, row_number() over (partition by p_partkey order by k) as nth, lag(k) over (partition by p_partkey order by k) as before, max(case when k = li then k end) over (partition by p_partkey order by k rows between unbounded preceding and 1 preceding) as own from pk),
+      c as (select *, unnest(case when k = li then [{'node': 6, 'attr': 'role', 'old': '', 'new': 'k' || k}, {'node': 6, 'attr': 'tabindex', 'old': '', 'new': k::varchar}, {'node': 6, 'attr': 'title', 'old': 't', 'new': '-'}] else [] end
+        || [{'node': 7, 'attr': 'role', 'old': coalesce('k' || before, ''), 'new': 'k' || k}, {'node': 7, 'attr': 'tabindex', 'old': coalesce(before::varchar, ''), 'new': k::varchar}] || case when nth = 1 then [{'node': 7, 'attr': 'title', 'old': 'u', 'new': '-'}] else [] end
+        || case when k = li then [{'node': 6, 'attr': 'lang', 'old': '', 'new': 'x' || k}] else [] end, recursive := true) from b)
+      select p_partkey as page_id, node::bigint as node_id, 'k' || k as pack_id, attr, old, new from c""",
     "packs_by_host": """select p_partkey as page_id, 5::bigint as node_id, 'one' as pack_id, 'role' as attr, 'note' as new from part where p_partkey % 5 in (1, 2)
       union all select p_partkey, k, 'two', 'title', 'n' || (k - 5) from part, (values (6::bigint), (9)) v(k) where p_size % 2 = 0""",
     "page_requests": """with p as (select p_partkey as page_id, p_partkey % 3 as n from part where p_partkey % 3 > 0)

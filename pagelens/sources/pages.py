@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.elements import text_of
 
 #: An element: its number in document order, its parent, previous sibling and last descendant (0 for none), the numbers of
-#: all above it, outermost first, its pieces of text, and whether some of that is a word and not hidden.
-NODE = "struct<id:int,parent:int,prev:int,end:int,depth:int,ix:int,tag:string,attrs:map<string,string>,up:array<int>,t0:int,tn:int,seen:boolean>"
+#: all above it, outermost first, its pieces of text, whether some of that is a word and not hidden, and how many characters it is;
+#: then what is near it: the ``a``, ``label`` and ``nav`` that it lies in, and the first title, image, and control that it
+#: holds (0 for none), and whether it holds an element of ``BLOCKS``.
+NODE = "struct<id:int,parent:int,prev:int,end:int,depth:int,ix:int,tag:string,attrs:map<string,string>,up:array<int>,t0:int,tn:int,seen:boolean,chars:int,a:int,label:int,nav:int,title:int,pic:int,ctl:int,blocky:boolean>"
 #: Elements that lie deeper are put beside each other, as browsers do; the markup may forget to close them.
 DEEPEST = 512
 
@@ -32,6 +34,9 @@ CLOSES = {t: frozenset(["p"]) for t in _BLOCK.split()} | {
 }
 #: Elements that an implied end doesn't reach through.
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}}
+# Elements that make a container more than a paragraph, and controls.
+BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p ul ol table figure img li section article div".split())
+CONTROLS = frozenset("input select textarea a button".split())
 _WORD = re.compile(r"[^\W_]")
 
 
@@ -43,6 +48,14 @@ class _Tree(HTMLParser):
         self.rows: list[dict] = []
         self.open: list[int] = []
         self.bits: list[str] = []
+        self.upto = [0]
+
+    def _hold(self, field: str, value: int | bool) -> None:
+        """Tell the open elements what they hold; those around one that knows of such an element know of one too."""
+        for k in reversed(self.open):
+            if self.rows[k][field] not in (-1, False):
+                break
+            self.rows[k][field] = value
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         ends, walls = CLOSES.get(tag, ()), WALLS.get(tag, {"button", "table"})
@@ -54,12 +67,21 @@ class _Tree(HTMLParser):
                 break
         parent = self.open[-1] if self.open else -1
         row = {"parent": parent, "prev": -1, "tag": tag, "attrs": {k: v if v is not None else "" for k, v in reversed(attrs)}, "up": list(self.open), "kids": 0, "last": -1, "depth": len(self.open), "ix": 0, "t0": len(self.bits), "tn": 0, "seen": False}
+        row |= {"chars": 0, "a": -1, "label": -1, "nav": -1, "title": -1, "pic": -1, "ctl": -1, "blocky": False}
         row["hidden"] = row["attrs"].get("aria-hidden") == "true"
         if parent >= 0:
             above = self.rows[parent]
             row["ix"], row["prev"] = above["kids"], above["last"]
             above["kids"], above["last"] = above["kids"] + 1, len(self.rows)
+            for t in ("a", "label", "nav"):
+                row[t] = parent if above["tag"] == t else above[t]
+        at = len(self.rows)
         self.rows.append(row)
+        for field, tags in (("title", ("title",)), ("pic", ("img",)), ("ctl", CONTROLS)):
+            if tag in tags:
+                self._hold(field, at)
+        if tag in BLOCKS:
+            self._hold("blocky", True)
         if tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(len(self.rows) - 1)
         else:
@@ -85,6 +107,7 @@ class _Tree(HTMLParser):
             bit = f"{bit} "
         if bit:
             self.bits.append(bit)
+            self.upto.append(self.upto[-1] + len(bit))
         if _WORD.search(data):
             for k in reversed(self.open):
                 row = self.rows[k]
@@ -96,14 +119,20 @@ class _Tree(HTMLParser):
 
     def _close(self, i: int) -> None:
         for k in self.open[i:]:
-            self.rows[k]["end"], self.rows[k]["tn"] = len(self.rows) - 1, len(self.bits) - self.rows[k]["t0"]
+            row = self.rows[k]
+            row["end"], row["tn"] = len(self.rows) - 1, len(self.bits) - row["t0"]
+            n = self.upto[-1] - self.upto[row["t0"]]
+            if n:  # white space is single, and ends are trimmed
+                n -= self.bits[row["t0"]].startswith(" ")
+                n -= n > 0 and self.bits[-1].endswith(" ")
+            row["chars"] = n
         del self.open[i:]
 
     def finish(self) -> list[dict]:
         self.close()
         self._close(0)
-        one = ("parent", "prev", "end", "t0")
-        same = ("depth", "ix", "tag", "tn", "seen")
+        one = ("parent", "prev", "end", "t0", "a", "label", "nav", "title", "pic", "ctl")
+        same = ("depth", "ix", "tag", "tn", "seen", "chars", "blocky")
         return [{"id": k + 1, **{f: r[f] + 1 for f in one}, **{f: r[f] for f in same}, "attrs": list(r["attrs"].items()), "up": [u + 1 for u in r["up"]]} for k, r in enumerate(self.rows)]
 
 
@@ -126,7 +155,7 @@ def parse_html(html: str) -> list[dict]:
 def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, nodes, bits)``, one row per page; a null or empty source has no elements."""
     int_ = pa.int32()
-    fields = [(n, int_) for n in ("id", "parent", "prev", "end", "depth", "ix")] + [("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("up", pa.list_(int_)), ("t0", int_), ("tn", int_), ("seen", pa.bool_())]
+    fields = [(n, int_) for n in ("id", "parent", "prev", "end", "depth", "ix")] + [("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("up", pa.list_(int_)), ("t0", int_), ("tn", int_), ("seen", pa.bool_()), *[(n, int_) for n in ("chars", "a", "label", "nav", "title", "pic", "ctl")], ("blocky", pa.bool_())]
     kind = pa.list_(pa.struct(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
