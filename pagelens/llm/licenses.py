@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,10 +74,35 @@ TAGGED = (
     "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
     "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense",
 )
+# Names by which texts and headings speak of a license.
+NAMES = {
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "AGPLv3", "AGPL-3.0"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "BSD-3-Clause"),
+    "BSD": ("BSD License",),
+    "CC0-1.0": ("CC0 1.0",),
+    "EPL-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "EPL-2.0"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2", "GPL-2.0"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3", "GPL-3.0"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "LGPLv2.1", "LGPL-2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "LGPLv3", "LGPL-3.0"),
+    "MIT": ("MIT License",),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL-2.0"),
+}
+TEMPLATES |= {f"{k}-name{i or ''}": t for k, names in NAMES.items() for i, t in enumerate(names)}
 TEMPLATES |= {f"{k}-{verb.lower()}": t for k, v in SHORT.items() for verb in ("Licensed", "Released") if (t := f"{verb} under {v}.") not in TEMPLATES.values()}
 TEMPLATES |= {f"{k}-tag": f"SPDX-License-Identifier: {k}" for k in TAGGED}
 #: Words that candidate blocks are found by.
-TRIGGER = r"licen[sc]|copyright|permission|redistribut|released under|public domain|free software|all rights reserved"
+TRIGGER = r"licen[sc]|copyright|permission|redistribut|released under|public domain|free software|all rights reserved|\b[al]?gplv\d|\b(?:agpl|lgpl|gpl|mpl|epl|apache|bsd|cc0)[ -]\d"
+#: A tag of a source file: an expression of names, which AND, OR and WITH join; what stands behind WITH is an exception.
+TAG = re.compile(r"SPDX-License-Identifier:[ \t]*((?:\(\s*)*[\w.+-]+(?:\s*\)|\s+(?:AND|OR|WITH)\s+(?:\(\s*)*[\w.+-]+)*)", re.I)
+TAG_NAME = re.compile(r"(?:(\bWITH)\s+)?(?!(?:AND|OR|WITH)\b)([\w.+-]+)", re.I)
+#: What continues a name: the word that a template ends with is then another one, as in MIT-0.
+GOES_ON = re.compile(r"[-+.]\w|\+")
+#: Blocks of one text whose result is kept, as texts that are lists of notices repeat them.
+KEPT_BLOCKS = 10_000
 #: Words that name a license: where a template names one, a difference in them is another license.
 NAMING = re.compile(r"v?\d+(\.\d+)*|mit|bsd|apache|gnu|gpl|lgpl|agpl|lesser|affero|mozilla|mpl|eclipse|epl|unlicense|isc|cc|by|sa|nc|nd|cc0|commons|attribution\w*|noncommercial|sharealike|noderiv\w*|not|no")
 #: Share of a template's compressed bytes that it must save, share of words that may differ.
@@ -120,6 +146,7 @@ class Scanner:
         self.words = {k: [w for w, _, _ in words_of(t)] for k, t in templates.items()}
         self.named = {k: naming_places(w) for k, w in self.words.items()}
         self.reach = max(map(len, self.words.values())) + 20
+        self.tags = {k for k in templates if k.endswith("-tag")}
         self.trigger = re.compile(TRIGGER, re.I)
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         folded = {k: " ".join(w).encode() for k, w in self.words.items()}
@@ -127,18 +154,52 @@ class Scanner:
         empty = len(self.alone.compress(b""))
         self.size = {k: len(self.alone.compress(t)) - empty for k, t in folded.items()}
 
-    def rank(self, block: list[str], at: int) -> list[tuple[float, str]]:
+        # a template can fit where the text around a trigger has all its different words but so many
+        self.asks: dict[str, list[str]] = {}
+        for k, w in self.words.items():
+            for x in set(w):
+                self.asks.setdefault(x, []).append(k)
+        self.least = {k: len(set(w)) - int(MOST_DIFFERENT * len(w)) for k, w in self.words.items()}
+
+    def near(self, words: list[tuple[str, int, int]], places: list[int]) -> Iterator[list[str]]:
+        """For each of the rising ``places`` the templates that can fit around it. The words within reach are counted as they
+        come and go, so places that lie close share the work."""
+        held, met = {}, dict.fromkeys(self.words, 0)
+        low = high = 0
+
+        def count(word: str, by: int) -> None:
+            if word in self.asks:
+                before = held.get(word, 0)
+                held[word] = before + by
+                if not before or not held[word]:
+                    for k in self.asks[word]:
+                        met[k] += by
+                        if met[k] == self.least[k] - (by < 0):
+                            (can.add if by > 0 else can.discard)(k)
+
+        can = {k for k, n in self.least.items() if n <= 0}
+        for p in places:
+            while high < min(len(words), p + self.reach):
+                count(words[high][0], 1)
+                high += 1
+            while low < p - self.reach:
+                count(words[low][0], -1)
+                low += 1
+            yield sorted(can)
+
+    def rank(self, block: list[str], at: int, names: list[str] | None = None) -> list[tuple[float, str]]:
         """Templates by the bytes they save on the block, as a share of their own; best first. Of the block each template
         gets as many words on either side of the trigger as it has itself, so that other text doesn't drown a short one."""
         ranked, alone = [], {}
-        for name, given in self.given.items():
+        for name in self.given if names is None else names:
+            given = self.given[name]
             reach = len(self.words[name]) + 3
             low, high = max(0, at - reach), at + reach
             raw = " ".join(block[low:high]).encode() + PAD
             if (low, high) not in alone:
                 alone[low, high] = len(self.alone.compress(raw))
             saved = (alone[low, high] - len(given.compress(raw))) / self.size[name]
-            if saved >= LEAST_SAVED:
+            if saved >= LEAST_SAVED or len(self.words[name]) == 1:  # one word is too short to save any
                 ranked.append((saved, name))
         return sorted(ranked, reverse=True)
 
@@ -172,35 +233,72 @@ class Scanner:
                 best = (a, z, missing, added, renames(want, self.named[name], block[low:high], match))
         return best
 
+    def fit(self, block: list[str], at: int, names: list[str]) -> tuple | None:
+        """``(name, saved, first, end, missing, added)`` of the template that fits the block best around ``at``."""
+        fits = []
+        for saved, name in self.rank(block, at, names):
+            d = self.differences(name, block)
+            if d is None or not d[0] <= at < d[1]:
+                continue
+            wrong = len(d[2]) + len(d[3])
+            if wrong <= MOST_DIFFERENT * len(self.words[name]) and not d[4]:
+                fits.append((wrong - len(self.words[name]), name, saved, d))
+        if not fits:
+            return None
+        _, name, saved, (a, z, missing, added, _) = min(fits)
+        return name, saved, a, z, missing, added
+
+    def tagged(self, m: re.Match) -> list[tuple]:
+        """Notices of a tag: one for each name of its expression that is a template's whole name."""
+        out = []
+        for n in TAG_NAME.finditer(m[1]):
+            name, (start, end) = n[2].rstrip("."), n.span(2)
+            known = next((k for k in self.tags if k.lower() == f"{name.lower()}-tag"), None)
+            if n[1] or known is None:
+                continue
+            block = [w for w, _, _ in words_of(f"SPDX-License-Identifier: {name}")]
+            for saved, k in self.rank(block, 0, [known]):
+                out.append((k, m.start() if not out else m.start(1) + start, m.start(1) + start + len(name), saved, [], []))
+        return out
+
     def scan(self, text: str) -> list[tuple]:
         """``(license, start, end, saved, missing, added)`` of each notice, in code points, in order of place."""
-        words, found, after = None, [], 0
-        for m in self.trigger.finditer(text):
-            if m.start() < after:
+        tags = {m.start(): m for m in TAG.finditer(text)}
+        triggers = [m.start() for m in self.trigger.finditer(text)]
+        if not triggers:
+            return []
+        words, found, after, known = words_of(text), [], 0, {}
+        ends = [w[2] for w in words]
+        places = [bisect_right(ends, t) for t in triggers]  # first word that ends behind the trigger's start
+        tag_at = sorted(tags)
+        for t, low, names in zip(triggers, places, self.near(words, places)):
+            if t < after:
+                continue
+            i = bisect_right(tag_at, t) - 1
+            if i >= 0 and t < tags[tag_at[i]].end():
+                found += self.tagged(tags[tag_at[i]])
+                after = tags[tag_at[i]].end()
+                continue
+            names = [k for k in names if k not in self.tags]
+            if not names:
                 continue
-            words = words_of(text) if words is None else words
-            low, high = 0, len(words)
-            while low < high:  # first word that ends behind the trigger's start
-                mid = (low + high) // 2
-                low, high = (mid + 1, high) if words[mid][2] <= m.start() else (low, mid)
             first = low
             while first > 0 and first > low - self.reach and words[first - 1][1] >= after:
                 first -= 1
             part = words[first : low + self.reach]
             block = [w for w, _, _ in part]
-            fits = []
-            for saved, name in self.rank(block, low - first):
-                d = self.differences(name, block)
-                if d is None or not d[0] <= low - first < d[1]:
-                    continue
-                wrong = len(d[2]) + len(d[3])
-                if wrong <= MOST_DIFFERENT * len(self.words[name]) and not d[4]:
-                    fits.append((wrong - len(self.words[name]), name, saved, d))
-            if fits:
-                _, name, saved, (a, z, missing, added, _) = min(fits)
-                end = part[z - 1][2]
-                found.append((name, part[a][1], end, saved, missing, added))
-                after = end
+            key = (low - first, *block)
+            if key not in known:
+                known = {} if len(known) >= KEPT_BLOCKS else known
+                known[key] = self.fit(block, low - first, names)
+            if known[key] is None:
+                continue
+            name, saved, a, z, missing, added = known[key]
+            end = part[z - 1][2]
+            if "-name" in name and GOES_ON.match(text, end):
+                continue
+            found.append((name, part[a][1], end, saved, missing, added))
+            after = end
         return found
 
 
@@ -214,7 +312,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
 
     ``saved`` is the share of the template's compressed bytes that it saves on the block; ``missing`` and ``added`` are the
     words of the template that the text lacks, and the other way round. Of templates that fit one place the one with the most
-    words that agree is reported, the first by name of equals. Texts of any length are read whole. Null and empty texts have
+    words that agree is reported, the first by name of equals. Of tags each name of the expression is a notice if it is a known one as
+    a whole; a name that goes on, as in ``MIT-0``, is another license. Texts of any length are read whole. Null and empty texts have
     none; null ids stay; repeated rows each give their rows; an empty table gives no rows; other columns are left out.
     """
     items = tuple((templates or TEMPLATES).items())

@@ -62,7 +62,7 @@ def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notices in documents with their wording differences as text."""
     found = licenses.scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "license", "start", "end", F.array_join("missing", " ").alias("missing"), F.array_join("added", " ").alias("added"))
+    return found.select("doc_id", "license", "start", "end", F.round("saved", 6).alias("saved"), F.array_join("missing", " ").alias("missing"), F.array_join("added", " ").alias("added"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,3 +208,40 @@ def test_many_like_places(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = licenses.scan(df, templates={"twice": f"{half} {half}"}).collect()
     assert [(r.start, r.end, r.missing, r.added) for r in got] == [(text.index(f"{half} {half}"), len(text), [], [])]
+
+
+def test_names_expressions_and_lists():
+    """Tags as expressions of whole names, names in lists, headings and one-word names."""
+    s = licenses.Scanner(licenses.TEMPLATES)
+    found = lambda t: [(k.split("-name")[0], t[a:z]) for k, a, z, *_ in s.scan(t)]
+    assert found("// SPDX-License-Identifier: MIT-0\nx") == found("SPDX-License-Identifier: BSD-3-Clause-Clear") == found("SPDX-License-Identifier: MIT+") == []
+    assert found("SPDX-License-Identifier: MIT OR Apache-2.0") == [("MIT-tag", "SPDX-License-Identifier: MIT"), ("Apache-2.0-tag", "Apache-2.0")]
+    assert found("(SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 AND mit).\nOR ISC") == [("GPL-2.0-only-tag", "SPDX-License-Identifier: (GPL-2.0-only"), ("MIT-tag", "mit")]
+    assert found("under the MIT License and the Apache License, Version 2.0") == [("MIT", "MIT License"), ("Apache-2.0", "Apache License, Version 2.0")]
+    assert found("Licensed under the MIT License or the Mozilla Public License 2.0.") == [("MIT-licensed", "Licensed under the MIT License"), ("MPL-2.0", "Mozilla Public License 2.0")]
+    assert found("the MIT license") == [("MIT", "MIT license")] and found("It is GPLv3 code, not LGPLv2.1.") == [("GPL-3.0", "GPLv3"), ("LGPL-2.1", "LGPLv2.1")]
+    assert [k for k, _ in found("MIT License\n\nCopyright (c) 2020 Us\n\n" + licenses.TEMPLATES["MIT"])] == ["MIT", "MIT"]
+    assert found("MIT-0 License") == found("a license by MIT") == found("the GNU General Public License") == found("GPL-3.0-like") == []
+
+
+def test_near_names_every_template_that_can_fit():
+    """The running counts against counting each window anew."""
+    rng = np.random.default_rng(5)
+    s = licenses.Scanner(licenses.TEMPLATES)
+    vocab = sorted({w for t in s.words.values() for w in t}) + ["x"] * 200
+    words = [(vocab[i], 0, 0) for i in rng.integers(0, len(vocab), 1500)] + [(w, 0, 0) for w in s.words["MIT"]] * 3
+    places = sorted(rng.choice(len(words), 150, replace=False).tolist())
+    for p, names in zip(places, s.near(words, places)):
+        window = {w for w, _, _ in words[max(0, p - s.reach) : p + s.reach]}
+        assert names == sorted(k for k, w in s.words.items() if len(window & set(w)) >= s.least[k])
+
+
+def test_text_of_triggers_alone():
+    import time
+
+    rng = np.random.default_rng(1)
+    few = ["license", "permission", "copyright", "redistribution", "free software", "licensed", "version", "the", "public", "general"]
+    text = " ".join(few[i] for i in rng.integers(0, len(few), 60_000))
+    began = time.time()
+    licenses.Scanner(licenses.TEMPLATES).scan(text)
+    assert time.time() - began < 60
