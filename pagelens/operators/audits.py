@@ -86,8 +86,8 @@ def trend_last_n(assessment: DataFrame, situation: DataFrame, dl_url: str | None
     """Means of the newest ``n`` audits, oldest first. Audits without scores drop out after the limit, as do all when fewer
     than two are left."""
     newest = filter_library(assessment, dl_url).select("id", "created_at").orderBy(F.desc(F.coalesce("created_at", F.lit(""))), F.desc("id")).limit(n)
-    rows = situation.select(F.col("assessment_id").alias("id"), "compliance_score")
-    means = rows.join(F.broadcast(newest), "id").groupBy("id", "created_at").agg(F.avg("compliance_score").alias("avg_score")).where("avg_score is not null")
+    rows = situation.select(F.col("assessment_id").alias("id"), "compliance_score").join(F.broadcast(newest.select("id")), "id", "left_semi")
+    means = rows.groupBy("id").agg(F.avg("compliance_score").alias("avg_score")).where("avg_score is not null").join(F.broadcast(newest), "id")
     many = F.count("*").over(Window.partitionBy(F.lit(1)))
     return means.withColumn("many", many).where("many >= 2").select("id", F.substring("created_at", 1, 10).alias("date"), "avg_score").orderBy("date", "id")
 

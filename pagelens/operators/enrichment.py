@@ -88,14 +88,94 @@ def plan_requests(requests: DataFrame, providers: DataFrame, cache: DataFrame) -
     return rows.withColumn("state", state).withColumn("note", note).withColumn("cached", F.coalesce("cached", F.lit(False))).drop("available", "policy")
 
 
-def run_enrichment(planned: DataFrame, provider: Provider, name: str, concurrency: int) -> DataFrame:
-    """Cache rows ``(key, result, generated, verified, provider, error)``: each queued key once, in ``concurrency`` tasks: as many as
+def call_provider(planned: DataFrame, provider: Provider, name: str, concurrency: int) -> DataFrame:
+    """``(key, result, error, generated, verified, provider)``: each queued key once, in ``concurrency`` tasks: as many as
     the service takes at a time. ``provider`` maps batches of ``(key, cap, src, label)`` to ``(key, result, error)``."""
     todo = planned.where("state = 'queued'").groupBy("key").agg(F.first("cap").alias("cap"), F.min("src").alias("src"), F.min("label").alias("label"))
-    done = todo.repartition(concurrency).mapInPandas(provider, "key string, result string, error string")
+    done = todo.repartition(concurrency).mapInPandas(_guarded(provider), "key string, result string, error string")
     return stamp_provenance(done, name)
 
 
+#: Keys that a provider gets at a time; when a call fails as a whole, so many fail with it.
+CALL_KEYS = 32
+
+
+def _guarded(provider: Provider) -> Provider:
+    """A provider whose failures are rows: a call that raises, or gives no row for a key, is an error of its keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), CALL_KEYS):
+                asked = b.iloc[at : at + CALL_KEYS].reset_index(drop=True)
+                try:
+                    got = pd.concat([pd.DataFrame({"key": [], "result": [], "error": []}), *provider(iter([asked]))])
+                    got = got.drop_duplicates("key")
+                except Exception as e:  # noqa: BLE001 - what a service raises is its own affair
+                    got = pd.DataFrame({"key": asked["key"], "result": None, "error": str(e) or type(e).__name__})
+                out = asked[["key"]].merge(got[["key", "result", "error"]], "left", "key")
+                out["error"] = out["error"].where(out["error"].notna() | out["result"].notna(), "no result")
+                yield out.astype(object).where(out.notna(), None)
+
+    return run
+
+
+def per_item(call: Callable[[str, str, str], str]) -> Provider:
+    """A provider from a function of ``(cap, src, label)``; what it raises is the error of that key alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                try:
+                    rows.append((r.key, call(r.cap, r.src, r.label), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((r.key, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["key", "result", "error"])
+
+    return run
+
+
+_CALLS = "key string, result string, error string, generated boolean, verified boolean, provider string"
+
+
+def read_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every call of the runs kept in ``folder``, with ``run`` and ``attempt``."""
+    return spark.read.schema(f"{_CALLS}, run string, attempt int").parquet(f"{folder}/calls")
+
+
+def enrichment_cache(calls: DataFrame) -> DataFrame:
+    """What has succeeded, a row a key: of two runs that both called for a key the first by name counts."""
+    good = calls.where("error is null and result is not null")
+    return good.groupBy("key").agg(F.min_by(F.struct("result", "generated", "verified", "provider"), F.struct("run", "attempt")).alias("c")).select("key", "c.*")
+
+
+def run_enrichment(requests: DataFrame, providers: Providers, folder: str, run: str, concurrency: int = 2, attempts: int = 2) -> DataFrame:
+    """Run what can be run of ``requests`` with keys, keep it in ``folder``, and say how each request ended.
+
+    Each attempt plans anew against the cache, so a key is called for once an attempt until it succeeds, whatever number of
+    requests have it, and never again in later runs. Capabilities run one after the other, each in ``concurrency`` tasks, so a service has no
+    more callers than that. Calls are written before they are read, a folder an attempt and capability, which the same run
+    writes over if it is repeated; a failure is a row with its error. Adds ``state``, ``note``, ``result`` and ``provider``:
+    done, failed with the last error, or as planned.
+    """
+    spark = requests.sparkSession
+    spark.createDataFrame([], _CALLS).write.mode("overwrite").parquet(f"{folder}/calls/run=none/attempt=0/cap=none")
+    live = {c: p for c, p in providers.known.items() if p.run and p.available() and providers.policy[c] == "auto"}
+    known = providers.rows(spark)
+    for attempt in range(1, attempts + 1):
+        planned = plan_requests(requests, known, enrichment_cache(read_calls(spark, folder))).where(F.col("cap").isin(list(live)))
+        if planned.where("state = 'queued'").isEmpty():
+            break
+        for cap, p in live.items():
+            call_provider(planned.where(F.col("cap") == cap), p.run, p.name, concurrency).write.mode("overwrite").parquet(f"{folder}/calls/run={run}/attempt={attempt}/cap={cap}")
+    calls = read_calls(spark, folder)
+    cache = enrichment_cache(calls)
+    errors = calls.where((F.col("run") == run) & F.col("error").isNotNull()).groupBy("key").agg(F.max_by("error", "attempt").alias("error"))
+    ended = plan_requests(requests, known, cache).join(cache.select("key", "result", "provider"), "key", "left").join(errors, "key", "left")
+    failed = (F.col("state") == "queued") & F.col("error").isNotNull()
+    return ended.withColumn("note", F.when(failed, F.col("error")).otherwise(F.col("note"))).withColumn("state", F.when(failed, "failed").otherwise(F.col("state"))).drop("error")
+
+
 def stamp_provenance(results: DataFrame, name: str) -> DataFrame:
     return results.withColumn("generated", F.lit(True)).withColumn("verified", F.lit(False)).withColumn("provider", F.lit(name))
 

@@ -1,8 +1,10 @@
 """Golden cases of parsing, rules, packs, the reading model and documents."""
 
+import json
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from pagelens.sources import pages as source
 from pagelens.streaming import audits as stream
 
 
+SELECTORS = ["p", "#A", ".acc", "[data-k='Ab']", "[data-k*='a' i]", "[class~='x']", "p:not([data-k])", "[class~='acc'] [class*='header']", ".acc > .header", "p + b", "p ~ b", "div ~ [title]", "div p + i b, s", "*", "p::before"]
+
+
 def parse(spark, *html):
     return source.parse_pages(spark.createDataFrame(list(enumerate(html)), "page_id long, html string").withColumn("url", F.lit("https://lib.example/x")))
 
@@ -47,7 +52,7 @@ def test_rules_see_earlier_rules_and_undo(spark):
 
 def test_large_page(spark):
     """A page of some 12,000 elements, all rules: the work follows its size, so this ends in seconds."""
-    body = "".join(b for k, b in DEFECTS.items() if k not in ("dialog-escape", "results-status"))
+    body = "".join(DEFECTS.values())
     n = len(source.parse_html(f"<body>{body}</body>")) - 1
     times = 12_000 // n
     report = rules.audit_report(rules.run_rules(parse(spark, f"<html><body>{body * times}</body></html>"))).collect()
@@ -56,6 +61,81 @@ def test_large_page(spark):
     assert found["form-fields", "flag"] >= times and sum(r.rule_id == "graphs-longdesc" and r.kind == "flag" for r in report) >= times
 
 
+def test_reading_takes_linear_time(spark):
+    """Tables in tables, tens of thousands of paragraphs, and as many with one text."""
+    nested = "<main>" + "<table><tr><td>" * 400 + "x" + "</td></tr></table>" * 400 + "</main>"
+    assert reading.reading_blocks(parse(spark, nested)).select(F.size("rows")).collect() == [(400,)]
+    many = "<main>" + "".join(f"<p>text {i}</p>" for i in range(30_000)) + "<p>same</p>" * 30_000 + "</main>"
+    rows = reading.reading_blocks(parse(spark, many)).orderBy("ix").collect()
+    assert [r.text for r in rows] == [f"text {i}" for i in range(30_000)] + ["same"]
+    modals = rules.changes(rules.run_rules(parse(spark, "<body>" + "<div class='modal'>open</div>" * 1000 + "<p>b</p></body>"), ["dialog-escape"]))
+    assert modals.where("attr = 'aria-hidden'").count() == 1001
+
+
+def test_what_is_near_an_element():
+    """The structure that the parse leaves against looking for it."""
+    html = "<a href=x>t<b><img src=1><i>u</i></b></a><label>L <input></label><nav> <p>a</p> <ul><li> <svg><title>T</title></svg></ul></nav><div> </div><a><img alt=z><button>o</button></a><label></label>"
+    nodes = source.parse_html(html)
+    for n in nodes:
+        below = [m for m in nodes if n["id"] < m["id"] <= n["end"]]
+        first = lambda *tags: next((m["id"] for m in below if m["tag"] in tags), 0)  # noqa: B023, E731
+        above = lambda tag: next((u for u in reversed(n["up"]) if nodes[u - 1]["tag"] == tag), 0)  # noqa: B023, E731
+        assert (n["a"], n["label"], n["nav"]) == (above("a"), above("label"), above("nav"))
+        assert (n["title"], n["pic"], n["ctl"]) == (first("title"), first("img"), first(*source.CONTROLS))
+        assert n["blocky"] == any(m["tag"] in source.BLOCKS for m in below) and n["chars"] == len(n["text"])
+
+
+def test_packs_from_files(spark, tmp_path):
+    """Files of packs, the broken left out; what the interpreter selects against selectors as columns."""
+    own = {"id": "own", "match": {"selectors": ["p, .none"]}, "rules": [{"code": chr(65 + i), "select": s, "set": {f"data-{i}": i}} for i, s in enumerate(SELECTORS)]}
+    for name, text in (("a", json.dumps(own)), ("b", "{cut"), ("c", '{"id": "late", "match": {"hosts": ["other"]}, "rules": []}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    rows = packs.read_site_packs(spark, f"file://{tmp_path}/*.json")
+    assert [(r.id, r.enabled, r.source) for r in rows.orderBy("ord").collect()] == [("own", True, "file"), ("late", True, "file")]
+    html = "<div class='acc x' id=A><p class='header' data-k='Ab'>1</p><i><b class='header'>2</b></i></div><p>3</p><b>4</b><s title=t>5</s><b class=acc>6</b>"
+    pages = rules.prepared(parse(spark, html, "<i>no</i>"))
+    got = packs.apply_packs(pages, rows).where("page_id = 0").cache()
+    for i, s in enumerate(SELECTORS):
+        want = pages.where("page_id = 0").select(F.filter("nodes", selector(s)).id).first()[0] if i != len(SELECTORS) - 1 else []
+        assert [r.node_id for r in rules.changes(got).where(F.col("attr") == f"data-{i}").orderBy("node_id").collect()] == want, s
+    assert rules.changes(packs.apply_packs(pages, rows)).where("page_id = 1").count() == 0
+    small, large = (packs.apply_packs(pages, packs.as_packs(spark, [own | {"id": f"p{i}"} for i in range(n)])) for n in (5, 500))
+    size = lambda df: df._jdf.queryExecution().analyzed().expressions().toString().count("lambda")
+    assert size(small) == size(large)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packs, "PASS_CHARS", 10)
+        assert packs.pack_matches(pages, packs.as_packs(spark, [own, own | {"id": "b", "enabled": False}, own | {"id": "c"}])).count() == 2
+
+
+def test_enrichment_runs(spark, tmp_path):
+    """Keys that fail are called again, those that succeeded never; a service that raises or loses keys; how requests end."""
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def call(cap, src, label):
+        mark = log / src
+        mark.write_text(mark.read_text() + "x" if mark.exists() else "x")
+        if src == "never" or src == "second" and len(mark.read_text()) < 2 or src == "later" and len(mark.read_text()) < 4:
+            raise ValueError("busy")
+        return f"words of {src}"
+
+    def loses(batches):
+        for b in batches:
+            yield pd.DataFrame({"key": [], "result": [], "error": []})
+
+    rows = [(i, cap, s, s, s) for i, (cap, s) in enumerate([*[("ocr", s) for s in ("first", "second", "never", "later", "first")], ("transcribe", "t"), ("describeImage", "d"), ("describeGraph", "g")])]
+    requests = enrichment.with_key(spark.createDataFrame(rows, "n int, cap string, src string, label string, hash_source string"))
+    known = enrichment.Providers(ocr="auto", transcribe="auto", describeGraph="auto").register(enrichment.Registered("ocr", "o", enrichment.per_item(call))).register(enrichment.Registered("transcribe", "t", loses)).register(enrichment.Registered("describeImage", "d", loses))
+    ended = lambda run: [(r.state, r.note, r.result) for r in enrichment.run_enrichment(requests, known, f"file://{tmp_path}/kept", run).orderBy("n").collect()]
+    rest = [("failed", "no result", None), ("held", "waiting for you to run it", None), ("skipped", "no provider configured", None)]
+    first, second = ("done", "", "words of first"), ("done", "", "words of second")
+    assert ended("1") == [first, second, ("failed", "busy", None), ("failed", "busy", None), first, *rest]
+    assert ended("2") == [first, second, ("failed", "busy", None), ("done", "", "words of later"), first, *rest]
+    assert {f.name: len(f.read_text()) for f in log.iterdir()} == {"first": 1, "second": 2, "never": 4, "later": 4}
+    cache = enrichment.enrichment_cache(enrichment.read_calls(spark, f"file://{tmp_path}/kept"))
+    assert {(r.generated, r.verified, r.provider) for r in cache.collect()} == {(True, False, "o")} and cache.count() == 3
+
+
 def test_text_once_a_page(spark):
     """Text lies in pieces of the page; elements that nobody closes don't nest without end."""
     df = parse(spark, "<div>a <b> b</b>c" * 3000)
@@ -70,11 +150,14 @@ def test_siblings_in_selectors(spark):
     assert [count(s) for s in ("p + b", "p ~ b", "i + b", "p ~ div > b", "p+b, p~i", "b ~ p")] == [1, 2, 1, 1, 2, 0]
 
 
-def test_packs_as_lists_and_providers(spark):
-    own = [{"id": "a", "rules": [{"code": "A"}]}]
+def test_packs_as_rows_and_providers(spark):
+    own = packs.as_packs(spark, [{"id": "a", "rules": [{"code": "A"}]}])
     more = packs.register_pack(packs.register_pack(own, {"id": "b", "rules": [{"code": "B"}]}), {"id": "a", "rules": [{"code": "C"}]})
-    assert [(p["id"], p["rules"][0]["code"]) for p in more] == [("b", "B"), ("a", "C")] and packs.unregister_pack(more, "b") == more[1:]
-    assert [p.get("enabled", True) for p in packs.enable_pack(more, "a", False)] == [True, False]
+    listed = lambda df: [(r.id, r.rules[0].code, r.enabled) for r in df.orderBy("ord").collect()]
+    assert listed(more) == [("a", "C", True), ("b", "B", True)] and listed(packs.unregister_pack(more, "b")) == [("a", "C", True)]
+    assert listed(packs.enable_pack(more, "a", False)) == [("a", "C", False), ("b", "B", True)]
+    with pytest.raises(ValueError):
+        packs.register_pack(own, {"id": "c"})
     known = enrichment.Providers(describeGraph="off").register(enrichment.Registered("ocr", "local")).register(enrichment.Registered("transcribe", "remote", available=lambda: False))
     assert {r.cap: (r.name, r.available, r.policy) for r in known.rows(spark).collect()} == {"ocr": ("local", True, "ask"), "describeImage": (None, False, "ask"), "describeGraph": (None, False, "off"), "reflowPdf": (None, False, "auto"), "transcribe": ("remote", False, "ask")}
     with pytest.raises(ValueError):
@@ -113,7 +196,7 @@ def test_reading_model(spark):
         for b in batches:
             yield b[["key"]].assign(result=" A barn ", error=None)
 
-    done = enrichment.run_enrichment(planned, provider, "p", 2).cache()
+    done = enrichment.call_provider(planned, provider, "p", 2).cache()
     assert [(r.generated, r.verified, r.provider) for r in done.collect()] == [(True, False, "p")]
     filled = enrichment.apply_descriptions(blocks, requests, done)
     assert [(r.text, r.generated) for r in filled.where("type = 'image'").orderBy("ix").collect()] == [("A barn", True), ("Cap", False)]
