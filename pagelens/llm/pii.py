@@ -30,8 +30,6 @@ PIECE = r"[\s\S]{1,200}[\p{L}\p{M}\p{N}]*+"
 FOLD = 256
 #: Characters of a text's parts from which pieces are cut, as a piece is looked for from the start of what it is cut from.
 PART = 4096
-#: Candidate terms that are sent to where the documents' words are; more of them meet the words' counts instead.
-SENT_TERMS = 100_000
 
 
 def _before(values: Column, op) -> Column:
@@ -187,7 +185,8 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, total: int, text_col: st
 
     A text whose own rows are enough settles its terms with its rarest entity, without pairs. What is left can only pass with an
     entity and a term that two texts share, so pairs are made of shared ones alone: a text's other entities and terms, however
-    many, make none. Words of all documents are counted where they are terms of texts with entities used twice.
+    many, make none. The documents' words are counted in each partition before they are dealt by word, and meet the terms of texts
+    with entities as counts.
     """
     entities = texts.select("mark", "n", F.explode("entities").alias("entity"))
     known = entities.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.count("*").alias("texts"))
@@ -201,10 +200,7 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame, total: int, text_col: st
     again = cut(used.groupBy("term").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("texts")).where("low <> high").select("term", "texts"))
     every = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"), F.lit(1).cast("long").alias("c"))
     hidden = texts.select(F.explode("hidden").alias("term"), (-F.col("n")).alias("c"))
-    counts = every.unionByName(hidden)
-    if again.limit(SENT_TERMS + 1).count() <= SENT_TERMS:
-        counts = counts.join(F.broadcast(again.select("term")), "term", "left_semi")
-    counts = counts.groupBy("term").agg(F.sum("c").alias("with_term")).where(F.col("with_term") <= most)
+    counts = every.unionByName(hidden).groupBy("term").agg(F.sum("c").alias("with_term")).where(F.col("with_term") <= most)
     rare = cut(used.join(cut(counts.join(again, "term")), "term"))
     # texts that settle a term by themselves
     best = held.groupBy("mark").agg(F.min("with_entity").alias("with_entity"))
