@@ -76,9 +76,36 @@ def situation_tokens(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code string, token string, token_ix int")
 
 
+#: What each rule does, by its id.
+DESCRIPTIONS = {
+    "file-links": "Names links to files by title, format and size, and says when they open a new window.",
+    "images-alt": "Asks for words where images have none or only a file name; hides thumbnails that repeat a link's text.",
+    "graphs-longdesc": "Makes charts images with a name and a place for a long description.",
+    "collection-items": "Makes groups of cards lists, whose items say which of how many they are.",
+    "disclosure": "Makes show and hide controls buttons that say what they control and whether it is open.",
+    "autocomplete": "Makes search fields with suggestions comboboxes.",
+    "landmarks": "Adds a skip link and a main landmark, and names navigation.",
+    "filter-groups": "Makes clusters of filters named groups.",
+    "result-relevance": "Names results by title, format and snippet.",
+    "clear-search": "Makes what clears a search a named button.",
+    "dialog-escape": "Makes open overlays modal dialogs and hides what lies behind them.",
+    "back-affordance": "Makes breadcrumbs navigation with the current page marked.",
+    "icon-buttons": "Names controls that show only an icon by that icon.",
+    "search-regions": "Tells several searches on one page apart by name.",
+    "help-affordance": "Names links to help and support.",
+    "pagination": "Makes pagers navigation with the current page marked and its arrows named.",
+    "results-status": "Adds a status, a skip link and each result's place to results.",
+    "within-item-nav": "Names the page controls of viewers.",
+    "authorized-features": "Says why restricted controls can't be used.",
+    "media-captions": "Asks for captions and transcripts of video and audio.",
+    "images-nontag": "Asks for words for drawings, canvases and background images.",
+    "form-fields": "Names form fields by the label beside them or their placeholder, and says which are required.",
+}
+
+
 def rules_catalog(spark: SparkSession) -> DataFrame:
-    """``(rule_ix, rule_id, code, level, kind, criteria)``, 22 rows."""
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "rule_ix int, rule_id string, code string, level string, kind string, criteria string")
+    """``(rule_ix, rule_id, code, level, kind, criteria, describe)``, 22 rows."""
+    return spark.createDataFrame([(i, *r, DESCRIPTIONS[r[0]]) for i, r in enumerate(RULES)], "rule_ix int, rule_id string, code string, level string, kind string, criteria string, describe string")
 
 
 # Short labels of codes.

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Titles and captions of documents that have none of their own.
+UNTITLED, TEXT_TITLE, CSV_CAPTION, CSV_EMPTY = "Untitled document", "Text document", "Imported spreadsheet data", "Empty file."
 # What counts as white space at the ends of a text.
 _SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 _NOT_BLANK = f"[^{_SPACE}]"
@@ -92,7 +94,7 @@ def document_title(nodes: DataFrame, meta: DataFrame | None = None) -> DataFrame
     if meta is not None:
         first = first.join(meta.select("doc_id", F.nullif(F.trim("title"), F.lit("")).alias("given")), "doc_id", "left")
     given = F.col("given") if meta is not None else F.lit(None).cast("string")
-    return first.select("doc_id", F.coalesce(given, "heading", F.lit("Untitled document")).alias("title"))
+    return first.select("doc_id", F.coalesce(given, "heading", F.lit(UNTITLED)).alias("title"))
 
 
 def render_html(nodes: DataFrame, titles: DataFrame, lang: str = "en") -> DataFrame:
@@ -116,7 +118,7 @@ def text_to_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def text_to_html(text: Column, lang: str = "en") -> Column:
     each = F.transform(paragraphs_of(text), lambda p: F.concat(F.lit("<p>"), F.replace(html_escape(p), F.lit("\n"), F.lit("<br>")), F.lit("</p>")))
-    return F.concat(F.lit(f'<article lang="{lang}"><h1>Text document</h1>'), F.array_join(each, ""), F.lit("</article>"))
+    return F.concat(F.lit(f'<article lang="{lang}"><h1>{TEXT_TITLE}</h1>'), F.array_join(each, ""), F.lit("</article>"))
 
 
 #: A run in quotes, in which a doubled quote stands for one, and which may lack its end; a comma; a line feed; other characters.
@@ -157,8 +159,8 @@ def csv_to_html(text: Column, lang: str = "en") -> Column:
     rows = csv_rows(text)
     head = row(F.get(rows, F.lit(0)), lambda c: cell('th scope="col"', c))
     body = F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: row(r, lambda c, i: F.when(i == 0, cell('th scope="row"', c)).otherwise(cell("td", c))))
-    made = F.concat(F.lit(f'<table lang="{lang}"><caption>Imported spreadsheet data</caption><thead>'), head, F.lit("</thead><tbody>"), F.array_join(body, ""), F.lit("</tbody></table>"))
-    return F.when(F.size(rows) > 0, made).otherwise("<p>Empty file.</p>")
+    made = F.concat(F.lit(f'<table lang="{lang}"><caption>{CSV_CAPTION}</caption><thead>'), head, F.lit("</thead><tbody>"), F.array_join(body, ""), F.lit("</tbody></table>"))
+    return F.when(F.size(rows) > 0, made).otherwise(f"<p>{CSV_EMPTY}</p>")
 
 
 def vtt_time(seconds: Column) -> Column:

@@ -97,6 +97,15 @@ LABELS = {
     "collection": "Search within this collection", "library": "Search the whole library", "section": "Search this section", "locked": " — sign in to use this feature", "video": "Embedded video",
 }
 
+# Notes behind a link's text, texts that say nothing of what is linked, alternatives that are names of files, and
+# classes of cards, of searches within a part, and of searches of all.
+LINK_NOTE = r"(?i)\s*\((opens|pdf|docx|word|download).*?\)\s*$"
+GENERIC_LINK = r"(?i)^(here|click here|click|read more|more|link|this|download|view|view here|open)$"
+FILE_ALT = (r"(?i)\.(jpe?g|png|gif|webp|svg)$", r"(?i)^(image|img|dsc|screenshot)[-_ ]?\d*$")
+CARD = "(?i)(card|item|result|tile|entry)"
+WITHIN, SITEWIDE = "(?i)collection|within|this", "(?i)all|site|global"
+HELP_SAID, HELP_HREF = "(?i)help|faq|support|assist|how to", "(?i)help|faq|support"
+
 #: Fields of an element.
 FIELDS = "id parent prev end depth ix tag attrs up t0 tn seen chars a label nav title pic ctl blocky".split()
 
@@ -170,8 +179,8 @@ def name_from_file(href: Column) -> Column:
 def link_name(x: Column) -> Column:
     """What a file link is called: its text without a trailing note, or the file's name where the text is generic."""
     label = F.coalesce(F.nullif(text_of(x), F.lit("")), F.when(attr(x, "aria-label") != "", attr(x, "aria-label")), F.lit("File"))
-    name = F.regexp_replace(label, r"(?i)\s*\((opens|pdf|docx|word|download).*?\)\s*$", "")
-    generic = F.trim(name).rlike(r"(?i)^(here|click here|click|read more|more|link|this|download|view|view here|open)$")
+    name = F.regexp_replace(label, LINK_NOTE, "")
+    generic = F.trim(name).rlike(GENERIC_LINK)
     base = name_from_file(attr(x, "href"))
     return F.when(generic & (base != ""), base).otherwise(name)
 
@@ -217,7 +226,7 @@ def file_links() -> Step:
 
 
 def _filename_alt(alt: Column) -> Column:
-    return F.trim(alt).rlike(r"(?i)\.(jpe?g|png|gif|webp|svg)$") | F.trim(alt).rlike(r"(?i)^(image|img|dsc|screenshot)[-_ ]?\d*$")
+    return F.trim(alt).rlike(FILE_ALT[0]) | F.trim(alt).rlike(FILE_ALT[1])
 
 
 def images_alt() -> Step:
@@ -261,7 +270,7 @@ def graphs() -> Step:
 
 
 def collection_items() -> Step:
-    kids = lambda x: children(x, lambda y: classes(y).rlike("(?i)(card|item|result|tile|entry)"))
+    kids = lambda x: children(x, lambda y: classes(y).rlike(CARD))
     found = Kept(F.filter(F.transform(_nodes(lambda x: (class_like(x, "results", "collection", "grid") | (x["tag"] == "ul") & class_like(x, "items") | has_attr(x, "data-results")) & ~F.coalesce(attr(x, "role") == "list", F.lit(False))), lambda x: F.struct(x.alias("x"), kids(x).alias("kids"))), lambda r: F.size(r["kids"]) >= 2))
 
     def of(r: Column) -> Column:
@@ -415,13 +424,13 @@ def search_regions() -> Step:
     test = selector("form[role='search'], [role='search'], form[class*='search']")
     every = Kept(F.transform(_nodes(test), lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     found = F.filter(every, lambda r: (F.size(every) >= 2) & ~filled(attr(r["x"], "aria-label")))
-    scope = lambda r: F.when(classes(r["x"]).rlike("(?i)collection|within|this"), LABELS["collection"]).when(classes(r["x"]).rlike("(?i)all|site|global") | (r["i"] == 0), LABELS["library"]).otherwise(LABELS["section"])
+    scope = lambda r: F.when(classes(r["x"]).rlike(WITHIN), LABELS["collection"]).when(classes(r["x"]).rlike(SITEWIDE) | (r["i"] == 0), LABELS["library"]).otherwise(LABELS["section"])
     n = F.size(found)
     return Step(_each(found, lambda r: _sets(r["x"], role="search", aria_label=scope(r), **{MARK: _mark(r["x"], "FIL2")})), _entries(_fix(n, FIXES["search-regions"])), n, [every])
 
 
 def help_links() -> Step:
-    found = Kept(_nodes(lambda x: (x["tag"] == "a") & has_attr(x, "href") & (text_of(x).rlike("(?i)help|faq|support|assist|how to") | attr(x, "href").rlike("(?i)help|faq|support"))))
+    found = Kept(_nodes(lambda x: (x["tag"] == "a") & has_attr(x, "href") & (text_of(x).rlike(HELP_SAID) | attr(x, "href").rlike(HELP_HREF))))
     of = lambda x: _sets(x, aria_label=F.when(~filled(attr(x, "aria-label")), F.coalesce(F.nullif(text_of(x), F.lit("")), F.lit(LABELS["help"]))), **{MARK: _mark(x, "FIL3")})
     n = F.size(found)
     return Step(_each(found, of), _entries(_fix(n, FIXES["help-affordance"])), n, [found])

@@ -77,12 +77,21 @@ def page_scorecard(spark: SparkSession, d: str) -> DataFrame:
     return card.select("page_id", "code", "violations", "good", F.col("auto_score").cast("double").alias("auto_score"))
 
 
-_GOOD_BODY = "<a href='#c'>Skip to content</a><main><h1>x</h1></main><a href='a.pdf'>Plan, PDF file</a><img alt='A red barn'><b aria-expanded='true'></b><div role='dialog' aria-modal='true'></div><div class='pagination' role='navigation'><a aria-current='page' href='?1'>1</a></div><p aria-live='polite'></p><input role='combobox'>"
-_GOOD = [
-    ("ACC1", "1 file link(s) already state the file type/size", 1), ("ACC2", "1 image(s) already have meaningful alt text", 1), ("COM3", "1 image(s) already have meaningful alt text", 1),
-    ("ACC5", "controls already expose aria-expanded", 1), ("COM1", "structure present: a main landmark, exactly one h1, a skip link", 3), ("INT1", "dialog(s) already use aria-modal", 1),
-    ("EXE2", "dialog(s) already use aria-modal", 1), ("NAV2", "pager already a nav landmark with aria-current", 1), ("RED1", "a live region announces status", 1), ("ACC6", "search already exposes a combobox", 1),
-]
+# What pages show of good techniques: an element, and how often it stands on the page of a part.
+_SHOWN = {
+    "file": ("'<a href=\"/' || p_size || '.pdf\">' || p_name || ', PDF file</a><a href=\"/x.pdf\">' || p_name || '</a>'", "p_size % 3"), "image": ("'<img alt=\"A ' || p_name || '\"><img alt=\"x.png\">'", "p_partkey % 3"),
+    "open": ("'<b aria-expanded=true></b>'", "p_size % 4"), "main": ("'<main></main>'", "p_size % 2"), "one": ("'<h1>' || p_name || '</h1>'", "p_partkey % 4"), "skip": ("'<a href=\"#c' || p_size || '\">Skip it</a>'", "p_size % 5"),
+    "modal": ("'<div role=dialog aria-modal=true></div>'", "p_partkey % 2"), "shut": ("'<div role=dialog aria-modal=false></div>'", "p_size % 2"), "pager": ("'<div class=pagination role=navigation></div>'", "p_size % 3"),
+    "now": ("'<i aria-current=page>' || p_size || '</i>'", "p_partkey % 3"), "live": ("'<p aria-live=polite></p>'", "p_size % 2"), "combo": ("'<input role=combobox>'", "p_partkey % 2"),
+}
+
+
+def good_techniques(spark: SparkSession, d: str) -> DataFrame:
+    """Good techniques of pages that show each of them as often as the columns of a part say."""
+    body = " || ".join(f"repeat({html}, cast({n} as int))" for html, n in _SHOWN.values())
+    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), F.expr(f"'<html><body>' || {body} || '</body></html>'").alias("html"))
+    return detectors.detect_good(rules.prepared(source.parse_pages(pages))).select("page_id", "token", "msg", "count")
+
 
 _PACK_BODIES = [
     "<div id='documents'><div class='document'>a</div></div><div id='facets'>f</div><div class='pagination' role='navigation'>p</div>",
@@ -114,12 +123,19 @@ QUERIES = {
     "page_report": page_report,
     "page_scorecard": page_scorecard,
     "page_links": lambda s, d: detectors.links(_given(s, d)).select("page_id", "href", "text"),
-    "good_techniques": lambda s, d: detectors.detect_good(rules.prepared(source.parse_pages(_planted(s, d, [_GOOD_BODY], 2)))).select("page_id", "token", "msg", "count"),
+    "good_techniques": good_techniques,
     "planted_packs": planted_packs,
     "packs_status": packs_status,
 }
 
-_GOOD_VALUES = ", ".join(f"({_q(t)}, {_q(m)}, {n})" for t, m, n in _GOOD)
+_N = {k: f"({n})" for k, (_, n) in _SHOWN.items()}
+_PARTS = [(f"{_N['main']} > 0", "main"), (f"{_N['one']} = 1", "one"), (f"{_N['skip']} > 0", "skip")]
+_SHAPE = f"concat_ws(', ', {', '.join(f'case when {test} then {_q(name)} end' for (test, _), name in zip(_PARTS, detectors.STRUCTURE))})"
+_GOOD_COUNTS = {
+    "ACC1": _N["file"], "ACC2": _N["image"], "COM3": _N["image"], "ACC5": _N["open"], "COM1": " + ".join(f"({test})::int" for test, _ in _PARTS), "INT1": f"{_N['modal']} + {_N['shut']}", "EXE2": _N["modal"],
+    "NAV2": f"least({_N['pager']}, {_N['now']})", "RED1": _N["live"], "ACC6": _N["combo"],
+}
+_GOOD_MSG = {t: f"{n} || {_q(detectors.GOOD[t])}" if detectors.GOOD[t].startswith(" ") else f"{_q(detectors.GOOD[t])} || {_SHAPE}" if t == "COM1" else _q(detectors.GOOD[t]) for t, n in _GOOD_COUNTS.items()}
 PACK_VALUES = ", ".join(f"({i}, {_q(p)}, {_q(c)}, {n}, {_q(m)})" for i, p, c, n, m in _PACK_ROWS)
 _HEADINGS = _q(rules.FIXES["landmarks"])
 
@@ -128,8 +144,7 @@ ORACLE_SQL = {
     "page_report": f"select page_id, 'COM1' as code, 'fix' as kind, 2::bigint as count, {_HEADINGS} as msg from pages",
     "page_links": """with l as (select page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '<a [^>]*href="[^"]*"[^>]*>[^<]*</a>')) as a from pages)
       select page_id, regexp_extract(a, 'href="([^"]*)"', 1) as href, trim(regexp_extract(a, '>([^<]*)<', 1)) as text from l where regexp_extract(a, 'href="([^"]*)"', 1) <> ''""",
-    "good_techniques": f"""select p_partkey as page_id, token, msg, n::bigint as count from part, (values {_GOOD_VALUES}) g(token, msg, n) where p_partkey % 2 = 0
-      union all select p_partkey, 'COM1', 'structure present: exactly one h1', 1 from part where p_partkey % 2 = 1""",
+    "good_techniques": " union all ".join(f"select p_partkey as page_id, '{t}' as token, {_GOOD_MSG[t]} as msg, ({n})::bigint as count from part where {n} > 0" for t, n in _GOOD_COUNTS.items()),
     "planted_packs": f"select p_partkey as page_id, pack_id, code, n::bigint as count, msg from part join (values {PACK_VALUES}) g(i, pack_id, code, n, msg) on i = p_partkey % 5",
     "packs_status": "select id, coalesce(pages, 0) as pages, rules::bigint as rules, 'bundled' as source from (values ('blacklight', 6, 0), ('dspace', 4, 1), ('iiif', 1, 2), ('islandora', 4, 9), ('omeka', 3, 3)) p(id, rules, i) left join (select p_partkey % 5 as k, count(*) as pages from part group by 1) on k = i",
     "page_scorecard": "select page_id, code, case code when 'COM1' then 2 else 0 end::bigint as violations, case code when 'COM1' then 1 else 0 end::bigint as good, case code when 'COM1' then 3.0 end::double as auto_score from pages, sit",
