@@ -102,14 +102,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[Evidence, np.ndarray, float] | None:
     """Evidence, the weights of its two parts with the intercept before them, and the share of good rows, from at most
-    FIT_ROWS labelled rows; None without labels of both kinds.
+    FIT_ROWS labelled rows, one an id; None without labels of both kinds.
 
     Rows fall into two halves by their ids. What one half counts is held against the labels of the other, and the weights are
     fitted to that; the counts returned are of both. The driver gets counts of slots and two numbers of each labelled row.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select(F.col("doc_id").alias("__id"), (F.col("quality") > 0).cast("int").alias("__good"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int").alias("__half"))
-    rows = cut(docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).join(F.broadcast(known), F.col("__own") == F.col("__id")).select("__good", "__half", "__text"))
+    rows = cut(docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).join(F.broadcast(known), F.col("__own") == F.col("__id")).groupBy("__id", "__good", "__half").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text")).drop("__id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((4, SLOTS + len(FEATURES) * 10 + 1), np.int64)
