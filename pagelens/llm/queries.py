@@ -70,6 +70,15 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.coalesce("problem", F.lit("")).alias("problem"))
 
 
+def page_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op6 over ``pages`` with copies of their html, empty and missing ones, so that there are revisits."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    again = p.where("page_id % 3 = 0").select((F.col("page_id") + 10_000_000).alias("page_id"), F.lit(None).cast("string").alias("url"), "html")
+    html = F.when(F.col("page_id") % 2 == 0, "").when(F.col("page_id") % 5 == 0, F.concat(F.lit("<p>"), (F.col("page_id") % 7).cast("string")))
+    rest = p.select((F.col("page_id") + 20_000_000).alias("page_id"), "url", html.alias("html"))
+    return warc.through_archives(p.unionByName(again).unionByName(rest)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.coalesce("problem", F.lit("")).alias("problem"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -109,7 +118,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_hnsw, op3_token_counts, op4_sampled_splitters, op5_licenses, op6_warc, op7_ngram_join, op8_decontaminate, op9_byte_bpe, op10_pii, op11_packing, op12_manifest, op13_lexical_search, vector_copies, token_limits, token_quantiles)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_hnsw, op3_token_counts, op4_sampled_splitters, op5_licenses, op6_warc, op7_ngram_join, op8_decontaminate, op9_byte_bpe, op10_pii, op11_packing, op12_manifest, op13_lexical_search, vector_copies, page_copies, token_limits, token_quantiles)}
 
 #: Word shingles as the join reads them, and the smallest id that links reach.
 JACCARD_SQL = r"""
@@ -163,7 +172,7 @@ COPIES_SQL = f"""with e as ({GIVEN_SQL}) select * from e union all select vec_id
 
 #: Digests in base 32, five hexadecimal digits to four characters; of equal payloads the largest page is the response.
 WARC_SQL = """
-with p as (select page_id, coalesce(html, '') as t from pages),
+with given as ({given}), p as (select page_id, coalesce(html, '') as t from given),
 h as (select *, list_transform(range(8), lambda g: ('0x' || sha1(t)[5 * g + 1:5 * g + 5])::int) as fives, max(page_id) over (partition by t) as last from p)
 select page_id, octet_length(encode(t))::bigint as payload_bytes,
   array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (v >> k) % 32]), '')), '') as payload_digest,
@@ -217,4 +226,7 @@ s as (select item_id, d, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf +
 r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s where score > 0)
 select * from r where rank <= 50"""
 
-ORACLE_SQL: dict[str, str] = {"op2_hnsw": COSINE_SQL.format(given=GIVEN_SQL), "vector_copies": COSINE_SQL.format(given=COPIES_SQL), "op6_warc": WARC_SQL, "op7_ngram_join": JACCARD_SQL, "op8_decontaminate": OVERLAP_SQL, "op12_manifest": MANIFEST_SQL, "op13_lexical_search": SEARCH_SQL}
+COPIED_PAGES_SQL = """select page_id, html from pages union all select page_id + 10000000, html from pages where page_id % 3 = 0
+  union all select page_id + 20000000, case when page_id % 2 = 0 then '' when page_id % 5 = 0 then '<p>' || (page_id % 7) end from pages"""
+
+ORACLE_SQL: dict[str, str] = {"op2_hnsw": COSINE_SQL.format(given=GIVEN_SQL), "vector_copies": COSINE_SQL.format(given=COPIES_SQL), "op6_warc": WARC_SQL.replace("{given}", "select * from pages"), "page_copies": WARC_SQL.replace("{given}", COPIED_PAGES_SQL), "op7_ngram_join": JACCARD_SQL, "op8_decontaminate": OVERLAP_SQL, "op12_manifest": MANIFEST_SQL, "op13_lexical_search": SEARCH_SQL}
