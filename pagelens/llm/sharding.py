@@ -18,8 +18,9 @@ KEYS_PER_RANGE = 16
 RANGES_PER_SHARD, MOST_RANGES, ROWS_PER_RANGE = 32, 2048, 500_000
 #: A range is overfull with so many times its share of bytes.
 OVERFULL = 2.5
-#: Equal texts stay together up to this share of a shard's bytes.
-WHOLE_SHARE = 0.02
+#: How far a shard's bytes may be from the mean, as a share of it. A group of equal texts is parted only where keeping it whole
+#: could break that: where the group alone is larger.
+TOLERANCE = 0.1
 
 
 def _draw(rows: DataFrame, total: int, keys: int) -> list[tuple[int, int]]:
@@ -52,13 +53,14 @@ def _range_of(splitters: list[tuple[int, int]], hot: set[int]) -> Column:
     return F.pandas_udf(find, "int")("key", "mark")
 
 
-def assign(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", keys_per_range: int = KEYS_PER_RANGE) -> DataFrame:
+def assign(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", keys_per_range: int = KEYS_PER_RANGE, tolerance: float = TOLERANCE) -> DataFrame:
     """A shard and a slot for every row, shards being ranges of a text's key with near equal bytes.
 
     The key is a hash of the text, so equal texts lie side by side. Keys are drawn with a chance in proportion to size,
     their quantiles part the rows into ranges, ranges that turn out overfull are subdivided by draws of their own until none is
-    left that can be parted, and the exact bytes of the ranges say where each shard begins. Equal texts share a shard, save groups of more
-    than ``WHOLE_SHARE`` of a shard's bytes, which are parted row by row; a row or group lies where its middle does.
+    left that can be parted, and the exact bytes of the ranges say where each shard begins. A row or group of equal texts lies where its
+    middle does, so a shard begins and ends at most half a group from where it would, and a shard's bytes are within
+    ``tolerance`` of the mean, or one row. Equal texts share a shard, save groups larger than that, which are parted row by row.
 
     Returns ``(id, size, text_crc32, law, shard, slot, grown_shard)``. A null text has size 1 and no bytes; texts of any length
     count whole; null ids and repeated rows are rows like others, each with its slot; ties of key are broken by the id; an
@@ -75,8 +77,8 @@ def assign(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: st
     if not total:
         return spark.createDataFrame([], f"`{id_col}` {kind}, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
     ranges = shards * min(MOST_RANGES, max(RANGES_PER_SHARD, -(-count // (shards * ROWS_PER_RANGE))))
-    # at most shards / WHOLE_SHARE keys can be so large
-    large = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("bytes") > total * WHOLE_SHARE / shards))
+    # at most shards / tolerance keys can be so large
+    large = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("bytes") > total * tolerance / shards))
     hot = {r.key for r in large.select("key").collect()}
     splitters = sorted(_splitters(_draw(rows, total, keys_per_range * ranges), ranges, hot))
     done: set[tuple] = set()
