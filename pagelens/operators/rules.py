@@ -250,6 +250,11 @@ def images_alt() -> Step:
     return Step(_each(found, of), F.concat(flags, summary), n, [found])
 
 
+def _slot(x: Column) -> Column:
+    """Id of the element that takes a graphic's description."""
+    return F.concat(F.lit("desc-"), x["id"].cast("string"))
+
+
 def graphs() -> Step:
     plain = lambda x: tag_in(x, "svg", "canvas", "img")
 
@@ -262,7 +267,7 @@ def graphs() -> Step:
 
     def of(x: Column) -> Column:
         drawn = tag_in(x, "svg", "canvas")
-        slot = F.concat(F.lit("desc-"), x["id"].cast("string"))
+        slot = _slot(x)
         return _sets(x, role=F.when(drawn | (~plain(x) & ~filled(attr(x, "role"))), "img"), aria_label=_if(drawn & ~has_name(x), LABELS["graphic"]), aria_describedby=F.trim(F.concat(F.coalesce(attr(x, "aria-describedby"), F.lit("")), F.lit(" "), slot)), **{MARK: _mark(x, "ACC3"), "#insert": F.concat(F.lit("details#"), slot)})
 
     n = F.size(found)
@@ -293,10 +298,13 @@ def disclosure() -> Step:
     def of(x: Column) -> Column:
         to = F.coalesce(*[F.when(filled(attr(x, a)), attr(x, a)) for a in ("data-target", "aria-controls", "href")])
         named = F.when(to.startswith("#") & (F.length(to) > 1), node(F.array_position(ids, F.substring(to, 2, 1000)).cast("int")))
+        # a description slot that an earlier rule put behind a graphic is what follows it now, and is shown
+        slot = F.when(named["id"].isNull() & _marked(x, "ACC3") & attr(x, "aria-describedby").endswith(_slot(x)), _slot(x))
         target = F.coalesce(named, next_sibling(x))
         native = tag_in(x, "button", "a")
-        panel = F.coalesce(F.when(filled(attr(target, "id")), attr(target, "id")), F.concat(F.lit("panel-"), target["id"].cast("string")))
-        return _sets(x, role=_if(~native, "button"), tabindex=_if(~native & ~has_attr(x, "tabindex"), "0"), aria_expanded=F.coalesce(displayed(target) & target["id"].isNotNull(), F.lit(False)).cast("string"), aria_controls=F.when(target["id"].isNotNull(), panel), **{MARK: _mark(x, "ACC5")})
+        panel = F.coalesce(slot, F.when(filled(attr(target, "id")), attr(target, "id")), F.concat(F.lit("panel-"), target["id"].cast("string")))
+        shown = slot.isNotNull() | F.coalesce(displayed(target) & target["id"].isNotNull(), F.lit(False))
+        return _sets(x, role=_if(~native, "button"), tabindex=_if(~native & ~has_attr(x, "tabindex"), "0"), aria_expanded=shown.cast("string"), aria_controls=panel, **{MARK: _mark(x, "ACC5")})
 
     n = F.size(found)
     return Step(_each(found, of), _entries(_fix(n, FIXES["disclosure"])), n, [found, ids])

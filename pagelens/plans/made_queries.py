@@ -68,6 +68,21 @@ def many_packs(spark: SparkSession, d: str) -> DataFrame:
     return out.where(F.col("attr").isin("role", "tabindex", "title", "lang", "id")).select("page_id", F.col("node_id").cast("long").alias("node_id"), "pack_id", "attr", F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("-")).alias("new"))
 
 
+_SLOTTED = """repeat('<div class="chart toggle">' || p_name || '</div><p>x</p><div class="plot expand" data-target="#t' || p_size || '"></div><b class="toggle">b</b><i id="t' || p_size || '" hidden>i</i>', cast(p_partkey % 3 as int))"""
+
+
+def slot_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Controls that are graphics too: what they control is the description slot put behind them, unless they name another
+    element; and attributes that differ from the original once all is undone."""
+    html = F.concat(F.lit("<html><head><title>t</title></head><body>"), F.expr(_SLOTTED), F.lit("</body></html>"))
+    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    out = rules.run_rules(source.parse_pages(pages), ["graphs-longdesc", "disclosure"])
+    made = rules.changes(out).where("attr in ('aria-controls', 'aria-expanded')").select("page_id", F.col("node_id").cast("long").alias("node_id"), "attr", "new")
+    both = rules.undo_changes(out).select("page_id", F.posexplode(F.arrays_zip("original", "nodes")).alias("i", "z"))
+    left = both.where(F.to_json("z.original.attrs") != F.to_json("z.nodes.attrs")).select("page_id", F.col("i").cast("long").alias("node_id"), F.lit("left").alias("attr"), F.lit("").alias("new"))
+    return made.unionByName(left)
+
+
 _HOSTED = [
     {"id": "one", "match": {"hosts": ["lib1.", "lib2."]}, "rules": [{"code": "X1", "level": "A", "select": "p", "set": {"role": "note"}}]},
     {"id": "two", "match": {"generator": "drupal [0-9]+"}, "rules": [{"code": "X2", "level": "A", "select": "p + b, i ~ u", "describe": "After others", "fix": lambda x: {"title": sqltext.concat(sqltext.lit("n"), x["ix"].cast("string"))}}]},
@@ -204,7 +219,7 @@ def code_labels(spark: SparkSession, d: str) -> DataFrame:
     return scoring.with_label(shapes.report(spark, d)).groupBy("code", "label").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (run_audit, fixes_applied, many_packs, packs_by_host, page_requests, reading_made, outline_made, page_title, store_round_trip, audits_json, encode_args, scalar_functions, csv_to_html, csv_states, drifting_lines, content_key_units, text_to_html, code_labels)}
+QUERIES = {f.__name__: f for f in (run_audit, fixes_applied, slot_targets, many_packs, packs_by_host, page_requests, reading_made, outline_made, page_title, store_round_trip, audits_json, encode_args, scalar_functions, csv_to_html, csv_states, drifting_lines, content_key_units, text_to_html, code_labels)}
 
 CODES = {r[0]: r[1] for r in RULES}
 _LABELS = ", ".join(f"({_q(c)}, {_q(t)})" for c, t in CODE_LABELS.items())
@@ -215,6 +230,9 @@ ORACLE_SQL = {
       union all select p_partkey, pack_id, code, 'fix', if(i = 3, {_NAVS}, n), msg from part join (values (0, 'blacklight', 'COM2/NAV1', 1, 'Facet panel is a labelled region'), (1, 'iiif', 'USE1', 2, 'Image/manuscript viewer container is a labelled region'),
         (2, 'omeka', 'ACC4', 1, 'Resource list exposed as a list'), (3, 'islandora', 'NAV2', 1, 'Drupal pager is a labelled nav landmark')) g(i, pack_id, code, n, msg) on i = p_partkey % 5""",
     "fixes_applied": f"select p_partkey as page_id, ({_OFTEN['file-links']} + 3 * {_OFTEN['images-alt']} + 4 * {_OFTEN['form-fields']} + 2 * {_OFTEN['graphs-longdesc']} + 1 + 2 * {_NAVS} + case p_partkey % 5 when 1 then 2 when 3 then {_NAVS} when 4 then 0 else 1 end)::bigint as fixes_applied from part",
+    "slot_targets": """select p_partkey as page_id, node::bigint as node_id, attr, new from (select *, unnest(range(p_partkey % 3)) as i from part),
+      lateral (select unnest([5, 5, 7, 7, 8, 8]) + 5 * i as node, unnest(['aria-controls', 'aria-expanded', 'aria-controls', 'aria-expanded', 'aria-controls', 'aria-expanded']) as attr,
+        unnest(['desc-' || (5 + 5 * i), 'true', 't' || p_size, 'false', 't' || p_size, 'false']) as new)""",
     "many_packs": """with pk as (select k, p.* from range(500) r(k), (select p_partkey, p_size, p_size * 7 % 500 as li, p_size * 3 % 500 as par from part) p
         where case k % 5 when 0 then p_partkey % 50 = k when 1 then p_partkey % 500 = k when 2 then li = k when 3 then par = k else false end),
       b as (select *, row_number() over (partition by p_partkey order by k) as nth, lag(k) over (partition by p_partkey order by k) as before, max(case when k = li then k end) over (partition by p_partkey order by k rows between unbounded preceding and 1 preceding) as own from pk),
