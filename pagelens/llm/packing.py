@@ -25,8 +25,8 @@ BLOCK_PIECES = 4096
 ISLANDS, SOLUTIONS, MIGRATIONS, CHILDREN = 3, 6, 3, 48
 #: Sequences with this share of their tokens free are dissolved, and dealt again with those of other blocks.
 ILL_FILLED = 1 / 64
-#: Different words whose ids a task keeps, and bytes of a text whose words it holds at a time.
-KEPT_WORDS, PART_BYTES = 400_000, 1 << 20
+#: Different words whose ids a worker keeps, for all its tasks, and bytes of a text whose words it holds at a time.
+KEPT_WORDS, PART_BYTES = 500_000, 1 << 20
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Words of printable ASCII and Latin-1 letters, which normalisation only lower-cases, and the file's own pattern on these.
@@ -133,8 +133,6 @@ def pieces(df: DataFrame, path: str, most: int = SEQUENCE, id_col: str = "doc_id
                             held.append(one)
                 cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(held, pa.binary())] * ids, names=names)
-        t.words.clear()
-        t.parts.clear()
 
     return df.select(id_col, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
 
