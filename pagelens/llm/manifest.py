@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut, with_facts
 
 #: Consecutive nodes that become one, and nodes that a window holds, a multiple of it.
-FAN, WINDOW_NODES = 8, 4096
+FAN, WINDOW_NODES = 8, 512
 
 
 def digest(*parts: Column) -> Column:
