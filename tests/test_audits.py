@@ -7,13 +7,14 @@ from pagelens.sources import audits as store
 from pagelens.sources import wire
 from pagelens.streaming import audits as stream
 
-# Two audits of one library and one of another; the second holds better scores.
+# Four audits: two of each library, those of the second at one time, one of which has a code twice.
 ROWS = [
     (audit, name, url, f"{day}T08:30:00Z", code, level, score)
     for audit, name, url, day, found in [
         ("m-1", "Map Room", "https://maps.example", "2025-02-03", [("COM1", "A", 2), ("FIL2", "AA", 5), ("NAV4", "AAA", 2)]),
         ("m-2", "Map Room", "https://maps.example", "2025-09-30", [("COM1", "A", 6), ("FIL2", "AA", 7), ("NAV4", "AAA", 5)]),
         ("s-1", "Sound Archive", "https://sound.example", "2025-04-12", [("COM1", "A", 1)]),
+        ("s-2", "Sound Archive", "https://sound.example", "2025-04-12", [("COM1", "A", 3), ("COM1", "A", 4)]),
     ]
     for code, level, score in found
 ]
@@ -28,9 +29,10 @@ def test_aggregates(spark):
     rows = situations(spark, [("s-1", "Sound Archive", sound, "2025-04-12T08:30:00Z", "RED2", "A", None), ("s-1", "Sound Archive", sound, "2025-04-12T08:30:00Z", None, None, 4)])
     mean = lambda df: {r.code: (r.avg_score, r.n) for r in df.collect()}
     assert mean(audits.compliance_by_situation(rows, maps)) == {"COM1": (4.0, 2), "FIL2": (6.0, 2), "NAV4": (3.5, 2)}
-    assert mean(audits.compliance_by_situation(rows, "All"))["COM1"] == (3.0, 3)
+    assert mean(audits.compliance_by_situation(rows, "All"))["COM1"] == (3.2, 5)
     assert [(r.level, r.avg_score) for r in audits.level_rollup(rows, maps).collect()] == [("A", 4.0), ("AA", 6.0), ("AAA", 3.5)]
     assert [r.avg_score for r in audits.trend_over_time(rows, maps).collect()] == [3.0, 6.0]
+    assert [(r.assessment_id, r.avg_score) for r in audits.trend_over_time(rows, sound).collect()] == [("s-1", 2.5), ("s-2", 3.5)]
     assert mean(audits.compliance_by_code_sql(rows))["RED2"] == (None, 1)
     assert audits.compliance_by_situation(rows, "https://none").count() == 0
     tiles = {r.level: (r.avg_score, r.n) for r in audits.level_tiles(audits.compliance_by_code_sql(rows.where("level = 'AAA'"))).collect()}
