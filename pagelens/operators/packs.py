@@ -206,9 +206,11 @@ def _with_live(pages: DataFrame, packs: Column) -> DataFrame:
     tokens = "array_distinct(flatten(transform(nodes, x -> concat(array(x.tag, '#' || coalesce(x.attrs['id'], '')), transform(split(coalesce(x.attrs['class'], ''), '\\\\s+'), c -> '.' || c)))))"
     pages = pages.withColumn("__generator", meta_generator()).withColumn("__tokens", F.expr(tokens)).withColumn("__packs", packs)
     hosts = "(size(p.hosts) = 0 OR exists(p.hosts, h -> contains(coalesce(url, ''), h)))"
-    picked = f"((p.open OR arrays_overlap(p.needs, __tokens)) AND exists({_selected('nodes', 'p.chains')}, kept -> exists(kept, k -> k)))"
-    asked = f"(NOT p.asks OR (p.generator IS NOT NULL AND rlike(__generator, '(?i)' || p.generator)) OR {picked})"
-    return pages.withColumn("__live", F.expr(f"filter(__packs, p -> {hosts} AND {asked})")).drop("__generator", "__tokens", "__packs")
+    picked = f"((p.open OR arrays_overlap(p.needs, own.tokens)) AND exists({_selected('nodes', 'p.chains')}, kept -> exists(kept, k -> k)))"
+    asked = f"(NOT p.asks OR (p.generator IS NOT NULL AND rlike(own.generator, '(?i)' || p.generator)) OR {picked})"
+    # bound by a lambda: a column used in the filter of the packs would be written into it, and so worked out for each pack
+    live = f"transform(array(named_struct('generator', __generator, 'tokens', __tokens)), own -> filter(__packs, p -> {hosts} AND {asked}))[0]"
+    return pages.withColumn("__live", F.expr(live)).drop("__generator", "__tokens", "__packs")
 
 
 def _has_name(nodes: str) -> str:

@@ -137,9 +137,11 @@ _VTT = "printf('%02d:%02d:%02d.%03d', (floor({0} / 3600))::int, floor(({0} % 360
 _REQ = "req as (select doc_id, ['ocr', 'describeImage', 'describeGraph', 'transcribe'][1 + (doc_id % 4)::int] as cap, text from documents), cached as (select distinct cap, text from req where doc_id % 10 = 0), pl as (select r.doc_id, r.cap, case when c.cap is not null then 'done' when r.cap in ('describeGraph', 'transcribe') then 'skipped' when r.cap = 'describeImage' then 'held' else 'queued' end as state, case when c.cap is not null then '' when r.cap = 'transcribe' then 'no provider configured' when r.cap = 'describeGraph' then 'turned off' when r.cap = 'describeImage' then 'waiting for you to run it' else '' end as note from req r left join cached c on c.cap = r.cap and c.text = r.text)"
 _CAT = "cat as (select p.*, code, level from part p join sit on ix = p_partkey % 20)"
 
-_ENTITIES = "'&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+# HTML reads these names of characters without their semicolon too, as in a heading that is cut within one.
+_NAMES = {"&lt;?": "'<'", "&gt;?": "'>'", "&quot;?": "chr(34)", "&#39;": "chr(39)", "&nbsp;?": "chr(160)", "&amp;?": "'&'"}
+_ENTITIES = ", ".join(f"'{name}', {char}, 'g')" for name, char in _NAMES.items())
 _BLANKS = r"'[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'"
-_CLEAN = "trim(regexp_replace(" + "replace(" * 6 + "regexp_replace({}, '<[^>]*>', '', 'g'), " + _ENTITIES + f", {_BLANKS.replace('{', '{{').replace('}', '}}')}, ' ', 'g'))"
+_CLEAN = "trim(regexp_replace(" + "regexp_replace(" * len(_NAMES) + "regexp_replace({}, '<[^>]*>', '', 'g'), " + _ENTITIES + f", {_BLANKS.replace('{', '{{').replace('}', '}}')}, ' ', 'g'))"
 #: The given pages hold an article with a heading and paragraphs, some of which nobody closes.
 _ARTICLE = f"""art as (select page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as t from pages),
 head as (select page_id, {_CLEAN.format("regexp_extract(t, '(?s)<h1>(.*?)</h1>', 1)")} as text from art),

@@ -14,7 +14,7 @@ from ..operators.rules import FIXES, FLAGS
 from ..sources import audits as store
 from ..sources import pages as source
 from ..sources import shapes, wire
-from ..sources.shapes import SHAPES_SQL, shared_folder, table
+from ..sources.shapes import SHAPES_SQL, page_parts, shared_folder, table
 from .audit_queries import CARD_SQL, audit_card
 from .rule_queries import PLANTED, planted_pages
 
@@ -34,7 +34,7 @@ _NAVS = "if(p_partkey % 5 = 3, 1 + p_size % 2, 0)"
 def _whole_pages(spark: SparkSession, d: str) -> DataFrame:
     head = F.expr("'<html><head><title>t</title>' || if(p_partkey % 5 = 3, '<meta name=generator content=\"Drupal ' || p_size || '\">', '') || '</head><body><h1>' || p_name || '</h1>'")
     html = F.concat(head, F.expr(_WHOLE), F.lit("</body></html>"))
-    return source.parse_pages(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://lib").alias("url"), html.alias("html")))
+    return source.parse_pages(page_parts(spark, d).select(F.col("p_partkey").alias("page_id"), F.lit("https://lib").alias("url"), html.alias("html")))
 
 
 def run_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def many_packs(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.unionByName(spark.createDataFrame([('{"title": "no id", "rules": []}',), ('{"id": "none"}',), ("{cut",)], "value string"))
     rows.repartition(503).write.option("maxRecordsPerFile", 1).text(place)
     html = F.expr("""'<html><head><meta name="generator" content="Maker-' || (p_partkey % 500) || ' 2"></head><body><ul><li class="c' || (p_size * 7 % 500) || '" title="t">a</li><b title="u">' || p_name || '</b></ul><p class="c' || (p_size * 3 % 500) || '">b</p></body></html>'""")
-    pages = source.parse_pages(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr("'https://lib' || (p_partkey % 50) || '.example'").alias("url"), html.alias("html")))
+    pages = source.parse_pages(page_parts(spark, d).select(F.col("p_partkey").alias("page_id"), F.expr("'https://lib' || (p_partkey % 50) || '.example'").alias("url"), html.alias("html")))
     out = rules.changes(packs.apply_packs(rules.prepared(pages), packs.read_site_packs(spark, place)))
     return out.where(F.col("attr").isin("role", "tabindex", "title", "lang", "id")).select("page_id", F.col("node_id").cast("long").alias("node_id"), "pack_id", "attr", F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("-")).alias("new"))
 
@@ -75,7 +75,7 @@ def slot_targets(spark: SparkSession, d: str) -> DataFrame:
     """Controls that are graphics too: what they control is the description slot put behind them, unless they name another
     element; and attributes that differ from the original once all is undone."""
     html = F.concat(F.lit("<html><head><title>t</title></head><body>"), F.expr(_SLOTTED), F.lit("</body></html>"))
-    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    pages = page_parts(spark, d).select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
     out = rules.run_rules(source.parse_pages(pages), ["graphs-longdesc", "disclosure"])
     made = rules.changes(out).where("attr in ('aria-controls', 'aria-expanded')").select("page_id", F.col("node_id").cast("long").alias("node_id"), "attr", "new")
     both = rules.undo_changes(out).select("page_id", F.posexplode(F.arrays_zip("original", "nodes")).alias("i", "z"))
@@ -93,7 +93,7 @@ _HOSTED = [
 def packs_by_host(spark: SparkSession, d: str) -> DataFrame:
     """Own packs by host and by generator, one of them with a rule that is a function, one turned off: their changes."""
     html = "'<html><head><meta name=Generator content=\"' || case when p_size % 2 = 0 then 'Drupal ' || p_size else p_name end || '\"></head><body><p>a</p><b>b</b><i>c</i><s>d</s><u>e</u></body></html>'"
-    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr("'https://lib' || (p_partkey % 5) || '.example/'").alias("url"), F.expr(html).alias("html"))
+    pages = page_parts(spark, d).select(F.col("p_partkey").alias("page_id"), F.expr("'https://lib' || (p_partkey % 5) || '.example/'").alias("url"), F.expr(html).alias("html"))
     out = packs.apply_packs(rules.prepared(source.parse_pages(pages)), _HOSTED)
     return rules.changes(out).where(F.col("attr").isin("role", "title")).select("page_id", F.col("node_id").cast("long").alias("node_id"), "pack_id", "attr", "new")
 
@@ -113,7 +113,7 @@ _READING = """'<html><head><title>' || case when p_size % 4 = 0 then '' else p_n
 
 
 def _reading_pages(spark: SparkSession, d: str) -> DataFrame:
-    return source.parse_pages(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), F.expr(_READING).alias("html")))
+    return source.parse_pages(page_parts(spark, d).select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), F.expr(_READING).alias("html")))
 
 
 def reading_made(spark: SparkSession, d: str) -> DataFrame:

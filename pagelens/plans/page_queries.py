@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detectors, packs, rules, scoring
 from ..sources import pages as source
-from ..sources.shapes import table
+from ..sources.shapes import page_parts, table
 
 _HEAD = "<html><head><title>t</title></head><body>"
 
@@ -42,7 +42,7 @@ def _planted(spark: SparkSession, d: str, bodies: list[str], every: int = 1) ->
     """Page i of the parts holds the body of place ``p_partkey mod (number of bodies * every)``, or nothing."""
     pick = F.get(F.array(*[F.lit(b) for b in bodies]), (F.col("p_partkey") % (len(bodies) * every)).cast("int"))
     html = F.concat(F.lit(_HEAD), F.coalesce(pick, F.lit("<h1>x</h1>")), F.lit("</body></html>"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://lib"), (F.col("p_partkey") % 40).cast("string")).alias("url"), html.alias("html"))
+    return page_parts(spark, d).select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://lib"), (F.col("p_partkey") % 40).cast("string")).alias("url"), html.alias("html"))
 
 
 def _q(text: str) -> str:
@@ -89,7 +89,7 @@ _SHOWN = {
 def good_techniques(spark: SparkSession, d: str) -> DataFrame:
     """Good techniques of pages that show each of them as often as the columns of a part say."""
     body = " || ".join(f"repeat({html}, cast({n} as int))" for html, n in _SHOWN.values())
-    pages = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), F.expr(f"'<html><body>' || {body} || '</body></html>'").alias("html"))
+    pages = page_parts(spark, d).select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), F.expr(f"'<html><body>' || {body} || '</body></html>'").alias("html"))
     return detectors.detect_good(rules.prepared(source.parse_pages(pages))).select("page_id", "token", "msg", "count")
 
 

@@ -13,7 +13,7 @@ from ..operators import catalogue, enrichment, packs, reading
 from ..sources import audits as store
 from ..sources import pages as source
 from ..sources import shapes
-from ..sources.shapes import SHAPES_SQL, shared_folder, table
+from ..sources.shapes import SHAPES_SQL, page_parts, shared_folder, table
 from ..streaming import audits as stream
 from .rule_queries import ORACLE_SQL as ORACLE_OF_RULES
 from .rule_queries import planted_pages
@@ -97,7 +97,7 @@ def latest_packs(spark: SparkSession, d: str) -> DataFrame:
 def contents_made(spark: SparkSession, d: str) -> DataFrame:
     """Contents of pages with three headings or more."""
     html = F.expr("'<main>' || concat_ws('', transform(sequence(1, 1 + cast(p_size % 5 as int)), i -> '<h' || (1 + i % 3) || '>' || p_name || ' ' || i || '</h' || (1 + i % 3) || '>')) || '</main>'")
-    pages = source.parse_pages(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html")))
+    pages = source.parse_pages(page_parts(spark, d).select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html")))
     return reading.contents(reading.outline(reading.reading_blocks(pages))).select("page_id", F.col("seq").cast("long").alias("seq"), "entry")
 
 

@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that each become a page. The file of the parts is so small that one task reads it, while parsing and auditing what is
+    made of them is all of the work, so the rows are dealt by key: over three tasks a core, as a task first reads a large plan."""
+    shuffled, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    return table(spark, sf_dir, "part").repartition(max(min(shuffled, 32), 3 * cores), "p_partkey")
+
+
 def assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One audit per order; libraries come from customers."""
     lib = (F.col("o_custkey") % 40).cast("string")
