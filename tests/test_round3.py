@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from pagelens import plans
+from pagelens.operators import enrichment
 
 from .test_queries import rows
 
@@ -52,3 +53,11 @@ def test_what_a_page_is_like_is_worked_out_once_for_all_packs(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"arrays_overlap\([^()]*\)", plan) and not re.search(r"arrays_overlap\([^()]*\(", plan)
     assert {(r.pack_id, r.attr) for r in rules.changes(out).collect()} >= {("k0", "role"), ("k1", "role"), ("k2", "role")}
+
+
+def test_contents_of_one_content_key_are_told_apart(spark, tmp_path):
+    one = ("glbvs", "yacxa")
+    assert len({r.key for r in spark.createDataFrame([(t,) for t in one], "t string").select(enrichment.content_key("t").alias("key")).collect()}) == 1
+    write(tmp_path / "documents.parquet", f"select * from (values (0::bigint, '{one[0]}', 's'), (4, '{one[1]}', 's'), (8, '{one[0]}', 's')) t(doc_id, text, source)")
+    assert ("ocr", "4", "", "queued") in against_sql(spark, "plan_requests", tmp_path, "documents")
+    against_sql(spark, "enrichment_status", tmp_path, "documents")
