@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,15 @@ def html_escape(c: Column) -> Column:
     return c
 
 
-def upper_median(c: Column) -> Column:
-    """Value at place floor(n / 2) of the sorted values, 0 for none."""
-    values = F.sort_array(F.collect_list(c))
-    return F.coalesce(F.get(values, F.floor(F.size(values) / 2).cast("int")), F.lit(0.0))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once; a plain expression is worked out wherever it is written."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def upper_median(values: Column) -> Column:
+    """Item at place floor(n / 2) of the sorted items that aren't null, 0 for none."""
+    middle = lambda v: F.get(v, F.floor(F.size(v) / 2).cast("int"))
+    return F.coalesce(_let(F.sort_array(F.filter(values, lambda v: v.isNotNull())), middle), F.lit(0.0))
 
 
 def group_text_lines(items: DataFrame, gap: float = 2.0) -> DataFrame:
@@ -34,29 +41,34 @@ def group_text_lines(items: DataFrame, gap: float = 2.0) -> DataFrame:
 
     Items come in order of ``seq``. The first one of a line fixes its baseline, rounded half up; a later one joins a line whose
     baseline is within ``gap``, and begins one where there is none. Of several such lines it joins the highest, or, where
-    baselines below 0 are among them, the newest of these. Parts of a line are joined by x without spaces. A page is one
-    group: its items are gathered, and only its different baselines are walked.
+    baselines below 0 are among them, the newest of these. Parts of a line are joined by x without spaces. Items are dealt by
+    page once and gathered by baseline; only a page's different baselines are walked, and items are looked at one by one only
+    where their baseline is near several lines.
     """
     rows = items.where(F.col("str").rlike(_NOT_BLANK)).withColumn("y", F.floor(F.col("y") + 0.5).cast("double"))
-    pages = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "y", "x", "size", "str"))).alias("items"))
-    near = lambda k, y: F.abs(k - y) <= gap
+    of_y = rows.repartition("doc_id", "page").groupBy("doc_id", "page", "y").agg(F.min("seq").alias("first"), F.collect_list(F.struct("x", "seq", "str", "size")).alias("items"))
+    pages = of_y.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("first", "y", "items"))).alias("ys"))
+    near = lambda k, y: F.abs(k["y"] - y) <= gap
     # whether a baseline begins a line is settled when it first occurs
-    first = F.aggregate(F.array_distinct(F.transform("items", lambda i: i["y"])), F.array().cast("array<double>"), lambda keys, y: F.when(F.exists(keys, lambda k: near(k, y)), keys).otherwise(F.array_append(keys, y)))
-    since = F.transform("keys", lambda k: F.struct(k.alias("y"), F.array_position(F.transform("items", lambda i: i["y"]), k).alias("nth")))
-    pages = pages.withColumn("keys", first).withColumn("since", since)
-
-    def line_of(y: Column, nth: Column) -> Column:
-        met = F.transform(F.filter("since", lambda k: (k["nth"] <= nth + 1) & near(k["y"], y)), lambda k: k["y"])
-        below = F.filter(met, lambda k: k < 0)
-        return F.when(F.size(below) > 0, F.element_at(below, -1)).otherwise(F.array_max(met))
-
-    placed = F.transform("items", lambda i, nth: F.struct(line_of(i["y"], nth).alias("key"), i["x"].alias("x"), i["seq"].alias("seq"), i["str"].alias("str"), i["size"].alias("size")))
-    order = F.reverse(F.array_sort("keys"))
-    each = pages.select("doc_id", "page", order.alias("order"), F.explode(placed).alias("p")).select("doc_id", "page", F.array_position("order", F.col("p.key")).alias("line"), "p.*")
-    parts = F.array_sort(F.collect_list(F.struct("x", "seq", "str")))
-    text = collapse_ws(F.array_join(F.transform(parts, lambda p: p["str"]), ""))
-    lines = each.groupBy("doc_id", "page", "line").agg(text.alias("text"), upper_median(F.col("size")).alias("size"))
-    return lines.where("text <> ''")
+    walked = F.transform("ys", lambda b: F.struct(b["first"].alias("first"), b["y"].alias("y")))
+    none = F.slice(walked, 1, 0)
+    begun = F.aggregate(walked, none, lambda keys, b: F.when(F.exists(keys, lambda k: near(k, b["y"])), keys).otherwise(F.array_append(keys, b)))
+    numbered = lambda keys: _let(F.reverse(F.sort_array(F.transform(keys, lambda k: k["y"]))), lambda order: F.transform(keys, lambda k: F.struct(k["first"].alias("first"), k["y"].alias("y"), F.array_position(order, k["y"]).alias("line"))))
+    each = pages.withColumn("keys", _let(begun, numbered)).select("doc_id", "page", "keys", F.explode_outer("ys").alias("b"))
+    each = each.select("doc_id", "page", "b", F.filter("keys", lambda k: near(k, F.col("b.y"))).alias("met"))
+
+    def line_of(i: Column) -> Column:
+        newest = lambda live, below: F.when(F.size(below) > 0, F.element_at(below, -1)["line"]).otherwise(F.array_min(F.transform(live, lambda k: k["line"])))
+        begun = F.filter("met", lambda k: (k["first"] < i["seq"]) | ((k["first"] == i["seq"]) & (k["y"] <= F.col("b.y"))))
+        return _let(begun, lambda live: _let(F.filter(live, lambda k: k["y"] < 0), lambda below: newest(live, below)))
+
+    several = _let(F.transform("b.items", lambda i: F.struct(line_of(i).alias("line"), i.alias("i"))), lambda placed: F.transform("met", lambda k: F.struct(k["line"].alias("line"), F.transform(F.filter(placed, lambda p: p["line"] == k["line"]), lambda p: p["i"]).alias("items"))))
+    # the one line that is near has begun by then, as the baseline else would have begun one
+    one = F.transform("met", lambda k: F.struct(k["line"].alias("line"), F.col("b.items").alias("items")))
+    each = each.select("doc_id", "page", F.when(F.size("met") == 1, one).otherwise(several).alias("p")).select("doc_id", "page", F.explode_outer("p").alias("p")).select("doc_id", "page", "p.line", "p.items")
+    made = lambda parts: F.struct(collapse_ws(F.array_join(F.transform(parts, lambda p: p["str"]), "")).alias("text"), upper_median(F.transform(parts, lambda p: p["size"])).alias("size"))
+    lines = each.groupBy("doc_id", "page", "line").agg(_let(F.sort_array(F.flatten(F.collect_list("items"))), made).alias("t"))
+    return lines.select("doc_id", "page", "line", "t.text", "t.size").where("text <> ''")
 
 
 def body_size(items: DataFrame) -> DataFrame:
@@ -83,7 +95,7 @@ def build_paragraphs(lines: DataFrame) -> DataFrame:
     before = lambda c: F.lag(c).over(w)
     new = F.col("level").isNotNull() | before("level").isNotNull() | before("text").rlike(r"[.!?:]$") | (before("page") != F.col("page"))
     rows = lines.withColumn("block", F.sum(F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.array_sort(F.collect_list(F.struct("page", "line", "text")))
+    parts = F.sort_array(F.collect_list(F.struct("page", "line", "text")))
     out = rows.groupBy("doc_id", "block").agg(F.max("level").alias("level"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
     return out.select("doc_id", F.col("block").cast("int").alias("ix"), F.when(F.col("level").isNull(), "p").otherwise("h").alias("type"), "level", "text")
 
@@ -103,7 +115,7 @@ def render_html(nodes: DataFrame, titles: DataFrame, lang: str = "en") -> DataFr
         tag = F.when(n["type"] == "h", F.concat(F.lit("h"), (n["level"] + 1).cast("string"))).otherwise("p")
         return F.concat(F.lit("<"), tag, F.lit(">"), html_escape(n["text"]), F.lit("</"), tag, F.lit(">"))
 
-    body = nodes.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "type", "level", "text"))), one), "\n").alias("body"))
+    body = nodes.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ix", "type", "level", "text"))), one), "\n").alias("body"))
     return titles.join(body, "doc_id", "left").select("doc_id", F.concat(F.lit(f'<article lang="{lang}">\n<h1>'), html_escape(F.col("title")), F.lit("</h1>\n"), F.coalesce(F.concat("body", F.lit("\n")), F.lit("")), F.lit("</article>")).alias("html"))
 
 

@@ -30,6 +30,11 @@ def _doc_nodes(spark: SparkSession, d: str) -> DataFrame:
     return documents.build_paragraphs(documents.classify_lines(_lines(spark, d), documents.body_size(_items(spark, d))))
 
 
+def render_html(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _doc_nodes(spark, d)
+    return documents.render_html(nodes, documents.document_title(nodes)).select("doc_id", F.md5("html").alias("html_md5"))
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     return c.select(F.col("conv_id").alias("media_id"), F.col("turn").alias("seq"), (F.col("turn") * 2.5).alias("start"), (F.col("turn") * 2.5 + 2.25).alias("end"), "text")
@@ -104,7 +109,7 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "group_text_lines": lambda s, d: _lines(s, d).select("doc_id", "page", F.col("line").cast("int").alias("line"), "text", "size"),
     "doc_nodes": lambda s, d: _doc_nodes(s, d).select("doc_id", F.col("ix").cast("long").alias("ix"), "type", F.coalesce("level", F.lit(0)).cast("long").alias("level"), "text"),
-    "render_html": lambda s, d: documents.render_html(_doc_nodes(s, d), documents.document_title(_doc_nodes(s, d))).select("doc_id", F.md5("html").alias("html_md5")),
+    "render_html": render_html,
     "text_to_paragraphs": lambda s, d: documents.text_to_paragraphs(table(s, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n\n")))).select("doc_id", F.col("ix").cast("long").alias("ix"), "paragraph"),
     "csv_to_cells": csv_to_cells,
     "segments_to_vtt": lambda s, d: documents.segments_to_vtt(_segments(s, d)),

@@ -61,3 +61,16 @@ def test_contents_of_one_content_key_are_told_apart(spark, tmp_path):
     write(tmp_path / "documents.parquet", f"select * from (values (0::bigint, '{one[0]}', 's'), (4, '{one[1]}', 's'), (8, '{one[0]}', 's')) t(doc_id, text, source)")
     assert ("ocr", "4", "", "queued") in against_sql(spark, "plan_requests", tmp_path, "documents")
     against_sql(spark, "enrichment_status", tmp_path, "documents")
+
+
+def test_lines_of_a_page_are_found_by_baseline(spark):
+    from pagelens.operators import documents
+
+    one = [(1, 0, k, float(k % 10), 700.0 - 18 * (k // 10) + k % 2, 10.0, f"{k} ") for k in range(400)]
+    items = spark.createDataFrame([*one, (2, 0, 0, 2.0, 10.0, None, "b"), (2, 0, 0, 1.0, 10.4, 3.0, "a"), (2, 1, 0, 0.0, 5.0, 1.0, " ")], "doc_id long, page int, seq int, x double, y double, size double, str string")
+    lines = documents.group_text_lines(items)
+    got = {(r.doc_id, r.page, r.line): (r.text, r.size) for r in lines.collect()}
+    assert got == {(1, 0, n + 1): (" ".join(str(k) for k in range(10 * n, 10 * n + 10)), 10.0) for n in range(40)} | {(2, 0, 1): ("ab", 3.0)}
+    # items are dealt once, by page, and no array of a page's items is walked for each of them
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
