@@ -53,11 +53,13 @@ def scorecard(pages: DataFrame, report: DataFrame, good: DataFrame) -> DataFrame
     ``pages(page_id)`` holds every page once. The level is the situation's, and the human score starts as the suggestion.
     """
     spark = pages.sparkSession
-    grid = pages.select("page_id").crossJoin(F.broadcast(situations(spark).select(F.col("code").alias("situation"), "title", "level")))
+    known = F.broadcast(situations(spark).select(F.col("code").alias("situation"), "title", "level"))
+    grid = pages.select("page_id").crossJoin(F.broadcast(situations(spark).select(F.col("code").alias("situation"))))
     keep = lambda *fields: lambda x: F.struct(*[x[f] for f in fields])
     v = violations_per_situation(report).groupBy("page_id", "situation").agg(F.sum("count").alias("violations"), F.transform(F.array_sort(F.collect_list(F.struct("at", "msg", "count", "kind"))), keep("msg", "count", "kind")).alias("found"))
     g = good_techniques(good).groupBy("page_id", "situation").agg(F.sum("count").alias("good"), F.transform(F.array_sort(F.collect_list(F.struct("at", "msg", "count"))), keep("msg", "count")).alias("done"))
-    rows = grid.join(v, ["page_id", "situation"], "left").join(g, ["page_id", "situation"], "left")
+    # titles are told once the rows are where they belong, so that they aren't shuffled
+    rows = grid.join(v, ["page_id", "situation"], "left").join(g, ["page_id", "situation"], "left").join(known, "situation")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     score = auto_score(zero("good"), zero("violations"))
     return rows.select(

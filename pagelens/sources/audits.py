@@ -70,15 +70,16 @@ def with_id(nested: DataFrame) -> DataFrame:
 def flatten_audits(nested: DataFrame) -> dict[str, DataFrame]:
     """Rows of the three tables from nested audits, with defaults filled.
 
-    Ids come from what a row says and from its place, so that flattening twice gives the same rows.
+    An id is that of the audit and the row's place in it, so that flattening twice gives the same rows. A digest of these would
+    be most of what is stored, as digests can't be compressed.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     own = with_id(nested)
     heads = own.select("id", *map(text, ("dl_name", "dl_url", "assessor")), F.coalesce("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("created_at"), *map(text, ("user_agent", "tool_version", "overall_note")), "auto_summary")
-    sits = own.select(F.col("id").alias("assessment_id"), F.posexplode("situations").alias("pos", "s")).withColumn("id", F.sha2(F.concat_ws(":", "assessment_id", "pos"), 256))
+    sits = own.select(F.col("id").alias("assessment_id"), F.posexplode("situations").alias("pos", "s")).withColumn("id", F.concat_ws(":", "assessment_id", "pos"))
     rows = sits.select("id", "assessment_id", *[F.coalesce(F.col(f"s.{c}"), F.lit("")).alias(c) for c in ("code", "level", "title")], "s.compliance_score", "s.auto_score", "s.auto_findings", *[F.coalesce(F.col(f"s.{c}"), F.lit("")).alias(c) for c in ("violations_note", "good_note")])
     shots = sits.select(F.col("id").alias("situation_result_id"), F.posexplode("s.evidence").alias("pos", "e"))
-    shots = shots.select(F.sha2(F.concat_ws(":", "situation_result_id", "pos"), 256).alias("id"), "situation_result_id", F.coalesce("e.kind", F.lit("violation")).alias("kind"), F.coalesce("e.filename", F.lit("")).alias("filename"), F.coalesce("e.note", F.lit("")).alias("note"), "e.image_base64")
+    shots = shots.select(F.concat_ws(":", "situation_result_id", "pos").alias("id"), "situation_result_id", F.coalesce("e.kind", F.lit("violation")).alias("kind"), F.coalesce("e.filename", F.lit("")).alias("filename"), F.coalesce("e.note", F.lit("")).alias("note"), "e.image_base64")
     return {"assessment": heads, "situation_result": rows, "evidence": shots}
 
 
