@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.errors import IllegalArgumentException
@@ -29,6 +30,9 @@ _CHAINS = f"array<array<struct<link:string,tests:array<struct<no:boolean,all:arr
 _PUT = "struct<key:string,value:string>"
 _RULES = f"array<struct<rule_id:string,code:string,level:string,msg:string,pack_id:string,chains:{_CHAINS},missing:boolean,named:boolean,not_role:string,sets:array<{_PUT}>,puts:array<{_PUT}>,gone:array<string>,names:array<string>>>"
 COMPILED = f"array<struct<id:string,hosts:array<string>,generator:string,chains:{_CHAINS},asks:boolean,needs:array<string>,open:boolean,rules:{_RULES}>>"
+# Places of the packs of a pass, counted from 0, by what a page must have for them.
+_PLACES = "array<struct<key:string,at:array<int>>>"
+FINDERS = {"packs": COMPILED, "any": "array<int>", "hosts": _PLACES, "generators": _PLACES, "signs": f"array<{_PLACES}>"}
 
 
 def _rule(code: str, level: str, describe: str, select: str, role: str | None = None, label: str | None = None, missing: bool = False, **more: str) -> dict:
@@ -127,9 +131,10 @@ def selector_steps(text: str) -> list[list[dict]]:
 
 
 def _needs(chains: list[list[dict]]) -> tuple[list[str], bool]:
-    """A tag, class or id that each chain's last element has, as a page's tokens name it; and whether a chain asks for none of these."""
-    sign = {"tag": "", "class": ".", "id": "#"}
-    found = [next((sign[p["kind"]] + p["value"] for t in c[-1]["tests"] if not t["no"] for p in t["all"] if p["kind"] in sign), None) for c in chains]
+    """An id, else a class, else a tag that each chain's last element has, as a page's tokens name it, since fewer pages have such an
+    id or class than such a tag; and whether a chain asks for none of these."""
+    sign = {"id": "#", "class": ".", "tag": ""}
+    found = [next((sign[kind] + p["value"] for kind in sign for t in c[-1]["tests"] if not t["no"] for p in t["all"] if p["kind"] == kind), None) for c in chains]
     return [f for f in found if f], None in found
 
 
@@ -164,20 +169,42 @@ def _known_pattern(spark: SparkSession) -> Callable[[str], bool]:
     return known
 
 
-def _passes(packs: DataFrame, only: list[str] | None) -> Iterator[Column]:
-    """The enabled packs in their order, compiled, as one literal a pass. Packs are configuration: they come to the driver one
-    partition at a time, and a pass takes ``PASS_CHARS`` of them, or one that is longer."""
+def _finders(held: list[dict]) -> dict[str, list]:
+    """Compiled packs and where to look for those that may be for a page. A pack that has to be asked for stands under its generator
+    and under each sign (tag, class or id) that its selectors need; one that any page could match stands under its hosts or, without,
+    under ``any``. Signs are dealt by ``crc32`` over as many lists as there are signs."""
+    any_, hosts, generators, signs = [], {}, {}, {}
+    for i, p in enumerate(held):
+        if p["asks"] and not p["open"]:
+            keys = [(generators, f"(?i){p['generator']}")] if p["generator"] is not None else []
+            keys += [(signs, k) for k in p["needs"]]
+        else:
+            keys = [(hosts, h) for h in p["hosts"]]
+            any_ += [] if keys else [i]
+        for known, key in keys:
+            known.setdefault(key, {})[i] = None
+    places = lambda known: [{"key": k, "at": [*at]} for k, at in known.items()]
+    dealt = [[] for _ in range(max(1, len(signs)))]
+    for one in places(signs):
+        dealt[zlib.crc32(one["key"].encode("utf-8", "surrogatepass")) % len(dealt)].append(one)
+    return {"packs": held, "any": any_, "hosts": places(hosts), "generators": places(generators), "signs": dealt}
+
+
+def _passes(packs: DataFrame, only: list[str] | None) -> Iterator[dict[str, Column]]:
+    """The enabled packs in their order, compiled, as literals of one pass, see ``FINDERS``. Packs are configuration: they come to
+    the driver one partition at a time, and a pass takes ``PASS_CHARS`` of them, or one that is longer."""
     known, held, size = _known_pattern(packs.sparkSession), [], 0
-    literal = lambda: F.from_json(F.lit("[" + ",".join(held) + "]"), COMPILED)
+    literals = lambda: {k: F.from_json(F.lit(json.dumps(v)), FINDERS[k]) for k, v in _finders(held).items()}
     for r in packs.where("coalesce(enabled, true)").orderBy("ord", "id").toLocalIterator():
-        text = json.dumps(compile_pack(r.asDict(recursive=True), known, only))
-        if held and size + len(text) > PASS_CHARS:
-            yield literal()
+        pack = compile_pack(r.asDict(recursive=True), known, only)
+        more = len(json.dumps(pack))
+        if held and size + more > PASS_CHARS:
+            yield literals()
             held, size = [], 0
-        held.append(text)
-        size += len(text)
+        held.append(pack)
+        size += more
     if held:
-        yield literal()
+        yield literals()
 
 
 # The interpreter: a part of a selector ``p``, and a step after the elements ``kept`` that the steps before it select.
@@ -197,28 +224,31 @@ def _selected(nodes: str, chains: str) -> str:
     return f"transform({chains}, chain -> aggregate(chain, cast(NULL AS array<boolean>), (kept, step) -> {step}))"
 
 
-def _with_live(pages: DataFrame, packs: Column) -> DataFrame:
-    """Adds ``__live``: the packs of a literal that are for the page, in order.
+def _with_live(pages: DataFrame, found: dict[str, Column]) -> DataFrame:
+    """Adds ``__live``: the places, in the literal of a pass, of the packs that are for the page, in order.
 
-    Hosts must hold; then any of generator and selectors, if either is given. A page's tags, classes and ids say at once which
-    packs' selectors can select an element, and only those are tried.
+    Hosts must hold; then any of generator and selectors, if either is given. Only packs that stand under a host, the generator, a
+    tag, a class or an id of the page are tried, so that few are. They are named by their places, as ``transform`` copies what it makes.
     """
     tokens = "array_distinct(flatten(transform(nodes, x -> concat(array(x.tag, '#' || coalesce(x.attrs['id'], '')), transform(split(coalesce(x.attrs['class'], ''), '\\\\s+'), c -> '.' || c)))))"
-    pages = pages.withColumn("__generator", meta_generator()).withColumn("__tokens", F.expr(tokens)).withColumn("__packs", packs)
-    hosts = "(size(p.hosts) = 0 OR exists(p.hosts, h -> contains(coalesce(url, ''), h)))"
-    picked = f"((p.open OR arrays_overlap(p.needs, own.tokens)) AND exists({_selected('nodes', 'p.chains')}, kept -> exists(kept, k -> k)))"
-    asked = f"(NOT p.asks OR (p.generator IS NOT NULL AND rlike(own.generator, '(?i)' || p.generator)) OR {picked})"
+    pages = pages.withColumn("__generator", meta_generator()).withColumn("__tokens", F.expr(tokens)).withColumns({f"__in_{k}": c for k, c in found.items()})
+    signs = "flatten(transform(own.tokens, t -> flatten(filter(__in_signs[int(crc32(cast(t AS binary)) % size(__in_signs))], k -> k.key = t).at)))"
+    places = f"array_sort(array_distinct(concat(__in_any, flatten(filter(__in_hosts, h -> contains(own.url, h.key)).at), flatten(filter(__in_generators, g -> rlike(own.generator, g.key)).at), {signs})))"
+    p = "__in_packs[i]"
+    hosts = f"(size({p}.hosts) = 0 OR exists({p}.hosts, h -> contains(own.url, h)))"
+    picked = f"(({p}.open OR arrays_overlap({p}.needs, own.tokens)) AND exists({_selected('nodes', f'{p}.chains')}, kept -> exists(kept, k -> k)))"
+    asked = f"(NOT {p}.asks OR ({p}.generator IS NOT NULL AND rlike(own.generator, '(?i)' || {p}.generator)) OR {picked})"
     # bound by a lambda: a column used in the filter of the packs would be written into it, and so worked out for each pack
-    live = f"transform(array(named_struct('generator', __generator, 'tokens', __tokens)), own -> filter(__packs, p -> {hosts} AND {asked}))[0]"
-    return pages.withColumn("__live", F.expr(live)).drop("__generator", "__tokens", "__packs")
+    live = f"transform(array(named_struct('url', coalesce(url, ''), 'generator', __generator, 'tokens', __tokens)), own -> filter({places}, i -> {hosts} AND {asked}))[0]"
+    return pages.withColumn("__live", F.expr(live)).drop("__generator", "__tokens", *[f"__in_{k}" for k in found])
 
 
 def _has_name(nodes: str) -> str:
     return has_name(S.Sql("x"), S.Sql(nodes)).text
 
 
-def _interpret(pages: DataFrame) -> DataFrame:
-    """Run the rules of ``__live`` one after the other, each on what the one before left."""
+def _interpret(pages: DataFrame, found: dict[str, Column]) -> DataFrame:
+    """Run the rules of the packs of ``__live`` one after the other, each on what the one before left."""
     state = "struct<nodes:array<{n}>,changes:{c},report:{e},counts:{k}>".format(n=NODE, c=LOG, e=SAID, k=COUNTED)
     marks = f"array_join(array_distinct(filter(concat(split(coalesce(x.attrs['{MARK}'], ''), ' '), array(r.code)), m -> m <> '')), ' ')"
     new = f"map_concat(map_filter(x.attrs, (a, v) -> NOT array_contains(r.names, a)), map_from_entries(concat(r.puts, array(named_struct('key', '{PACK_MARK}', 'value', r.pack_id), named_struct('key', '{MARK}', 'value', {marks})))))"
@@ -234,9 +264,9 @@ def _interpret(pages: DataFrame) -> DataFrame:
     step = f"""transform(array({chosen}), sel -> transform(array(size(filter(sel, b -> b))), n -> if(n = 0, named_struct('nodes', s.nodes, 'changes', s.changes, 'report', s.report, 'counts', s.counts), named_struct('nodes', {nodes},
       'changes', concat(s.changes, flatten(transform(filter(s.nodes, x -> sel[x.id - 1]), x -> {each}))), 'report', concat(s.report, {said}), 'counts', concat(s.counts, array(named_struct('rule_id', r.rule_id, 'n', cast(n AS bigint)))))))[0])[0]"""
     start = "named_struct('nodes', nodes, 'changes', changes, 'report', report, 'counts', counts)"
-    run = f"if(size(__live) = 0, {start}, aggregate(flatten(transform(__live, p -> p.rules)), cast({start} AS {state}), (s, r) -> cast({step} AS {state})))"
+    run = f"if(size(__live) = 0, {start}, aggregate(flatten(transform(__live, i -> __packs[i].rules)), cast({start} AS {state}), (s, r) -> cast({step} AS {state})))"
     keep = [c for c in pages.columns if c not in ("nodes", "changes", "report", "counts", "__live")]
-    return pages.select(*keep, F.expr(run).alias("__s")).select(*keep, "__s.*")
+    return pages.withColumn("__packs", found["packs"]).select(*keep, F.expr(run).alias("__s")).select(*keep, "__s.*")
 
 
 def _step(pack: dict, rule: dict) -> Step:
@@ -275,8 +305,8 @@ def apply_packs(audited: DataFrame, packs: DataFrame | list[dict], only: list[st
     SQL text; such packs become columns, the others rows.
     """
     if isinstance(packs, DataFrame):
-        for literal in _passes(packs, only):
-            audited = _interpret(_with_live(audited, literal))
+        for found in _passes(packs, only):
+            audited = _interpret(_with_live(audited, found), found)
         return audited
     live = [p for p in packs if p.get("enabled", True)]
     for made, run in itertools.groupby(live, lambda p: any(callable(r.get("fix")) for r in p["rules"])):
@@ -304,8 +334,9 @@ def run_audit(parsed: DataFrame, packs: DataFrame | list[dict], only: list[str]
 def pack_matches(pages: DataFrame, packs: DataFrame | list[dict]) -> DataFrame:
     """``(page_id, pack_id)`` of the enabled packs that match a page."""
     packs, out = packs if isinstance(packs, DataFrame) else as_packs(pages.sparkSession, packs), None
-    for literal in _passes(packs, None):
-        rows = _with_live(pages.select("page_id", "url", "nodes"), literal).select("page_id", F.explode_outer("__live.id").alias("pack_id")).where("pack_id is not null")
+    for found in _passes(packs, None):
+        rows = _with_live(pages.select("page_id", "url", "nodes"), found).withColumn("__packs", found["packs"])
+        rows = rows.select("page_id", F.explode_outer(F.expr("transform(__live, i -> __packs[i].id)")).alias("pack_id")).where("pack_id is not null")
         out = rows if out is None else out.unionByName(rows)
     return out if out is not None else pages.select("page_id", F.lit("").alias("pack_id")).limit(0)
 

@@ -61,7 +61,7 @@ def many_packs(spark: SparkSession, d: str) -> DataFrame:
         '{"select": "[role=\'k#\']:not(b)", "when": {"notRole": "none"}, "set": {"lang": "x#"}}, {"code": "X3", "select": "p::before", "set": {"id": "never"}}]}'))
     rows = spark.range(500).select(F.replace(text, F.lit("#"), k.cast("string")).alias("value"))
     rows = rows.unionByName(spark.createDataFrame([('{"title": "no id", "rules": []}',), ('{"id": "none"}',), ("{cut",)], "value string"))
-    rows.repartition(503).write.option("maxRecordsPerFile", 1).text(place)
+    rows.write.option("maxRecordsPerFile", 1).text(place)
     html = F.expr("""'<html><head><meta name="generator" content="Maker-' || (p_partkey % 500) || ' 2"></head><body><ul><li class="c' || (p_size * 7 % 500) || '" title="t">a</li><b title="u">' || p_name || '</b></ul><p class="c' || (p_size * 3 % 500) || '">b</p></body></html>'""")
     pages = source.parse_pages(page_parts(spark, d).select(F.col("p_partkey").alias("page_id"), F.expr("'https://lib' || (p_partkey % 50) || '.example'").alias("url"), html.alias("html")))
     out = rules.changes(packs.apply_packs(rules.prepared(pages), packs.read_site_packs(spark, place)))

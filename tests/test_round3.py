@@ -108,3 +108,23 @@ def test_plain_markup_is_read_as_the_standard_parser_reads_it(monkeypatch):
     for html in plain:
         assert pages._read_short(html) is pages._read_short(html)
     assert all(pages._read_plain(html) is None for html in other)
+
+
+def test_few_of_many_packs_are_tried_on_a_page(spark):
+    from pagelens.operators import packs
+    from pagelens.sources import pages
+
+    match = {
+        "all": {}, "host": {"hosts": ["lib1.", "lib2."]}, "host_asks": {"hosts": ["lib1."], "generator": "maker"}, "empty": {"generator": "^z*$"}, "open": {"selectors": ["[data-x]"]}, "open_host": {"hosts": ["lib2."], "selectors": ["[data-x]"]},
+        "class": {"selectors": ["li.c1", "li.c1 > b"]}, "id": {"selectors": ["p.c2#a"]}, "tag": {"selectors": ["ul > i:not(.c1)"]}, "both": {"generator": "MAKER [0-9]", "selectors": ["li.c1"]}, "bad": {"generator": "bad(", "selectors": [".c9"]},
+    }
+    rows = packs.as_packs(spark, [{"id": k, "match": m, "rules": [{"code": "X", "select": "p", "set": {"role": "a"}}]} for k, m in match.items()])
+    html = ['<meta name=generator content="Maker 1"><ul><li class="c1 x">a</ul>', '<p id=a class="c2">a</p><ul><i class=c1>b</i></ul>', '<ul><i data-x>b</i><li>c</ul>']
+    parsed = pages.parse_pages(spark.createDataFrame([(i, f"https://lib{i}.org", h) for i, h in enumerate(html, 1)], "page_id long, url string, html string"))
+    got = {}
+    for r in packs.pack_matches(parsed, rows).collect():
+        got.setdefault(r.page_id, []).append(r.pack_id)
+    assert got == {1: ["all", "host", "host_asks", "class", "both"], 2: ["all", "host", "empty", "id"], 3: ["all", "empty", "open", "tag"]}
+    # a pack stands under the id or class that it needs rather than under a tag, which most pages have
+    found = packs._finders([packs.compile_pack({"id": f"k{i}", "match": {"selectors": [f"li.c{i}"]}, "rules": []}, lambda p: True) for i in range(300)])
+    assert not found["any"] and max(map(len, found["signs"])) < 8 and sorted(k["key"] for s in found["signs"] for k in s) == sorted(f".c{i}" for i in range(300))
