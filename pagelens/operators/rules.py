@@ -536,18 +536,28 @@ def form_fields() -> Step:
         bound = F.coalesce(F.array_contains(ids, attr(x, "id")), F.lit(False))
         return has_name(x) | bound | (x["label"] > 0) & any_above(x, lambda y: (y["tag"] == "label") & (y["chars"] > 0))
 
-    def look(x: Column) -> Column:
-        need = (has_attr(x, "required")) & (F.coalesce(attr(x, "aria-required"), F.lit("")) != "true")
-        beside = F.filter(F.array(node(x["prev"]), next_sibling(x)), lambda y: (y["tag"] == "label") & ~has_attr(y, "for") & (y["chars"] > 0))
-        label = F.when(~labelled(x) & filled(attr(x, "id")), F.get(beside, F.lit(0)))
-        hint = F.when(~labelled(x) & label["id"].isNull(), F.nullif(F.trim(attr(x, "placeholder")), F.lit("")))
-        bare = ~labelled(x) & label["id"].isNull() & hint.isNull()
-        return F.struct(x.alias("x"), need.alias("need"), label.alias("label"), hint.alias("hint"), bare.alias("bare"))
-
-    fields = F.transform(_nodes(lambda x: tag_in(x, "input", "select", "textarea") & ~skipped(x) & ~_marked(x, "FORM1")), look)
+    # each look at a field reads what those before it found
+    def need(x: Column) -> Column:
+        return F.struct(x.alias("x"), (has_attr(x, "required") & (F.coalesce(attr(x, "aria-required"), F.lit("")) != "true")).alias("need"), labelled(x).alias("done"))
+
+    def beside(r: Column) -> Column:
+        x = r["x"]
+        near = F.filter(F.array(node(x["prev"]), next_sibling(x)), lambda y: (y["tag"] == "label") & ~has_attr(y, "for") & (y["chars"] > 0))
+        return F.struct(x.alias("x"), r["need"], r["done"], F.when(~r["done"] & filled(attr(x, "id")), F.get(near, F.lit(0))).alias("label"))
+
+    def hinted(r: Column) -> Column:
+        hint = F.when(~r["done"] & r["label"]["id"].isNull(), F.nullif(F.trim(attr(r["x"], "placeholder")), F.lit("")))
+        return F.struct(r["x"], r["need"], r["done"], r["label"], hint.alias("hint"))
+
+    def bare(r: Column) -> Column:
+        return F.struct(r["x"], r["need"], r["label"], r["hint"], (~r["done"] & r["label"]["id"].isNull() & r["hint"].isNull()).alias("bare"))
+
+    fields = _nodes(lambda x: tag_in(x, "input", "select", "textarea") & ~skipped(x) & ~_marked(x, "FORM1"))
+    for look in (need, beside, hinted, bare):
+        fields = F.transform(fields, look)
     found = Kept(fields)
     number = lambda f: F.aggregate(found, F.lit(0), lambda a, r: a + f(r).cast("int"))
-    fixes, flags = number(lambda r: r["need"].cast("int") + r["label"]["id"].isNotNull().cast("int") + r["hint"].isNotNull().cast("int")), number(lambda r: r["bare"])
+    fixes, flags = Kept(number(lambda r: r["need"].cast("int") + r["label"]["id"].isNotNull().cast("int") + r["hint"].isNotNull().cast("int"))), Kept(number(lambda r: r["bare"]))
 
     def of(r: Column) -> Column:
         x = r["x"]
@@ -556,7 +566,7 @@ def form_fields() -> Step:
         return F.concat(own, F.when(r["label"]["id"].isNotNull(), _sets(r["label"], **{"for": attr(x, "id")})).otherwise(F.array().cast(CHANGE)))
 
     entries = _entries(("fix", (fixes > 0).cast("int"), fixes, F.concat(fixes.cast("string"), F.lit(FIXES["form-fields"]))), ("flag", (flags > 0).cast("int"), flags, F.concat(flags.cast("string"), F.lit(FLAGS["no label"]))))
-    return Step(_each(found, of), entries, fixes + flags, [ids, found])
+    return Step(_each(found, of), entries, fixes + flags, [ids, found, fixes, flags])
 
 
 BY_ID: dict[str, Callable[[], Step]] = dict(zip([r[0] for r in RULES], [
