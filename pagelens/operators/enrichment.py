@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.elements import any_inside, attr, filled, has_attr, tag_in, text_of
+from ..functions.elements import any_inside, attr, filled, first_inside, has_attr, tag_in, text_of
 
 # What can be asked for, and what happens with requests of each unless it is said otherwise.
 POLICIES = {"ocr": "ask", "describeImage": "ask", "describeGraph": "ask", "reflowPdf": "auto", "transcribe": "ask"}
@@ -56,14 +56,18 @@ class Providers:
 def node_requests(audited: DataFrame) -> DataFrame:
     """``(page_id, ix, cap, src, label, hash_source)`` for elements anywhere on an audited page: images that the rules marked as
     in need of words, and video or audio without captions. ``ix`` is the element's number."""
-    x = F.col("n")
-    image = (x["tag"] == "img") & has_attr(x, "data-needs-alt") & filled(attr(x, "src"))
+    image = lambda x: (x["tag"] == "img") & has_attr(x, "data-needs-alt") & filled(attr(x, "src"))
     caption = lambda y: (y["tag"] == "track") & F.coalesce(attr(y, "kind").isin("captions", "subtitles"), F.lit(False))
-    source = F.coalesce(F.nullif(attr(x, "src"), F.lit("")), attr(F.get(F.filter(F.slice("nodes", x["id"] + 1, x["end"] - x["id"]), lambda y: y["tag"] == "source"), F.lit(0)), "src"), F.lit(""))
-    media = tag_in(x, "video", "audio") & ~any_inside(x, caption)
-    rows = audited.select("page_id", "nodes", "bits", F.explode_outer("nodes").alias("n")).where(image | media)
-    label = F.coalesce(F.nullif(attr(x, "aria-label"), F.lit("")), attr(x, "title"), text_of(x))
-    return rows.select("page_id", F.col("n.id").alias("ix"), F.when(image, "describeImage").otherwise("transcribe").alias("cap"), source.alias("src"), label.alias("label"), source.alias("hash_source"))
+    media = lambda x: tag_in(x, "video", "audio") & ~any_inside(x, caption)
+
+    def request(x: Column) -> Column:
+        source = F.coalesce(F.nullif(attr(x, "src"), F.lit("")), attr(first_inside(x, lambda y: y["tag"] == "source"), "src"), F.lit(""))
+        label = F.coalesce(F.nullif(attr(x, "aria-label"), F.lit("")), attr(x, "title"), text_of(x))
+        return F.struct(x["id"].alias("ix"), F.when(image(x), "describeImage").otherwise("transcribe").alias("cap"), source.alias("src"), label.alias("label"), source.alias("hash_source"))
+
+    # made on the page: a row for each element would carry the whole page
+    asked = F.transform(F.filter("nodes", lambda x: image(x) | media(x)), request)
+    return audited.select("page_id", F.explode_outer(asked).alias("r")).where("r is not null").select("page_id", "r.*")
 
 
 def requests_of(blocks: DataFrame) -> DataFrame:

@@ -179,3 +179,17 @@ def test_a_page_met_again_is_made_once(spark, data):
     parsed = pages.parse_pages(spark.createDataFrame(list(enumerate(html)), "page_id long, html string").selectExpr("page_id", "'u' as url", "html").coalesce(1))
     got = {r.page_id: ([n.tag for n in r.nodes], r.bits) for r in parsed.collect()}
     assert got == {k: ([] if h is None or h[0] == "x" else [h[1]], [] if h is None else [h.strip("<pb/>")] if h[0] == "<" else [h]) for k, h in enumerate(html)}
+
+
+def test_requests_do_not_carry_a_page_for_each_element(spark):
+    import re
+
+    from pagelens.operators import rules
+    from pagelens.sources import pages
+
+    html = "<img src=a><video src=b></video><video title=t><source src=c></video><video src=d><track kind=captions></video><audio src='' aria-label=l></audio><img alt=x src=e><img>"
+    audited = rules.run_rules(pages.parse_pages(spark.createDataFrame([(1, "u", html), (2, "u", "")], "page_id long, url string, html string")), ["images-alt"])
+    asked = enrichment.node_requests(audited)
+    plan = asked._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"explode\(transform\(filter\(nodes", plan) and not re.search(r"explode\(nodes", plan)
+    assert sorted((r.ix, r.cap, r.src, r.label) for r in asked.collect()) == [(1, "describeImage", "a", rules.LABELS["image"]), (2, "transcribe", "b", ""), (3, "transcribe", "c", "t"), (7, "transcribe", "", "l")]
