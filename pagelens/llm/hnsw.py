@@ -6,17 +6,23 @@ probe is made whose cosine to the vector is just the threshold, the hardest link
 queries must find what a full scan of the shard finds, themselves left out. The beam is widened until both lose almost
 nothing; past the widest beam the shard is scanned. A query whose beam is full of linked vectors is widened by itself, so
 that a large group of copies is found whole. Cosines are taken again in double precision, and components follow from the links.
+
+A task's memory is bounded by bytes, whatever the number, length and likeness of the vectors: shards and parts of queries have
+a size, graphs cross the network in pieces, vectors are held once as they are given and made unit vectors in blocks, and links
+are counted and joined a block at a time.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, stars, with_facts
 
@@ -26,15 +32,22 @@ LINKS, BUILD_BEAM = 12, 48
 BEAMS, RECALL = (24, 48, 96, 192), 0.995
 #: Queries of a task that are compared with a full scan, and probes of it.
 AUDITED, PROBES = 64, 400
-#: Vectors of a shard at most, and shards of the vectors of one length, unless these are few.
-SHARD_VECTORS, SHARDS, FEW_VECTORS = 200_000, 6, 500
-#: Bytes of the queries of a task, at least and at most; within these, parts that the queries are dealt over. Bytes of the
-#: cosines of a scan at once.
-PART_BYTES, PARTS, SCAN_BYTES = (2 << 20, 128 << 20), 4, 64 << 20
+#: Vectors of a shard at most, and their bytes in double precision; shards of the vectors of one length, unless these are few.
+SHARD_VECTORS, SHARD_BYTES, SHARDS, FEW_VECTORS = 200_000, 64 << 20, 6, 500
+#: Bytes of the queries of a task in double precision, at least and at most, and their number at most; within these, parts that
+#: the queries are dealt over.
+PART_BYTES, PART_VECTORS, PARTS = (2 << 20, 64 << 20), 200_000, 4
+#: Bytes of the vectors that are gathered, made unit vectors or compared at once, of the places that a walk has met, and of a
+#: piece of a graph that crosses the network as one row.
+BLOCK_BYTES, SEEN_BYTES, PIECE_BYTES = 16 << 20, 48 << 20, 4 << 20
 #: Partitions for each graph or part, so that few share one.
 SPREAD = 4
 
 
+#: The graph's cosines are in single precision.
+SLACK = 1e-5
+
+
 class Graph:
     """A navigable small-world graph over unit vectors; vectors are added and asked for in batches."""
 
@@ -79,6 +92,9 @@ class Graph:
     def _pick(self, ids: np.ndarray, sim: np.ndarray, most: int) -> np.ndarray:
         """Up to ``most`` candidates of each row that are nearer to the row than to one picked before; the nearest of
         the rest fill up."""
+        step = max(1, BLOCK_BYTES // (12 * most * (self.v.shape[1] + 3 * most)))
+        if len(ids) > step:
+            return np.concatenate([self._pick(ids[a : a + step], sim[a : a + step], most) for a in range(0, len(ids), step)])
         sim = np.where(ids >= 0, sim, -3.0)
         order = np.argsort(-sim, axis=1)[:, : 3 * most]
         ids, sim = np.take_along_axis(ids, order, 1), np.take_along_axis(sim, order, 1)
@@ -102,8 +118,15 @@ class Graph:
         order = np.argsort(to, kind="stable")
         back, to = back[order], to[order]
         who, first, many = np.unique(to, return_index=True, return_counts=True)
-        for a in range(0, len(who), 2048):
-            w, f, m = who[a : a + 2048], first[a : a + 2048], many[a : a + 2048]
+        # by how many link to them, so that one that the whole batch links to makes few rows wide
+        by = np.argsort(many, kind="stable")
+        who, first, many = who[by], first[by], many[by]
+        a = b = 0
+        while b < len(who):
+            a, b = b, min(len(who), b + 2048)
+            while b - a > 1 and (b - a) * (table.shape[1] + int(many[b - 1])) * self.v.shape[1] * 4 > BLOCK_BYTES:
+                b = a + (b - a + 1) // 2
+            w, f, m = who[a:b], first[a:b], many[a:b]
             width = int(m.max())
             more = np.full((len(w), width), -1, np.int32)
             inside = np.arange(width) < m[:, None]
@@ -118,7 +141,7 @@ class Graph:
         """Beam search on one level: ids and similarities, nearest first; -1 fills up."""
         table, n = self.out[k], len(self.v)
         ids_out, sims_out = [], []
-        step = max(16, min(1024, (48 << 20) // max(1, n)))
+        step = max(16, min(1024, SEEN_BYTES // max(1, n), BLOCK_BYTES // (8 * table.shape[1] * self.v.shape[1])))
         for a in range(0, len(q), step):
             qq, ss = q[a : a + step], start[a : a + step]
             m = len(qq)
@@ -166,7 +189,7 @@ class Graph:
 
     def dump(self) -> bytes:
         f = io.BytesIO()
-        np.savez(f, level=self.level, top=self.top, entry=self.entry, **{f"out{k}": x for k, x in enumerate(self.out)})
+        np.savez(f, level=self.level, top=self.top, entry=self.entry, **{f"out{k}": x[self.level >= k] for k, x in enumerate(self.out)})
         return f.getvalue()
 
     @classmethod
@@ -174,7 +197,11 @@ class Graph:
         """The graph that :meth:`dump` wrote, over the same vectors."""
         z, g = np.load(io.BytesIO(raw)), cls.__new__(cls)
         g.v, g.level, g.top, g.entry = vectors.astype(np.float32), z["level"], int(z["top"]), int(z["entry"])
-        g.out = [z[f"out{k}"] for k in range(sum(x.startswith("out") for x in z.files))]
+        g.out = []
+        for k in range(sum(x.startswith("out") for x in z.files)):
+            links = z[f"out{k}"]  # of the vectors that this level has
+            g.out.append(np.full((len(g.level), links.shape[1]), -1, np.int32))
+            g.out[k][g.level >= k] = links
         return g
 
 
@@ -185,7 +212,32 @@ def unit(vectors: list) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _probes(held: np.ndarray, least: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+class Units:
+    """Vectors as they are given, which become unit vectors, the same as by :func:`unit`, only where they are asked for."""
+
+    def __init__(self, given: np.ndarray):
+        self.given, self.shape = given, given.shape
+
+    def __len__(self) -> int:
+        return len(self.given)
+
+    def __getitem__(self, at) -> np.ndarray:
+        return unit(self.given[at])
+
+    def astype(self, kind: type) -> np.ndarray:
+        out = np.empty(self.shape, kind)
+        for part in _blocks(len(self), 8 * self.shape[1]):
+            out[part] = self[part]
+        return out
+
+
+def _blocks(n: int, row_bytes: int) -> Iterator[slice]:
+    """Slices of ``n`` rows, each of about BLOCK_BYTES."""
+    step = max(1, BLOCK_BYTES // max(1, row_bytes))
+    return (slice(a, min(n, a + step)) for a in range(0, n, step))
+
+
+def _probes(held: np.ndarray | Units, least: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Places of sampled vectors, and for each a vector whose cosine to it is just over ``least``."""
     at = rng.permutation(len(held))[:PROBES]
     if held.shape[1] < 2:
@@ -196,131 +248,230 @@ def _probes(held: np.ndarray, least: float, rng: np.random.Generator) -> tuple[n
     return at, unit(c * held[at] + np.sqrt(1 - c * c) * unit(side))
 
 
-def linked(graph: Graph, held: np.ndarray, q: np.ndarray, least: float, own: np.ndarray | None = None, seed: int = 11) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Pairs (query, held) with cosine >= least, taken in double precision, and the audit. ``held`` are the shard's unit
-    vectors; ``own`` says which of them each query is itself, -1 for none: that pair is left out.
-
-    The audit is that of the last beam that was asked: ``beam`` (0 where the shard was scanned for all), ``probes`` and
-    ``probes_found``, ``links`` that the sampled queries have and ``links_found``.
-    """
+def audited(graph: Graph, held: np.ndarray | Units, q: np.ndarray | Units, least: float, own: np.ndarray, seed: int = 11) -> dict:
+    """The audit of the last beam that was asked: ``beam`` (0 where the shard is to be scanned for all), ``probes`` and
+    ``probes_found``, ``links`` that the sampled queries have and ``links_found``."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    own = np.full(len(q), -1) if own is None else own
-    slack = 1e-5  # the graph's cosines are in single precision
     at, probe = _probes(held, least, rng)
     audit = rng.permutation(len(q))[:AUDITED]
-    true = q[audit] @ held.T >= least
+    asked = q[audit]
+    true = np.zeros((len(audit), len(held)), bool)
+    for part in _blocks(len(held), 8 * max(held.shape[1], len(audit))):
+        true[:, part] = asked @ held[part].T >= least
     true[own[audit] >= 0, own[audit][own[audit] >= 0]] = False
     told = {"beam": 0, "probes": len(at), "probes_found": len(at), "links": int(true.sum()), "links_found": int(true.sum())}
-    todo, rows, cols = np.arange(len(q)), [], []
-    passed = False
     for beam in BEAMS:
         if beam >= len(held):
             break
-        if not passed:
-            # a probe counts as found too where its beam is full of linked vectors: such a query is widened
-            ids, sim = graph.search(probe, beam)
-            hit = (ids == at[:, None]).any(1) | ((sim >= least - slack) & (ids >= 0)).all(1)
-            ids, sim = graph.search(q[audit], beam)
-            near = (sim >= least - slack) & (ids >= 0)
-            whole = near.all(1)
-            found = np.zeros_like(true)
-            r, c = np.nonzero(near)
-            found[r, ids[r, c]] = True
-            lost = (true & ~found & ~whole[:, None]).sum()
-            if hit.sum() < RECALL * len(hit) or lost > (1 - RECALL) * true.sum():
-                continue  # the audit fails: ask with a wider beam
-            passed = True
-            told |= {"beam": beam, "probes_found": int(hit.sum()), "links_found": int(true.sum() - lost)}
+        # a probe counts as found too where its beam is full of linked vectors: such a query is widened
+        ids, sim = graph.search(probe, beam)
+        hit = (ids == at[:, None]).any(1) | ((sim >= least - SLACK) & (ids >= 0)).all(1)
+        ids, sim = graph.search(asked, beam)
+        near = (sim >= least - SLACK) & (ids >= 0)
+        whole = near.all(1)
+        found = np.zeros_like(true)
+        r, c = np.nonzero(near)
+        found[r, ids[r, c]] = True
+        lost = (true & ~found & ~whole[:, None]).sum()
+        if hit.sum() >= RECALL * len(hit) and lost <= (1 - RECALL) * true.sum():
+            return told | {"beam": beam, "probes_found": int(hit.sum()), "links_found": int(true.sum() - lost)}
+    return told  # no beam passes
+
+
+def _met(graph: Graph, held: np.ndarray | Units, q: np.ndarray, least: float, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a block of queries that are linked in single precision: by beams from ``first`` on, and what is left by a scan."""
+    todo = np.arange(len(q))
+    for beam in BEAMS:
+        if not first or not first <= beam < len(held) or not len(todo):
+            continue
         ids, sim = graph.search(q[todo], beam)
-        near = (sim >= least - slack) & (ids >= 0)
+        near = (sim >= least - SLACK) & (ids >= 0)
         full = near.all(1)
         r, c = np.nonzero(near & ~full[:, None])
-        rows.append(todo[r])
-        cols.append(ids[r, c])
+        yield todo[r], ids[r, c]
         todo = todo[full]
-        if not len(todo):
-            break
-    step = max(1, SCAN_BYTES // 8 // max(1, len(held)))
-    for a in range(0, len(todo), step):
-        r, c = np.nonzero(q[todo[a : a + step]] @ held.T >= least - slack)
-        rows.append(todo[a + r])
-        cols.append(c)
-    rows, cols = np.concatenate([*rows, np.zeros(0, int)]).astype(int), np.concatenate([*cols, np.zeros(0, int)]).astype(int)
-    sure = np.zeros(len(rows), bool)
-    for a in range(0, len(rows), 1 << 16):
-        part = slice(a, a + (1 << 16))
-        sure[part] = np.einsum("rd,rd->r", q[rows[part]], held[cols[part]]) >= least
-    sure &= own[rows] != cols
-    return rows[sure], cols[sure], told
+    if not len(todo):
+        return
+    for part in _blocks(len(held), 8 * held.shape[1]):
+        beside = held[part]
+        for some in _blocks(len(todo), 8 * len(beside)):
+            r, c = np.nonzero(q[todo[some]] @ beside.T >= least - SLACK)
+            yield todo[some][r], c + part.start
+
+
+def links(graph: Graph, held: np.ndarray | Units, q: np.ndarray | Units, least: float, own: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, held) with cosine >= least, taken in double precision, a block of them at a time. ``beam`` is what
+    :func:`audited` says; ``own`` says which of the held each query is itself, -1 for none: that pair is left out."""
+    for block in _blocks(len(q), 8 * max(q.shape[1], 4 * BEAMS[-1])):
+        asked = q[block]
+        for rows, cols in _met(graph, held, asked, least, beam):
+            for part in _blocks(len(rows), 8 * q.shape[1]):
+                r, c = rows[part], cols[part]
+                sure = (np.einsum("rd,rd->r", asked[r], held[c]) >= least) & (own[block][r] != c)
+                if sure.any():
+                    yield block.start + r[sure], c[sure]
+
+
+def linked(graph: Graph, held: np.ndarray, q: np.ndarray, least: float, own: np.ndarray | None = None, seed: int = 11) -> tuple[np.ndarray, np.ndarray, dict]:
+    """All pairs of :func:`links`, and the audit."""
+    own = np.full(len(q), -1) if own is None else own
+    told = audited(graph, held, q, least, own, seed)
+    rows, cols = zip((np.zeros(0, int), np.zeros(0, int)), *links(graph, held, q, least, own, told["beam"]))
+    return np.concatenate(rows), np.concatenate(cols), told
 
 
 AUDIT = "beam int, probes long, probes_found long, links long, links_found long"
 
 
+_GRAPH = pa.schema([("d", pa.int32()), ("shard", pa.int32()), ("parts", pa.int32()), ("k", pa.int32()), ("pieces", pa.int32()), ("piece", pa.binary())])
+_FOUND = pa.schema([*((c, pa.int64()) for c in "abn"), *((c, pa.int32()) for c in ("d", "shard", "part", "beam")), *((c, pa.int64()) for c in ("probes", "probes_found", "links", "links_found"))])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
+    """Groups of rows in batches sorted by ``keys``; what is left of a group is passed over."""
+
+    def cuts() -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        for batch in batches:
+            columns = np.array([_numbers(batch, c) for c in keys])
+            ends = [*(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip([0, *ends], ends):
+                if a < b:
+                    yield tuple(columns[:, a].tolist()), batch.slice(a, b - a)
+
+    for key, of in itertools.groupby(cuts(), lambda x: x[0]):
+        yield key, (run for _, run in of)
+
+
+def _numbers(run: pa.RecordBatch, name: str) -> np.ndarray:
+    return run.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _vectors(run: pa.RecordBatch, dtype: type) -> np.ndarray:
+    return run.column("v").flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(run.num_rows, -1) if run.num_rows else np.zeros((0, 1), dtype)
+
+
+def _packed(graph: bytes, reps: np.ndarray, many: np.ndarray, held: np.ndarray) -> list[bytes]:
+    """A shard as pieces; the first tells how many vectors there are."""
+    out = [len(reps).to_bytes(8, "little")]
+    for part in (memoryview(x).cast("B") for x in (reps, many, held, graph)):
+        out += [bytes(part[a : a + PIECE_BYTES]) for a in range(0, len(part), PIECE_BYTES)]
+    return out
+
+
+def _unpacked(pieces: list[bytes], d: int, dtype: type) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`_packed` was given; the pieces are used up."""
+    n = int.from_bytes(pieces.pop(0), "little")
+
+    def take(size: int) -> bytearray:
+        out = bytearray(size)
+        at = 0
+        while at < size:
+            piece = pieces.pop(0)
+            out[at : at + len(piece)] = piece
+            at += len(piece)
+        return out
+
+    reps, many, held = np.frombuffer(take(8 * n), np.int64), np.frombuffer(take(8 * n), np.int64), np.frombuffer(take(n * d * np.dtype(dtype).itemsize), dtype)
+    return b"".join(pieces), reps, many, held.reshape(n, d)
+
+
+def _answers(key: tuple, pieces: list[bytes], rep: np.ndarray, asking: np.ndarray, dtype: type, least: float) -> Iterator[pa.RecordBatch]:
+    """What one part of the queries finds in one shard."""
+    raw, reps, many, given = _unpacked(pieces, key[0], dtype)
+    pieces.clear()
+    held, q = Units(given), Units(asking)
+    graph = Graph.load(raw, held)
+    del raw
+    place = np.minimum(np.searchsorted(reps, rep), len(reps) - 1)
+    own = np.where(reps[place] == rep, place, -1)
+    told = dict(zip(("d", "shard", "part"), key)) | audited(graph, held, q, least, own)
+
+    def batch(**columns: np.ndarray) -> pa.RecordBatch:
+        size = len(columns["n"])
+        every = columns | {c: np.full(size, told[c]) for c in ("d", "shard", "part", "beam")}
+        return pa.RecordBatch.from_arrays([pa.array(every[f.name], f.type) if f.name in every else pa.nulls(size, f.type) for f in _FOUND], schema=_FOUND)
+
+    yield pa.RecordBatch.from_pylist([told], _FOUND)
+    n = np.zeros(len(rep), np.int64)
+    # one edge of each that joins two groups is enough for the components
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for r, c in links(graph, held, q, least, own, told["beam"]):
+        n += np.bincount(r, many[c], minlength=len(rep)).astype(np.int64)
+        edges = []
+        for x, y in zip(rep[r].tolist(), reps[c].tolist()):
+            if (i := find(x)) != (j := find(y)):
+                up[i] = j
+                edges.append((x, y))
+        if edges:
+            a, b = np.array(edges, np.int64).T
+            yield batch(a=a, b=b, n=np.zeros(len(a), np.int64))
+    some = n > 0
+    yield batch(a=rep[some], b=rep[some], n=n[some])
+
+
 def _search(df: DataFrame, least: float, id_col: str, vector_col: str, shards: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows, one vector a row id, different vectors with their number, and what the tasks found: links of a vector
     ``(a, a, n)``, edges ``(a, b, 0)`` that join what a task linked, and a row of its audit without ``a``."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    given = df.select(vector_col).schema[0].dataType
+    kind, dtype = ("float", np.float32) if isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType) else ("double", np.float64)
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     named = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
     fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     # rows that have equal vectors come together by what they hold, so a very common vector is one group with a partial count
     named = cut(named.withColumn("fine", fine).withColumn("h", F.xxhash64("v")))
     classes = cut(named.where("fine").groupBy("h", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("d", F.size("v")))
     # vectors of one length have shards and query parts of their own, as many as their number asks for
-    most = F.col("m") / F.lit(float(SHARD_VECTORS))
+    asked_bytes = F.col("m") * F.col("d") * F.lit(8.0)
+    most = F.greatest(F.col("m") / F.lit(float(SHARD_VECTORS)), asked_bytes / F.lit(float(SHARD_BYTES)))
     own_shards = F.lit(shards) if shards else F.when(F.col("m") <= FEW_VECTORS, 1).otherwise(F.greatest(F.lit(SHARDS), F.ceil(most).cast("int")))
     sizes = classes.groupBy("d").agg(F.count("*").alias("m")).withColumn("shards", own_shards)
-    asked_bytes = F.col("m") * F.col("d") * F.lit(8.0)
     part_bytes = F.least(F.greatest(asked_bytes / PARTS, F.lit(float(PART_BYTES[0]))), F.lit(float(PART_BYTES[1])))
-    sizes = cut(sizes.withColumn("parts", F.ceil(asked_bytes / part_bytes).cast("int")))
+    sizes = cut(sizes.withColumn("parts", F.ceil(F.greatest(asked_bytes / part_bytes, F.col("m") / F.lit(float(PART_VECTORS)))).cast("int")))
     count, graph_tasks, ask_tasks = sizes.agg(*[F.coalesce(F.sum(F.expr(c)), F.lit(0)) for c in ("m", "shards", "shards * parts")]).first()
     sized = with_facts(classes, sizes, "d", "m", count)
     put = cut(sized.select("rep", "copies", "v", "d", "shards", "parts", F.pmod(F.xxhash64("rep", F.lit(1)), "shards").cast("int").alias("shard"), F.pmod(F.xxhash64("rep", F.lit(2)), "parts").cast("int").alias("part")))
 
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        held = unit(pdf["v"].tolist())
-        return pd.DataFrame({"d": [key[0]], "shard": [key[1]], "parts": [int(pdf["parts"].iloc[0])], "graph": [Graph(held).dump()], "held": [held.tobytes()], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "many": [pdf["copies"].to_numpy(np.int64).tobytes()]})
-
-    graphs = cut(put.repartition(max(1, SPREAD * graph_tasks), "d", "shard").groupBy("d", "shard").applyInPandas(build, "d int, shard int, parts int, graph binary, held binary, reps binary, many binary"))
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (d, shard), runs in _runs(batches, "d", "shard"):
+            reps, many, held = [], [], []
+            for run in runs:
+                parts = run.column("parts")[0].as_py()
+                reps.append(_numbers(run, "rep"))
+                many.append(_numbers(run, "copies"))
+                held.append(_vectors(run, dtype))
+            reps, many, held = np.concatenate(reps), np.concatenate(many), np.concatenate(held)
+            whole = _packed(Graph(Units(held)).dump(), reps, many, held)
+            for k, piece in enumerate(whole):
+                yield pa.RecordBatch.from_pylist([{"d": d, "shard": shard, "parts": parts, "k": k, "pieces": len(whole), "piece": piece}], _GRAPH)
+
+    by_shard = put.select("d", "shard", "parts", "rep", "copies", "v").repartition(max(1, SPREAD * graph_tasks), "d", "shard").sortWithinPartitions("d", "shard", "rep")
+    graphs = cut(by_shard.mapInArrow(build, "d int, shard int, parts int, k int, pieces int, piece binary"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    asked = put.select("rep", "v", "d", "part", upto("shards").alias("shard"))
-    shown = graphs.withColumn("part", upto("parts"))
-    names = ["a", "b", "n", "d", "shard", "part", "beam", "probes", "probes_found", "links", "links_found"]
-
-    def ask(key: tuple, asking: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        if not len(asking) or not len(graph):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
-        g = graph.iloc[0]
-        reps, many = np.frombuffer(g["reps"], np.int64), np.frombuffer(g["many"], np.int64)
-        held = np.frombuffer(g["held"]).reshape(len(reps), -1)
-        rep = asking["rep"].to_numpy(np.int64)
-        place = np.minimum(np.searchsorted(reps, rep), len(reps) - 1)
-        r, c, told = linked(Graph.load(g["graph"], held), held, unit(asking["v"].tolist()), least, np.where(reps[place] == rep, place, -1))
-        n = np.bincount(r, many[c], minlength=len(rep)).astype(np.int64)
-        # one edge of each that joins two groups is enough for the components
-        up: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        edges = []
-        for x, y in zip(rep[r].tolist(), reps[c].tolist()):
-            if (i := find(x)) != (j := find(y)):
-                up[i] = j
-                edges.append((x, y))
-        some = n > 0
-        a, b = np.array(edges, np.int64).reshape(-1, 2).T
-        k = int(some.sum()) + len(a)
-        out = {c: [v] + [None] * k for c, v in (dict(zip(("d", "shard", "part"), map(int, key))) | told).items()}
-        out |= {"a": [None, *rep[some], *a], "b": [None, *rep[some], *b], "n": [None, *n[some], *[0] * len(a)]}
-        return pd.DataFrame({c: pd.array(out[c], "Int64") for c in names})
-
+    asked = put.select("d", upto("shards").alias("shard"), "part", F.lit(None).cast("int").alias("k"), F.lit(None).cast("int").alias("pieces"), F.lit(None).cast("binary").alias("piece"), "rep", "v")
+    shown = graphs.select("d", "shard", upto("parts").alias("part"), "k", "pieces", "piece", F.lit(None).cast("long").alias("rep"), F.lit(None).cast(f"array<{kind}>").alias("v"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, runs in _runs(batches, "d", "shard", "part"):
+            pieces, reps, asking = [], [], []
+            for run in runs:
+                queries = run.column("k").null_count
+                pieces += run.column("piece").slice(0, run.num_rows - queries).to_pylist()
+                reps.append(_numbers(run.slice(run.num_rows - queries), "rep"))
+                asking.append(_vectors(run.slice(run.num_rows - queries), dtype))
+            if pieces and sum(map(len, reps)):
+                yield from _answers(key, pieces, np.concatenate(reps), np.concatenate([x for x in asking if len(x)]), dtype, least)
+
+    # the pieces of a task's graph come before its queries
     keys, tasks = ("d", "shard", "part"), max(1, SPREAD * ask_tasks)
-    found = cut(asked.repartition(tasks, *keys).groupBy(*keys).cogroup(shown.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(ask, f"a long, b long, n long, d int, shard int, part int, {AUDIT}"))
+    both = shown.unionByName(asked).repartition(tasks, *keys).sortWithinPartitions(*keys, F.col("k").asc_nulls_last(), "rep")
+    found = cut(both.mapInArrow(ask, f"a long, b long, n long, d int, shard int, part int, {AUDIT}"))
     return rows, named, classes, found
 
 

@@ -191,6 +191,48 @@ def test_lengths_and_sizes_of_vectors(spark):
     assert {r.d for r in audit} == {1, 3, 4, 8} and all(r.probes_found >= 0.995 * r.probes for r in audit)
 
 
+def test_vectors_in_pieces(spark, monkeypatch):
+    """Shards, query parts and pieces of graphs follow bytes, so that a task's memory doesn't follow the table's."""
+    for name, size in (("SHARD_BYTES", 32 << 10), ("PART_BYTES", (1 << 10, 64 << 10)), ("PIECE_BYTES", 1 << 10), ("BLOCK_BYTES", 16 << 10)):
+        monkeypatch.setattr(hnsw, name, size, raising=False)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(500, 64)).astype(np.float32)
+    v = np.vstack([base, base[:80] + 0.05 * rng.normal(size=(80, 64)).astype(np.float32), base[0] + 0.02 * rng.normal(size=(40, 64)).astype(np.float32)])
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], f"vec_id long, embedding array<{kind}>")
+        pairs = list(hnsw.brute_links(v))
+        got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(df).collect()}
+        low = roots(range(len(v)), pairs)
+        n = np.bincount([a for a, _ in pairs], minlength=len(v))
+        assert got == {i: (n[i], low[i]) for i in range(len(v))}
+        audit = hnsw.recall_audit(df).collect()
+        tasks = {(r.shard, r.part) for r in audit}
+        assert len(audit) == len(tasks) >= 8 * 5 and {s for s, _ in tasks} >= set(range(9))
+
+
+def test_links_of_one_group_are_not_held_at_once():
+    """Vectors that are all linked have as many links as pairs; a task counts them, and a batch that links to one vector is no block."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    near = hnsw.unit(rng.normal(size=128) + 0.01 * rng.normal(size=(3000, 128)))
+    graph, own = hnsw.Graph(near), np.arange(len(near))
+    pairs, most = 0, 0
+    tracemalloc.start()
+    for r, _ in hnsw.links(graph, near, near, 0.95, own, hnsw.audited(graph, near, near, 0.95, own)["beam"]):
+        pairs += len(r)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    rows = np.arange(1, 3000)
+    table = graph.out[0]
+    table[:] = -1
+    before = tracemalloc.get_traced_memory()[0]
+    graph._link(rows, np.where(rows[:, None] % 2 == 0, [[0, 2999]], [[0, 1]]), np.ones((len(rows), 2)), 0)
+    linked = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert pairs == 3000 * 2999 and most < 120 << 20 and linked < 120 << 20  # the pairs alone were 144 MB
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     words = [f"word{i}" for i in range(400)]
