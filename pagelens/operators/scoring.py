@@ -51,15 +51,16 @@ def scorecard(pages: DataFrame, report: DataFrame, good: DataFrame) -> DataFrame
     """24 rows per page: counts, suggested score, findings in order of appearance and notes.
 
     ``pages(page_id)`` holds every page once. The level is the situation's, and the human score starts as the suggestion.
+    What is known of a page is joined as one row of maps by situation; its 24 rows are made where that row is, so they aren't
+    shuffled, and stay dealt by page.
     """
-    spark = pages.sparkSession
-    known = F.broadcast(situations(spark).select(F.col("code").alias("situation"), "title", "level"))
-    grid = pages.select("page_id").crossJoin(F.broadcast(situations(spark).select(F.col("code").alias("situation"))))
+    known = F.broadcast(situations(pages.sparkSession).select(F.col("code").alias("situation"), "title", "level"))
+    of_page = lambda df, *cols: df.groupBy("page_id").agg(*[F.map_from_entries(F.collect_list(F.struct("situation", c))).alias(c) for c in cols])
     keep = lambda *fields: lambda x: F.struct(*[x[f] for f in fields])
     v = violations_per_situation(report).groupBy("page_id", "situation").agg(F.sum("count").alias("violations"), F.transform(F.array_sort(F.collect_list(F.struct("at", "msg", "count", "kind"))), keep("msg", "count", "kind")).alias("found"))
     g = good_techniques(good).groupBy("page_id", "situation").agg(F.sum("count").alias("good"), F.transform(F.array_sort(F.collect_list(F.struct("at", "msg", "count"))), keep("msg", "count")).alias("done"))
-    # titles are told once the rows are where they belong, so that they aren't shuffled
-    rows = grid.join(v, ["page_id", "situation"], "left").join(g, ["page_id", "situation"], "left").join(known, "situation")
+    rows = pages.select("page_id").join(of_page(v, "violations", "found"), "page_id", "left").join(of_page(g, "good", "done"), "page_id", "left").crossJoin(known)
+    rows = rows.withColumns({c: F.try_element_at(c, F.col("situation")) for c in ("violations", "found", "good", "done")})
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     score = auto_score(zero("good"), zero("violations"))
     return rows.select(

@@ -22,7 +22,7 @@ def _nested(spark: SparkSession, d: str) -> DataFrame:
 
 def audit_card(spark: SparkSession, d: str) -> DataFrame:
     pages = shapes.table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id")).distinct()
-    return scoring.scorecard(pages, shapes.report(spark, d), shapes.good(spark, d))
+    return scoring.scorecard(pages, shapes.report(spark, d, dealt=True), shapes.good(spark, d, dealt=True))
 
 
 def nest_assessments(spark: SparkSession, d: str) -> DataFrame:

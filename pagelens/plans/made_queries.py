@@ -147,7 +147,8 @@ def page_title(spark: SparkSession, d: str) -> DataFrame:
 def store_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Scorecards as nested audits, written to the three tables and read back."""
     card = audit_card(spark, d)
-    meta = table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("Library "), F.col("o_orderkey").cast("string")).alias("dl_name"), F.lit("https://x").alias("dl_url"), F.lit("2026-01-01T00:00:00.000Z").alias("created_at"))
+    pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id")).repartition("page_id")
+    meta = pages.select("page_id", F.concat(F.lit("Library "), F.col("page_id").cast("string")).alias("dl_name"), F.lit("https://x").alias("dl_url"), F.lit("2026-01-01T00:00:00.000Z").alias("created_at"))
     folder = f"{shared_folder(spark)}/audits-{uuid.uuid4().hex}"
     store.save_assessments(scoring.to_assessment(card, meta), folder)
     got = store.read_audit_tables(spark, folder)

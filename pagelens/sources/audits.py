@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,14 +85,27 @@ def flatten_audits(nested: DataFrame) -> dict[str, DataFrame]:
     return {"assessment": heads, "situation_result": rows, "evidence": shots}
 
 
+@contextmanager
+def _shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """What a write has shuffled goes when it ends; else it stays on disk until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def save_assessments(nested: DataFrame, folder: str, batch: str | None = None) -> None:
     """Write nested audits as one batch of the three tables: a folder of each, which is written over when the batch comes again.
 
     Headers go last, so a reader that joins on them never sees half an audit. Without ``batch`` the audits are one of their own.
     """
     tables, batch = flatten_audits(nested), batch or f"save-{uuid.uuid4().hex}"
-    for name in ("evidence", "situation_result", "assessment"):
-        tables[name].write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    with _shuffles_let_go(nested.sparkSession):
+        for name in ("evidence", "situation_result", "assessment"):
+            tables[name].write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}/batch={batch}")
 
 
 def nest_assessments(assessment: DataFrame, situation: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -64,9 +64,15 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(page_id, seq, code, kind, count, msg)``: one report entry per line; every fifth has no count."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("rule_ix", (F.col("l_partkey") % 22).cast("int"))
+def _lines(spark: SparkSession, sf_dir: str, dealt: bool) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.repartition("l_orderkey") if dealt else lines
+
+
+def report(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """``(page_id, seq, code, kind, count, msg)``: one report entry per line; every fifth has no count. With ``dealt`` the lines
+    are dealt by page, so that what is worked out of a page's entries moves no more rows, and none of their text."""
+    lines = _lines(spark, sf_dir, dealt).withColumn("rule_ix", (F.col("l_partkey") % 22).cast("int"))
     kind = F.element_at(F.array(F.lit("fix"), F.lit("flag"), F.lit("error")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     return lines.join(F.broadcast(rules_catalog(spark)).select("rule_ix", "rule_id", "code"), "rule_ix").select(
         F.col("l_orderkey").alias("page_id"), _line_id().alias("seq"), "code", kind.alias("kind"),
@@ -74,9 +80,9 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def good(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(page_id, token, msg, count)``: good techniques by token, from lines without tax."""
-    lines = table(spark, sf_dir, "lineitem").where("l_tax < 0.03").withColumn("ix", (F.col("l_suppkey") % 24).cast("int"))
+def good(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """``(page_id, token, msg, count)``: good techniques by token, from lines without tax; ``dealt`` as for :func:`report`."""
+    lines = _lines(spark, sf_dir, dealt).where("l_tax < 0.03").withColumn("ix", (F.col("l_suppkey") % 24).cast("int"))
     token = F.split("code", "/")[0]
     return lines.join(F.broadcast(situations(spark)), "ix").groupBy(F.col("l_orderkey").alias("page_id"), token.alias("token")).agg(F.count("*").alias("count")).withColumn("msg", F.concat("token", F.lit(" done well")))
 
