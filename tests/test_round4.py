@@ -4,7 +4,7 @@ import re
 import time
 
 from pagelens.operators import scoring
-from pagelens.plans import audit_queries, made_queries
+from pagelens.plans import audit_queries
 from pagelens.sources import audits as store
 from pagelens.sources import shapes
 
@@ -48,3 +48,24 @@ def test_what_a_save_shuffles_goes_with_it(spark, tmp_path):
     assert let_go(spark, before) and spark.conf.get(key) == set_to
     assert store.read_audit_tables(spark, f"file://{tmp_path}/store")["situation_result"].count() % 24 == 0
     assert all(".zstd." in p.name for p in (tmp_path / "store" / "situation_result" / "batch=b").glob("*.parquet"))
+
+
+def test_an_export_is_compressed_and_counted_as_it_is_written(spark, tmp_path):
+    d = orders(tmp_path)
+    tables = [f(spark, d) for f in (shapes.assessment, shapes.situation_result, shapes.evidence)]
+    nested = store.nest_assessments(*tables)
+    kept = nested.collect()
+    seen, before = spark.sparkContext.accumulator(0), shuffled(spark)
+    meet = lambda rows: (seen.add(1) or r for r in rows)
+    store.export_audits_json(spark.createDataFrame(nested.rdd.mapPartitions(meet), nested.schema), f"file://{tmp_path}/json")
+    assert seen.value == len(kept) == 60  # no row is made again for the count
+    files = [p.name for p in (tmp_path / "json" / "audits").iterdir() if p.name.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    back = {r.id: r for r in store.read_nested(spark, f"file://{tmp_path}/json/audits").collect()}
+    assert {k: [(s.code, len(s.evidence)) for s in r.situations] for k, r in back.items()} == {r.id: [(s.code, len(s.evidence)) for s in r.situations] for r in kept}
+    manifest = spark.read.json(f"file://{tmp_path}/json/manifest")
+    assert [r["count"] for r in manifest.collect()] == [60] and set(manifest.columns) == {"exported_at", "count"}
+    store.export_audits_json(nested, f"file://{tmp_path}/json")  # over the last one
+    assert let_go(spark, before) and spark.read.json(f"file://{tmp_path}/json/manifest").first()["count"] == 60
+    store.export_audits_json(nested.where("id = 'none'"), f"file://{tmp_path}/none")
+    assert spark.read.json(f"file://{tmp_path}/none/manifest").first()["count"] == 0
